@@ -3,12 +3,13 @@
 Each document is the set of its word shingles. A document with the same set as others stands for all of them.
 Every tree branches the documents by a few chosen minwise values; a node that stays large is branched again by
 other values, down to `max_depth`. Two documents as similar as the threshold stay together on some path of some tree but for
-a chance of about 5e-6 at the deepest level, and far less where nodes are small. Nodes are then resolved in two rounds:
+a chance that grows with the depth at which their node gets small: 2e-11 at depth 1, 5e-6 at 4, 2e-4 at 8 for a pair just at the threshold, far less for closer ones. Nodes are then resolved in two rounds:
 
-1. every member of a node is held against the node's smallest id, and the resulting candidate with the smallest id is
+1. every member of a node is held against the node's smallest id, and what may pass is
    confirmed on the full sets: this collapses large groups of copies without forming their pairs;
-2. members of one node that are still in different components are all held against one another on their sketches, in cells of at most
-   twice `leaf` rows, and what may pass is confirmed on the full sets.
+2. members of one node that are still in different components are held against one another on their sketches, in cells of at most
+   twice `leaf` rows. Each member's partners are ranked by agreement; ever longer spans of the ranking are confirmed on the full sets,
+   and after each span the components are joined anew, so partners that have come into one component meanwhile are not tried any more.
 
 So each link that a node can show is either inside a component already or is tried in round 2.
 """
@@ -27,6 +28,8 @@ from pulsegrid.llm.components import components
 from pulsegrid.llm.support import cut
 
 COORDINATES = 64
+#: Places in a document's ranking of partners that are tried at a time; the last span has all the rest.
+SPANS = ((0, 1), (1, 4), (4, 16), (16, None))
 #: A pair at the threshold falls under the sketch bar (five deviations) in less than one of a million cases.
 DEVIATIONS = 5.0
 _SCALES = np.array([(0x9E3779B97F4A7C15 * (2 * k + 3) ** 5 + 0xD1B54A32D192ED03 * k) & ((1 << 64) - 1) | 1 for k in range(COORDINATES)], np.uint64)
@@ -138,32 +141,40 @@ def _alike(bar: int):
     return run
 
 
-def _compared(bar: int):
-    """Rows sorted by cell (cell, id, component, side, sketch) to the pairs of one cell that are of different components
-    and may be similar. In a cell of two blocks (side 0 and 1) only rows of different sides are paired."""
-
-    def pairs(ids, comps, sides, groups, mins) -> tuple[np.ndarray, np.ndarray]:
-        low, high, lag = [], [], 1
-        live = np.flatnonzero(groups[:-1] == groups[1:]) if len(ids) > 1 else np.zeros(0, np.int64)
-        while len(live):
-            at = live[(comps[live] != comps[live + lag]) & ((sides[live] != sides[live + lag]) | (sides[live] < 0))]
-            for part in np.array_split(at, max(1, len(at) // 50_000)):
-                near = part[(mins[part] == mins[part + lag]).sum(1) >= bar]
-                low.append(np.minimum(ids[near], ids[near + lag]))
-                high.append(np.maximum(ids[near], ids[near + lag]))
-            lag += 1
-            live = live[live + lag < len(ids)]
-            live = live[groups[live] == groups[live + lag]]
-        return (np.concatenate(low), np.concatenate(high)) if low else (ids[:0], ids[:0])
+def _pairs(cells: np.ndarray, comps: np.ndarray, sides: np.ndarray, mins: np.ndarray, bar: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, row, agreement) of the rows of one cell whose sketches agree enough, in both directions. In a cell of two blocks (side 0 and 1)
+    only rows of different sides are paired. Cells without two components are left out."""
+    n = len(cells)
+    heads = np.flatnonzero(np.concatenate(([True], cells[1:] != cells[:-1])))
+    counts = np.diff(np.append(heads, n))
+    live = np.repeat(np.minimum.reduceat(comps, heads) != np.maximum.reduceat(comps, heads), counts)
+    live, lag = np.flatnonzero(live), 1
+    left, right, score = [], [], []
+    while len(live):
+        live = live[live + lag < n]
+        live = live[cells[live] == cells[live + lag]]
+        at = live[(sides[live] != sides[live + lag]) | (sides[live] < 0)]
+        for part in np.array_split(at, max(1, len(at) // 50_000)):
+            same = (mins[part] == mins[part + lag]).sum(1)
+            ok = same >= bar
+            left += [part[ok], part[ok] + lag]
+            right += [part[ok] + lag, part[ok]]
+            score += [same[ok], same[ok]]
+        lag += 1
+    if not left:
+        return (np.zeros(0, np.int64),) * 3
+    return np.concatenate(left), np.concatenate(right), np.concatenate(score)
+
+
+def _by_cell(handle):
+    """Batches sorted by cell (cell, id, component, side, sketch), whole cells at a time, to what handle makes of their columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def flush(rows: pa.Table) -> Iterator[pa.RecordBatch]:
             if rows.num_rows:
-                cells = [rows.column(k).combine_chunks().to_numpy(zero_copy_only=False) for k in range(4)]
-                low, high = pairs(cells[1], cells[2], cells[3], cells[0], _sketches(rows.column(4).combine_chunks()))
-                yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], names=["a", "b"])
+                yield handle(*(rows.column(k).combine_chunks().to_numpy(zero_copy_only=False) for k in range(4)), rows.column(4).combine_chunks())
 
         for batch in batches:
             if batch.num_rows:
@@ -179,6 +190,34 @@ def _compared(bar: int):
     return run
 
 
+def _open_rows(bar: int):
+    """The rows that have a partner in another component."""
+
+    def handle(cells, ids, comps, sides, sketches) -> pa.RecordBatch:
+        left, right, _ = _pairs(cells, comps, sides, _sketches(sketches), bar)
+        rows = np.unique(left[comps[left] != comps[right]])
+        # a row's partners in its own component keep their places in its ranking
+        rows = np.unique(np.concatenate((rows, right[np.isin(left, rows)])))
+        return pa.RecordBatch.from_arrays([pa.array(cells[rows]), pa.array(ids[rows]), pa.array(sides[rows]), sketches.take(pa.array(rows))], names=["cell", "id", "side", "sketch"])
+
+    return _by_cell(handle)
+
+
+def _span(bar: int, low: int, high: int | None):
+    """Pairs of different components whose place in either row's ranking of partners is in the span."""
+
+    def handle(cells, ids, comps, sides, sketches) -> pa.RecordBatch:
+        left, right, score = _pairs(cells, comps, sides, _sketches(sketches), bar)
+        order = np.lexsort((ids[right], -score, left))
+        left, right = left[order], right[order]
+        place = np.arange(len(left)) - np.searchsorted(left, left)
+        ok = (comps[left] != comps[right]) & (place >= low) & (place < (high or len(ids) + 1))
+        a, b = ids[left[ok]], ids[right[ok]]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    return _by_cell(handle)
+
+
 def _with_sets(width: int):
     """Rows (a, b, text) to (a, b, set)."""
 
@@ -211,15 +250,18 @@ def _confirmed(percent: int):
     return run
 
 
-def _links(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that pass on the full sets of their texts (id, text)."""
-    right = pairs.join(texts, pairs["b"] == texts["id"]).select("a", "b", "text").mapInArrow(_with_sets(width), "a long, b long, shingles binary")
-    left = pairs.select("a").distinct().join(texts, F.col("a") == texts["id"]).select("a", F.col("a").alias("b"), "text")
-    left = left.mapInArrow(_with_sets(width), "a long, b long, shingles binary").select("a", F.col("shingles").alias("of_a"))
-    return right.join(left, "a").select("a", "b", "of_a", "shingles").mapInArrow(_confirmed(percent), "a long, b long")
+def _set_rows(ids: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """(a, shingles) of the distinct ids in column a, from texts (id, text)."""
+    rows = ids.join(texts, F.col("a") == texts["id"]).select("a", F.col("a").alias("b"), "text")
+    return rows.mapInArrow(_with_sets(width), "a long, b long, shingles binary").select("a", "shingles")
+
+
+def _linked(rows: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of rows (a, b, of_a, shingles) that pass on the full sets."""
+    return rows.select("a", "b", "of_a", "shingles").mapInArrow(_confirmed(percent), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, trees: int = 12, leaf: int = 64, max_depth: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, trees: int = 12, leaf: int = 64, max_depth: int = 8) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of docs (doc_id, text; other columns are ignored).
 
     A-Z are lower-cased; words lie between spaces and \\x09-\\x0D; shingles are `width` words, or the whole text if it has fewer.
@@ -252,27 +294,37 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, trees: i
 
     texts = docs.where("doc_id is not null").select(F.col("doc_id").alias("id"), "text")
     alike = lambda pairs: pairs.join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("of_a")), "a").join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("of_b")), "b").select("a", "b", "of_a", "of_b").mapInArrow(_alike(bar_at), "a long, b long")
+    # round 1: stars around the smallest ids; the sets of the centres go to the sets of the others
     first = levels[0][0].where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
     first = cut(alike(first).groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-    links = _links(first, texts, width, percent)
-    parts = cut(components(links))
+    others = first.join(texts, first["b"] == texts["id"]).select("a", "b", "text").mapInArrow(_with_sets(width), "a long, b long, shingles binary")
+    centres = _set_rows(first.select("a").distinct(), texts, width).withColumnRenamed("shingles", "of_a")
+    parts = cut(components(_linked(others.join(centres, "a"), percent)))
 
+    # round 2: what is still apart, first in small nodes, then in what stayed large
     nodes = levels[0][1]
     for _, leaves in levels[1:]:
         nodes = nodes.unionByName(leaves)
-    members = nodes.join(parts, "id", "left").select("node", "id", "n", F.coalesce("component", "id").alias("component"))
-    mixed = members.groupBy("node").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("node")
-    members = members.join(mixed, "node").withColumn("blocks", F.ceil(F.col("n") / F.lit(leaf)).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-    cells = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "id", "component",
-        F.when(F.col("own") == F.col("other"), -1).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"),
-    )
-    second = cells.join(sketches, "id").select("cell", "id", "component", "side", "sketch").repartition("cell").sortWithinPartitions("cell")
-    second = cut(second.mapInArrow(_compared(bar_at), "a long, b long").distinct())
-    if not second.isEmpty():
-        more = _links(second, texts, width, percent)
-        chain = parts.where("id <> component").select(F.col("component").alias("a"), F.col("id").alias("b"))
-        parts = cut(components(chain.unionByName(more)))
+    for group in (nodes.where(F.col("n") <= leaf), nodes.where(F.col("n") > leaf)):
+        members = group.join(parts, "id", "left").select("node", "id", "n", F.coalesce("component", "id").alias("component"))
+        mixed = members.groupBy("node").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("node")
+        members = members.join(mixed, "node").withColumn("blocks", F.ceil(F.col("n") / F.lit(leaf)).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+        cells = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+            F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "id",
+            F.when(F.col("own") == F.col("other"), -1).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"),
+        )
+        rows_open, sets = cells.join(sketches, "id"), None
+        for low, high in SPANS:
+            in_cells = lambda table: table.join(parts, "id", "left").select("cell", "id", F.coalesce("component", "id").alias("component"), "side", "sketch").repartition("cell").sortWithinPartitions("cell")  # noqa: E731, B023
+            rows_open = cut(in_cells(rows_open).mapInArrow(_open_rows(bar_at), "cell long, id long, side int, sketch binary"))
+            if rows_open.isEmpty():
+                break
+            if sets is None:
+                sets = cut(_set_rows(rows_open.select(F.col("id").alias("a")).distinct(), texts, width))
+            pairs = in_cells(rows_open).mapInArrow(_span(bar_at, low, high), "a long, b long").distinct()
+            tried = pairs.join(sets.select("a", F.col("shingles").alias("of_a")), "a").join(sets.select(F.col("a").alias("b"), "shingles"), "b")
+            chain = parts.where("id <> component").select(F.col("component").alias("a"), F.col("id").alias("b"))
+            parts = cut(components(chain.unionByName(_linked(tried, percent))))
 
     named = stands.select(*same, "id").join(parts, "id", "left").select(*same, F.coalesce("component", "id").alias("component"))
     named = rows.select("doc_id", *same).join(named, same, "left")
