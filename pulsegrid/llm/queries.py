@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import decontamination, mixing, near_dedup, quality, token_files
+from pulsegrid.llm import decontamination, html_text, licences, line_templates, mixing, near_dedup, quality, quotations, token_counts, token_files
 from pulsegrid.llm.support import cut, drop_path, scratch_path, table
 
 #: Contracts of op1 and op4.
@@ -25,6 +25,14 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), LINK_PERCENT, LINK_WORDS)
 
 
+def op2_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotations.link_quotes(table(spark, sf_dir, "conversations"))
+
+
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), BENCHMARK_WORDS)
     names = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
@@ -36,6 +44,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rate(docs, quality.fit_field(docs, table(spark, sf_dir, "labels")))
 
 
+def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source")
@@ -50,18 +62,32 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         drop_path(spark, path)
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), word_vocabulary())
+
+
+def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = line_templates.drop_templates(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_lines", "n_dropped", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
     return {
         "op1_near_dedup": op1_near_dedup,
+        "op2_quotations": op2_quotations,
+        "op3_html_text": op3_html_text,
         "op4_decontamination": op4_decontamination,
         "op5_quality_rules": op5_quality_rules,
+        "op6_licences": op6_licences,
         "op7_mixing": op7_mixing,
         "op8_token_files": op8_token_files,
+        "op9_token_counts": op9_token_counts,
+        "op10_line_templates": op10_line_templates,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_line_templates": line_templates.ORACLE_SQL}
