@@ -43,6 +43,8 @@ OTHER = [
     "Creative work is common in the public library.", "Mozilla and Apache are names of a browser and of a people.", "The lesser part was published in version 2.", "MIT is an institute in the city, and so is the BSD group.", "The rights of all people are in the file.", "Copyright law is a part of the law.", "Reserved words of the language are not free for use.", "They by then may share alike what is not for sale.",
     "the of and to in is this that for it with as was on are be by an or not no new you he a", "la le de des et que en un une el los las y para der die das und mit von ist",
 ]
+#: Too frequent to search for: an n-gram needs another word.
+STOP = frozenset("a all an and are as authors available be by c copyright details example file for free he in inc international is it made may name names new no not of on or part people public published released reproduced see software terms that the this to under use version was with work worldwide you your".split())
 _TOKEN = r"[a-z0-9]+"
 
 
@@ -85,7 +87,8 @@ def train(rounds: int = 400, rate: float = 2.0, penalty: float = 2e-4, hold: int
     classes = sorted(set(families) - {UNKNOWN}) + [UNKNOWN]
     found = [set(_grams(t)) for t in texts]
     other = set().union(*(g for g, c in zip(found, families, strict=True) if c == UNKNOWN))
-    grams = sorted(set().union(*found) - other)
+    telling = lambda g: [w for w in g.split() if w not in STOP and not w.isdigit()]
+    grams = sorted(g for g in set().union(*found) - other if telling(g))
     place = {g: k for k, g in enumerate(grams)}
     x = np.zeros((len(texts), len(grams)))
     for k, own in enumerate(found):
@@ -112,8 +115,7 @@ def train(rounds: int = 400, rate: float = 2.0, penalty: float = 2e-4, hold: int
     used = np.flatnonzero(np.abs(w).sum(1))
     grams, w = [grams[k] for k in used], w[used]
     rising = [g for g, row in zip(grams, w, strict=True) if (row[:-1] - row[-1]).max() > 0]
-    common = {word for t, c in zip(texts, families, strict=True) if c == UNKNOWN for word in _grams(t)}
-    anchors = {next((part for part in sorted(g.split(), key=len, reverse=True) if part not in common), g.split()[0]) for g in rising}
+    anchors = {telling(g)[0] for g in rising}
     assert b.argmax() == len(classes) - 1, "a paragraph without weighted n-grams has to be unknown"
     return LicenceModel(classes, grams, w, b, temperature, float(min(0.9, max(0.5, stranger))), sorted(anchors))
 
