@@ -1 +1 @@
-
+"""Column functions and configuration checks."""

@@ -1 +1 @@
-
+"""Relational, windowed and sequential operators over DataFrames."""

@@ -1 +1 @@
-
+"""Batch, streaming and synthetic sources."""

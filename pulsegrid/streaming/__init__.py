@@ -1 +1 @@
-
+"""Ordered and stateful operators, and streaming sinks."""
