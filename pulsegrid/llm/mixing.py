@@ -53,6 +53,16 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, percent: flo
     return shares.select("source", "source_size", F.least(full, F.col("weight") * F.lit(level) if level else full).cast("double").alias("target"))
 
 
+def _per_source(rows: DataFrame, table: DataFrame, ways: int = 64) -> DataFrame:
+    """rows with the columns of their source's row of table (source, ...). Rows of a source go to `ways` places, each with a copy of the source's row, so a
+    source with a third of all rows is no single task."""
+    names = [c for c in table.columns if c != "source"]
+    copies = table.select(F.col("source").alias("_source"), *names, F.explode(F.sequence(F.lit(0), F.lit(ways - 1))).alias("_way"))
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "size"), F.lit(ways)).cast("int"))
+    joined = salted.join(copies, (F.col("_salt") == F.col("_way")) & F.col("source").eqNullSafe(F.col("_source")), "left")
+    return joined.drop("_source", "_way", "_salt")
+
+
 def _until(parts: DataFrame, by: list[str]) -> DataFrame:
     """Adds how many words the smaller bins of the same group hold."""
     order = Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
@@ -70,12 +80,12 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, percent: float =
     weight = F.greatest(F.coalesce(F.col(importance).cast("double"), F.lit(0.0)), F.lit(0.0)) if importance else F.lit(1.0)
     sizes = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text").cast("string")).alias("size"), weight.alias("importance")))
     shares = targets(sizes, weights, percent, most)
-    scale = sizes.groupBy("source").agg(F.sum(F.col("importance") * F.col("size")).alias("scale"), F.count("*").alias("rows"), F.sum("importance").alias("of_rows"))
+    scale = sizes.groupBy("source").agg(F.sum(F.col("importance") * F.col("size")).alias("scale"))
     per_source = shares.join(scale, shares["source"].eqNullSafe(scale["source"])).select(
-        shares["source"].alias("of_source"), "source_size", "target",
+        shares["source"].alias("source"), "source_size", "target",
         F.coalesce(F.when(F.col("scale") > 0, F.col("target") / F.col("scale")), F.lit(0.0)).alias("rate"),
     )
-    rows = sizes.join(per_source, sizes["source"].eqNullSafe(per_source["of_source"])).drop("of_source")
+    rows = _per_source(sizes, per_source)
     wanted = F.least(F.lit(float(most)), F.col("rate") * F.col("importance"))
     rows = rows.withColumn("sure", F.floor(wanted)).withColumn("chance", wanted - F.col("sure"))
     draw = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
@@ -96,8 +106,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, percent: float =
     fine = _until(inner.groupBy("source", "fine").agg(F.sum("size").alias("words"), F.first("lack").alias("lack"), F.first("edge").alias("edge"), F.first("edge_below").alias("edge_below")), ["source", "fine"])
     fine = fine.withColumn("below", F.col("below") + F.col("edge_below")).where("below < lack and below + words >= lack").select(F.col("source").alias("f"), F.col("fine").alias("fine_edge"), "below")
     lines = edge.join(fine, F.col("s").eqNullSafe(F.col("f")), "left").select("s", "edge", "fine_edge", "lack", "below")
-    fills = lack.withColumnRenamed("source", "l").join(lines.drop("lack"), F.col("l").eqNullSafe(F.col("s")), "left").select("l", "edge", "fine_edge", "lack", "below")
-    rows = rows.join(fills, F.col("source").eqNullSafe(F.col("l")), "left")
+    fills = lack.join(lines.drop("lack"), F.col("source").eqNullSafe(F.col("s")), "left").select("source", "edge", "fine_edge", "lack", "below")
+    rows = _per_source(rows, fills)
     past = F.col("edge").isNull() & (F.col("lack") > 0)  # all that can be ranked is not too much
     inside = past | (F.col("coarse") < F.col("edge")) | ((F.col("coarse") == F.col("edge")) & (F.col("fine") < F.col("fine_edge")))
     verge = (F.col("coarse") == F.col("edge")) & (F.col("fine") == F.col("fine_edge"))
