@@ -5,13 +5,14 @@ Every tree branches the documents by a few chosen minwise values; a node that st
 other values, down to `max_depth`. Two documents as similar as the threshold stay together on some path of some tree but for
 a chance that grows with the depth at which their node gets small: 2e-11 at depth 1, 5e-6 at 4, 2e-4 at 8 for a pair just at the threshold, far less for closer ones. Nodes are then resolved in two rounds:
 
-1. every member of a node is held against the node's smallest id, and what may pass is
-   confirmed on the full sets: this collapses large groups of copies without forming their pairs;
-2. members of one node that are still in different components are held against one another on their sketches, in cells of at most
-   twice `leaf` rows. Each member's partners are ranked by agreement; ever longer spans of the ranking are confirmed on the full sets,
+1. in small nodes each member is held against all others on their sketches, in large ones against its neighbours in the order of the sketches; each
+   member's best partner, and in large nodes every neighbour, is confirmed on the full sets. This collapses groups of copies, however large, without forming
+   their pairs;
+2. large nodes that still have members of different components are branched again, and what stays large at the end is cut into cells of at most twice
+   `leaf` rows. Members of a cell in different components are ranked by agreement; ever longer spans of the ranking are confirmed on the full sets,
    and after each span the components are joined anew, so partners that have come into one component meanwhile are not tried any more.
 
-So each link that a node can show is either inside a component already or is tried in round 2.
+So each link that a cell can show is either inside a component already or is tried in round 2.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.llm import textkit
 from pulsegrid.llm.components import components
-from pulsegrid.llm.support import cut
+from pulsegrid.llm.support import cut, partitions
 
 COORDINATES = 64
 #: Places in a document's ranking of partners that are tried at a time; the last span has all the rest.
@@ -53,6 +54,16 @@ def _sets(block: textkit.Block, width: int) -> Iterator[np.ndarray]:
             yield np.zeros(0, np.uint64)
 
 
+def _packed(hashes: np.ndarray) -> bytes:
+    """Five bytes of each of the sorted hashes: enough to tell the shingles of two texts apart, and a third less to shuffle."""
+    return (hashes >> np.uint64(32)).astype(np.uint32).tobytes() + ((hashes >> np.uint64(24)) & np.uint64(255)).astype(np.uint8).tobytes()
+
+
+def _unpacked(data: pa.Buffer) -> np.ndarray:
+    n = len(data) // 5
+    return (np.frombuffer(data, np.uint32, n).astype(np.uint64) << np.uint64(8)) | np.frombuffer(data, np.uint8, n, 4 * n)
+
+
 def _describe(width: int):
     """Rows of id, text to id, set size, 128 bits of the set and its minwise sketch."""
 
@@ -63,14 +74,14 @@ def _describe(width: int):
                 sets = list(_sets(block, width))
                 sizes = np.array([len(s) for s in sets])
                 full, flat = np.flatnonzero(sizes), np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-                mins = np.zeros((len(sets), COORDINATES), np.uint32)
+                mins = np.zeros((len(sets), COORDINATES), np.uint16)
                 one, two = np.zeros(len(sets), np.uint64), np.zeros(len(sets), np.uint64)
                 if len(full):
                     starts = (np.cumsum(sizes) - sizes)[full]
                     one[full] = np.add.reduceat(textkit.mix(flat), starts)
                     two[full] = np.add.reduceat(textkit.mix(flat ^ textkit._LENGTH), starts)
                     for k in range(COORDINATES):
-                        mins[full, k] = np.minimum.reduceat(flat * _SCALES[k], starts) >> np.uint64(32)
+                        mins[full, k] = np.minimum.reduceat(flat * _SCALES[k], starts) >> np.uint64(48)
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(block.first, len(block)), pa.array(sizes, pa.int64()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), textkit.binary_column([row.tobytes() for row in mins])],
                     names=["doc_id", "n_shingles", "set_a", "set_b", "sketch"],
@@ -101,7 +112,7 @@ def _branch(keys: np.ndarray, mins: np.ndarray, spare: float) -> tuple[np.ndarra
 
 
 def _sketches(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, COORDINATES)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, COORDINATES)
 
 
 def _planted(trees: int, spare: float):
@@ -130,17 +141,37 @@ def _branched(spare: float):
     return run
 
 
-def _alike(bar: int):
-    """Keeps the rows whose two last columns, sketches, agree in at least bar coordinates."""
+def _neighbours(bar: int):
+    """Rows (node, id, sketch) sorted by node and turned sketch to the pairs of rows that follow one another in a node and may be similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for batch in batches:
-            same = (_sketches(batch.column(2)) == _sketches(batch.column(3))).sum(1) >= bar
-            yield batch.select([0, 1]).filter(pa.array(same))
+            if batch.num_rows:
+                rows = pa.Table.from_batches([last, batch] if last is not None else [batch]).combine_chunks()
+                nodes, ids, mins = (rows.column(k).combine_chunks() for k in range(3))
+                nodes, ids, mins = nodes.to_numpy(zero_copy_only=False), ids.to_numpy(zero_copy_only=False), _sketches(mins)
+                ok = (nodes[1:] == nodes[:-1]) & ((mins[1:] == mins[:-1]).sum(1) >= bar)
+                a, b = ids[:-1][ok], ids[1:][ok]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+                last = batch.slice(batch.num_rows - 1)
 
     return run
 
 
+def _best(bar: int):
+    """Each row of a cell with its most similar partner of another component: (id, partner, same)."""
+
+    def handle(cells, ids, comps, sides, sketches) -> pa.RecordBatch:
+        left, right, score = _pairs(cells, comps, sides, _sketches(sketches), bar)
+        order = np.lexsort((ids[right], -score, left))
+        left, right, score = left[order], right[order], score[order]
+        first = np.flatnonzero(np.concatenate(([True], left[1:] != left[:-1]))) if len(left) else np.zeros(0, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(ids[left[first]]), pa.array(ids[right[first]]), pa.array(score[first], pa.int64())], names=["id", "partner", "same"])
+
+    return _by_cell(handle)
+
+
 def _pairs(cells: np.ndarray, comps: np.ndarray, sides: np.ndarray, mins: np.ndarray, bar: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, row, agreement) of the rows of one cell whose sketches agree enough, in both directions. In a cell of two blocks (side 0 and 1)
     only rows of different sides are paired. Cells without two components are left out."""
@@ -224,7 +255,7 @@ def _with_sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in textkit.blocks(batch.column(2)):
-                sets = textkit.binary_column([s.tobytes() for s in _sets(block, width)])
+                sets = textkit.binary_column([_packed(s) for s in _sets(block, width)])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, len(block)), batch.column(1).slice(block.first, len(block)), sets], names=["a", "b", "shingles"])
 
     return run
@@ -237,7 +268,7 @@ def _confirmed(percent: int):
         for batch in batches:
             keep = []
             for left, right in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (left, right))
+                x, y = _unpacked(left.as_buffer()), _unpacked(right.as_buffer())
                 small, large = (x, y) if len(x) <= len(y) else (y, x)
                 if 100 * len(small) < percent * len(large):
                     keep.append(False)
@@ -256,9 +287,23 @@ def _set_rows(ids: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     return rows.mapInArrow(_with_sets(width), "a long, b long, shingles binary").select("a", "shingles")
 
 
-def _linked(rows: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of rows (a, b, of_a, shingles) that pass on the full sets."""
-    return rows.select("a", "b", "of_a", "shingles").mapInArrow(_confirmed(percent), "a long, b long")
+#: Where a node's sketches are turned, so that nodes order their members by different coordinates first.
+_TURN = f"cast(pmod(xxhash64(node), 8) * {2 * COORDINATES // 8} as int)"
+
+
+def _sorted_cells(cells: DataFrame, parts: DataFrame | None) -> DataFrame:
+    """Rows (cell, id, side, sketch) with their components, whole cells together."""
+    rows = cells.withColumn("component", F.col("id")) if parts is None else cells.join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    return rows.select("cell", "id", "component", "side", "sketch").repartition("cell").sortWithinPartitions("cell")
+
+
+def _cells(nodes: DataFrame, leaf: int) -> DataFrame:
+    """Members of large nodes (node, id, n), dealt into blocks; each pair of blocks of a node is a cell."""
+    own = nodes.withColumn("blocks", F.ceil(F.col("n") / F.lit(leaf)).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    return own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "id",
+        F.when(F.col("own") == F.col("other"), -1).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"),
+    )
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, trees: int = 12, leaf: int = 64, max_depth: int = 8) -> DataFrame:
@@ -278,53 +323,61 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, trees: i
 
     rows = cut(docs.mapInArrow(_describe(width), "doc_id long, n_shingles long, set_a long, set_b long, sketch binary"))
     same = ["n_shingles", "set_a", "set_b"]
-    stands = cut(rows.where("n_shingles > 0 and doc_id is not null").groupBy(*same).agg(F.min(F.struct("doc_id", "sketch")).alias("s")).select(*same, F.col("s.doc_id").alias("id"), F.col("s.sketch").alias("sketch")))
+    stands = cut(rows.where("n_shingles > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("id"), F.first("sketch").alias("sketch")))
     sketches = stands.select("id", "sketch").dropDuplicates(["id"])
-
-    fresh, levels = sketches.mapInArrow(_planted(trees, spare), "node long, id long"), []
-    for depth in range(1, max_depth + 1):
-        sizes = fresh.groupBy("node").agg(F.count("*").alias("n"), F.min("id").alias("low")).where("n > 1")
-        level = cut(fresh.join(sizes, "node"))
-        split = (F.col("n") > leaf) & F.lit(depth < max_depth)
-        levels.append((level, level.where(~split)))
-        large = level.where(split)
-        if depth == max_depth or large.isEmpty():
-            break
-        fresh = large.select("node", "id").join(sketches, "id").select("node", "id", "sketch").mapInArrow(_branched(spare), "node long, id long")
-
     texts = docs.where("doc_id is not null").select(F.col("doc_id").alias("id"), "text")
-    alike = lambda pairs: pairs.join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("of_a")), "a").join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("of_b")), "b").select("a", "b", "of_a", "of_b").mapInArrow(_alike(bar_at), "a long, b long")
-    # round 1: stars around the smallest ids; the sets of the centres go to the sets of the others
-    first = levels[0][0].where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
-    first = cut(alike(first).groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-    others = first.join(texts, first["b"] == texts["id"]).select("a", "b", "text").mapInArrow(_with_sets(width), "a long, b long, shingles binary")
-    centres = _set_rows(first.select("a").distinct(), texts, width).withColumnRenamed("shingles", "of_a")
-    parts = cut(components(_linked(others.join(centres, "a"), percent)))
-
-    # round 2: what is still apart, first in small nodes, then in what stayed large
-    nodes = levels[0][1]
-    for _, leaves in levels[1:]:
-        nodes = nodes.unionByName(leaves)
-    for group in (nodes.where(F.col("n") <= leaf), nodes.where(F.col("n") > leaf)):
-        members = group.join(parts, "id", "left").select("node", "id", "n", F.coalesce("component", "id").alias("component"))
+
+    def nodes_of(members: DataFrame) -> DataFrame:
+        """(node, id, n) of nodes with two members or more."""
+        sizes = members.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
+        return cut(members.join(sizes, "node"))
+
+    def open_rows(cells: DataFrame, parts: DataFrame | None) -> DataFrame:
+        return cut(_sorted_cells(cells, parts).mapInArrow(_open_rows(bar_at), "cell long, id long, side int, sketch binary"))
+
+    def joined(parts: DataFrame | None, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """The components after the pairs that pass on their sets."""
+        tried = pairs.join(sets.select("a", F.col("shingles").alias("of_a")), "a").join(sets.select(F.col("a").alias("b"), "shingles"), "b")
+        links = tried.select("a", "b", "of_a", "shingles").mapInArrow(_confirmed(percent), "a long, b long")
+        if parts is not None:
+            links = links.unionByName(parts.where("id <> component").select(F.col("component").alias("a"), F.col("id").alias("b")))
+        return cut(components(links))
+
+    # round 1
+    level = nodes_of(sketches.mapInArrow(_planted(trees, spare), "node long, id long"))
+    small = level.where(F.col("n") <= leaf).select(F.col("node").alias("cell"), "id", F.lit(-1).alias("side")).join(sketches, "id")
+    ready = open_rows(small, None)
+    large = level.where(F.col("n") > leaf).join(sketches, "id").withColumn("turned", F.concat(F.expr(f"substring(sketch, {_TURN} + 1)"), F.expr(f"substring(sketch, 1, {_TURN})")))
+    order = ["node", "turned", "id"]
+    beside = large.repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order).select("node", "id", "sketch").mapInArrow(_neighbours(bar_at), "a long, b long").distinct()
+    best = _sorted_cells(ready, None).mapInArrow(_best(bar_at), "id long, partner long, same long").groupBy("id").agg(F.max_by("partner", F.struct("same", -F.col("partner"))).alias("partner"))
+    first = cut(best.select(F.least("id", "partner").alias("a"), F.greatest("id", "partner").alias("b")).unionByName(beside).distinct())
+    named_ids = ready.select(F.col("id").alias("a")).unionByName(first.select("a")).unionByName(first.select(F.col("b").alias("a"))).distinct()
+    sets = cut(_set_rows(named_ids, texts, width))
+    parts = joined(None, first, sets)
+
+    # round 2: large nodes that are not of one component are branched, then cut
+    nodes = level.where(F.col("n") > leaf)
+    for depth in range(2, max_depth + 2):
+        members = nodes.select("node", "id", "n").join(parts, "id", "left").select("node", "id", "n", F.coalesce("component", "id").alias("component"))
         mixed = members.groupBy("node").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("node")
-        members = members.join(mixed, "node").withColumn("blocks", F.ceil(F.col("n") / F.lit(leaf)).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-        cells = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-            F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "id",
-            F.when(F.col("own") == F.col("other"), -1).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"),
-        )
-        rows_open, sets = cells.join(sketches, "id"), None
-        for low, high in SPANS:
-            in_cells = lambda table: table.join(parts, "id", "left").select("cell", "id", F.coalesce("component", "id").alias("component"), "side", "sketch").repartition("cell").sortWithinPartitions("cell")  # noqa: E731, B023
-            rows_open = cut(in_cells(rows_open).mapInArrow(_open_rows(bar_at), "cell long, id long, side int, sketch binary"))
-            if rows_open.isEmpty():
-                break
-            if sets is None:
-                sets = cut(_set_rows(rows_open.select(F.col("id").alias("a")).distinct(), texts, width))
-            pairs = in_cells(rows_open).mapInArrow(_span(bar_at, low, high), "a long, b long").distinct()
-            tried = pairs.join(sets.select("a", F.col("shingles").alias("of_a")), "a").join(sets.select(F.col("a").alias("b"), "shingles"), "b")
-            chain = parts.where("id <> component").select(F.col("component").alias("a"), F.col("id").alias("b"))
-            parts = cut(components(chain.unionByName(_linked(tried, percent))))
+        nodes = cut(members.join(mixed, "node").select("node", "id", "n"))
+        if nodes.isEmpty():
+            break
+        if depth > max_depth:
+            ready = ready.unionByName(open_rows(_cells(nodes, leaf).join(sketches, "id"), parts))
+            break
+        level = nodes_of(nodes.join(sketches, "id").select("node", "id", "sketch").mapInArrow(_branched(spare), "node long, id long"))
+        small = level.where(F.col("n") <= leaf).select(F.col("node").alias("cell"), "id", F.lit(-1).alias("side")).join(sketches, "id")
+        ready = ready.unionByName(open_rows(small, parts))
+        nodes = level.where(F.col("n") > leaf)
+    for k, (low, high) in enumerate(SPANS):
+        ready = open_rows(ready, parts)
+        if ready.isEmpty():
+            break
+        if not k and not (more := cut(ready.select(F.col("id").alias("a")).distinct().join(sets, "a", "left_anti"))).isEmpty():
+            sets = sets.unionByName(cut(_set_rows(more, texts, width)))
+        parts = joined(parts, _sorted_cells(ready, parts).mapInArrow(_span(bar_at, low, high), "a long, b long").distinct(), sets)
 
     named = stands.select(*same, "id").join(parts, "id", "left").select(*same, F.coalesce("component", "id").alias("component"))
     named = rows.select("doc_id", *same).join(named, same, "left")
