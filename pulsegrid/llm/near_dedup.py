@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.llm import textkit
 from pulsegrid.llm.components import components
-from pulsegrid.llm.support import cut, partitions
+from pulsegrid.llm.support import cut, cut_counted, narrow, partitions
 
 COORDINATES = 64
 #: Places in a document's ranking of partners that are tried at a time; the last span has all the rest.
@@ -327,57 +327,63 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, trees: i
     sketches = stands.select("id", "sketch").dropDuplicates(["id"])
     texts = docs.where("doc_id is not null").select(F.col("doc_id").alias("id"), "text")
 
-    def nodes_of(members: DataFrame) -> DataFrame:
+    def nodes_of(members: DataFrame, most: int | None) -> tuple[DataFrame, int]:
         """(node, id, n) of nodes with two members or more."""
         sizes = members.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
-        return cut(members.join(sizes, "node"))
+        return cut_counted(members.join(sizes, "node"), most)
 
-    def open_rows(cells: DataFrame, parts: DataFrame | None) -> DataFrame:
-        return cut(_sorted_cells(cells, parts).mapInArrow(_open_rows(bar_at), "cell long, id long, side int, sketch binary"))
+    def open_rows(cells: DataFrame, parts: DataFrame | None, most: int) -> tuple[DataFrame, int]:
+        return cut_counted(_sorted_cells(cells, parts).mapInArrow(_open_rows(bar_at), "cell long, id long, side int, sketch binary"), most)
 
     def joined(parts: DataFrame | None, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """The components after the pairs that pass on their sets."""
         tried = pairs.join(sets.select("a", F.col("shingles").alias("of_a")), "a").join(sets.select(F.col("a").alias("b"), "shingles"), "b")
-        links = tried.select("a", "b", "of_a", "shingles").mapInArrow(_confirmed(percent), "a long, b long")
+        links, n = cut_counted(tried.select("a", "b", "of_a", "shingles").mapInArrow(_confirmed(percent), "a long, b long"))
         if parts is not None:
             links = links.unionByName(parts.where("id <> component").select(F.col("component").alias("a"), F.col("id").alias("b")))
-        return cut(components(links))
+        return cut_counted(components(links))[0] if n else parts if parts is not None else cut(components(links))
+
+    def small_cells(level: DataFrame) -> DataFrame:
+        return level.where(F.col("n") <= leaf).select(F.col("node").alias("cell"), "id", F.lit(-1).alias("side")).join(sketches, "id")
 
     # round 1
-    level = nodes_of(sketches.mapInArrow(_planted(trees, spare), "node long, id long"))
-    small = level.where(F.col("n") <= leaf).select(F.col("node").alias("cell"), "id", F.lit(-1).alias("side")).join(sketches, "id")
-    ready = open_rows(small, None)
+    level, members = nodes_of(sketches.mapInArrow(_planted(trees, spare), "node long, id long"), None)
+    ready, n_ready = open_rows(small_cells(level), None, members)
     large = level.where(F.col("n") > leaf).join(sketches, "id").withColumn("turned", F.concat(F.expr(f"substring(sketch, {_TURN} + 1)"), F.expr(f"substring(sketch, 1, {_TURN})")))
     order = ["node", "turned", "id"]
-    beside = large.repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order).select("node", "id", "sketch").mapInArrow(_neighbours(bar_at), "a long, b long").distinct()
+    beside = large.repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order).select("node", "id", "sketch").mapInArrow(_neighbours(bar_at), "a long, b long")
     best = _sorted_cells(ready, None).mapInArrow(_best(bar_at), "id long, partner long, same long").groupBy("id").agg(F.max_by("partner", F.struct("same", -F.col("partner"))).alias("partner"))
-    first = cut(best.select(F.least("id", "partner").alias("a"), F.greatest("id", "partner").alias("b")).unionByName(beside).distinct())
+    every = best.select(F.least("id", "partner").alias("a"), F.greatest("id", "partner").alias("b")).unionByName(beside)
+    first, _ = cut_counted(narrow(every, members).distinct(), members)
     named_ids = ready.select(F.col("id").alias("a")).unionByName(first.select("a")).unionByName(first.select(F.col("b").alias("a"))).distinct()
     sets = cut(_set_rows(named_ids, texts, width))
     parts = joined(None, first, sets)
 
     # round 2: large nodes that are not of one component are branched, then cut
-    nodes = level.where(F.col("n") > leaf)
+    nodes, n_nodes = level.where(F.col("n") > leaf), members
     for depth in range(2, max_depth + 2):
-        members = nodes.select("node", "id", "n").join(parts, "id", "left").select("node", "id", "n", F.coalesce("component", "id").alias("component"))
-        mixed = members.groupBy("node").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("node")
-        nodes = cut(members.join(mixed, "node").select("node", "id", "n"))
-        if nodes.isEmpty():
+        own = nodes.select("node", "id", "n").join(parts, "id", "left").select("node", "id", "n", F.coalesce("component", "id").alias("component"))
+        mixed = own.groupBy("node").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("node")
+        nodes, n_nodes = cut_counted(own.join(mixed, "node").select("node", "id", "n"), n_nodes)
+        if not n_nodes:
             break
         if depth > max_depth:
-            ready = ready.unionByName(open_rows(_cells(nodes, leaf).join(sketches, "id"), parts))
+            more, n_more = open_rows(_cells(nodes, leaf).join(sketches, "id"), parts, n_nodes)
+            ready, n_ready = ready.unionByName(more), n_ready + n_more
             break
-        level = nodes_of(nodes.join(sketches, "id").select("node", "id", "sketch").mapInArrow(_branched(spare), "node long, id long"))
-        small = level.where(F.col("n") <= leaf).select(F.col("node").alias("cell"), "id", F.lit(-1).alias("side")).join(sketches, "id")
-        ready = ready.unionByName(open_rows(small, parts))
+        level, n_nodes = nodes_of(nodes.join(sketches, "id").select("node", "id", "sketch").mapInArrow(_branched(spare), "node long, id long"), 2 * n_nodes)
+        more, n_more = open_rows(small_cells(level), parts, n_nodes)
+        ready, n_ready = ready.unionByName(more), n_ready + n_more
         nodes = level.where(F.col("n") > leaf)
     for k, (low, high) in enumerate(SPANS):
-        ready = open_rows(ready, parts)
-        if ready.isEmpty():
+        ready, n_ready = open_rows(ready, parts, n_ready)
+        if not n_ready:
             break
-        if not k and not (more := cut(ready.select(F.col("id").alias("a")).distinct().join(sets, "a", "left_anti"))).isEmpty():
-            sets = sets.unionByName(cut(_set_rows(more, texts, width)))
-        parts = joined(parts, _sorted_cells(ready, parts).mapInArrow(_span(bar_at, low, high), "a long, b long").distinct(), sets)
+        if not k:
+            more, n_more = cut_counted(narrow(ready.select(F.col("id").alias("a")).distinct().join(sets, "a", "left_anti"), n_ready))
+            sets = sets.unionByName(cut(_set_rows(more, texts, width))) if n_more else sets
+        pairs, _ = cut_counted(narrow(_sorted_cells(ready, parts).mapInArrow(_span(bar_at, low, high), "a long, b long"), n_ready).distinct(), n_ready)
+        parts = joined(parts, pairs, sets)
 
     named = stands.select(*same, "id").join(parts, "id", "left").select(*same, F.coalesce("component", "id").alias("component"))
     named = rows.select("doc_id", *same).join(named, same, "left")

@@ -39,3 +39,20 @@ def cut(frame: DataFrame) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Rows that a task of a small intermediate table gets at least.
+ROWS_A_TASK = 100_000
+
+
+def narrow(frame: DataFrame, rows: int) -> DataFrame:
+    """The frame in no more partitions than so many rows need, as it is if they need as many as a shuffle has."""
+    wide = rows // ROWS_A_TASK + 1
+    return frame.coalesce(wide) if wide < partitions(frame.sparkSession) else frame
+
+
+def cut_counted(frame: DataFrame, most: int | None = None) -> tuple[DataFrame, int]:
+    """cut, in as few partitions as the rows need, and their number; most: a bound known beforehand, for the writing tasks."""
+    kept = cut(frame if most is None else narrow(frame, most))
+    rows = kept.count()
+    return narrow(kept, rows), rows
