@@ -47,7 +47,7 @@ def adaptive_severity(score: Column, alarm: Column, threshold: Column) -> Column
 
 def redact(text: Column) -> Column:
     """E-mail addresses, the last part of IPv4 addresses, all but four groups of IPv6 addresses; texts over 120 characters are cut."""
-    out = F.regexp_replace(text, r"\b([A-Za-z0-9])[A-Za-z0-9._%+-]*?([A-Za-z0-9])?@([A-Za-z0-9])[A-Za-z0-9.-]*?([A-Za-z0-9])?(\.[A-Za-z]{2,})\b", "$1***$2@$3***$4$5")
+    out = F.regexp_replace(text, r"\b([A-Za-z0-9])[A-Za-z0-9._%+-]*?([A-Za-z0-9])?@([A-Za-z0-9])[A-Za-z0-9.-]*?([A-Za-z0-9])?(\.[A-Za-z]{2,})(?![A-Za-z0-9.-])", "$1***$2@$3***$4$5")
     out = F.regexp_replace(out, r"\b(\d{1,3}\.\d{1,3}\.\d{1,3})\.\d{1,3}\b", "$1.x")
     out = F.regexp_replace(out, r"\b((?:[0-9a-fA-F]{1,4}:){4})(?:[0-9a-fA-F]{0,4}:){0,3}[0-9a-fA-F]{0,4}\b", "$1x")
     return F.when(F.length(out) > 120, F.concat(F.substring(out, 1, 117), F.lit("..."))).otherwise(out)
