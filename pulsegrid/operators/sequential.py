@@ -233,7 +233,7 @@ def fallback_scores(rows: DataFrame, keys: list[str], order: str, mean: str, siz
     """rows with the diagnostic score min(|x - running mean| / (1 + 1e-8), 1). The running mean has the row itself in it: the plain mean up to the
     100th row, then it moves by a hundredth of each difference. The first score is 0; the score raises no alarm.
 
-    Beyond the 100th row the mean is a geometric sum, taken within blocks of `size` rows plus the ends of the two blocks before; what lies further back weighs less than a double's last bit.
+    Beyond the 100th row the mean is a geometric sum, taken within blocks of `size` rows (2000 or more) plus the ends of the two blocks before; what lies further back weighs less than a double's last bit.
     """
     q = 0.99
     seen = Window.partitionBy(*keys).orderBy(order)

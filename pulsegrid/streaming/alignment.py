@@ -54,6 +54,6 @@ def align(readings: DataFrame, required: list[str], max_age: float = 30.0) -> Da
     return fold(readings.select("charger_id", "sensor", "value", "received_at", "event_ts", "seq"), ["charger_id"], ["seq"], _start, partial(align_step, tuple(sorted(set(required))), max(0.1, max_age)), ALIGNED)
 
 
-def align_stream(readings: DataFrame, required: list[str], max_age: float = 30.0, ttl_ms: int = 3_600_000) -> DataFrame:
-    """The same over a stream; a charger's state is dropped an hour after its last reading."""
+def align_stream(readings: DataFrame, required: list[str], max_age: float = 30.0, ttl_ms: int | None = 3_600_000) -> DataFrame:
+    """The same over a stream; a charger's state is dropped an hour after its last reading. Runs that take what there is and end need ttl_ms=None: a clock never ends them."""
     return fold_stream(readings.select("charger_id", "sensor", "value", "received_at", "event_ts", "seq"), ["charger_id"], ["seq"], _start, partial(align_step, tuple(sorted(set(required))), max(0.1, max_age)), ALIGNED, ttl_ms)

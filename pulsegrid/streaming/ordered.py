@@ -12,7 +12,7 @@ from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 Step = Callable[[Any, dict], list[dict]]
@@ -41,26 +41,21 @@ def fold(rows: DataFrame, keys: list[str], order: list[str], start: Callable[[tu
     return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
 
-class OrderedProcessor(StatefulProcessor):
-    """The stream form of fold: rows of a micro-batch are taken in order, the pickled state is kept for `ttl_ms`."""
-
-    def __init__(self, order: list[str], start: Callable[[tuple], Any], step: Step, names: list[str], ttl_ms: int | None = None):
-        self.order, self.start, self.step, self.names, self.ttl_ms = order, start, step, names, ttl_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.kept = handle.getValueState("state", "data binary", self.ttl_ms)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        state = pickle.loads(bytes(self.kept.get()[0])) if self.kept.exists() else self.start(key)
-        batch = pd.concat(list(rows)).sort_values(self.order, kind="stable")
-        out = [r for row in batch.to_dict("records") for r in self.step(state, _clean(row))]
-        self.kept.update((pickle.dumps(state),))
-        yield pd.DataFrame(out, columns=self.names)
-
-    def close(self) -> None:
-        pass
-
-
 def fold_stream(rows: DataFrame, keys: list[str], order: list[str], start: Callable[[tuple], Any], step: Step, schema: str, ttl_ms: int | None = 3_600_000) -> DataFrame:
+    """The stream form of fold: rows of a micro-batch are taken in order; the pickled state is kept for `ttl_ms` after a key's last row."""
     names = [f.name for f in StructType.fromDDL(schema)]
-    return rows.groupBy(*keys).transformWithStateInPandas(OrderedProcessor(order, start, step, names, ttl_ms), schema, "Append", "ProcessingTime" if ttl_ms else "None")
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
+        if kept.hasTimedOut:
+            kept.remove()
+            return
+        state = pickle.loads(bytes(kept.get[0])) if kept.exists else start(key)
+        batch = pd.concat(list(batches)).sort_values(order, kind="stable")
+        out = [r for row in batch.to_dict("records") for r in step(state, _clean(row))]
+        kept.update((pickle.dumps(state),))
+        if ttl_ms:
+            kept.setTimeoutDuration(ttl_ms)
+        yield pd.DataFrame(out, columns=names)
+
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if ttl_ms else GroupStateTimeout.NoTimeout
+    return rows.groupBy(*keys).applyInPandasWithState(run, schema, "data binary", "append", timeout)

@@ -41,7 +41,7 @@ def test_stream_equals_batch(spark, tmp_path):
     for k in range(3):
         readings.where(F.col("seq") % 120 >= 40 * k).where(F.col("seq") % 120 < 40 * (k + 1)).coalesce(1).write.json(str(tmp_path / f"in/{k}"))
     stream = spark.readStream.schema(READINGS).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").json(str(tmp_path / "in"))
-    query = alignment.align_stream(stream, ["x", "y"], 5.0).writeStream.format("memory").queryName("aligned").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query = alignment.align_stream(stream, ["x", "y"], 5.0, ttl_ms=None).writeStream.format("memory").queryName("aligned").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     query.awaitTermination()
     key = lambda r: (r.charger_id, r.seq)
     assert sorted(spark.table("aligned").collect(), key=key) == sorted(alignment.align(readings, ["x", "y"], 5.0).collect(), key=key)
@@ -130,12 +130,12 @@ def test_jumper_is_the_recursion(spark, block):
 
 
 def test_fallback_is_the_recursion(spark):
-    values = np.random.default_rng(4).random(700)
+    values = np.random.default_rng(4).random(5200)
     mean, want = values[0], [0.0]
     for n, x in enumerate(values[1:], 2):
         mean += (x - mean) / min(n, 100)
         want.append(min(abs(x - mean) / (1 + 1e-8), 1))
-    got = sequential.fallback_scores(p_stream(spark, values.tolist()), ["k"], "n", "p", size=150).orderBy("n").collect()
+    got = sequential.fallback_scores(p_stream(spark, values.tolist()), ["k"], "n", "p").orderBy("n").collect()
     assert np.allclose([r.score for r in got], want, atol=1e-9)
 
 
