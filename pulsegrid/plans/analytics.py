@@ -295,7 +295,7 @@ def random_projection(spark, sf):
 # --- evidence, charts, health ---
 
 
-@query(sql("""SELECT charger_id, "timestamp", sensor_set[1] AS telemetry_type, CASE strategy WHEN 'static_baseline' THEN 'ml_conformal_static_univariate' ELSE 'ml_adaptive_stream_univariate' END AS anomaly_type, coalesce(p_value, anomaly_score) AS anomaly_value, CASE strategy WHEN 'static_baseline' THEN 'conformal_pvalue' ELSE 'anomaly_score' END AS value_type FROM evidence WHERE alarm""", "evidence"))
+@query(sql("""SELECT charger_id, "timestamp", sensor_set[1] AS telemetry_type, CASE strategy WHEN 'static_baseline' THEN 'ml_conformal_static_univariate' ELSE 'ml_adaptive_stream_univariate' END AS anomaly_type, coalesce(p_value, anomaly_score) AS anomaly_value, CASE strategy WHEN 'static_baseline' THEN 'conformal_pvalue' ELSE 'anomaly_score' END AS value_type FROM evidence WHERE alarm AND sequence_number >= 1""", "evidence"))
 def evidence_rows(spark, sf):
     rows = ev.valid_evidence(ev.complete_inputs(t.evidence(spark, sf)))
     return ev.anomaly_rows(rows).drop("sensor_set")

@@ -509,7 +509,6 @@ def catalogue() -> list[str]:
 
 
 def _named(kind: str):
-    kind = kind.removeprefix("aberrant_")
     if kind not in _ONLINE:
         raise ValueError(f"no online model {kind}")
     return _ONLINE[kind]

@@ -69,7 +69,7 @@ def test_static_models_rank_outliers(kind):
 def test_online_models_learn_and_score(kind):
     rng = np.random.default_rng(1)
     params = {"half_space_trees": {"window_size": 60}, "x_stream": {"window_size": 60}, "asd_isolation_forest": {"max_samples": 60, "n_estimators": 20}, "random_cut_forest": {"sample_size": 60, "n_trees": 20}, "mondrian_forest": {"subspace_size": 60, "n_estimators": 20}}.get(kind, {})
-    model = models.online(f"aberrant_{kind}", params)
+    model = models.online(kind, params)
     for x in rng.normal(size=(200, 3)):
         model.learn_one(x)
     usual = [model.score_one(x) for x in rng.normal(size=(40, 3))]
