@@ -1,6 +1,6 @@
 """Sequential testing on conformal p-values: bets, martingales, alarm statistics, ensembles, thresholds.
 
-Products over a stream are sums of logarithms over windows ordered by position. `keys` are the columns that tell streams apart.
+Products over a stream are sums of logarithms in the order of position. `keys` are the columns that tell streams apart.
 """
 
 from __future__ import annotations
@@ -10,14 +10,17 @@ from math import log
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 INFINITY = float("inf")
 #: Logarithm of the largest double.
 LOG_MAX = log(1.7976931348623157e308)
 SIMULATION_BUDGET = 25_000_000
 STATISTICS = ("martingale", "restarted_martingale", "cusum", "shiryaev_roberts")
+_LOGS = ("log_martingale", "log_cusum", "log_shiryaev_roberts", "log_restarted_martingale")
 
 
 def p_values(scores: DataFrame, calibration: DataFrame, keys: list[str], score: str) -> DataFrame:
@@ -46,30 +49,48 @@ def epsilon_grid(epsilons: list[float] | None = None, n_grid: int = 10, min_epsi
     return list(epsilons) if epsilons else [float(x) for x in np.linspace(min_epsilon, 1.0, n_grid)]
 
 
-def _past(keys: list[str], order: str, last: int = 0) -> Window:
-    return Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, last)
+def _accumulated(keys: list[str]):
+    """Adds n and the logarithms of the statistics to batches sorted by keys and order; a key's sums are carried from batch to batch."""
+    fresh = (0, 0.0, 0.0, -np.inf, -np.inf)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, fresh
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = list(zip(*[batch.column(k).to_pylist() for k in keys]))
+            log_e = batch.column("_log_e").to_numpy(zero_copy_only=False)
+            starts = [0, *[k for k in range(1, len(key)) if key[k] != key[k - 1]], len(key)]
+            parts = []
+            for i, j in zip(starts, starts[1:]):
+                n0, s0, low0, sr0, rm0 = held if key[i] == last else fresh
+                last, none = key[i], np.isnan(log_e[i:j])
+                x = np.where(none, 0.0, log_e[i:j])
+                n = n0 + np.arange(1.0, j - i + 1)
+                s = np.cumsum(np.append(s0, x))
+                lows = np.minimum.accumulate(np.append(low0, s[1:]))
+                begun = np.where(none, -np.inf, -s[:-1])
+                sr = np.logaddexp.accumulate(np.append(sr0, begun))[1:]
+                rm = np.logaddexp.accumulate(np.append(rm0, begun - np.log(n * (n + 1.0))))[1:]
+                parts.append((n, s[1:], s[1:] - lows[:-1], s[1:] + sr, np.logaddexp(s[1:] + rm, -np.log(n + 1.0))))
+                held = (int(n[-1]), s[-1], lows[-1], sr[-1], rm[-1])
+            n, *logs = map(np.concatenate, zip(*parts))
+            kept = [k for k, name in enumerate(batch.schema.names) if name not in ("_log_e", "n", *_LOGS)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in kept], pa.array(n.astype(np.int64)), *map(pa.array, logs)], names=[*[batch.schema.names[k] for k in kept], "n", *_LOGS])
+
+    return run
 
 
 def statistics(rows: DataFrame, keys: list[str], order: str, log_e: str = "log_e") -> DataFrame:
-    """rows with n, log_martingale, martingale, cusum, shiryaev_roberts and restarted_martingale after each bet.
+    """rows with n, log_martingale, martingale, cusum, shiryaev_roberts and restarted_martingale after each bet, the latter three also as log_cusum and so on.
 
     With S the running sum of log e: the martingale is exp(S); the CUSUM exp(S - min(0, earlier S)); Shiryaev-Roberts the sum of exp(S_n - S_(k-1)); the restarted
-    martingale weighs the restart at k by 1 / (k (k + 1)) and leaves 1 / (n + 1) at one.
+    martingale weighs the restart at k by 1 / (k (k + 1)) and leaves 1 / (n + 1) at one. Sums of exponentials are kept as logarithms, since exp(-S) overflows on long
+    streams: keys are dealt by hash and read in order, and a task holds one batch and five numbers.
     """
-    s = rows.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy(order)).cast("double")).withColumn("log_martingale", F.sum(log_e).over(_past(keys, order)))
-    s = s.withColumn("_before", F.col("log_martingale") - F.col(log_e))
-    lowest = F.least(F.lit(0.0), F.coalesce(F.min("log_martingale").over(_past(keys, order, -1)), F.lit(0.0)))
-    s = s.withColumn("_low", lowest).withColumn("_sr", F.sum(F.exp(-F.col("_before"))).over(_past(keys, order)))
-    s = s.withColumn("_rm", F.sum(F.exp(-F.col("_before")) / (F.col("n") * (F.col("n") + 1.0))).over(_past(keys, order)))
-    grown = F.exp("log_martingale")
-    return (
-        s.withColumn("martingale", grown)
-        .withColumn("cusum", F.exp(F.col("log_martingale") - F.col("_low")))
-        .withColumn("shiryaev_roberts", grown * F.col("_sr"))
-        .withColumn("restarted_martingale", grown * F.col("_rm") + 1.0 / (F.col("n") + 1.0))
-        .withColumn("n", F.col("n").cast("long"))
-        .drop("_before", "_low", "_sr", "_rm")
-    )
+    schema = StructType([*[f for f in rows.schema.fields if f.name not in ("n", *_LOGS)], StructField("n", LongType()), *[StructField(c, DoubleType()) for c in _LOGS]])
+    dealt = rows.withColumn("_log_e", F.col(log_e).cast("double")).repartition(*keys).sortWithinPartitions(*keys, order)
+    return dealt.mapInArrow(_accumulated(keys), schema).withColumns({c.removeprefix("log_"): F.exp(c) for c in _LOGS})
 
 
 def power(rows: DataFrame, keys: list[str], order: str, p: str, epsilon: float) -> DataFrame:

@@ -124,12 +124,12 @@ def _p_values(spark, sf):
 
 
 def _stats(spark, sf):
-    return sequential.power(_p_values(spark, sf).where("arrival <= 2000"), STREAM, "arrival", "p", 0.5)
+    return sequential.power(_p_values(spark, sf), STREAM, "arrival", "p", 0.5)
 
 
 def _sig(column: str):
     """Logarithm to nine places: statistics span many magnitudes."""
-    return F.round(F.ln(column), 9).alias(column)
+    return F.round(f"log_{column}", 9).alias(column)
 
 
 @query(sql("", "dense") + ", " + _P + " SELECT charger_id, arrival, p FROM pv")
@@ -161,7 +161,7 @@ def restarted_martingale(spark, sf):
 gs AS (SELECT *, sum(ln(e) + (e - 1.0::DOUBLE) * ln(p)) OVER (PARTITION BY charger_id, e ORDER BY arrival ROWS UNBOUNDED PRECEDING) AS s FROM g),
 gm AS (SELECT charger_id, arrival, max(s) AS top FROM gs GROUP BY 1, 2) SELECT charger_id, arrival, round(any_value(top) + ln(sum(exp(s - top)) / 4.0::DOUBLE), 9) AS log_martingale FROM gs JOIN gm USING (charger_id, arrival) GROUP BY 1, 2""")
 def mixture_martingale(spark, sf):
-    rows = sequential.mixture(_p_values(spark, sf).where("arrival <= 2000"), STREAM, "arrival", "p", sequential.epsilon_grid([0.1, 0.4, 0.7, 1.0]))
+    rows = sequential.mixture(_p_values(spark, sf), STREAM, "arrival", "p", sequential.epsilon_grid([0.1, 0.4, 0.7, 1.0]))
     return rows.select("charger_id", "arrival", F.round("log_martingale", 9).alias("log_martingale"))
 
 
@@ -170,7 +170,7 @@ SELECT charger_id, arrival, n, a * (1.0::DOUBLE - (p - 0.5::DOUBLE)) AS a, a AS
 UNION ALL SELECT o.charger_id, o.arrival, o.n, (0.99::DOUBLE * a + 0.01::DOUBLE / 3.0::DOUBLE * (a + b + c)) * (1.0::DOUBLE - (p - 0.5::DOUBLE)), 0.99::DOUBLE * b + 0.01::DOUBLE / 3.0::DOUBLE * (a + b + c), (0.99::DOUBLE * c + 0.01::DOUBLE / 3.0::DOUBLE * (a + b + c)) * (1.0::DOUBLE + (p - 0.5::DOUBLE)) FROM j JOIN o ON o.charger_id = j.charger_id AND o.n = j.n + 1)
 SELECT charger_id, arrival, round(ln(a + b + c), 8) AS log_martingale FROM j""")
 def jumper_martingale(spark, sf):
-    rows = sequential.jumper(_p_values(spark, sf).where("arrival <= 2000"), STREAM, "arrival", "p", 0.01, block=64)
+    rows = sequential.jumper(_p_values(spark, sf), STREAM, "arrival", "p", 0.01, block=64)
     return rows.select("charger_id", "arrival", F.round("log_martingale", 8).alias("log_martingale"))
 
 
@@ -183,7 +183,7 @@ def horizon_reset(spark, sf):
 x AS (SELECT charger_id, arrival, n, t.k AS k, t.v >= t.h AS crossed FROM e), f AS (SELECT *, crossed AND NOT coalesce(lag(crossed) OVER (PARTITION BY charger_id, k ORDER BY arrival), false) AS fired FROM x),
 c AS (SELECT *, sum(CASE WHEN fired THEN 1 ELSE 0 END) OVER (PARTITION BY charger_id, k ORDER BY arrival ROWS UNBOUNDED PRECEDING) AS so_far FROM f) SELECT charger_id, arrival, bool_or(fired) AS alarm, sum(so_far)::BIGINT AS alarm_count, max(n) AS tested_count FROM c GROUP BY 1, 2""")
 def ensemble_alarm(spark, sf):
-    return sequential.ensemble(_p_values(spark, sf).where("arrival <= 2000"), STREAM, "arrival", "p", [("r", 0.5, "restarted_martingale", 1.2), ("c", 0.5, "cusum", 2.0)])
+    return sequential.ensemble(_p_values(spark, sf), STREAM, "arrival", "p", [("r", 0.5, "restarted_martingale", 1.2), ("c", 0.5, "cusum", 2.0)])
 
 
 @query(sql("", "dense") + ", " + _P + """ SELECT charger_id, arrival, CASE WHEN p > 0.02::DOUBLE THEN 'low' WHEN p <= 1.0::DOUBLE / 20.0::DOUBLE / 20.0::DOUBLE THEN 'critical' WHEN p <= 1.0::DOUBLE / 20.0::DOUBLE / 5.0::DOUBLE THEN 'high' ELSE 'medium' END AS severity, CASE WHEN p <= 0.001::DOUBLE THEN 'red' WHEN p <= 0.005::DOUBLE THEN 'orange' ELSE 'yellow' END AS colour FROM pv""")

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pulsegrid.operators import relational, sequential, series
+from pulsegrid.plans import analytics, registry  # noqa: F401
 from pulsegrid.plans import tables as t
 from pulsegrid.schemas import TELEMETRY
 from pulsegrid.streaming import alignment, controls, lanes, models, sinks
@@ -110,6 +111,43 @@ def test_power_statistics(spark):
     assert np.isclose(first.martingale, 150) and np.isclose(first.restarted_martingale, 75.5)
 
 
+def test_long_null_streams_stay_numbers(spark):
+    """Under null p-values exp(-S) leaves the doubles after some thousand rows; keys are also told apart within and across batches."""
+    streams = {k: np.random.default_rng(seed).uniform(1e-4, 1, n) for k, seed, n in (("a", 6, 7000), ("b", 7, 12000), ("c", 8, 3))}
+    rows = spark.createDataFrame([(k, n, float(p)) for k, ps in streams.items() for n, p in enumerate(ps, 1)], "k string, n_ long, p double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
+    try:
+        found = sequential.power(rows, ["k"], "n_", "p", 0.5).toPandas().sort_values(["k", "n_"])
+        alarms = sequential.ensemble(rows, ["k"], "n_", "p", [("s", 0.5, "shiryaev_roberts", 1e6), ("r", 0.5, "restarted_martingale", 1e6)]).where("alarm").count()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for k, ps in streams.items():
+        s, low, sr, weights, want = 0.0, 0.0, -np.inf, -np.inf, []
+        for n, x in enumerate(np.log(0.5) - 0.5 * np.log(ps), 1):
+            weights = np.logaddexp(weights, -s - np.log(n * (n + 1.0)))
+            s, sr = s + x, x + np.logaddexp(0.0, sr)
+            want.append((s, s - low, sr, np.logaddexp(s + weights, -np.log(n + 1.0))))
+            low = min(low, s)
+        own = found[found.k == k]
+        assert own.n.tolist() == list(range(1, len(ps) + 1))
+        assert np.isfinite(own[["cusum", "shiryaev_roberts", "restarted_martingale"]]).all(axis=None)
+        assert np.allclose(own[["log_martingale", "log_cusum", "log_shiryaev_roberts", "log_restarted_martingale"]], want, atol=1e-7)
+    assert alarms == 0
+
+
+def test_statistics_beyond_a_zero_p(spark):
+    got = sequential.power(p_stream(spark, [0.5, 0.0, 0.5]).withColumnRenamed("n", "at"), ["k"], "at", "p", 0.5)
+    assert all(r[s] == float("inf") for r in got.where("at > 1").collect() for s in sequential.STATISTICS)
+
+
+@pytest.mark.parametrize("name", ["power_martingale", "cusum", "shiryaev_roberts", "restarted_martingale", "mixture_martingale", "jumper_martingale", "ensemble_alarm"])
+def test_sequential_queries_take_every_row(spark, name):
+    sf = "/root/testdata/sf0.01"
+    got = registry.QUERIES[name](spark, sf)
+    assert got.count() == t.telemetry(spark, sf, dense=True).where("arrival % 5 <> 0").count()
+    assert got.where(" or ".join(f"isnan({c}) or {c} is null" for c, kind in got.dtypes if kind == "double") or "false").count() == 0
+
+
 def test_zero_p_and_payload(spark):
     row = sequential.power(p_stream(spark, [0.0]), ["k"], "n", "p", 0.5).select(sequential.payload(F.col("log_martingale")).alias("x")).first().x
     assert row.value is None and row.is_infinite and row.log_value is None
