@@ -2,8 +2,9 @@
 
 A page is read once into blocks of text, each with the path of tags from the root to it. Text length, blocks, punctuation and linked text are
 summed per path; a path's text ratio (characters a block) and its punctuation ratio are given to its blocks, smoothed over
-the page order, and fused; blocks over the threshold are content. The page's main part is the smallest element around them, and
-the text is all of its blocks but those of menus, forms and other parts that are never content.
+the page order, and fused. Articles raise the scores of their blocks, names of other parts lower them; blocks over the threshold are content. The page's main
+part is the smallest element, or the article, around nine tenths of them, and the text is all of its blocks but those of menus, forms and other parts
+that are never content, and those of parts named otherwise whose own score is too low.
 """
 
 from __future__ import annotations
@@ -31,6 +32,13 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
 OUTSIDE = frozenset("head nav header footer aside form menu dialog button select datalist fieldset object canvas audio video map".split())
 #: Words of class and id names, and roles, that mark other parts than the article.
 HINTS = frozenset("ad ads adv advert advertisement adverts advertising banner breadcrumb breadcrumbs byline comment comments complementary consent contentinfo cookie cookies copyright disclaimer discussion disqus dialog footer form gdpr header legal login masthead menu modal nav navbar navigation newsletter notice notification notices overlay pager pagination popup promo promoted promotion recommended related reply replies responses search share sharing sidebar signup skip social sponsor sponsored subscribe subscription teaser toolbar topbar widget".split())
+#: Names of the article itself: in the same attribute they outweigh the others.
+OWN = frozenset("article body content entry main page post story text".split())
+#: Before a hint they tell of the layout, as in with-sidebar.
+_LAYOUT = frozenset("has is no not with without".split())
+#: Weights of scores inside an article or main element, and inside a part that is named otherwise.
+MAIN_WEIGHT, HINT_WEIGHT = 2.0, 0.05
+_CONTAINERS = frozenset(["", "html", "body", "article", "main", "section", "div", "center"])
 _CLOSES_P = BLOCKS - {"caption", "li", "optgroup", "option", "td", "th", "tr", "tbody", "thead", "tfoot"}
 #: A start tag closes an open element of these names, unless one of the others is nearer.
 _SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tr": ({"tr"}, {"table"}), "option": ({"option"}, {"select"})}
@@ -45,6 +53,7 @@ class Node:
     path: str
     outside: bool
     hinted: bool
+    hidden: bool
     in_main: bool = False
     holds_main: bool = False
 
@@ -59,20 +68,31 @@ class TextBlock:
 _TELLING = re.compile(r"class|id|role|hidden|style", re.I)
 
 
+def _names_other(value: str) -> bool:
+    """Whether a class, id or role names another part than the article."""
+    other = False
+    for name in value.split():
+        words = [w.lower() for w in _WORD.findall(name)]
+        if words and OWN.issuperset(words):
+            return False
+        other |= any(w in HINTS and (k == 0 or words[k - 1] not in _LAYOUT) for k, w in enumerate(words))
+    return other
+
+
 @lru_cache(4096)
-def _hinted(attributes: str) -> bool:
+def _told(attributes: str) -> tuple[bool, bool]:
+    """Whether the attributes name another part, and whether they hide the element."""
+    hinted = hidden = False
     for name, *values in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), next((v for v in values if v), "")
-        if name in ("class", "id", "role") and any(w.lower() in HINTS for w in _WORD.findall(value)):
-            return True
-        if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
-            return True
-    return False
+        hinted |= name in ("class", "id", "role") and _names_other(value)
+        hidden |= name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I) is not None)
+    return hinted, hidden
 
 
 def read_blocks(page: str) -> list[TextBlock]:
     """The page's blocks of text, in order."""
-    root = Node("", None, 0, "", False, False)
+    root = Node("", None, 0, "", False, False, False)
     at, found, parts, linked, links, end = root, [], [], 0, 0, 0
 
     def add(raw: str) -> None:
@@ -148,12 +168,13 @@ def read_blocks(page: str) -> list[TextBlock]:
             continue
         if attributes.endswith("/") and tag not in BLOCKS and tag != "a":
             continue
-        hinted = tag not in ("html", "body", "article", "main") and _TELLING.search(attributes) is not None and _hinted(attributes)
-        if tag == "article" and attributes and _hinted(attributes) and at.depth and any(x.tag == "article" or x.hinted for x in _up(at)):
-            hinted = True  # reader comments are articles inside the article
-        at = Node(tag, at, at.depth + 1, f"{at.path}/{tag}", at.outside or tag in OUTSIDE, hinted, at.in_main or (tag in ("article", "main") and not hinted))
+        hinted, hidden = _told(attributes) if tag not in ("html", "body") and _TELLING.search(attributes) else (False, False)
+        if tag in ("article", "main"):  # reader comments are articles inside the article
+            hinted = hinted and tag == "article" and at.depth > 0 and any(x.tag == "article" or x.hinted for x in _up(at))
+        main = tag in ("article", "main") and not hinted and not hidden
+        at = Node(tag, at, at.depth + 1, f"{at.path}/{tag}", at.outside or tag in OUTSIDE, hinted, hidden, at.in_main or main)
         links += tag == "a"
-        if tag in ("article", "main") and not hinted:
+        if main:
             for x in _up(at):
                 x.holds_main = True
     flush()
@@ -167,18 +188,23 @@ def _up(node: Node | None) -> Iterator[Node]:
 
 
 def _barred(block: TextBlock) -> bool:
-    x = block.node
-    if x.outside:
-        return True
-    while x is not None:
+    return block.node.outside or any(x.hidden and not x.holds_main for x in _up(block.node))
+
+
+def _hinted(block: TextBlock, inside: Node | None = None) -> bool:
+    """Whether an element around the block, and below `inside`, names another part."""
+    for x in _up(block.node):
+        if x is inside:
+            return False
         if x.hinted and not x.holds_main:
             return True
-        x = x.parent
     return False
 
 
-def scores(blocks: list[TextBlock]) -> np.ndarray:
-    """Each block's fused score: the smoothed text ratio of its path times its smoothed punctuation ratio, lowered by its path's share of linked text."""
+def scores(blocks: list[TextBlock], weights: np.ndarray | None = None) -> np.ndarray:
+    """Each block's fused score: the smoothed text ratio of its path times its smoothed punctuation ratio, lowered by its path's share of linked text, times its
+    weight. Blocks are smoothed with neighbours of their own weight only."""
+    weights = np.ones(len(blocks)) if weights is None else weights
     paths: dict[str, int] = {}
     where = np.array([paths.setdefault(b.node.path, len(paths)) for b in blocks], np.int64)
     size = np.array([len(b.text) for b in blocks], float)
@@ -187,10 +213,14 @@ def scores(blocks: list[TextBlock]) -> np.ndarray:
     n, chars, signs, links = (np.bincount(where, w) for w in (None, size, marks, linked))
     texts, points, open_ = (chars / n)[where], ((signs + 0.5) / n)[where], (1 - links / np.maximum(chars, 1))[where]
 
+    near = np.arange(len(blocks))[:, None] + np.arange(-2, 3)
+    held = near.clip(0, len(blocks) - 1)
+    kernel = _KERNEL * ((near == held) & (weights[held] == weights[:, None]))
+
     def smooth(x: np.ndarray) -> np.ndarray:
-        return np.convolve(x, _KERNEL, "same" if len(x) >= len(_KERNEL) else "full")[: len(x)] / np.convolve(np.ones(len(x)), _KERNEL, "same" if len(x) >= len(_KERNEL) else "full")[: len(x)]
+        return (kernel * x[held]).sum(1) / kernel.sum(1)
 
-    return smooth(texts) * smooth(points) * open_
+    return smooth(texts) * smooth(points) * open_ * weights
 
 
 def main_text(page: str | None) -> str:
@@ -199,20 +229,18 @@ def main_text(page: str | None) -> str:
     free = [b for b in blocks if not _barred(b)]
     if not free:
         return ""
-    fused = scores(free)
+    weights = np.array([HINT_WEIGHT if _hinted(b) else MAIN_WEIGHT if b.node.in_main else 1.0 for b in free])
+    fused = scores(free, weights)
     bar = min(fused.std(), fused.max())
-    seeds = [b for b, s in zip(free, fused, strict=True) if s >= bar]
-    weight = sum(len(b.text) for b in seeds)
-    if any(b.node.in_main for b in free):
-        return "\n\n".join(b.text for b in free if b.node.in_main)
     held: dict[int, list] = {}
-    for b in seeds:
-        for x in _up(b.node):
-            held.setdefault(id(x), [x, 0])[1] += len(b.text)
-    inner = max((x for x, w in held.values() if w * 10 >= weight * 9), key=lambda x: x.depth)
-    if inner.tag in ("p", "h1", "h2", "h3", "li", "td") and inner.parent:
-        inner = inner.parent
-    return "\n\n".join(b.text for b in free if any(x is inner for x in _up(b.node)) and 2 * b.linked <= len(b.text))
+    for b, w in zip(free, np.where(fused >= bar, weights, 0.0), strict=True):
+        for x in _up(b.node) if w else ():
+            held.setdefault(id(x), [x, 0])[1] += len(b.text) * w
+    whole = max(w for _, w in held.values())
+    inner = max((x for x, w in held.values() if w * 10 >= whole * 9), key=lambda x: x.depth)
+    inner = next(x for x in _up(inner) if x.tag in _CONTAINERS)
+    inner = next((x for x in _up(inner) if x.tag in ("article", "main") and not x.hinted), inner)
+    return "\n\n".join(b.text for b, s in zip(free, fused, strict=True) if any(x is inner for x in _up(b.node)) and (s >= bar if _hinted(b, inner) else b.node.in_main or 2 * b.linked <= len(b.text)))
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -30,6 +30,26 @@ def test_pages(name):
     assert main_text(page) == want
 
 
+BODY = [f"Sentence {k} of the body, which is long enough to count; it goes on, and ends here." for k in range(6)]
+_BODY = "".join(f"<p>{x}</p>" for x in BODY)
+_CARD = '<article class="card"><h3>Teaser</h3><p>Read this, too.</p></article>'
+LAYOUTS = {
+    "teaser article": f'<body><div class="post"><h1>Title</h1>{_BODY}</div>{_CARD}</body>',
+    "several teasers": f'<body>{_CARD * 3}<div class="post"><h1>Title</h1>{_BODY}</div>{_CARD * 5}</body>',
+    "layout class": f'<body><div class="content with-sidebar"><h1>Title</h1>{_BODY}</div><div>Short words.</div></body>',
+    "misnamed": f'<body><div class="promo"><h1>Title</h1>{_BODY}</div><div>Short words.</div></body>',
+    "misnamed in article": f'<body><article><h1>Title</h1><div class="social">{_BODY}</div></article></body>',
+    "article": f'<body><article><h1>Title</h1>{_BODY}<div class="comments"><p>I, for one, disagree; so there.</p></div></article><div>Short words.</div></body>',
+}
+
+
+@pytest.mark.parametrize("name", LAYOUTS)
+def test_scores_choose_the_body(name):
+    """Articles and names of parts are weights: the scores choose on every page."""
+    got = main_text(LAYOUTS[name]).split("\n\n")
+    assert [x for x in got if x in BODY] == BODY and (name.startswith("misnamed") or got == ["Title", *BODY])
+
+
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
 def test_all_test_pages(spark, sf):
     """Against a plain reading of the test pages' one template."""
