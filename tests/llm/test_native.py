@@ -132,3 +132,18 @@ def test_variable_fields_are_one_template(spark, no_docs):
     assert sorted(r.n_dropped for r in got) == [0, 0] + [1] * 9 and {r.text for r in got if r.doc_id == 2} == {"unique c words here\n\n"}
     assert line_templates.template_lines(docs).select("template").distinct().collect()[0].template == "User <*> logged in from <*> at noon today"
     assert line_templates.drop_templates(no_docs).count() == 0
+
+
+def test_lines_that_share_their_lead_only_stay(spark):
+    """Lines of 4 and 5 tokens agree in their leading three by construction."""
+    docs = spark.createDataFrame([(k, f"Was erlytion that. {w}{w} {w}. \nAll of these {w}") for k, w in enumerate("abcdefgh")], "doc_id long, text string")
+    assert {r.n_dropped for r in line_templates.drop_templates(docs).collect()} == {0}
+
+
+def test_templates_under_one_lead(spark):
+    """Five templates of eight tokens share their leading three; each has a variable word without a digit."""
+    forms = ["Could not open the file {} for reading", "Could not open the socket {} after boot", "Could not open a window {} on screen", "Could not open any door {} at night", "Could not open this letter {} by hand"]
+    docs = spark.createDataFrame([(k * 8 + n, form.format(w) + f"\nown line {w}{'vwxyz'[k]}") for k, form in enumerate(forms) for n, w in enumerate("abcdefgh")], "doc_id long, text string")
+    got = line_templates.drop_templates(docs).collect()
+    assert [r.n_dropped for r in got] == [1] * 40 and all(r.text.startswith("own line") for r in got)
+    assert {r.template for r in line_templates.template_lines(docs).collect()} == {form.format("<*>") for form in forms}
