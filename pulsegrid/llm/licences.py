@@ -1,9 +1,9 @@
 """Licence scan: a trained paragraph classifier, applied in DataFrame operations only.
 
 A logistic regression over word one- and two-grams tells licence families and "unknown" apart. It is trained here, on notices
-made from the templates below and on sentences that use the same words otherwise. An L1 penalty makes it sparse: n-grams without
+made from the templates below, on paragraphs of licence bodies whole and in pieces, and on sentences that use the same words otherwise. An L1 penalty makes it sparse: n-grams without
 weight are dropped, and so is every n-gram that the unknown sentences have. Temperature and the least probability of a family are set on held-out
-notices and sentences. A family is reported only if the paragraph also holds most words of one of its templates.
+notices and sentences. A family is reported only if the paragraph also holds most words of one of its names, or if it shares most of its word pairs with a paragraph of its body (of the shorter one).
 
 A paragraph without any weighted n-gram is unknown by the model's intercepts (checked at training), so paragraphs are first searched for the anchor words that every
 weighted n-gram has one of; the search changes no result.
@@ -30,11 +30,68 @@ NAMES = {
     "CC-BY": ["CC BY 4.0", "CC BY 3.0", "Creative Commons Attribution 4.0 International License", "Creative Commons Attribution license"],
     "CC-BY-NC": ["CC BY-NC 4.0", "CC BY-NC 3.0", "Creative Commons Attribution-NonCommercial 4.0 International License", "Creative Commons Attribution-NonCommercial license"],
     "CC-BY-SA": ["CC BY-SA 4.0", "CC BY-SA 3.0", "Creative Commons Attribution-ShareAlike 4.0 International License", "Creative Commons Attribution-ShareAlike license"],
+    "CC0": ["CC0 1.0", "CC0 1.0 Universal", "Creative Commons Zero license"],
+    "EPL": ["Eclipse Public License 2.0", "Eclipse Public License, version 1.0", "EPL-2.0 license"],
     "GPL": ["GNU General Public License, version 3", "GNU General Public License, version 2", "GNU GPL v3", "GPL-3.0 license", "GNU General Public License"],
+    "ISC": ["ISC License", "ISC licence"],
     "LGPL": ["GNU Lesser General Public License, version 3", "GNU Lesser General Public License", "LGPL-2.1 license", "GNU LGPL v3"],
     "MIT": ["MIT License", "MIT license (Expat)", "MIT licence"],
     "MPL": ["Mozilla Public License, Version 2.0", "Mozilla Public License 2.0", "MPL-2.0 license"],
+    "Unlicense": ["Unlicense", "The Unlicense"],
 }
+#: Paragraphs of licence bodies and headers, without what differs between works. The disclaimer that MIT and Unlicense share is MIT's.
+BODIES = {
+    "Apache": [
+        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+    ],
+    "BSD": [
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    ],
+    "CC-BY": ["You must give appropriate credit, provide a link to the license, and indicate if changes were made. You may do so in any reasonable manner, but not in any way that suggests the licensor endorses you or your use."],
+    "CC-BY-NC": ["You may not use the material for commercial purposes. NonCommercial means not primarily intended for or directed towards commercial advantage or monetary compensation."],
+    "CC-BY-SA": ["If you remix, transform, or build upon the material, you must distribute your contributions under the same license as the original."],
+    "CC0": [
+        "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide. This software is distributed without any warranty.",
+        "has waived all copyright and related or neighboring rights to this work.",
+        "You should have received a copy of the CC0 Public Domain Dedication along with this software. If not, see http://creativecommons.org/publicdomain/zero/1.0/",
+    ],
+    "EPL": [
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+        "THE ACCOMPANYING PROGRAM IS PROVIDED UNDER THE TERMS OF THIS ECLIPSE PUBLIC LICENSE (AGREEMENT). ANY USE, REPRODUCTION OR DISTRIBUTION OF THE PROGRAM CONSTITUTES RECIPIENT'S ACCEPTANCE OF THIS AGREEMENT.",
+    ],
+    "GPL": [
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+        "You should have received a copy of the GNU General Public License along with this program. If not, see https://www.gnu.org/licenses/",
+    ],
+    "ISC": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    ],
+    "LGPL": [
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+        "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+        "You should have received a copy of the GNU Lesser General Public License along with this library; if not, write to the Free Software Foundation",
+    ],
+    "MIT": [
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ],
+    "MPL": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."],
+    "Unlicense": [
+        "This is free and unencumbered software released into the public domain.",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+        "In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.",
+    ],
+}
+#: Words of a piece of a body in training, and the pairs a paragraph shares with a body at least.
+PIECE, LEAST_PAIRS = 12, 5
 FRAMES = ["Licensed under the {}.", "Licensed under {}.", "Released under the {}.", "This work is licensed under the {}.", "This work is licensed under {}.", "Distributed under the terms of the {}.", "This software is made available under the {}.", "Published under a {}, see the file for details.", "You may use this file under the {}.", "License: {}"]
 RESERVED = ["All rights reserved.", "All rights are reserved.", "Copyright 2020 Example Inc. All rights reserved.", "Copyright (c) the authors, all rights reserved worldwide.", "No part may be reproduced. All rights reserved."]
 OTHER = [
@@ -71,9 +128,13 @@ class LicenceModel:
 
 
 def examples() -> tuple[list[str], list[str]]:
-    """Texts and their families: all frames with all names, and the sentences of other meaning, alone and in pairs."""
+    """Texts and their families: all frames with all names, paragraphs of bodies whole and in pieces, and the sentences of other meaning, alone and in pairs."""
     made = [(frame.format(name), family) for family, names in NAMES.items() for name, frame in product(names, FRAMES)]
     made += [(name, family) for family, names in NAMES.items() for name in names]
+    for family, bodies in BODIES.items():
+        for body in bodies:
+            words = body.split()
+            made += [(body, family)] * 2 + [(" ".join(words[k : k + PIECE]), family) for k in range(0, max(len(words) - PIECE // 2, 1), PIECE // 2)]
     made += [(text, "Reserved") for text in RESERVED for _ in range(6)]
     made += [(text, UNKNOWN) for text in OTHER for _ in range(4)] + [(f"{a} {b}", UNKNOWN) for a, b in zip(OTHER, OTHER[3:] + OTHER[:3])]
     return [t for t, _ in made], [c for _, c in made]
@@ -81,7 +142,7 @@ def examples() -> tuple[list[str], list[str]]:
 
 @lru_cache(1)
 def train(rounds: int = 400, rate: float = 2.0, penalty: float = 2e-4, hold: int = 5) -> LicenceModel:
-    """Multinomial logistic regression with L1 (proximal gradient), on the driver: about 500 short texts, whatever the corpus. Every
+    """Multinomial logistic regression with L1 (proximal gradient), on the driver: about 1000 short texts, whatever the corpus. Every
     `hold`-th example is held out for calibration."""
     texts, families = examples()
     classes = sorted(set(families) - {UNKNOWN}) + [UNKNOWN]
@@ -145,8 +206,17 @@ def licence_paragraphs(docs: DataFrame, model: LicenceModel | None = None, overl
     total = F.aggregate("z", F.lit(0.0), lambda s, v: s + F.exp(v - F.col("top")))
     rated = rated.select(*key, "words", F.array_position("z", F.col("top")).cast("int").alias("place"), (1 / total).alias("probability")).where(F.col("probability") >= model.least)
     forms = {family: [sorted(set(re.findall(_TOKEN, n.lower()))) for n in names] for family, names in NAMES.items()} | {"Reserved": [["all", "reserved", "rights"]]}
-    templates = spark.createDataFrame([(k + 1, c, forms[c]) for k, c in enumerate(model.classes) if c != UNKNOWN], "place int, family string, forms array<array<string>>")
-    share = F.array_max(F.transform("forms", lambda f: F.size(F.array_intersect("words", f)) / F.size(f)))
+    bodies = {family: [[f"{a} {b}" for a, b in zip(w, w[1:])] for w in (re.findall(_TOKEN, t.lower()) for t in texts)] for family, texts in BODIES.items()}
+    bodies = {family: [sorted(set(b)) for b in found] for family, found in bodies.items()}
+    templates = spark.createDataFrame([(k + 1, c, forms[c], bodies.get(c, [])) for k, c in enumerate(model.classes) if c != UNKNOWN], "place int, family string, forms array<array<string>>, bodies array<array<string>>")
+    by_name = F.array_max(F.transform("forms", lambda f: F.size(F.array_intersect("words", f)) / F.size(f)))
+    own = F.array_distinct(pairs)
+
+    def body_share(b: Column) -> Column:
+        common = F.size(F.array_intersect(own, b))
+        return F.when(common >= LEAST_PAIRS, common / F.least(F.size(own), F.size(b))).otherwise(0.0)
+
+    share = F.greatest(by_name, F.array_max(F.transform("bodies", body_share)))
     named = rated.join(F.broadcast(templates), "place")
     return named.select(*key, "family", "probability", share.alias("overlap")).where(F.col("overlap") >= overlap)
 

@@ -98,6 +98,27 @@ def test_licence_model_on_held_out_notices():
         assert best == family or (family == "unknown" and p.max() < model.least)
 
 
+#: Bodies as works have them: other holders, quotes and wrapping than in training.
+BODY_NOTICES = {
+    "BSD": ['* Redistribution and use in source and binary forms, with or without\n* modification, are permitted provided that the following conditions are met:', "3. Neither the name of Example Inc. nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."],
+    "MIT": ['Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction,', 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,'],
+    "ISC": ["Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
+    "EPL": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution"],
+    "CC0": ["To the extent possible under law, Jane Doe has waived all copyright and related or neighboring rights to this software to the public domain worldwide."],
+    "Unlicense": ["This is free and unencumbered software released into the public domain.", "Anyone is free to copy, modify, publish, use, compile, sell, or\ndistribute this software, either in source code form or as a compiled"],
+    "Apache": ['Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS,'],
+    "GPL": ["This package is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."],
+    "": ["The software is provided by a small company in the north.", "Permission to enter the park is granted without a fee to any person with a copy of this letter.", "You should have received a copy of the book by now, she said, and not only the notice.", "A person is free to publish or sell any work, in whatever form and for whatever purpose."],
+}
+
+
+def test_licence_bodies(spark):
+    cases = [(family, text) for family, texts in BODY_NOTICES.items() for text in texts]
+    docs = spark.createDataFrame([(k, text) for k, (_, text) in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: r.families for r in licences.scan(docs).collect()}
+    assert {text: got[k] for k, (_, text) in enumerate(cases)} == {text: family for family, text in cases}
+
+
 def test_licence_scan(spark, small_docs, no_docs):
     texts = ["Some text.\nReleased under the MIT License.\nMore.", "This work is licensed under the GNU General Public License, version 3.", None, "", "mitten and licence plates\nand nothing", "All rights reserved.\nLicensed under CC BY-NC 4.0.", "MIT license " + "x " * 9000]
     docs = spark.createDataFrame([(k % 6, t, k) for k, t in enumerate(texts)], "doc_id long, text string, paragraph long")
