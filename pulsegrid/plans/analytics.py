@@ -208,8 +208,7 @@ def tracker_payload(spark, sf):
 def fallback_score(spark, sf):
     rows = t.telemetry(spark, sf, dense=True).select("charger_id", "arrival", (F.col("value") / 100.0).alias("x"))
     scored = sequential.fallback_scores(rows, STREAM, "arrival", "x")
-    first = series.phases(scored, STREAM, "arrival", 100, 0).where("n <= 100")
-    return first.select("arrival", F.round("score", 9).alias("score"))
+    return scored.select("arrival", F.round("score", 9).alias("score"))
 
 
 @query(sql("SELECT DISTINCT n_name AS family FROM nation ORDER BY 1"))

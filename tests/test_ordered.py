@@ -177,6 +177,19 @@ def test_fallback_is_the_recursion(spark):
     assert np.allclose([r.score for r in got], want, atol=1e-9)
 
 
+def test_fallback_query_takes_every_row(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = t.telemetry(spark, sf, dense=True).orderBy("arrival").select("charger_id", "arrival", "value").collect()
+    state, want = {}, {}
+    for r in rows:
+        n, mean = state.get(r.charger_id, (0, 0.0))
+        x, n = r.value / 100.0, n + 1
+        mean += (x - mean) / min(n, 100)
+        state[r.charger_id], want[r.arrival] = (n, mean), min(abs(x - mean) / (1 + 1e-8), 1)
+    got = {r.arrival: r.score for r in registry.QUERIES["fallback_score"](spark, sf).collect()}
+    assert got.keys() == want.keys() and np.allclose([got[k] for k in want], list(want.values()), atol=2e-9)
+
+
 def test_thresholds(spark):
     make = lambda alpha: sequential.simulated_threshold(spark, statistic="cusum", epsilon=0.5, calibration=50, horizon=30, paths=300, alpha=alpha, seed=5)
     assert make(0.1) == make(0.1) <= make(0.02)
