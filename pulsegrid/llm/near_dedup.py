@@ -1,23 +1,24 @@
 """Near-duplicate documents by chosen-path set similarity join.
 
-Each document is the set of its word shingles. A document with the same set as others stands for all of them.
-Every tree branches the documents by a few chosen minwise values; a node that stays large is branched again by
-other values, down to `max_depth`. Two documents as similar as the threshold stay together on some path of some tree but for
-a chance that grows with the depth at which their node gets small: 2e-11 at depth 1, 5e-6 at 4, 2e-4 at 8 for a pair just at the threshold, far less for closer ones. Nodes are then resolved in two rounds:
-
-1. in small nodes each member is held against all others on their sketches, in large ones against its neighbours in the order of the sketches; each
-   member's best partner, and in large nodes every neighbour, is confirmed on the full sets. This collapses groups of copies, however large, without forming
-   their pairs;
-2. large nodes that still have members of different components are branched again, and what stays large at the end is cut into cells of at most twice
-   `leaf` rows. Members of a cell in different components are ranked by agreement; ever longer spans of the ranking are confirmed on the full sets,
-   and after each span the components are joined anew, so partners that have come into one component meanwhile are not tried any more.
-
-So each link that a cell can show is either inside a component already or is tried in round 2.
+Each document is the set of its word shingles; documents with the same set are one member. Every tree branches the members by a few chosen minwise
+values: a member goes to the child of its smallest token under the node's own hash, and with a small chance to a second child, so that two members as similar as
+the threshold have one common child on average. The work then goes from cheap to exact:
+
+1. all members go down `trees` trees by two levels, in one narrow pass. Nodes of at most `leaf` rows are compared exhaustively on sketches of 64 minwise values, with a bar far below the threshold;
+   larger nodes are branched by two more levels, and what is still large counts as alike as a whole. No pairs are formed: a node gives a spanning forest;
+2. the connected members of all trees are a family. A family of at most `cell` members is one cell: its full sets come to one task once, however many trees showed
+   it, and are compared exhaustively and exactly;
+3. a larger family is branched further, by trees of its own: members next to one another in several orders of their sketches are tried on full sets first, which
+   joins most of a group of copies; nodes whose members are of one component are dropped; nodes of at most a cell are compared exactly; what is larger after `rounds` rounds is compared in
+   blocks of a cell, all members against those outside of the node's largest component.
+
+A pair at the threshold is missed by ten trees of depth two with a chance of about 3e-7 (85 %) or 2e-6 (80 %), at depth four 4e-5 or 2e-4, and by the sketches with less than 1e-6; closer
+pairs far less, and a component is usually held by many links. Only what `percent` of the full sets confirms is a link.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,14 +27,22 @@ from pyspark.sql import functions as F
 
 from pulsegrid.llm import textkit
 from pulsegrid.llm.components import components
-from pulsegrid.llm.support import cut, cut_counted, narrow, partitions
+from pulsegrid.llm.support import cut, cut_counted, narrow, partitions, small_batches
 
 COORDINATES = 64
-#: Places in a document's ranking of partners that are tried at a time; the last span has all the rest.
-SPANS = ((0, 1), (1, 4), (4, 16), (16, None))
+#: Coordinates that a tree has for itself in its first two levels; ten trees have six each.
+POOL = 6
 #: A pair at the threshold falls under the sketch bar (five deviations) in less than one of a million cases.
 DEVIATIONS = 5.0
+#: Shingles that a cell has at most, unless it is of two members.
+CELL_SHINGLES = 1 << 21
+#: Orders in which the members of a large family are tried with their neighbours.
+TURNS = 3
+#: Nodes up to so many rows give all of their similar pairs, larger ones a spanning forest.
+FEW = 8
 _SCALES = np.array([(0x9E3779B97F4A7C15 * (2 * k + 3) ** 5 + 0xD1B54A32D192ED03 * k) & ((1 << 64) - 1) | 1 for k in range(COORDINATES)], np.uint64)
+NODES = "node long, id long"
+PAIRS = "a long, b long"
 
 
 def _sets(block: textkit.Block, width: int) -> Iterator[np.ndarray]:
@@ -54,347 +63,404 @@ def _sets(block: textkit.Block, width: int) -> Iterator[np.ndarray]:
             yield np.zeros(0, np.uint64)
 
 
-def _packed(hashes: np.ndarray) -> bytes:
-    """Five bytes of each of the sorted hashes: enough to tell the shingles of two texts apart, and a third less to shuffle."""
-    return (hashes >> np.uint64(32)).astype(np.uint32).tobytes() + ((hashes >> np.uint64(24)) & np.uint64(255)).astype(np.uint8).tobytes()
-
-
-def _unpacked(data: pa.Buffer) -> np.ndarray:
-    n = len(data) // 5
-    return (np.frombuffer(data, np.uint32, n).astype(np.uint64) << np.uint64(8)) | np.frombuffer(data, np.uint8, n, 4 * n)
-
-
-def _describe(width: int):
-    """Rows of id, text to id, set size, 128 bits of the set and its minwise sketch."""
+def _names(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sizes of the sets and two 64-bit sums over each, which name it."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    one, two, full = np.zeros(len(sets), np.uint64), np.zeros(len(sets), np.uint64), np.flatnonzero(sizes)
+    if len(full):
+        flat, starts = np.concatenate(sets), (np.cumsum(sizes) - sizes)[full]
+        one[full] = np.add.reduceat(textkit.mix(flat), starts)
+        two[full] = np.add.reduceat(textkit.mix(flat ^ textkit._LENGTH), starts)
+    return sizes, one.view(np.int64), two.view(np.int64)
+
+
+def _children(keys: np.ndarray, values: np.ndarray, pool: np.ndarray, spare: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key of child) for each child of the rows at the nodes in keys: by one coordinate of the pool, which the node chooses, and by another with chance `spare`."""
+    draw = textkit.mix(keys + np.uint64(0x632BE59BD9B4E019))
+    first = draw % np.uint64(len(pool))
+    second = (first + np.uint64(1) + (draw >> np.uint64(8)) % np.uint64(len(pool) - 1)) % np.uint64(len(pool))
+    more = np.flatnonzero((draw >> np.uint64(20)).astype(np.float64) / float(1 << 44) < spare)
+    every = np.arange(len(keys))
+    rows = np.concatenate((every, more))
+    pick = pool[np.concatenate((first, second[more])).astype(np.int64)]
+    return rows, textkit.mix(keys[rows] ^ textkit.mix(values[rows, pick].astype(np.uint64) + (pick.astype(np.uint64) << np.uint64(56))))
+
+
+def _planted(mins: np.ndarray, trees: int, spare: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, node) of each row's nodes at depth two, sorted by row; each tree has coordinates of its own."""
+    rows, keys = [], []
+    for tree in range(trees):
+        pool = np.arange(tree * POOL, (tree + 1) * POOL) % COORDINATES
+        at, key = _children(np.full(len(mins), textkit.mix(np.array([tree + 1], np.uint64) * np.uint64(0xA0761D6478BD642F))[0]), mins, pool[:2], spare)
+        deeper, key = _children(key, mins[at], pool[2:], spare)
+        rows.append(at[deeper])
+        keys.append(key)
+    rows, keys = np.concatenate(rows), np.concatenate(keys)
+    order = np.argsort(rows, kind="stable")
+    return rows[order], keys[order]
+
+
+def _describe(width: int, trees: int, spare: float):
+    """Rows of id, text, text's key to id, key, set size, 128 bits of the set, its sketch of 64 bytes and its nodes at depth two."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
-            for block in textkit.blocks(texts):
+            for block in textkit.blocks(batch.column(1)):
                 sets = list(_sets(block, width))
-                sizes = np.array([len(s) for s in sets])
-                full, flat = np.flatnonzero(sizes), np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-                mins = np.zeros((len(sets), COORDINATES), np.uint16)
-                one, two = np.zeros(len(sets), np.uint64), np.zeros(len(sets), np.uint64)
+                sizes, one, two = _names(sets)
+                full = np.flatnonzero(sizes)
+                mins = np.zeros((len(full), COORDINATES), np.uint64)
                 if len(full):
-                    starts = (np.cumsum(sizes) - sizes)[full]
-                    one[full] = np.add.reduceat(textkit.mix(flat), starts)
-                    two[full] = np.add.reduceat(textkit.mix(flat ^ textkit._LENGTH), starts)
+                    flat, starts = np.concatenate(sets), (np.cumsum(sizes) - sizes)[full]
                     for k in range(COORDINATES):
-                        mins[full, k] = np.minimum.reduceat(flat * _SCALES[k], starts) >> np.uint64(48)
+                        mins[:, k] = np.minimum.reduceat(flat * _SCALES[k], starts)
+                    mins = textkit.mix(mins)
+                sketches = np.zeros((len(sets), COORDINATES), np.uint8)
+                sketches[full] = mins & np.uint64(255)
+                rows, keys = _planted(mins, trees, spare)
+                counts = np.zeros(len(sets) + 1, np.int64)
+                counts[full + 1] = np.bincount(rows, minlength=len(full))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(block.first, len(block)), pa.array(sizes, pa.int64()), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), textkit.binary_column([row.tobytes() for row in mins])],
-                    names=["doc_id", "n_shingles", "set_a", "set_b", "sketch"],
-                )
+                    [
+                        batch.column(0).slice(block.first, len(block)), batch.column(2).slice(block.first, len(block)), pa.array(sizes), pa.array(one), pa.array(two), textkit.binary_column([row.tobytes() for row in sketches]),
+                        pa.ListArray.from_arrays(pa.array(np.cumsum(counts).astype(np.int32)), pa.array(keys.view(np.int64))),
+                    ],
+                    names=["doc_id", "text_key", "n_shingles", "set_a", "set_b", "sketch", "nodes"],
+                )
 
     return run
 
 
-def _chosen(tree_key: np.ndarray, spare: float) -> tuple[np.ndarray, np.ndarray]:
-    """Each node's one or two coordinates: the first always, the other with chance `spare`; -1 if none."""
-    draw = textkit.mix(tree_key + np.uint64(0x632BE59BD9B4E019))
-    one = (draw % np.uint64(COORDINATES)).astype(np.int64)
-    two = ((draw >> np.uint64(8)) % np.uint64(COORDINATES - 1)).astype(np.int64)
-    two += two >= one
-    more = (draw >> np.uint64(20)).astype(np.float64) / float(1 << 44) < spare
-    return one, np.where(more, two, -1)
-
-
-def _branch(keys: np.ndarray, mins: np.ndarray, spare: float) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key of child) for each child that the rows, at the nodes in keys, go to."""
-    rows, children = [], []
-    for pick in _chosen(keys, spare):
-        own = np.flatnonzero(pick >= 0)
-        value = mins[own, pick[own]].astype(np.uint64) | (pick[own].astype(np.uint64) << np.uint64(32))
-        rows.append(own)
-        children.append(textkit.mix(keys[own] ^ textkit.mix(value)))
-    return np.concatenate(rows), np.concatenate(children)
-
-
 def _sketches(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, COORDINATES)
-
-
-def _planted(trees: int, spare: float):
-    """Sketches to the children of each tree's root."""
-    roots = textkit.mix(np.arange(1, trees + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, mins = batch.column(0).to_numpy(zero_copy_only=False), _sketches(batch.column(1))
-            for root in roots:
-                rows, keys = _branch(np.full(len(ids), root), mins, spare)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ids[rows])], names=["node", "id"])
-
-    return run
-
-
-def _branched(spare: float):
-    """Rows of large nodes (node, id, sketch) to the rows of their children."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(1).to_numpy(zero_copy_only=False)
-            rows, keys = _branch(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), _sketches(batch.column(2)), spare)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ids[rows])], names=["node", "id"])
-
-    return run
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, COORDINATES)
 
 
-def _neighbours(bar: int):
-    """Rows (node, id, sketch) sorted by node and turned sketch to the pairs of rows that follow one another in a node and may be similar."""
+def _deeper(spare: float, levels: int):
+    """Rows (node, id, sketch) to the rows (node, id) of their descendants so many levels down."""
+    pool = np.arange(COORDINATES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
         for batch in batches:
-            if batch.num_rows:
-                rows = pa.Table.from_batches([last, batch] if last is not None else [batch]).combine_chunks()
-                nodes, ids, mins = (rows.column(k).combine_chunks() for k in range(3))
-                nodes, ids, mins = nodes.to_numpy(zero_copy_only=False), ids.to_numpy(zero_copy_only=False), _sketches(mins)
-                ok = (nodes[1:] == nodes[:-1]) & ((mins[1:] == mins[:-1]).sum(1) >= bar)
-                a, b = ids[:-1][ok], ids[1:][ok]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-                last = batch.slice(batch.num_rows - 1)
+            keys, ids, values = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), batch.column(1).to_numpy(zero_copy_only=False), _sketches(batch.column(2))
+            for _ in range(levels):
+                rows, keys = _children(keys, values, pool, spare)
+                ids, values = ids[rows], values[rows]
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(ids)], names=["node", "id"])
 
     return run
 
 
-def _best(bar: int):
-    """Each row of a cell with its most similar partner of another component: (id, partner, same)."""
-
-    def handle(cells, ids, comps, sides, sketches) -> pa.RecordBatch:
-        left, right, score = _pairs(cells, comps, sides, _sketches(sketches), bar)
-        order = np.lexsort((ids[right], -score, left))
-        left, right, score = left[order], right[order], score[order]
-        first = np.flatnonzero(np.concatenate(([True], left[1:] != left[:-1]))) if len(left) else np.zeros(0, np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(ids[left[first]]), pa.array(ids[right[first]]), pa.array(score[first], pa.int64())], names=["id", "partner", "same"])
-
-    return _by_cell(handle)
-
-
-def _pairs(cells: np.ndarray, comps: np.ndarray, sides: np.ndarray, mins: np.ndarray, bar: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, row, agreement) of the rows of one cell whose sketches agree enough, in both directions. In a cell of two blocks (side 0 and 1)
-    only rows of different sides are paired. Cells without two components are left out."""
-    n = len(cells)
-    heads = np.flatnonzero(np.concatenate(([True], cells[1:] != cells[:-1])))
-    counts = np.diff(np.append(heads, n))
-    live = np.repeat(np.minimum.reduceat(comps, heads) != np.maximum.reduceat(comps, heads), counts)
-    live, lag = np.flatnonzero(live), 1
-    left, right, score = [], [], []
-    while len(live):
-        live = live[live + lag < n]
-        live = live[cells[live] == cells[live + lag]]
-        at = live[(sides[live] != sides[live + lag]) | (sides[live] < 0)]
-        for part in np.array_split(at, max(1, len(at) // 50_000)):
-            same = (mins[part] == mins[part + lag]).sum(1)
-            ok = same >= bar
-            left += [part[ok], part[ok] + lag]
-            right += [part[ok] + lag, part[ok]]
-            score += [same[ok], same[ok]]
-        lag += 1
-    if not left:
-        return (np.zeros(0, np.int64),) * 3
-    return np.concatenate(left), np.concatenate(right), np.concatenate(score)
-
-
-def _by_cell(handle):
-    """Batches sorted by cell (cell, id, component, side, sketch), whole cells at a time, to what handle makes of their columns."""
+def _by_first(handle: Callable[[pa.Table, np.ndarray], tuple[np.ndarray, np.ndarray] | None]):
+    """Batches sorted by their first column, whole groups at a time, to the pairs that handle makes of a table and the first column's values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
-        def flush(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
             if rows.num_rows:
-                yield handle(*(rows.column(k).combine_chunks().to_numpy(zero_copy_only=False) for k in range(4)), rows.column(4).combine_chunks())
+                a, b = handle(rows, rows.column(0).to_numpy())
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], names=["a", "b"])
 
         for batch in batches:
             if batch.num_rows:
-                held.append(batch)
-                table = pa.Table.from_batches(held)
-                cells = table.column(0).combine_chunks().to_numpy(zero_copy_only=False)
-                done = int(np.searchsorted(cells == cells[-1], True)) if cells[0] != cells[-1] else 0
-                yield from flush(table.slice(0, done))
-                held = table.slice(done).combine_chunks().to_batches()
+                last = batch.column(0)[batch.num_rows - 1]
+                heads = batch.column(0).to_numpy(zero_copy_only=False)
+                done = int(np.argmax(heads == last.as_py())) if heads[0] != heads[-1] else 0
+                if held and held[-1].column(0)[0] != batch.column(0)[0]:
+                    yield from pairs(pa.Table.from_batches(held))
+                    held = []
+                if done:
+                    yield from pairs(pa.Table.from_batches([*held, batch.slice(0, done)]))
+                    held = []
+                held.append(batch.slice(done))
         if held:
-            yield from flush(pa.Table.from_batches(held))
+            yield from pairs(pa.Table.from_batches(held))
 
     return run
 
 
-def _open_rows(bar: int):
-    """The rows that have a partner in another component."""
-
-    def handle(cells, ids, comps, sides, sketches) -> pa.RecordBatch:
-        left, right, _ = _pairs(cells, comps, sides, _sketches(sketches), bar)
-        rows = np.unique(left[comps[left] != comps[right]])
-        # a row's partners in its own component keep their places in its ranking
-        rows = np.unique(np.concatenate((rows, right[np.isin(left, rows)])))
-        return pa.RecordBatch.from_arrays([pa.array(cells[rows]), pa.array(ids[rows]), pa.array(sides[rows]), sketches.take(pa.array(rows))], names=["cell", "id", "side", "sketch"])
-
-    return _by_cell(handle)
-
-
-def _span(bar: int, low: int, high: int | None):
-    """Pairs of different components whose place in either row's ranking of partners is in the span."""
-
-    def handle(cells, ids, comps, sides, sketches) -> pa.RecordBatch:
-        left, right, score = _pairs(cells, comps, sides, _sketches(sketches), bar)
-        order = np.lexsort((ids[right], -score, left))
-        left, right = left[order], right[order]
-        place = np.arange(len(left)) - np.searchsorted(left, left)
-        ok = (comps[left] != comps[right]) & (place >= low) & (place < (high or len(ids) + 1))
-        a, b = ids[left[ok]], ids[right[ok]]
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
-    return _by_cell(handle)
-
-
-def _with_sets(width: int):
-    """Rows (a, b, text) to (a, b, set)."""
+def _spans(groups: np.ndarray) -> list[tuple[int, int]]:
+    heads = np.flatnonzero(np.concatenate(([True], groups[1:] != groups[:-1])))
+    return list(zip(heads.tolist(), [*heads[1:].tolist(), len(groups)], strict=True))
+
+
+def _joined(labels: np.ndarray, order: np.ndarray, probe: Callable[[int], np.ndarray]) -> np.ndarray:
+    """Labels of the components, from labels of what is joined already; probe(i) tells the rows that are linked to i. The members of the component that is the largest at the time
+    need not be tried: those outside of it are, against all."""
+    tried = np.zeros(len(labels), bool)
+    while True:
+        largest = np.bincount(labels).argmax()
+        left = order[~tried[order] & (labels[order] != largest)]
+        if not len(left):
+            return labels
+        tried[left[0]] = True
+        found = np.unique(labels[probe(int(left[0]))])
+        if len(found) > 1:
+            labels[np.isin(labels, found)] = found[0]
+
+
+def _stars(ids: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's id with that of its label's first row, but for that row itself."""
+    _, first, which = np.unique(labels, return_index=True, return_inverse=True)
+    ok = first[which] != np.arange(len(labels))
+    return ids[first[which]][ok], ids[ok]
+
+
+def _alike(bar: int):
+    """Rows (node, id, sketch) sorted by node to pairs that connect the rows of a node whose sketches agree in `bar` places."""
+
+    def handle(rows: pa.Table, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ids, mins = rows.column(1).to_numpy(), _sketches(rows.column(2))
+        spans = _spans(nodes)
+        counts = np.array([stop - first for first, stop in spans])
+        few = np.repeat(counts <= FEW, counts)
+        left, right = [], []
+        for lag in range(1, FEW):
+            at = np.flatnonzero(few[:-lag] & (nodes[lag:] == nodes[:-lag]))
+            at = at[(mins[at] == mins[at + lag]).sum(1) >= bar]
+            left.append(ids[at])
+            right.append(ids[at + lag])
+        for first, stop in spans:
+            if stop - first > FEW:
+                own = mins[first:stop]
+                a, b = _stars(ids[first:stop], _joined(np.arange(stop - first), np.arange(stop - first), lambda i, own=own: (own == own[i]).sum(1) >= bar))
+                left.append(a)
+                right.append(b)
+        pairs = np.unique(np.stack((np.minimum(a := np.concatenate(left), b := np.concatenate(right)), np.maximum(a, b))), axis=1)
+        return pairs[0], pairs[1]
+
+    return _by_first(handle)
+
+
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """100 * intersection >= percent * union of two sorted sets."""
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    both = np.sort(np.concatenate((x, y)))
+    n = int((both[1:] == both[:-1]).sum())
+    return 100 * n >= percent * (len(x) + len(y) - n)
+
+
+def _unpacked(column: pa.ChunkedArray) -> list[np.ndarray]:
+    return [np.frombuffer(value.as_buffer(), np.uint64) for value in column]
+
+
+def _exact(percent: int):
+    """Rows (cell, id, component, shingles) sorted by cell to the links that connect what is linked in each cell: a forest of pairs."""
+
+    def resolve(ids: np.ndarray, known: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        labels = np.unique(known, return_inverse=True)[1]
+        before = labels.copy()
+        sizes = np.array([len(s) for s in sets])
+        owner = np.repeat(np.arange(len(sets)), sizes)
+        tokens, which, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        order = np.argsort(which, kind="stable")
+        rows_of, starts = owner[order].astype(np.int32), np.cumsum(often) - often
+        firsts = np.cumsum(sizes) - sizes
+        # the rows that share most are tried first, so that a group of copies soon is one component
+        central = np.argsort(-np.add.reduceat(often[which], firsts) / sizes, kind="stable")
+
+        def probe(i: int) -> np.ndarray:
+            own = which[firsts[i] : firsts[i] + sizes[i]]
+            n = np.bincount(rows_of[textkit.ragged(starts[own], often[own])], minlength=len(sets))
+            return 100 * n >= percent * (sizes[i] + sizes - n)
+
+        after = _joined(labels, central, probe)
+        a, b = _stars(ids, after)
+        return (a, b) if (after != before).any() else (a[:0], b[:0])
+
+    def handle(rows: pa.Table, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        ids, known = rows.column(1).to_numpy(), rows.column(2).to_numpy()
+        for first, stop in _spans(cells):
+            own, at = np.unique(ids[first:stop], return_index=True)
+            at += first
+            if len(own) < 2 or (known[at] == known[at[0]]).all():
+                continue
+            sets = _unpacked(rows.column(3).take(pa.array(at)))
+            if len(own) > 2:
+                a, b = resolve(own, known[at], sets)
+            else:
+                a, b = (own[:1], own[1:]) if _linked(*sets, percent) else (own[:0], own[:0])
+            left.append(a)
+            right.append(b)
+        return np.concatenate(left), np.concatenate(right)
+
+    return _by_first(handle)
+
+
+def _neighbours(percent: int):
+    """Rows (family, id, shingles) in some order to the links between rows of a family that follow one another."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for batch in batches:
-            for block in textkit.blocks(batch.column(2)):
-                sets = textkit.binary_column([_packed(s) for s in _sets(block, width)])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, len(block)), batch.column(1).slice(block.first, len(block)), sets], names=["a", "b", "shingles"])
+            rows = [(f, i, np.frombuffer(s.as_buffer(), np.uint64)) for f, i, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True)]
+            pairs = [(x[1], y[1]) for x, y in zip([last, *rows[:-1]], rows, strict=True) if x and x[0] == y[0] and x[1] != y[1] and _linked(x[2], y[2], percent)]
+            last = rows[-1] if rows else last
+            yield pa.RecordBatch.from_arrays([pa.array([min(p) for p in pairs], pa.int64()), pa.array([max(p) for p in pairs], pa.int64())], names=["a", "b"])
 
     return run
 
 
-def _confirmed(percent: int):
-    """Rows (a, b, set of a, set of b): those with 100 * intersection >= percent * union."""
+def _with_sets(width: int):
+    """Rows (family, id, set_a, set_b, text) to (family, id, shingles) of those whose text has the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for left, right in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = _unpacked(left.as_buffer()), _unpacked(right.as_buffer())
-                small, large = (x, y) if len(x) <= len(y) else (y, x)
-                if 100 * len(small) < percent * len(large):
-                    keep.append(False)
-                    continue
-                at = np.minimum(np.searchsorted(large, small), len(large) - 1)
-                both = int((large[at] == small).sum())
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            for block in textkit.blocks(batch.column(4)):
+                sets = list(_sets(block, width))
+                own = batch.slice(block.first, len(block))
+                _, one, two = _names(sets)
+                ok = np.flatnonzero((one == own.column(2).to_numpy()) & (two == own.column(3).to_numpy()))
+                yield pa.RecordBatch.from_arrays([own.column(0).take(pa.array(ok)), own.column(1).take(pa.array(ok)), textkit.binary_column([sets[k].tobytes() for k in ok])], names=["family", "id", "shingles"])
 
     return run
 
 
-def _set_rows(ids: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """(a, shingles) of the distinct ids in column a, from texts (id, text)."""
-    rows = ids.join(texts, F.col("a") == texts["id"]).select("a", F.col("a").alias("b"), "text")
-    return rows.mapInArrow(_with_sets(width), "a long, b long, shingles binary").select("a", "shingles")
-
-
-#: Where a node's sketches are turned, so that nodes order their members by different coordinates first.
-_TURN = f"cast(pmod(xxhash64(node), 8) * {2 * COORDINATES // 8} as int)"
-
-
-def _sorted_cells(cells: DataFrame, parts: DataFrame | None) -> DataFrame:
-    """Rows (cell, id, side, sketch) with their components, whole cells together."""
-    rows = cells.withColumn("component", F.col("id")) if parts is None else cells.join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    return rows.select("cell", "id", "component", "side", "sketch").repartition("cell").sortWithinPartitions("cell")
-
-
-def _cells(nodes: DataFrame, leaf: int) -> DataFrame:
-    """Members of large nodes (node, id, n), dealt into blocks; each pair of blocks of a node is a cell."""
-    own = nodes.withColumn("blocks", F.ceil(F.col("n") / F.lit(leaf)).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-    return own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "id",
-        F.when(F.col("own") == F.col("other"), -1).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"),
-    )
-
-
-def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, trees: int = 12, leaf: int = 64, max_depth: int = 8) -> DataFrame:
+def _sized(rows: DataFrame, by: str, component: str | None = None) -> DataFrame:
+    """Rows (by, id, n_shingles, ...) of groups with two members or more, and of two components if that column is given, with the group's n and weight."""
+    aggregates = [F.count("*").alias("n"), F.sum("n_shingles").alias("weight")]
+    if component:
+        aggregates += [F.min(component).alias("low"), F.max(component).alias("high")]
+    groups = rows.groupBy(by).agg(*aggregates).where("n > 1")
+    if component:
+        groups = groups.where("low <> high").drop("low", "high")
+    return rows.join(groups, by)
+
+
+class _Join:
+    """One run of the join: its settings and the members' tables."""
+
+    def __init__(self, percent: int, width: int, trees: int, leaf: int, cell: int, rounds: int):
+        bar = percent / 100
+        self.percent, self.width, self.trees, self.leaf, self.rounds = percent, width, trees, leaf, rounds
+        self.bar = int(np.floor(COORDINATES * bar - DEVIATIONS * np.sqrt(COORDINATES * bar * (1 - bar))))
+        self.spare = 1 / bar - 1
+        self.cell = cell
+        self.fits = f"n <= {cell} and (weight <= {CELL_SHINGLES} or n = 2)"
+
+    def weak_links(self, members: DataFrame) -> tuple[DataFrame, int]:
+        """Pairs that connect members of alike sketches, by nodes of all trees."""
+        planted = members.select(F.explode("nodes").alias("node"), "id")
+        sizes = planted.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
+        nodes, rows = cut_counted(planted.join(sizes, "node"))
+        sketches = members.select("id", "sketch")
+
+        def alike(small: DataFrame) -> DataFrame:
+            return small.select("node", "id").join(sketches, "id").select("node", "id", "sketch").repartition("node").sortWithinPartitions("node").mapInArrow(_alike(self.bar), PAIRS)
+
+        pairs = alike(nodes.where(F.col("n") <= self.leaf))
+        large, more = cut_counted(nodes.where(F.col("n") > self.leaf), rows)
+        if more:
+            deep = large.join(sketches, "id").select("node", "id", "sketch").mapInArrow(_deeper(self.spare, 2), NODES)
+            deep, _ = cut_counted(deep.join(deep.groupBy("node").agg(F.count("*").alias("n"), F.min("id").alias("a")).where("n > 1"), "node"), 2 * more)
+            pairs = pairs.unionByName(alike(deep.where(F.col("n") <= self.leaf)))
+            pairs = pairs.unionByName(deep.where((F.col("n") > self.leaf) & (F.col("a") < F.col("id"))).select("a", F.col("id").alias("b")))
+        return cut_counted(pairs.distinct(), rows)
+
+    def shingles(self, family: DataFrame, texts: DataFrame) -> DataFrame:
+        """(family, id, shingles) of rows (family, id, doc_id, set_a, set_b), from the texts of their documents."""
+        rows = texts.join(family.hint("shuffle_hash"), "doc_id").select("family", "id", "set_a", "set_b", "text")
+        return rows.mapInArrow(_with_sets(self.width), "family long, id long, shingles binary")
+
+    def resolved(self, cells: DataFrame) -> DataFrame:
+        """Links of rows (cell, id, component, shingles): a forest in each cell."""
+        return cells.select("cell", "id", "component", "shingles").repartition("cell").sortWithinPartitions("cell").mapInArrow(_exact(self.percent), PAIRS)
+
+    def large_families(self, family: DataFrame, texts: DataFrame) -> DataFrame:
+        """(id, component) of the members of families larger than a cell, of rows (family, id, n_shingles, sketch, doc_id, set_a, set_b)."""
+        spark = family.sparkSession
+        sets = cut(self.shingles(family, texts).dropDuplicates(["id"]))
+        turned = [F.concat(F.substring("sketch", k + 1, COORDINATES), F.substring("sketch", 1, k)) for k in range(0, COORDINATES, COORDINATES // TURNS + 1)]
+        ranked = family.select("id", "family", F.posexplode(F.array(*turned)).alias("turn", "turned")).join(sets.select("id", "shingles"), "id")
+        order = ["turn", "family", "turned", "id"]
+        beside = ranked.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).select(F.xxhash64("turn", "family").alias("family"), "id", "shingles").mapInArrow(_neighbours(self.percent), PAIRS)
+        parts = None
+
+        def joined(links: DataFrame) -> DataFrame:
+            known = links if parts is None else links.unionByName(parts.where("id <> component").select(F.col("component").alias("a"), F.col("id").alias("b")))
+            return cut(components(known))
+
+        def with_components(nodes: DataFrame) -> DataFrame:
+            rows = nodes.select("node", "id").join(family.select("id", "n_shingles"), "id").join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
+            return _sized(rows, "node", "component")
+
+        parts = joined(beside)
+        nodes = family.select("id", F.explode(F.array(*[F.xxhash64("family", F.lit(tree)) for tree in range(self.trees)])).alias("node"))
+        for _ in range(self.rounds):
+            deep = nodes.join(family.select("id", "sketch"), "id").select("node", "id", "sketch").mapInArrow(_deeper(self.spare, 2), NODES)
+            level = cut(with_components(deep))
+            ready = level.where(self.fits).withColumnRenamed("node", "cell")
+            parts = joined(self.resolved(ready.join(sets.select("id", "shingles"), "id")))
+            nodes, left = cut_counted(level.where(f"not ({self.fits})").select("node", "id"))
+            if not left:
+                return parts
+        return joined(self.resolved(self.blocks(cut(with_components(nodes))).join(sets.select("id", "shingles"), "id")))
+
+    def blocks(self, level: DataFrame) -> DataFrame:
+        """Rows (cell, id, component) that hold each member of a node (node, id, component, n, weight) outside of its largest component against all of the node."""
+        shares = level.groupBy("node", "component").agg(F.count("*").alias("share"))
+        largest = shares.groupBy("node").agg(F.max_by("component", F.struct("share", "component")).alias("largest"))
+        rows = level.join(largest, "node").withColumn("n_blocks", F.ceil(2 * F.greatest(F.col("n") / self.cell, F.col("weight") / CELL_SHINGLES)).cast("int"))
+        rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), "n_blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+        probes = rows.where("component <> largest").select(F.xxhash64("node", "own", "other").alias("cell"), "id", "component")
+        targets = rows.select(F.xxhash64("node", "other", "own").alias("cell"), "id", "component")
+        return probes.unionByName(targets.join(probes.select("cell").distinct(), "cell", "left_semi"))
+
+
+def _rated(docs: DataFrame, percent: int, width: int, trees: int, leaf: int, cell: int, rounds: int) -> DataFrame:
+    """doc_id, text_key, n_shingles, component_id and the component's own number, root, of each row of docs (doc_id, text)."""
+    small_batches(docs.sparkSession)
+    join = _Join(percent, width, trees, leaf, cell, rounds)
+    same = ["n_shingles", "set_a", "set_b"]
+    described = "doc_id long, text_key long, n_shingles long, set_a long, set_b long, sketch binary, nodes array<bigint>"
+    rows = cut(docs.withColumn("text_key", F.xxhash64("text")).mapInArrow(_describe(width, trees, join.spare), described))
+    first = rows.where("n_shingles > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch"), F.first("nodes").alias("nodes"))
+    members = cut(first.withColumn("id", F.monotonically_increasing_id()))
+    weak, n_weak = join.weak_links(members)
+    named = members.select(*same, F.col("doc_id").alias("component_id"), F.col("id").alias("root"))
+    if n_weak:
+        texts = docs.where("doc_id is not null and text is not null")
+        families = components(weak, n_weak).withColumnRenamed("component", "family")
+        family = cut(_sized(families.join(members.drop("nodes"), "id"), "family"))
+        stars = join.resolved(join.shingles(family.where(join.fits), texts).withColumnRenamed("family", "cell").withColumn("component", F.col("id")))
+        parts = cut(stars.select(F.col("b").alias("id"), F.col("a").alias("component")))
+        parts = parts.unionByName(parts.select(F.col("component").alias("id"), "component").distinct())
+        large, n_large = cut_counted(family.where(f"not ({join.fits})"), n_weak)
+        if n_large:
+            parts = parts.unionByName(join.large_families(large, texts))
+        owned = parts.join(family.select("id", "doc_id"), "id")
+        moved = owned.join(owned.groupBy("component").agg(F.min("doc_id").alias("least")), "component").select("id", "component", "least")
+        named = members.join(moved, "id", "left").select(*same, F.coalesce("least", "doc_id").alias("component_id"), F.coalesce("component", "id").alias("root"))
+    found = rows.select("doc_id", "text_key", *same).join(named, same, "left")
+    whole = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    return found.select("doc_id", "text_key", "n_shingles", whole.alias("component_id"), F.when(F.col("doc_id").isNotNull(), F.col("root")).alias("root"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, trees: int = 10, leaf: int = 1024, cell: int = 4096, rounds: int = 4) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of docs (doc_id, text; other columns are ignored).
 
     A-Z are lower-cased; words lie between spaces and \\x09-\\x0D; shingles are `width` words, or the whole text if it has fewer.
     Rows are linked if 100 * intersection >= percent * union of their sets. component_id is the smallest doc_id reachable.
 
     Null or wordless texts have no shingles, link with nothing and are kept. A row with a null doc_id cannot be named by a component: its component_id is null and
-    it is kept; it links no others. Rows that repeat a doc_id are rated each by its own text.
-    An empty table gives an empty result.
+    it is kept; it links no others. Rows that repeat a doc_id are rated each by its own text. Texts of any length are taken whole: a cell of two holds two sets at most, a larger one
+    CELL_SHINGLES shingles. An empty table gives an empty result.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    bar = percent / 100
-    bar_at = int(np.floor(COORDINATES * bar - DEVIATIONS * np.sqrt(COORDINATES * bar * (1 - bar))))
-    spare = 1 / bar - 1
-
-    rows = cut(docs.mapInArrow(_describe(width), "doc_id long, n_shingles long, set_a long, set_b long, sketch binary"))
-    same = ["n_shingles", "set_a", "set_b"]
-    stands = cut(rows.where("n_shingles > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("id"), F.first("sketch").alias("sketch")))
-    sketches = stands.select("id", "sketch").dropDuplicates(["id"])
-    texts = docs.where("doc_id is not null").select(F.col("doc_id").alias("id"), "text")
-
-    def nodes_of(members: DataFrame, most: int | None) -> tuple[DataFrame, int]:
-        """(node, id, n) of nodes with two members or more."""
-        sizes = members.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
-        return cut_counted(members.join(sizes, "node"), most)
-
-    def open_rows(cells: DataFrame, parts: DataFrame | None, most: int) -> tuple[DataFrame, int]:
-        return cut_counted(_sorted_cells(cells, parts).mapInArrow(_open_rows(bar_at), "cell long, id long, side int, sketch binary"), most)
-
-    def joined(parts: DataFrame | None, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """The components after the pairs that pass on their sets."""
-        tried = pairs.join(sets.select("a", F.col("shingles").alias("of_a")), "a").join(sets.select(F.col("a").alias("b"), "shingles"), "b")
-        links, n = cut_counted(tried.select("a", "b", "of_a", "shingles").mapInArrow(_confirmed(percent), "a long, b long"))
-        if parts is not None:
-            links = links.unionByName(parts.where("id <> component").select(F.col("component").alias("a"), F.col("id").alias("b")))
-        return cut_counted(components(links))[0] if n else parts if parts is not None else cut(components(links))
-
-    def small_cells(level: DataFrame) -> DataFrame:
-        return level.where(F.col("n") <= leaf).select(F.col("node").alias("cell"), "id", F.lit(-1).alias("side")).join(sketches, "id")
-
-    # round 1
-    level, members = nodes_of(sketches.mapInArrow(_planted(trees, spare), "node long, id long"), None)
-    ready, n_ready = open_rows(small_cells(level), None, members)
-    large = level.where(F.col("n") > leaf).join(sketches, "id").withColumn("turned", F.concat(F.expr(f"substring(sketch, {_TURN} + 1)"), F.expr(f"substring(sketch, 1, {_TURN})")))
-    order = ["node", "turned", "id"]
-    beside = large.repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order).select("node", "id", "sketch").mapInArrow(_neighbours(bar_at), "a long, b long")
-    best = _sorted_cells(ready, None).mapInArrow(_best(bar_at), "id long, partner long, same long").groupBy("id").agg(F.max_by("partner", F.struct("same", -F.col("partner"))).alias("partner"))
-    every = best.select(F.least("id", "partner").alias("a"), F.greatest("id", "partner").alias("b")).unionByName(beside)
-    first, _ = cut_counted(narrow(every, members).distinct(), members)
-    named_ids = ready.select(F.col("id").alias("a")).unionByName(first.select("a")).unionByName(first.select(F.col("b").alias("a"))).distinct()
-    sets = cut(_set_rows(named_ids, texts, width))
-    parts = joined(None, first, sets)
-
-    # round 2: large nodes that are not of one component are branched, then cut
-    nodes, n_nodes = level.where(F.col("n") > leaf), members
-    for depth in range(2, max_depth + 2):
-        own = nodes.select("node", "id", "n").join(parts, "id", "left").select("node", "id", "n", F.coalesce("component", "id").alias("component"))
-        mixed = own.groupBy("node").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("node")
-        nodes, n_nodes = cut_counted(own.join(mixed, "node").select("node", "id", "n"), n_nodes)
-        if not n_nodes:
-            break
-        if depth > max_depth:
-            more, n_more = open_rows(_cells(nodes, leaf).join(sketches, "id"), parts, n_nodes)
-            ready, n_ready = ready.unionByName(more), n_ready + n_more
-            break
-        level, n_nodes = nodes_of(nodes.join(sketches, "id").select("node", "id", "sketch").mapInArrow(_branched(spare), "node long, id long"), 2 * n_nodes)
-        more, n_more = open_rows(small_cells(level), parts, n_nodes)
-        ready, n_ready = ready.unionByName(more), n_ready + n_more
-        nodes = level.where(F.col("n") > leaf)
-    for k, (low, high) in enumerate(SPANS):
-        ready, n_ready = open_rows(ready, parts, n_ready)
-        if not n_ready:
-            break
-        if not k:
-            more, n_more = cut_counted(narrow(ready.select(F.col("id").alias("a")).distinct().join(sets, "a", "left_anti"), n_ready))
-            sets = sets.unionByName(cut(_set_rows(more, texts, width))) if n_more else sets
-        pairs, _ = cut_counted(narrow(_sorted_cells(ready, parts).mapInArrow(_span(bar_at, low, high), "a long, b long"), n_ready).distinct(), n_ready)
-        parts = joined(parts, pairs, sets)
-
-    named = stands.select(*same, "id").join(parts, "id", "left").select(*same, F.coalesce("component", "id").alias("component"))
-    named = rows.select("doc_id", *same).join(named, same, "left")
-    whole = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component", "doc_id"))
-    return named.select("doc_id", "n_shingles", whole.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    found = _rated(docs, percent, width, trees, leaf, cell, rounds)
+    return found.select("doc_id", "n_shingles", "component_id").withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def keep_one(docs: DataFrame, **settings) -> DataFrame:
-    """docs without the near duplicates: of each component the row with the smallest doc_id stays, once. All columns are kept.
-    Rows without a doc_id stay."""
-    kept = near_duplicates(docs, **settings).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    some = docs.where("doc_id is not null")
-    once = some.join(kept, some["doc_id"] == kept["kept_id"], "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(docs.where("doc_id is null"))
+    """docs without the near duplicates: of each component one row of its smallest doc_id stays. All columns are kept.
+    Rows without a doc_id or without a word stay; of rows that repeat a doc_id and its text one stays, repeats with other texts are rated by their own.
+    """
+    settings = {"percent": 80, "width": 5, "trees": 10, "leaf": 1024, "cell": 4096, "rounds": 4} | settings
+    found = _rated(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), **settings)
+    kept = found.where("root is not null").groupBy("root").agg(F.min(F.struct("doc_id", "text_key")).alias("row")).select(F.col("row.doc_id").alias("kept_id"), F.col("row.text_key").alias("kept_key"))
+    alone = F.col("doc_id").isNull() | F.col("text").isNull() | ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    own_id, own_key = docs["doc_id"].cast("long"), F.xxhash64(docs["text"].cast("string"))
+    once = docs.where(~alone).join(kept, (own_id == kept["kept_id"]) & (own_key == kept["kept_key"]), "left_semi").dropDuplicates(["doc_id", "text"])
+    return once.unionByName(docs.where(alone))

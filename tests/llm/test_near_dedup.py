@@ -52,8 +52,9 @@ def test_matches_all_pairs(small_docs, percent, width):
     assert all(r.kept == (r.doc_id is None or r.doc_id == r.component_id) for r in got)
 
 
-def test_chain_of_copies_and_large_nodes(spark):
-    """A drifting chain: neighbours are linked, ends are not; with a small leaf the nodes are branched and cut into cells."""
+@pytest.mark.parametrize("limits", [{}, {"leaf": 8, "cell": 8, "rounds": 1}, {"leaf": 16, "cell": 12, "rounds": 4}])
+def test_chain_of_copies_and_large_families(spark, limits):
+    """A drifting chain: neighbours are linked, ends are not; with small limits the family is branched, cut into cells and blocks."""
     rng = random.Random(1)
     words, rows = [f"w{k}" for k in range(120)], []
     for k in range(150):
@@ -61,15 +62,64 @@ def test_chain_of_copies_and_large_nodes(spark):
         words[rng.randrange(len(words))] = f"n{k}"
     rows += [(1000 + k, f"other text number {k} of its own {k * 7} {k * 13}") for k in range(50)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r.component_id for r in near_duplicates(docs, 85, 3, leaf=8, max_depth=3).collect()}
+    got = {r.doc_id: r.component_id for r in near_duplicates(docs, 85, 3, **limits).collect()}
     assert got == {doc: component for doc, _, component in brute(rows, 85, 3)}
 
 
+def test_hub_of_copies_near_the_threshold(spark):
+    """Near copies of one text with zero to eight edits: some are linked through others, some with none."""
+    rng, rows = random.Random(7), []
+    base = [f"w{rng.randrange(5000)}" for _ in range(150)]
+    for k in range(500):
+        own = list(base)
+        for _ in range(k % 9):
+            own[rng.randrange(150)] = f"e{rng.randrange(10**6)}"
+        rows.append((k, " ".join(own)))
+    docs, want = spark.createDataFrame(rows, "doc_id long, text string"), {doc: component for doc, _, component in brute(rows, 85, 3)}
+    assert 1 < len(set(want.values())) < 500
+    for limits in ({}, {"leaf": 32, "cell": 64}):
+        assert {r.doc_id: r.component_id for r in near_duplicates(docs, 85, 3, **limits).collect()} == want
+
+
+def test_recall_of_pairs_near_the_threshold(spark):
+    """Pairs of otherwise unrelated texts at 85 to 90 % are found one by one: no component helps."""
+    rng, rows, planted = random.Random(3), [], 0
+    for k in range(600):
+        words = [f"v{rng.randrange(10**7)}" for _ in range(202)]
+        other = list(words)
+        # e distant edits of 200 shingles: (200 - 3 e) / (200 + 3 e)
+        for place in rng.sample(range(3, 199, 7), rng.choice([4, 5])):
+            other[place] = f"x{rng.randrange(10**7)}"
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+        planted += 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    linked = near_duplicates(docs, 85, 3).where("doc_id <> component_id").count()
+    assert linked >= 0.999 * planted
+
+
+def test_repeated_ids_are_rated_by_their_texts(spark):
+    a, b = (" ".join(f"{c}{k}" for k in range(60)) for c in "ab")
+    rows = [(5, a), (5, b), (4, a + " y"), (3, b + " x"), (5, a), (7, "one two")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates(docs, 85, 3).collect()) == sorted(brute(rows, 85, 3))
+    kept = sorted((r.doc_id, r.text[:2]) for r in keep_one(docs, percent=85, width=3).collect())
+    assert kept == [(3, "b0"), (4, "a0"), (7, "on")]
+    two = spark.createDataFrame([(5, a), (5, b), (5, b)], "doc_id long, text string")
+    assert sorted(r.text[:2] for r in keep_one(two).collect()) == ["a0", "b0"]
+
+
+def test_very_long_texts(spark):
+    long = " ".join(f"l{k % 60_000} m{k % 7919}" for k in range(150_000))
+    rows = [(k, long + f" end {k}") for k in (9, 8, 2)] + [(1, "x" * 3_000_000), (0, "y " * 500_000), (3, "short text here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in near_duplicates(docs, 85, 3).collect()} == {9: 2, 8: 2, 2: 2, 1: 1, 0: 0, 3: 3}
+
+
 def test_keep_one_keeps_columns(small_docs, no_docs):
     kept = keep_one(small_docs)
     assert kept.columns == small_docs.columns
     ids = [r.doc_id for r in kept.collect() if r.doc_id is not None]
-    assert len(ids) == len(set(ids)) and 0 in ids and 8 in ids and 9 not in ids
+    assert 0 in ids and 8 in ids and 9 not in ids and ids.count(5) == 2 and len(ids) == len(set(ids)) + 1
     assert keep_one(no_docs).count() == 0 and near_duplicates(no_docs).count() == 0
 
 
