@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,3 +70,12 @@ def cut_counted(frame: DataFrame, most: int | None = None) -> tuple[DataFrame, i
     kept = cut(frame if most is None else narrow(frame, most))
     rows = kept.count()
     return narrow(kept, rows), rows
+
+
+#: Bytes up to which the small side of a join is sent to every executor.
+BROADCAST_BYTES = 8 << 20
+
+
+def small_side(frame: DataFrame, size: int) -> DataFrame:
+    """The frame, broadcast if its size in bytes, as counted, is small; else the join is left to shuffles."""
+    return F.broadcast(frame) if size <= BROADCAST_BYTES else frame
