@@ -1,7 +1,7 @@
 """Token ids of documents in ascending doc_id order, compressed shard by shard with a Re-Pair grammar.
 
 A token file is a Parquet dataset (SHARD below), so Spark's writers and readers place and find it in any store. Each row is a shard of about
-`SHARD_TOKENS` ids of whole documents. Symbols below `len(alphabet)` stand for ids; the others for rules, in order of their making:
+`SHARD_TOKENS` ids of whole documents; `first_id` and `last_id` bound its documents, so that a reader of one of them skips the other shards. Symbols below `len(alphabet)` stand for ids; the others for rules, in order of their making:
 each rule is a pair of earlier symbols. `lengths` has each symbol's number of ids, so any range of a document's ids can be
 reached without expanding what precedes it. The end id is in no rule, so no rule crosses documents.
 
@@ -21,9 +21,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.llm import textkit
-from pulsegrid.llm.support import partitions
+from pulsegrid.llm.support import partitions, small_batches
 
-SHARD = "part long, shard long, n_tokens long, alphabet binary, rules binary, lengths binary, symbols binary, doc_ids array<long>, doc_tokens array<long>, doc_symbols array<long>"
+SHARD = "part long, shard long, first_id long, last_id long, n_tokens long, alphabet binary, rules binary, lengths binary, symbols binary, doc_ids array<long>, doc_tokens array<long>, doc_symbols array<long>"
 SHARD_TOKENS = 1 << 20
 CACHE_PIECES = 1_500_000
 
@@ -137,70 +137,100 @@ class Encoder:
         return ids, sizes
 
 
-def compress(ids: np.ndarray, end: int, rounds: int = 12, least: int = 8, at_once: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(alphabet, rules, lengths, symbols): each round replaces the most frequent pairs, as many as can't overlap one another; it
-    ends when no pair is found `least` times, after `rounds`, or when symbols no longer fit 16 bits."""
-    alphabet, symbols = np.unique(ids, return_inverse=True)
-    symbols = symbols.astype(np.uint32)
+def _numbered(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids in order, and each id's place among them."""
+    if not len(ids) or int(ids.max()) > 1 << 24:
+        alphabet, symbols = np.unique(ids, return_inverse=True)
+        return alphabet, symbols.astype(np.uint32)
+    alphabet = np.flatnonzero(np.bincount(ids))
+    place = np.zeros(int(alphabet[-1]) + 1, np.uint32)
+    place[alphabet] = np.arange(len(alphabet), dtype=np.uint32)
+    return alphabet, place[ids]
+
+
+def _chosen(ranked: list[int], pairs: list[int], bits: int) -> np.ndarray:
+    """Of groups in the order of their frequency those whose pairs can't overlap one another."""
+    lefts, rights, chosen = set(), set(), []
+    for k, pair in zip(ranked, pairs, strict=True):
+        a, b = pair >> bits, pair & ((1 << bits) - 1)
+        if a not in rights and b not in lefts and (a != b or (a not in lefts and b not in rights)):
+            lefts.add(a)
+            rights.add(b)
+            chosen.append(k)
+    return np.array(chosen)
+
+
+def compress(ids: np.ndarray, end: int, least: int = 8, share: float = 0.05) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(alphabet, rules, lengths, symbols): each round replaces the most frequent pairs, as many as can't overlap one another and are at least `share` times as
+    frequent as the first; it ends when no pair occurs `least` times. In a run of one symbol pairs are taken from the left.
+
+    A pair that is too rare stays so, and new pairs lie beside new symbols: after the first round only the places of frequent and of new pairs are sorted. A rule takes eight bytes and a
+    use saves two. Symbols and rules have two bytes each, or four if there are more than 65,536 symbols.
+    """
+    alphabet, symbols = _numbered(ids)
     stop = int(np.searchsorted(alphabet, end))
-    size, rules = len(alphabet), []
-    for _ in range(rounds):
-        if len(symbols) < 2 or size > 65535 - at_once:
-            break
-        pairs = symbols[:-1] << np.uint32(16) | symbols[1:]
-        ranked = np.sort(pairs)
-        heads = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
-        counts = np.diff(np.append(heads, len(ranked)))
+    stop = stop if stop < len(alphabet) and alphabet[stop] == end else -1
+    size, rules, lengths = len(alphabet), [np.zeros((0, 2), np.uint32)], np.ones(len(alphabet), np.uint32)
+    places = max(1, len(symbols).bit_length())
+    shift, low = np.uint64(places), np.uint64((1 << places) - 1)
+    at = np.arange(max(0, len(symbols) - 1))
+    # a place and its pair are one number; the longest of shards that leaves no bits for that is kept as it is
+    while len(at) and 2 * (bits := size.bit_length()) + places <= 64:
+        left, right = symbols[at], symbols[at + 1]
+        ok = (left != stop) & (right != stop)
+        twins = np.flatnonzero(left == right)
+        where = at[twins]
+        heads = np.concatenate((np.ones(min(1, len(twins)), bool), (where[1:] - where[:-1] > 1) | (left[twins[1:]] != left[twins[:-1]])))
+        odd = (where - where[np.maximum.accumulate(np.where(heads, np.arange(len(twins)), 0))]) % 2 == 1
+        ok[twins[odd]] = False
+        own = np.flatnonzero(ok)
+        keyed = np.sort(left[own].astype(np.uint64) << np.uint64(bits + places) | right[own].astype(np.uint64) << shift | at[own].astype(np.uint64))
+        pairs = keyed >> shift
+        heads = np.flatnonzero(np.concatenate((np.ones(min(1, len(pairs)), bool), pairs[1:] != pairs[:-1])))
+        counts = np.diff(np.append(heads, len(pairs)))
         often = np.flatnonzero(counts >= least)
-        if len(often) > 4 * at_once:
-            often = often[np.argpartition(-counts[often], 4 * at_once)[: 4 * at_once]]
-        often = often[np.argsort(-counts[often], kind="stable")]
-        lefts, rights, chosen = set(), set(), []
-        for pair in ranked[heads[often]].tolist():
-            a, b = pair >> 16, pair & 65535
-            if a != b and a != stop and b != stop and a not in rights and b not in lefts:
-                lefts.add(a)
-                rights.add(b)
-                chosen.append(pair)
-                if len(chosen) == at_once:
-                    break
-        if not chosen:
+        if not len(often):
             break
-        keys = np.sort(np.array(chosen, np.uint32))
-        left, right = np.zeros(size, bool), np.zeros(size, bool)
-        left[list(lefts)], right[list(rights)] = True, True
-        maybe = np.flatnonzero(left[symbols[:-1]] & right[symbols[1:]])
-        place = np.minimum(np.searchsorted(keys, pairs[maybe]), len(keys) - 1)
-        hit = keys[place] == pairs[maybe]
-        maybe, place = maybe[hit], place[hit]
-        symbols[maybe] = size + place
+        ranked = often[counts[often] >= max(least, share * counts.max())]
+        ranked = ranked[np.argsort(-counts[ranked], kind="stable")]
+        chosen = _chosen(ranked.tolist(), pairs[heads[ranked]].tolist(), bits)
+        made = pairs[heads[chosen]]
+        rules.append(np.stack((made >> np.uint64(bits), made & np.uint64((1 << bits) - 1)), 1).astype(np.uint32))
+        lengths = np.concatenate((lengths, lengths[rules[-1][:, 0]] + lengths[rules[-1][:, 1]]))
+        used = (keyed[textkit.ragged(heads[chosen], counts[chosen])] & low).astype(np.int64)
+        rest = np.concatenate(((keyed[textkit.ragged(heads[often], counts[often])] & low).astype(np.int64), where[odd]))
+        symbols[used] = np.repeat(np.arange(size, size + len(chosen), dtype=np.uint32), counts[chosen])
         keep = np.ones(len(symbols), bool)
-        keep[maybe + 1] = False
+        keep[used + 1] = False
+        moved = np.cumsum(keep, dtype=np.int64) - 1
         symbols = symbols[keep]
-        rules.append(keys)
-        size += len(keys)
-    made = np.concatenate(rules) if rules else np.zeros(0, np.uint32)
-    made = np.stack([made >> np.uint32(16), made & np.uint32(65535)], 1).astype(np.uint16)
-    lengths = np.ones(size, np.uint32)
-    for k, (a, b) in enumerate(made.tolist()):
-        lengths[len(alphabet) + k] = lengths[a] + lengths[b]
-    return alphabet.astype(np.uint32), made, lengths, symbols.astype(np.uint16)
+        size += len(chosen)
+        live = np.zeros(len(symbols), bool)
+        live[moved[rest[keep[rest]]]] = True
+        fresh = moved[used]
+        live[fresh] = True
+        live[fresh[fresh > 0] - 1] = True
+        at = np.flatnonzero(live[:-1])
+    width = _width(size)
+    return alphabet.astype(np.uint32), np.concatenate(rules).astype(width), lengths, symbols.astype(width)
+
+
+def _width(size: int) -> type:
+    return np.uint16 if size <= 1 << 16 else np.uint32
 
 
 class Shard:
     """One row of a token file, for decoding."""
 
     def __init__(self, alphabet: bytes, rules: bytes, lengths: bytes, symbols: bytes):
-        self.alphabet, self.lengths = np.frombuffer(alphabet, np.uint32), np.frombuffer(lengths, np.uint32).astype(np.int64)
-        self.rules, self.symbols = np.frombuffer(rules, np.uint16).reshape(-1, 2).astype(np.int64), np.frombuffer(symbols, np.uint16).astype(np.int64)
+        self.lengths = np.frombuffer(lengths, np.uint32).astype(np.int64)
+        width = _width(len(self.lengths))
+        self.symbols = np.frombuffer(symbols, width).astype(np.int64)
         self.firsts = np.cumsum(self.lengths) - self.lengths
-        self.flat = np.empty(int(self.lengths.sum()), np.uint32)
-        n = len(self.alphabet)
-        self.flat[:n] = self.alphabet
-        for k, (a, b) in enumerate(self.rules.tolist()):
-            at, mid = self.firsts[n + k], self.firsts[n + k] + self.lengths[a]
-            self.flat[at:mid] = self.flat[self.firsts[a] : self.firsts[a] + self.lengths[a]]
-            self.flat[mid : mid + self.lengths[b]] = self.flat[self.firsts[b] : self.firsts[b] + self.lengths[b]]
+        expanded = [alphabet[k : k + 4] for k in range(0, len(alphabet), 4)]
+        for a, b in np.frombuffer(rules, width).reshape(-1, 2).tolist():
+            expanded.append(expanded[a] + expanded[b])
+        self.flat = np.frombuffer(b"".join(expanded), np.uint32)
 
     def ids(self, first: int = 0, stop: int | None = None) -> np.ndarray:
         """The ids of a range of symbols."""
@@ -218,9 +248,10 @@ def _packed(part: int, shard: int, ids: np.ndarray, docs: list[int | None], size
     alphabet, rules, lengths, symbols = compress(ids, end)
     sums = np.concatenate(([0], np.cumsum(lengths[symbols].astype(np.int64))))
     doc_symbols = np.diff(np.searchsorted(sums, np.concatenate(([0], np.cumsum(sizes)))))
+    named = [d for d in docs if d is not None]
     return pa.RecordBatch.from_arrays(
-        [*(pa.array([x], pa.int64()) for x in (part, shard, len(ids))), *(textkit.binary_column([x.tobytes()]) for x in (alphabet, rules, lengths, symbols)), pa.array([docs], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([doc_symbols], pa.list_(pa.int64()))],
-        names=["part", "shard", "n_tokens", "alphabet", "rules", "lengths", "symbols", "doc_ids", "doc_tokens", "doc_symbols"],
+        [*(pa.array([x], pa.int64()) for x in (part, shard, min(named, default=None), max(named, default=None), len(ids))), *(textkit.binary_column([x.tobytes()]) for x in (alphabet, rules, lengths, symbols)), pa.array([docs], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([doc_symbols], pa.list_(pa.int64()))],
+        names=["part", "shard", "first_id", "last_id", "n_tokens", "alphabet", "rules", "lengths", "symbols", "doc_ids", "doc_tokens", "doc_symbols"],
     )
 
 
@@ -251,11 +282,12 @@ def _sharded(tokenizer: str, end: int):
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int = 1) -> None:
     """Writes the token file of docs (doc_id, text; other columns are ignored), in ascending doc_id order with null ids first; each document ends with `end`.
 
-    A null text is empty and has the end id alone. Rows that repeat a doc_id follow one another. An empty table makes a file without shards.
+    A null text is empty and has the end id alone; one longer than a shard is a shard of its own. Rows that repeat a doc_id follow one another. An empty table makes a file without shards.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     spread = rows.withColumn("tie", F.monotonically_increasing_id()).repartitionByRange(partitions(spark), "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    small_batches(spark)
     spread.select("doc_id", "text").mapInArrow(_sharded(tokenizer, end), SHARD).write.option("compression", "zstd").mode("overwrite").parquet(path)
 
 
@@ -280,13 +312,13 @@ def read_digest(spark: SparkSession, path: str) -> DataFrame:
     parts = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("of_part"))  # a row for each part file
     order = Window.partitionBy("part").orderBy("shard")
     starts = sizes.select("part", "shard", (F.sum("n_tokens").over(order) - F.col("n_tokens")).alias("of_shard")).join(parts, "part")
-    rows = shards.drop("n_tokens").mapInArrow(_decoded, "part long, shard long, doc_id long, inside long, n_tokens long, ids_crc32 long, n_symbols long")
+    rows = shards.drop("first_id", "last_id", "n_tokens").mapInArrow(_decoded, "part long, shard long, doc_id long, inside long, n_tokens long, ids_crc32 long, n_symbols long")
     return rows.join(starts, ["part", "shard"]).select("doc_id", (F.col("of_part") + F.col("of_shard") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32", "n_symbols")
 
 
 def read_ids(spark: SparkSession, path: str, doc_id: int, start: int = 0, end: int | None = None) -> list[int]:
     """Ids start to end of one document, decoded from its shard alone."""
-    row = spark.read.schema(SHARD).parquet(path).where(F.array_contains("doc_ids", F.lit(doc_id))).first()
+    row = spark.read.schema(SHARD).parquet(path).where((F.col("first_id") <= doc_id) & (F.col("last_id") >= doc_id) & F.array_contains("doc_ids", F.lit(doc_id))).first()
     if row is None:
         return []
     k = row.doc_ids.index(doc_id)

@@ -1,10 +1,13 @@
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from pulsegrid.llm import textkit, token_files
@@ -57,6 +60,34 @@ def test_grammar_is_lossless_and_shrinks():
         assert shard.ids().tolist() == few
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(1, 4), max_size=400), st.integers(2, 5))
+def test_no_frequent_pair_is_left(ids, least):
+    """Runs of one id and overlaps included: the grammar is lossless, and no pair beside the end id occurs `least` times without overlap."""
+    ids = np.array(ids, np.uint32)
+    alphabet, rules, lengths, symbols = token_files.compress(ids, 1, least)
+    assert token_files.Shard(*(x.tobytes() for x in (alphabet, rules, lengths, symbols))).ids().tolist() == ids.tolist()
+    counts, free = Counter(), -1
+    for k, pair in enumerate(zip(symbols[:-1].tolist(), symbols[1:].tolist(), strict=True)):
+        twin = pair[0] == pair[1]
+        if 1 not in [alphabet[s] for s in pair if s < len(alphabet)] and not (twin and k <= free):
+            counts[pair] += 1
+            free = k + 1 if twin else k
+    assert max(counts.values(), default=0) < least
+
+
+def test_runs_of_one_id_shrink_to_their_logarithm():
+    symbols = token_files.compress(np.full(1 << 14, 9, np.uint32), 1)[3]
+    assert len(symbols) <= 16
+
+
+def test_many_symbols_take_four_bytes():
+    rng = np.random.default_rng(1)
+    ids = np.concatenate((np.arange(2, 70_002), np.tile(rng.integers(2, 70_002, 50), 40))).astype(np.uint32)
+    out = token_files.compress(ids, 1)
+    assert out[3].dtype == np.uint32 and (token_files.Shard(*(x.tobytes() for x in out)).ids() == ids).all() and len(out[3]) < 70_200
+
+
 def test_cache_bound(monkeypatch, tokenizer):
     monkeypatch.setattr(token_files, "CACHE_PIECES", 5)
     encoder = token_files.Encoder(word_vocabulary())
