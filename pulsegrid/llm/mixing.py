@@ -1,6 +1,6 @@
 """Mixing sources to target weights by Pareto order sampling, in DataFrame operations only.
 
-Each document first gets the whole copies that are certain. The fraction of a copy that remains is its inclusion chance p in
+A source's target is spread over its documents in proportion to their importance, up to the most copies that one may have. Each document first gets the whole copies that are certain. The fraction of a copy that remains is its inclusion chance p in
 the source's sample: the documents are ranked by the ratio of random odds u / (1 - u) to inclusion odds p / (1 - p), and those with the smallest ratios are taken until
 their words fill what the source still lacks. The cut in the ranking is found by two histograms of the ratio, so a source with a third of all
 rows is never sorted as a whole.
@@ -8,6 +8,8 @@ rows is never sorted as a whole.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,8 @@ from pulsegrid.llm.support import cut, partitions
 
 WEIGHTS = (3.0, 1.0, 2.0)
 _BINS = 4096
+#: Importance is rounded to quarter powers of two, within these powers, so that a source has a bounded number of classes of it.
+_POWERS = 32
 
 
 def n_words(text: Column) -> Column:
@@ -22,6 +26,11 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def by_size(size: Column) -> Column:
+    """Importance by number of words: texts under 50 words a step of sqrt(2) below, texts of 500 and more one above the others."""
+    return F.when(size < 50, F.lit(2.0**-0.5)).when(size < 500, F.lit(1.0)).otherwise(F.lit(2.0**0.5))
+
+
 def ranked_sources(sizes: DataFrame) -> DataFrame:
     """(source, source_size, place): sources by code point, null last, places from 0. Sorted by ranges, so no task gets all sources."""
     spark = sizes.sparkSession
@@ -69,24 +78,34 @@ def _until(parts: DataFrame, by: list[str]) -> DataFrame:
     return parts.withColumn("below", F.coalesce(F.sum("words").over(order), F.lit(0)))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, percent: float = 150.0, most: float = 2.0, seed: int = 17, importance: str | None = None) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken for each row of docs (doc_id, text, source; others are ignored).
+def _rates(sizes: DataFrame, shares: DataFrame, most: float) -> DataFrame:
+    """(source, source_size, target, rate): the rate at which min(most, rate * importance) copies of each document have the target's words; null if all need `most`."""
+    classes = sizes.where("importance > 0").groupBy("source", "importance").agg(F.sum("size").alias("words"))
+    classes = classes.join(shares.select(F.col("source").alias("s"), "target"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    order = Window.partitionBy("source").orderBy(F.desc("importance"))
+    full = F.coalesce(F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rest = F.sum(F.col("words") * F.col("importance")).over(order.rowsBetween(0, Window.unboundedFollowing))
+    rates = classes.select("source", "importance", F.when(rest > 0, (F.col("target") - F.lit(most) * full) / rest).alias("rate"))
+    rates = rates.where(F.col("rate") * F.col("importance") <= most * (1 + 1e-12)).groupBy(F.col("source").alias("s")).agg(F.max_by("rate", "importance").alias("rate"))
+    return shares.join(rates, F.col("source").eqNullSafe(F.col("s")), "left").select("source", "source_size", "target", "rate")
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, percent: float = 150.0, most: float = 2.0, seed: int = 17, importance: str | Callable[[Column], Column] | None = None) -> DataFrame:
+    """doc_id, text_key, source, size, source_size, target, copies, taken for each row of docs (doc_id, text, source; others are ignored).
 
-    `importance` names a column of positive numbers: the expected copies of a document are in proportion to it, within `most`; by default all of a source are alike.
-    Sources with the same text of name are one, null is a source of its own. Texts without words have size 0 and are taken as often as the others of their source. Repeated
-    rows are ranked each: rows equal in doc_id draw the same number and are told apart by their place in their partition. The same table gives the same result on each run but for such ties.
-    An empty table gives no rows.
+    `importance` names a column of numbers, or makes one from the number of words: the expected copies of a document are in proportion to it (rounded to quarter powers of two), within `most`; without one all of a source are
+    alike. Documents of no importance are not taken. Sources with the same text of name are one, null is a source of its own. Texts without words have size 0 and are taken as often as others of their
+    source and importance. Repeated rows are ranked each: rows equal in doc_id draw the same number and are told apart by their place in their partition. The same table gives the same result on each run but for such ties.
+    A text of any length is counted whole; one longer than its source's target is taken or not as a whole. An empty table gives no rows.
     """
-    weight = F.greatest(F.coalesce(F.col(importance).cast("double"), F.lit(0.0)), F.lit(0.0)) if importance else F.lit(1.0)
-    sizes = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text").cast("string")).alias("size"), weight.alias("importance")))
-    shares = targets(sizes, weights, percent, most)
-    scale = sizes.groupBy("source").agg(F.sum(F.col("importance") * F.col("size")).alias("scale"))
-    per_source = shares.join(scale, shares["source"].eqNullSafe(scale["source"])).select(
-        shares["source"].alias("source"), "source_size", "target",
-        F.coalesce(F.when(F.col("scale") > 0, F.col("target") / F.col("scale")), F.lit(0.0)).alias("rate"),
-    )
+    size = n_words(F.col("text").cast("string"))
+    value = F.lit(1.0) if importance is None else F.col(importance).cast("double") if isinstance(importance, str) else importance(size)
+    steps = F.greatest(F.least(F.round(F.log2(value) * 4), F.lit(4.0 * _POWERS)), F.lit(-4.0 * _POWERS))
+    classed = F.when((value > 0) & ~F.isnan(value), F.pow(F.lit(2.0), steps / 4)).otherwise(0.0)
+    sizes = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_key"), F.col("source").cast("string").alias("source"), size.alias("size"), classed.alias("importance")))
+    per_source = _rates(sizes, targets(sizes, weights, percent, most), most)
     rows = _per_source(sizes, per_source)
-    wanted = F.least(F.lit(float(most)), F.col("rate") * F.col("importance"))
+    wanted = F.when(F.col("importance") > 0, F.least(F.lit(float(most)), F.col("rate") * F.col("importance"))).otherwise(0.0)
     rows = rows.withColumn("sure", F.floor(wanted)).withColumn("chance", wanted - F.col("sure"))
     draw = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
     ratio = (draw / (1 - draw)) / (F.col("chance") / (1 - F.col("chance")))
@@ -118,13 +137,17 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, percent: float =
     free = F.col("at").isNull() & (F.col("size") == 0) & (draw < F.col("chance"))
     every = rows.where("not verge").unionByName(last.select(*rows.columns))
     copies = (F.col("sure") + F.when(F.col("inside") | free, 1).otherwise(0)).cast("long")
-    return every.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return every.select("doc_id", "text_key", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
 def mixed_rows(docs: DataFrame, **settings) -> DataFrame:
-    """docs, all columns, each row as often as the mix takes it. Rows that repeat a doc_id are taken together, as often as all of them are taken, shared over them evenly;
-    rows without a doc_id are taken once."""
-    taken = mix(docs, **settings).where("doc_id is not null").groupBy(F.col("doc_id").alias("mixed_id")).agg(F.ceil(F.avg("copies")).cast("int").alias("mixed_copies")).where("mixed_copies > 0")
-    named = docs.join(taken, docs["doc_id"] == taken["mixed_id"])
-    again = named.withColumn("mixed_copy", F.explode(F.sequence(F.lit(1), F.col("mixed_copies")))).select(*[docs[c] for c in docs.columns])
-    return again.unionByName(docs.where("doc_id is null"))
+    """docs, all columns, each row as often as the mix takes it. Rows that are equal in doc_id, text and source are taken together, and share their copies evenly."""
+    names = ["doc_id", "text_key", "source"]
+    taken = mix(docs, **settings).groupBy(*names).agg(F.sum("copies").alias("copies"), F.count("*").alias("n")).where("copies > 0")
+    keys = [F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.col("text").cast("string")).alias("key"), F.col("source").cast("string").alias("of")]
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), *keys)
+    rows = rows.join(taken, rows["id"].eqNullSafe(taken["doc_id"]) & (rows["key"] == taken["text_key"]) & rows["of"].eqNullSafe(taken["source"])).select("row", "id", "key", "of", "copies", "n")
+    equal = rows.where("n > 1").withColumn("place", F.row_number().over(Window.partitionBy("id", "key", "of").orderBy("n")))
+    equal = equal.withColumn("copies", F.floor(F.col("copies") / F.col("n")) + F.when(F.col("place") <= F.col("copies") % F.col("n"), 1).otherwise(0)).drop("place")
+    every = rows.where("n = 1").unionByName(equal).where("copies > 0")
+    return every.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")

@@ -49,7 +49,7 @@ def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), importance=mixing.by_size)
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
