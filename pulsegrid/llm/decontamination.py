@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.llm import textkit
-from pulsegrid.llm.support import cut, drop_path, scratch_path
+from pulsegrid.llm.support import cut, drop_path, scratch_path, small_batches
 
 INDEX = "block long, terms binary, counts binary, gaps binary, doc_ids array<long>, first_words array<long>, n_words array<long>"
 #: Hashed words of test phrases that one search takes at a time; what is shipped to the tasks is under 8 bytes times this, and a window's share.
@@ -54,6 +54,7 @@ def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def build_index(docs: DataFrame, path: str) -> DataFrame:
     """Writes the index of docs (doc_id, text; other columns are ignored) to path and returns it. A null text has no words."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     rows.mapInArrow(_indexed, INDEX).write.option("compression", "zstd").mode("overwrite").parquet(path)
     return docs.sparkSession.read.schema(INDEX).parquet(path)
@@ -194,12 +195,14 @@ def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _chunks(items: DataFrame, width: int) -> Iterator[Phrases]:
     """Phrases of whole items, as many items at a time as have up to CHUNK_WORDS words."""
     held: list[tuple[int, np.ndarray]] = []
+    n_words = 0
     rows = items.where("item_id is not null").select(F.col("item_id").cast("long"), F.col("text").cast("string")).mapInArrow(_item_words, "item_id long, words binary")
     for row in rows.toLocalIterator():
         held.append((row.item_id, np.frombuffer(bytes(row.words), np.uint64)))
-        if sum(len(w) for _, w in held) >= CHUNK_WORDS:
+        n_words += len(held[-1][1])
+        if n_words >= CHUNK_WORDS:
             yield Phrases(held, width)
-            held = []
+            held, n_words = [], 0
     if held:
         yield Phrases(held, width)
 
@@ -269,7 +272,7 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFra
     """doc_id, n_words, n_hit, items for each row of docs (doc_id, text), against items (item_id, text); other columns are ignored.
 
     A null or wordless text has n_words 0 and hits nothing. Repeated rows are searched each. Rows with a null doc_id keep it. An empty benchmark hits nothing, an empty
-    table of documents gives no rows. The index lives in the shared folder until the result is made.
+    table of documents gives no rows. A text of any length is indexed whole, in a block of its own if it is longer than one. The index lives in the shared folder until the result is made.
     """
     spark: SparkSession = docs.sparkSession
     path = scratch_path(spark, "postings")

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -20,7 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pulsegrid.llm.support import small_batches
+
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+_OPEN_COMMENT = re.compile(r"<!--.*", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _PUNCTUATION = re.compile(r"[.,;:!?。，、；：！？…]")
@@ -47,15 +51,25 @@ _KERNEL = np.exp(-0.5 * np.arange(-2, 3) ** 2)
 
 @dataclass(slots=True, eq=False)
 class Node:
+    """An element. Elements are numbered in page order, so those inside one follow it up to `last`."""
+
     tag: str
     parent: Node | None
     depth: int
-    path: str
+    number: int
+    path: int
     outside: bool
     hinted: bool
     hidden: bool
+    in_article: bool
     in_main: bool = False
     holds_main: bool = False
+    last: int = 0
+    #: depth of the nearest element around or at it that names another part; -1 if none
+    other: int = -1
+
+    def holds(self, node: Node) -> bool:
+        return self.number <= node.number <= self.last
 
 
 @dataclass(slots=True, eq=False)
@@ -90,9 +104,10 @@ def _told(attributes: str) -> tuple[bool, bool]:
     return hinted, hidden
 
 
-def read_blocks(page: str) -> list[TextBlock]:
-    """The page's blocks of text, in order."""
-    root = Node("", None, 0, "", False, False, False)
+def read_page(page: str) -> tuple[list[Node], list[TextBlock]]:
+    """The page's elements and its blocks of text, in order. Paths of tags are numbered: each is its parent's path and a tag."""
+    root = Node("", None, 0, 0, 0, False, False, False, False)
+    nodes, paths, open_, raw_ends = [root], {}, Counter(), {}
     at, found, parts, linked, links, end = root, [], [], 0, 0, 0
 
     def add(raw: str) -> None:
@@ -110,29 +125,37 @@ def read_blocks(page: str) -> list[TextBlock]:
                 found.append(TextBlock(at, text, linked))
             parts, linked = [], 0
 
-    def close(names: set[str] | frozenset[str], walls: set[str] | frozenset[str]) -> None:
+    def leave(x: Node) -> None:
+        """Goes on in the element around x."""
         nonlocal at, links
+        while at is not x.parent:
+            links -= at.tag == "a"
+            open_[at.tag] -= 1
+            at = at.parent
+
+    def close(names: set[str] | frozenset[str], walls: set[str] | frozenset[str]) -> None:
         x = at
+        if not any(open_[name] for name in names):
+            return
         while x.parent and x.tag not in names:
             if x.tag in walls:
                 return
             x = x.parent
         if x.parent:
             flush()
-            y = at
-            while y is not x.parent:
-                links -= y.tag == "a"
-                y = y.parent
-            at = x.parent
+            leave(x)
 
-    size = len(page)
+    size, last_end = len(page), page.rfind(">")
     while end < size:
-        m = _TOKEN.search(page, end)
+        # what follows the last > is text, and perhaps an open comment
+        m = _TOKEN.search(page, end) if end <= last_end else _OPEN_COMMENT.search(page, end)
         if not m:
             add(page[end:])
             break
         add(page[end : m.start()])
         end = m.end()
+        if m.re is _OPEN_COMMENT:
+            continue
         slash, tag, attributes = m[1] if m[2] else m[4], (m[2] or m[5] or "").lower(), m[3] if m[2] else m[6] or ""
         if not tag:
             continue
@@ -142,20 +165,18 @@ def read_blocks(page: str) -> list[TextBlock]:
             elif tag in BLOCKS:
                 flush()
                 close({tag}, {"table", "body"} - {tag} if tag == "p" else frozenset())
-            elif tag not in VOID:
+            elif tag not in VOID and open_[tag]:
                 x = at
                 while x.parent and x.tag != tag and x.tag not in BLOCKS:
                     x = x.parent
                 if x.parent and x.tag == tag:
-                    y = at
-                    while y is not x.parent:
-                        links -= y.tag == "a"
-                        y = y.parent
-                    at = x.parent
+                    leave(x)
             continue
         if tag in RAW:
-            stop = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, end)
-            end = stop.end() if stop else size if tag in ("script", "style") else end
+            if raw_ends.get(tag, end) is not None:  # None: there is none on the rest of the page
+                stop = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, end)
+                raw_ends[tag] = stop and stop.end()
+            end = raw_ends[tag] or (size if tag in ("script", "style") else end)
             continue
         if tag in BLOCKS:
             flush()
@@ -170,15 +191,25 @@ def read_blocks(page: str) -> list[TextBlock]:
             continue
         hinted, hidden = _told(attributes) if tag not in ("html", "body") and _TELLING.search(attributes) else (False, False)
         if tag in ("article", "main"):  # reader comments are articles inside the article
-            hinted = hinted and tag == "article" and at.depth > 0 and any(x.tag == "article" or x.hinted for x in _up(at))
+            hinted = hinted and tag == "article" and at.in_article
         main = tag in ("article", "main") and not hinted and not hidden
-        at = Node(tag, at, at.depth + 1, f"{at.path}/{tag}", at.outside or tag in OUTSIDE, hinted, hidden, at.in_main or main)
+        path = paths.setdefault((at.path, tag), len(paths) + 1)
+        at = Node(tag, at, at.depth + 1, len(nodes), path, at.outside or tag in OUTSIDE, hinted, hidden, at.in_article or hinted or tag == "article", at.in_main or main)
+        nodes.append(at)
+        open_[tag] += 1
         links += tag == "a"
-        if main:
-            for x in _up(at):
-                x.holds_main = True
+        x = at if main else None
+        while x is not None and not x.holds_main:
+            x.holds_main, x = True, x.parent
     flush()
-    return found
+    for x in reversed(nodes):
+        x.last = max(x.last, x.number)
+        if x.parent:
+            x.parent.last = max(x.parent.last, x.last)
+    for x in nodes[1:]:
+        x.outside |= x.parent.outside or (x.hidden and not x.holds_main)
+        x.other = x.depth if x.hinted and not x.holds_main else x.parent.other
+    return nodes, found
 
 
 def _up(node: Node | None) -> Iterator[Node]:
@@ -187,26 +218,11 @@ def _up(node: Node | None) -> Iterator[Node]:
         node = node.parent
 
 
-def _barred(block: TextBlock) -> bool:
-    return block.node.outside or any(x.hidden and not x.holds_main for x in _up(block.node))
-
-
-def _hinted(block: TextBlock, inside: Node | None = None) -> bool:
-    """Whether an element around the block, and below `inside`, names another part."""
-    for x in _up(block.node):
-        if x is inside:
-            return False
-        if x.hinted and not x.holds_main:
-            return True
-    return False
-
-
 def scores(blocks: list[TextBlock], weights: np.ndarray | None = None) -> np.ndarray:
     """Each block's fused score: the smoothed text ratio of its path times its smoothed punctuation ratio, lowered by its path's share of linked text, times its
     weight. Blocks are smoothed with neighbours of their own weight only."""
     weights = np.ones(len(blocks)) if weights is None else weights
-    paths: dict[str, int] = {}
-    where = np.array([paths.setdefault(b.node.path, len(paths)) for b in blocks], np.int64)
+    where = np.unique(np.array([b.node.path for b in blocks], np.int64), return_inverse=True)[1]
     size = np.array([len(b.text) for b in blocks], float)
     marks = np.array([len(_PUNCTUATION.findall(b.text)) for b in blocks], float)
     linked = np.array([min(b.linked, len(b.text)) for b in blocks], float)
@@ -225,22 +241,25 @@ def scores(blocks: list[TextBlock], weights: np.ndarray | None = None) -> np.nda
 
 def main_text(page: str | None) -> str:
     """Blocks of the main part, each with single spaces, joined by two \\n; empty if there is none."""
-    blocks = read_blocks(page) if page else []
-    free = [b for b in blocks if not _barred(b)]
+    nodes, blocks = read_page(page) if page else ([], [])
+    free = [b for b in blocks if not b.node.outside]
     if not free:
         return ""
-    weights = np.array([HINT_WEIGHT if _hinted(b) else MAIN_WEIGHT if b.node.in_main else 1.0 for b in free])
+    weights = np.array([HINT_WEIGHT if b.node.other >= 0 else MAIN_WEIGHT if b.node.in_main else 1.0 for b in free])
     fused = scores(free, weights)
     bar = min(fused.std(), fused.max())
-    held: dict[int, list] = {}
-    for b, w in zip(free, np.where(fused >= bar, weights, 0.0), strict=True):
-        for x in _up(b.node) if w else ():
-            held.setdefault(id(x), [x, 0])[1] += len(b.text) * w
-    whole = max(w for _, w in held.values())
-    inner = max((x for x, w in held.values() if w * 10 >= whole * 9), key=lambda x: x.depth)
+    held = np.zeros(len(nodes))
+    for b, w in zip(free, np.where(fused >= bar, weights, 0.0).tolist(), strict=True):
+        held[b.node.number] += len(b.text) * w
+    held = held.tolist()
+    for x in reversed(nodes[1:]):
+        held[x.parent.number] += held[x.number]
+    whole = max(held)
+    inner = max((x for x in nodes if held[x.number] * 10 >= whole * 9), key=lambda x: x.depth)
     inner = next(x for x in _up(inner) if x.tag in _CONTAINERS)
     inner = next((x for x in _up(inner) if x.tag in ("article", "main") and not x.hinted), inner)
-    return "\n\n".join(b.text for b, s in zip(free, fused, strict=True) if any(x is inner for x in _up(b.node)) and (s >= bar if _hinted(b, inner) else b.node.in_main or 2 * b.linked <= len(b.text)))
+    kept = [b for b, s in zip(free, fused.tolist(), strict=True) if inner.holds(b.node) and (s >= bar if b.node.other > inner.depth else b.node.in_main or 2 * b.linked <= len(b.text))]
+    return "\n\n".join(b.text for b in kept)
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,6 +274,7 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for each row of pages (page_id, url, html; other columns are ignored), in one narrow pass.
 
     A null or empty page has an empty text. Broken markup is read as far as it goes: unclosed elements end with their parents, a truncated tag is text. Repeated rows are extracted each;
-    null ids and urls stay null. An empty table gives no rows.
+    null ids and urls stay null. A page of any length or depth is read whole, in time in proportion to it. An empty table gives no rows.
     """
+    small_batches(pages.sparkSession)
     return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(_extracted, "page_id long, url string, text string, n_chars long")

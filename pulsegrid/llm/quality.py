@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.llm import textkit
+from pulsegrid.llm.support import small_batches
 
 _SYMBOLS = textkit.byte_class(*((b, b) for b in b"#*$%&|<>"))
 _UPPER, _LOWER, _DIGIT = textkit.byte_class((65, 90)), textkit.byte_class((97, 122), (128, 255)), textkit.byte_class((48, 57))
@@ -111,23 +112,25 @@ class LineField:
     def decode(self, features: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Viterbi: the best labels of sequences with these numbers of lines, in step over all sequences; ties go to content."""
         order = np.argsort(-counts, kind="stable")
-        padded, cell = self._padded(features @ self.emit, counts)
-        padded, ranked = padded[:, order], counts[order]
-        back = np.zeros(padded.shape, np.int8)
-        best = self.start + padded[0] if len(padded) else np.zeros((len(counts), 2))
-        live = np.searchsorted(-ranked, -np.arange(1, len(padded) + 1), "right")
-        for t in range(1, len(padded)):
-            ways = best[: live[t], :, None] + self.step
-            back[t, : live[t]] = ways[:, 1] >= ways[:, 0]
-            best[: live[t]] = ways.max(1) + padded[t, : live[t]]
-        labels = np.zeros(padded.shape[:2], np.int8)
+        ranked = counts[order]
+        # lines by step, then by sequence from the longest on: as many cells as lines, whatever their lengths
+        live = np.searchsorted(-ranked, -np.arange(int(ranked.max(initial=0))), "left")
+        firsts, steps = (np.cumsum(counts) - counts)[order], np.cumsum(live) - live
+        scores = features @ self.emit
+        back = np.zeros((len(scores), 2), np.int8)
+        best = self.start + scores[firsts[: live[0]]] if len(live) else np.zeros((0, 2))
+        for t in range(1, len(live)):
+            n, at = live[t], steps[t]
+            ways = best[:n, :, None] + self.step
+            back[at : at + n] = ways[:, 1] >= ways[:, 0]
+            best[:n] = ways.max(1) + scores[firsts[:n] + t]
+        labels = np.zeros(len(scores), np.int8)
         state = (best[:, 1] >= best[:, 0]).astype(np.int8)
-        for t in range(len(padded) - 1, -1, -1):
-            labels[t, : live[t]] = state[: live[t]]
-            state[: live[t]] = back[t, np.arange(live[t]), state[: live[t]]]
-        unsorted = np.empty_like(labels)
-        unsorted[:, order] = labels
-        return unsorted[cell]
+        for t in range(len(live) - 1, -1, -1):
+            n, at = live[t], steps[t]
+            labels[firsts[:n] + t] = state[:n]
+            state[:n] = back[np.arange(at, at + n), state[:n]]
+        return labels
 
     def fit(self, features: np.ndarray, counts: np.ndarray, labels: np.ndarray, rounds: int = 150, rate: float = 0.15, decay: float = 1e-3) -> LineField:
         """Gradient ascent (Adam) on the mean log-likelihood of the sequences' labels."""
@@ -165,24 +168,35 @@ class LineField:
         return self
 
 
-def _lines_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for block in textkit.blocks(batch.column(1)):
-            m = measure(block)
-            cuts = np.searchsorted(m.line_doc, np.arange(len(block) + 1))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, len(block)), textkit.binary_column([m.features[a:b].astype(np.float32).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)])], names=["quality", "features"])
+def _lines_of(piece: int, pieces: int):
+    def spread(rows: np.ndarray) -> bytes:
+        cuts = np.arange(0, len(rows), piece)
+        if len(cuts) > pieces:
+            rows = rows[textkit.ragged(cuts[np.linspace(0, len(cuts) - 1, pieces).astype(np.int64)], np.full(pieces, piece)).clip(0, len(rows) - 1)]
+        return rows.astype(np.float32).tobytes()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in textkit.blocks(batch.column(1)):
+                m = measure(block)
+                cuts = np.searchsorted(m.line_doc, np.arange(len(block) + 1))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, len(block)), textkit.binary_column([spread(m.features[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])], names=["quality", "features"])
+
+    return run
 
 
-def fit_field(docs: DataFrame, labels: DataFrame, sample: int = 1000, piece: int = 64) -> LineField:
+def fit_field(docs: DataFrame, labels: DataFrame, sample: int = 1000, piece: int = 64, pieces: int = 32) -> LineField:
     """The field of the lines of `sample` documents of each quality (0 and 1) at most, those with the smallest hash of doc_id.
 
-    The bound keeps what the driver gathers small; whole texts are taken, cut into pieces of `piece` lines for fitting. With no
+    The bounds keep what the driver gathers small: texts are cut into pieces of `piece` lines, and of a longer text `pieces` of them, spread evenly over all of it, are fitted. With no
     labelled documents of one of the two kinds the field stays zero, which calls every line content.
     """
+    small_batches(docs.sparkSession)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rated = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")).withColumn("draw", F.xxhash64("doc_id"))
     picked = rated.where("quality = 0").orderBy("draw", "doc_id").limit(sample).unionByName(rated.where("quality = 1").orderBy("draw", "doc_id").limit(sample)).withColumnRenamed("doc_id", "rated_id")
-    rows = docs.join(F.broadcast(picked), docs["doc_id"] == picked["rated_id"]).groupBy("rated_id").agg(F.first("quality").cast("long").alias("quality"), F.min(docs["text"].cast("string")).alias("text"))
-    found = rows.orderBy("rated_id").select("quality", "text").mapInArrow(_lines_of, "quality long, features binary").collect()
+    rows = docs.join(F.broadcast(picked), docs["doc_id"] == picked["rated_id"]).groupBy("rated_id").agg(F.first("quality").cast("long").alias("quality"), F.min("text").alias("text"))
+    found = rows.orderBy("rated_id").select("quality", "text").mapInArrow(_lines_of(piece, pieces), "quality long, features binary").collect()
     lines, counts, marks = [], [], []
     for row in found:
         own = np.frombuffer(bytes(row.features), np.float32).reshape(-1, FEATURES)
@@ -219,8 +233,9 @@ RATED = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines
 def rate(docs: DataFrame, model: LineField, least_content: float = 0.5) -> DataFrame:
     """The columns of RATED for each row of docs (doc_id, text; other columns are ignored).
 
-    Null, empty and wordless texts have counts of 0 and fail the base rules. Repeated rows are rated each; null ids are kept as null. An empty table gives no rows.
+    Null, empty and wordless texts have counts of 0 and fail the base rules. Repeated rows are rated each; null ids are kept as null. A text of any length is rated whole, in memory in proportion to it. An empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_rated(model, least_content), RATED)
 
 
@@ -238,4 +253,5 @@ def _passing(model: LineField, least: float, at: int):
 
 def keep_good(docs: DataFrame, model: LineField, least_content: float = 0.5) -> DataFrame:
     """docs, all columns, without the rows that `rate` does not keep; one narrow pass."""
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(_passing(model, least_content, docs.columns.index("text")), docs.schema)

@@ -79,12 +79,12 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     of another conversation. quoted_* is the origin of the message's first linked passage of the lowest level; reply_to is the first origin in the same conversation, null if there
     is none. Sorting by conv_id, position gives each thread after the one that starts before it, replies after what they quote.
     Rows that repeat (conv_id, turn) share reply_to and position. Rows without conv_id or turn keep their own text and counts and get null
-    links. Null texts have an empty own text and no quotes. An empty table gives no rows.
+    links. Null texts have an empty own text and no quotes. A text of any length is parsed whole, in one row. An empty table gives no rows.
     """
     rows = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     rows = passages(rows)
     own = F.filter("passages", lambda p: p["level"] == 0)
-    text = F.trim(F.array_join(F.flatten(F.transform(own, lambda p: p["lines"])), "\n"))
+    text = F.trim(F.array_join(F.flatten(F.transform(own, lambda p: p["lines"])), "\n"), F.lit(" \n\t\r\x0b\x0c"))
     quotes = F.filter(F.filter("passages", lambda p: p["level"] > 0), lambda p: normal(F.array_join(p["lines"], "\n")) != "")
     rows = cut(rows.select("conv_id", "turn", "role", text.alias("text"), own.alias("own"), quotes.alias("quotes")).withColumn("row", F.monotonically_increasing_id()))
 

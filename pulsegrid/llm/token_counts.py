@@ -16,9 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.llm import textkit
+from pulsegrid.llm.support import small_batches
 
 END = 256
 _WIDTH = 257
+#: Longer words move on alone: steps over all words would be as many as the longest has bytes.
+LONG_BYTES = 1024
 _automata: dict[str, Automaton] = {}
 
 
@@ -72,6 +75,8 @@ class Automaton:
                     fail[child], pops[child] = children[back][symbol], taken
         self.fail, self.pops = np.array(fail, np.int64), np.array(pops, np.int64)
         edges = sorted((node * _WIDTH + symbol, child) for node, own in enumerate(children) for symbol, child in own.items())
+        self.edges: dict[int, int] | None = None
+        self.links: list[tuple[int, int]] = []
         self.keys, self.next = np.array([k for k, _ in edges], np.int64), np.array([c for _, c in edges], np.int64)
 
     @staticmethod
@@ -95,8 +100,30 @@ class Automaton:
             live = live[nodes[live] >= 0]
         return nodes
 
+    def _count_one(self, word: bytes) -> int:
+        if self.edges is None:
+            self.edges, self.links = dict(zip(self.keys.tolist(), self.next.tolist(), strict=True)), list(zip(self.pops.tolist(), self.fail.tolist(), strict=True))
+        node = count = 0
+        for symbol in (*word, END):
+            while (after := self.edges.get(node * _WIDTH + symbol)) is None:
+                taken, node = self.links[node]
+                count += taken
+                if node < 0:
+                    return 1
+            node = after
+        while node > 0:
+            taken, node = self.links[node]
+            count += taken
+        return 1 if node < 0 else count
+
     def count(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Pieces of each word data[start:end]; all words move on together, a symbol at a time."""
+        """Pieces of each word data[start:end]; words of at most LONG_BYTES move on together, a symbol at a time."""
+        long = np.flatnonzero(ends - starts > LONG_BYTES)
+        if len(long):
+            counts, short = np.zeros(len(starts), np.int64), np.flatnonzero(ends - starts <= LONG_BYTES)
+            counts[short] = self.count(data, starts[short], ends[short])
+            counts[long] = [self._count_one(data[a:b].tobytes()) for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]
+            return counts
         order = np.argsort(starts - ends, kind="stable")
         sizes = (ends - starts)[order]
         counts, nodes = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
@@ -134,6 +161,7 @@ def count_tokens(docs: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id, n_words, n_tokens for each row of docs (doc_id, text; other columns are ignored), in one narrow pass.
 
     A-Z are lower-cased; words lie between spaces and \\x09-\\x0D; n_tokens is the number of pieces that greedy longest match cuts them into.
-    Null, empty and wordless texts have 0 of both. Repeated rows are counted each, null ids stay null, an empty table gives no rows.
+    Null, empty and wordless texts have 0 of both. Repeated rows are counted each, null ids stay null, texts and words of any length are counted whole, an empty table gives no rows.
     """
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_counted(tokenizer), "doc_id long, n_words long, n_tokens long")

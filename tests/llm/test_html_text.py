@@ -2,10 +2,11 @@ from __future__ import annotations
 
 import html
 import re
+import time
 
 import pytest
 
-from pulsegrid.llm.html_text import extract, main_text, read_blocks, scores
+from pulsegrid.llm.html_text import extract, main_text, read_page, scores
 from pulsegrid.llm.support import table
 
 PAGES = {
@@ -61,7 +62,7 @@ def test_all_test_pages(spark, sf):
 
 
 def test_ratios_prefer_long_punctuated_paths():
-    blocks = read_blocks("<div><ul><li><a>aa</a><li><a>bb</a><li><a>cc</a></ul><p>Long text, of many words, and signs.</p><p>And more, of the same.</p></div>")
+    _, blocks = read_page("<div><ul><li><a>aa</a><li><a>bb</a><li><a>cc</a></ul><p>Long text, of many words, and signs.</p><p>And more, of the same.</p></div>")
     found = scores(blocks)
     assert max(found[:2]) < min(found[3:])
 
@@ -70,3 +71,10 @@ def test_odd_rows(spark):
     rows = spark.createDataFrame([(1, "u", None, 1), (None, None, "<p>x</p>", 2), (1, "u", "<p>x</p>", 3), (2, "v", "<p>" + "long text, " * 20000, 4)], "page_id long, url string, html string, text long")
     got = extract(rows).collect()
     assert sorted(r.n_chars for r in got) == [0, 1, 1, 219999] and extract(rows.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("page", ["<div>" * 20_000 + "x", "<div>x" * 20_000, "<a " * 40_000, "<svg>" * 20_000 + "x", "<b>x</i>" * 20_000, "<!-- " * 20_000, "<div><b>" * 4000 + "text, of words. " * 9 + "</p>" * 4000, "<article>" * 5000 + "x", "<p hidden>" * 5000 + "x"])
+def test_odd_markup_takes_linear_time(page):
+    began = time.process_time()
+    main_text(page)
+    assert time.process_time() - began < 2

@@ -85,3 +85,15 @@ def test_without_labels_all_lines_are_content(spark, small_docs):
 def test_long_single_text(spark, sf):
     docs = spark.createDataFrame([(1, "word and more words in a line of text here.\n" * 3000)], "doc_id long, text string")
     assert quality.rate(docs, quality.LineField()).first().n_dup_lines == 2999
+
+
+def test_one_very_long_text_among_short_ones(spark):
+    """Memory follows the lines, not the longest text times the number of texts."""
+    rows = [(0, "some line of text\n" * 150_000)] + [(k, f"short row number {k} of a few words and then some more") for k in range(1, 5000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).withColumn("quality", F.lit(7)).withColumn("content_share", F.lit(7))
+    field = quality.LineField(np.zeros((quality.FEATURES, 2)), np.array([[0.5, 0.0], [0.0, 0.5]]), np.zeros(2))
+    got = quality.rate(docs, field).where("doc_id in (0, 1)").orderBy("doc_id").collect()
+    assert [r.n_words for r in got] == [600_000, 12] and got[0].base_failed and not got[1].base_failed
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int")
+    fitted = quality.fit_field(docs, labels)
+    assert (fitted.emit != 0).any() and quality.keep_good(docs, fitted).columns == docs.columns

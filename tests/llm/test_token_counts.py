@@ -42,3 +42,11 @@ def test_documents(spark, small_docs, no_docs):
         words = [w for w in raw.replace(b"\x0b", b" ").replace(b"\x0c", b" ").replace(b"\t", b" ").replace(b"\n", b" ").replace(b"\r", b" ").split(b" ") if w]
         want.add((r.doc_id, len(words), sum(greedy(w, pieces, longest) for w in words)))
     assert got == want and count_tokens(no_docs, word_vocabulary()).count() == 0
+
+
+def test_very_long_words(spark):
+    pieces = set(pieces_of(word_vocabulary()))
+    longest, word = max(map(len, pieces)), "abcdefghijklm" * 700 + "é!"
+    docs = spark.createDataFrame([(1, f"a {word} b"), (2, "x" * 5_000_000)], "doc_id long, text string")
+    got = {r.doc_id: r.n_tokens for r in count_tokens(docs, word_vocabulary()).collect()}
+    assert got[1] == sum(greedy(w.encode(), pieces, longest) for w in ("a", word, "b")) and got[2] > 100_000
