@@ -36,7 +36,7 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats or drops documents so that the sources have their target shares of words."""
-    return mixing.mixed_rows(docs)
+    return mixing.mixed_rows(docs, importance=mixing.by_size)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,10 +59,14 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents; what each keeps is written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """The stages over documents; what each keeps is written to the shared folder and read again. A stage's folder goes when its successor is written;
+    the last one's holds the result."""
+    docs, last = table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
         path = scratch_path(spark, f"stage{k}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if last:
+            drop_path(spark, last)
+        last = path
     return docs
