@@ -10,6 +10,7 @@ rarest, and so on; what is left after the last term is an exact match.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,8 @@ from pulsegrid.llm import textkit
 from pulsegrid.llm.support import cut, drop_path, scratch_path, small_batches
 
 INDEX = "block long, terms binary, counts binary, gaps binary, doc_ids array<long>, first_words array<long>, n_words array<long>"
+#: Bytes of text that a block of the index has at most, if it has more than one document.
+INDEX_BYTES = 2 << 20
 #: Hashed words of test phrases that one search takes at a time; what is shipped to the tasks is under 8 bytes times this, and a window's share.
 CHUNK_WORDS = 200_000
 
@@ -35,7 +38,7 @@ def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part, at = TaskContext.get().partitionId(), 0
     for batch in batches:
         ids = batch.column(0).to_pylist()
-        for block in textkit.blocks(batch.column(1)):
+        for block in textkit.blocks(batch.column(1), INDEX_BYTES):
             hashes, firsts = _terms(block)
             order = np.argsort(hashes, kind="stable")
             ranked = hashes[order]
@@ -144,7 +147,7 @@ def _term_counts(vocabulary: np.ndarray):
 
 
 def _searched(phrases: Phrases):
-    """Blocks of the index to a row for each of their documents: the hit words as bits, and the items found."""
+    """Blocks of the index to a row for each of their documents: the number of hit words, they as bits, and the items found."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -163,10 +166,11 @@ def _searched(phrases: Phrases):
                 cuts = np.searchsorted(held[:, 0], np.arange(n + 1))
                 some = np.zeros(n, bool)
                 some[row] = True
+                total = np.concatenate(([0], np.cumsum(hit)))
                 bits = [np.packbits(hit[firsts[d] : firsts[d] + sizes[d]]).tobytes() if some[d] else b"" for d in range(n)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, batch.column(0)[k].as_py())), pa.array(np.arange(n)), ids, pa.array(sizes), pa.array(bits, pa.binary()), pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(held[:, 1]))],
-                    names=["block", "row", "doc_id", "n_words", "bits", "items"],
+                    [pa.array(np.full(n, batch.column(0)[k].as_py())), pa.array(np.arange(n)), ids, pa.array(sizes), pa.array(total[firsts + sizes] - total[firsts]), pa.array(bits, pa.binary()), pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(held[:, 1]))],
+                    names=["block", "row", "doc_id", "n_words", "n_hit", "bits", "items"],
                 )
 
     return run
@@ -221,16 +225,12 @@ def search(index: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
     A phrase is `width` consecutive words of an item, or all words of an item that has fewer; n_hit counts the document's words inside any
     occurrence of a phrase. Items without words or without an id hit nothing; equal phrases of several items count for each of them.
     """
-    parts = [index.mapInArrow(_searched(_rarest_first(index, p)), "block long, row long, doc_id long, n_words long, bits binary, items array<long>") for p in _chunks(items, width)]
-    if not parts:
-        parts = [index.mapInArrow(_searched(Phrases([], width)), "block long, row long, doc_id long, n_words long, bits binary, items array<long>")]
+    found = "block long, row long, doc_id long, n_words long, n_hit long, bits binary, items array<long>"
+    parts = [index.mapInArrow(_searched(_rarest_first(index, p)), found) for p in _chunks(items, width)] or [index.mapInArrow(_searched(Phrases([], width)), found)]
     if len(parts) == 1:
-        held = parts[0].select("doc_id", "n_words", F.array("bits").alias("sets"), F.array("items").alias("lists"))
-    else:
-        every = parts[0]
-        for part in parts[1:]:
-            every = every.unionByName(part)
-        held = every.groupBy("block", "row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.collect_list("bits").alias("sets"), F.collect_list("items").alias("lists")).drop("block", "row")
+        return parts[0].select("doc_id", "n_words", "n_hit", "items")
+    every = reduce(DataFrame.unionByName, parts).groupBy("block", "row")
+    held = every.agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.collect_list("bits").alias("sets"), F.collect_list("items").alias("lists")).drop("block", "row")
     return held.mapInArrow(_counted, "doc_id long, n_words long, n_hit long, items array<long>")
 
 
