@@ -50,9 +50,12 @@ class Encoder:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.keys = np.zeros(0, np.uint64)
-        self.firsts = self.counts = np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.uint32)
+        self.forget()
+
+    def forget(self) -> None:
+        """Empties the cache: pieces by hash, in a large sorted table and a small one of those learned lately, which is merged into it now and then."""
+        self.known, self.late = ((np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in range(2))
+        self.ids, self.n_ids = np.zeros(1 << 16, np.uint32), 0
 
     @staticmethod
     def of(path: str) -> Encoder:
@@ -60,36 +63,57 @@ class Encoder:
             _encoders[path] = Encoder(path)
         return _encoders[path]
 
-    def _encoded(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the pieces, one after another, and how many each has."""
-        plain = np.array([bool(_LETTERS.fullmatch(p)) for p in pieces], bool)
-        counts, parts = np.zeros(len(pieces), np.int64), {}
+    def _encoded(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The pieces in some order, their ids one after another, and how many each has. Words of letters alone are encoded as one text, up to 500 at a time."""
+        letters = _LETTERS.fullmatch
+        plain = np.fromiter((letters(p) is not None for p in pieces), bool, len(pieces))
+        order, ids, counts = [], [np.zeros(0, np.uint32)], []
         where = np.flatnonzero(plain)
         for k in range(0, len(where), 500):
             own = where[k : k + 500]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(pieces[i] for i in own)], add_special_tokens=False)[0].ids, np.uint32)
-            stops = np.flatnonzero(self.ends[ids]) + 1
+            found = np.array(self.tokenizer.encode_batch_fast([" ".join([pieces[i] for i in own.tolist()])], add_special_tokens=False)[0].ids, np.uint32)
+            stops = np.flatnonzero(self.ends[found]) + 1
             if len(stops) != len(own):
                 plain[own] = False
                 continue
-            counts[own] = np.diff(stops, prepend=0)
-            parts.update(zip(own.tolist(), np.split(ids, stops[:-1]), strict=True))
+            order.append(own)
+            ids.append(found)
+            counts.append(np.diff(stops, prepend=0))
         other = np.flatnonzero(~plain)
         for k in range(0, len(other), 500):
             own = other[k : k + 500]
-            for i, e in zip(own.tolist(), self.tokenizer.encode_batch_fast([pieces[i] for i in own], add_special_tokens=False), strict=True):
-                parts[i] = np.array(e.ids, np.uint32)
-                counts[i] = len(e.ids)
-        return (np.concatenate([parts[i] for i in range(len(pieces))]) if pieces else np.zeros(0, np.uint32)), counts
+            found = [e.ids for e in self.tokenizer.encode_batch_fast([pieces[i] for i in own.tolist()], add_special_tokens=False)]
+            order.append(own)
+            ids.append(np.array([i for e in found for i in e], np.uint32))
+            counts.append(np.array([len(e) for e in found], np.int64))
+        return np.concatenate(order), np.concatenate(ids), np.concatenate(counts)
 
     def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
-        if len(self.keys) + len(keys) > CACHE_PIECES:
-            self.keys, self.firsts, self.counts, self.ids = self.keys[:0], self.firsts[:0], self.counts[:0], self.ids[:0]
-        ids, counts = self._encoded(pieces)
-        all_keys = np.concatenate((self.keys, keys))
-        order = np.argsort(all_keys, kind="stable")
-        self.firsts = np.concatenate((self.firsts, len(self.ids) + np.cumsum(counts) - counts))[order]
-        self.counts, self.keys, self.ids = np.concatenate((self.counts, counts))[order], all_keys[order], np.concatenate((self.ids, ids))
+        order, ids, counts = self._encoded(pieces)
+        if self.n_ids + len(ids) > len(self.ids):
+            self.ids = np.concatenate((self.ids, np.zeros(max(len(ids), len(self.ids)), np.uint32)))
+        self.ids[self.n_ids : self.n_ids + len(ids)] = ids
+        self.late = self._merged(self.late, (keys[order], self.n_ids + np.cumsum(counts) - counts, counts))
+        self.n_ids += len(ids)
+        if 4 * len(self.late[0]) > len(self.known[0]):
+            self.known, self.late = self._merged(self.known, self.late), tuple(x[:0] for x in self.late)
+
+    @staticmethod
+    def _merged(one: tuple, two: tuple) -> tuple:
+        """Two tables (keys, firsts, counts) as one, sorted by key."""
+        joined = [np.concatenate(pair) for pair in zip(one, two, strict=True)]
+        order = np.argsort(joined[0], kind="stable")
+        return tuple(x[order] for x in joined)
+
+    def _found(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each key's first id and number of ids; -1 if it isn't known."""
+        firsts, counts = np.full(len(keys), -1), np.zeros(len(keys), np.int64)
+        for own, first, count in (self.known, self.late):
+            if len(own):
+                at = np.minimum(np.searchsorted(own, keys), len(own) - 1)
+                there = own[at] == keys
+                firsts[there], counts[there] = first[at[there]], count[at[there]]
+        return firsts, counts
 
     def block(self, block: textkit.Block) -> tuple[np.ndarray, np.ndarray]:
         """The ids of a block's rows, one after another, and how many each has."""
@@ -112,20 +136,17 @@ class Encoder:
         ends = edges[np.searchsorted(edges, starts, "right")]
         hashes = block.hashes(starts, ends)
         distinct, first, back = np.unique(hashes, return_index=True, return_inverse=True)
-        at = np.searchsorted(self.keys, distinct)
-        known = np.zeros(len(distinct), bool)
-        if len(self.keys):
-            known = self.keys[np.minimum(at, len(self.keys) - 1)] == distinct
-        if not known.all():
-            if len(self.keys) + int((~known).sum()) > CACHE_PIECES:
-                known[:] = False
-            new = np.flatnonzero(~known)
+        firsts, counts = self._found(distinct)
+        if (firsts < 0).any():
+            if len(self.known[0]) + len(self.late[0]) + int((firsts < 0).sum()) > CACHE_PIECES:
+                self.forget()
+                firsts[:] = -1
+            new = np.flatnonzero(firsts < 0)
             data = block.data.tobytes()
             self._learn(distinct[new], [data[a:b].decode() for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
-            at = np.searchsorted(self.keys, distinct)
-        piece = at[back] if len(distinct) else np.zeros(0, np.int64)
-        counts = self.counts[piece]
-        ids = self.ids[textkit.ragged(self.firsts[piece], counts)]
+            firsts, counts = self._found(distinct)
+        counts = counts[back]
+        ids = self.ids[textkit.ragged(firsts[back], counts)]
         rows = np.searchsorted(starts, block.offsets)
         sums = np.concatenate(([0], np.cumsum(counts)))
         sizes = np.diff(sums[rows])
@@ -160,7 +181,7 @@ def _chosen(ranked: list[int], pairs: list[int], bits: int) -> np.ndarray:
     return np.array(chosen)
 
 
-def compress(ids: np.ndarray, end: int, least: int = 8, share: float = 0.05) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, end: int, least: int = 8, share: float = 0.02) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(alphabet, rules, lengths, symbols): each round replaces the most frequent pairs, as many as can't overlap one another and are at least `share` times as
     frequent as the first; it ends when no pair occurs `least` times. In a run of one symbol pairs are taken from the left.
 
@@ -173,15 +194,15 @@ def compress(ids: np.ndarray, end: int, least: int = 8, share: float = 0.05) ->
     size, rules, lengths = len(alphabet), [np.zeros((0, 2), np.uint32)], np.ones(len(alphabet), np.uint32)
     places = max(1, len(symbols).bit_length())
     shift, low = np.uint64(places), np.uint64((1 << places) - 1)
-    at = np.arange(max(0, len(symbols) - 1))
+    at = np.arange(max(0, len(symbols) - 1), dtype=np.int32)
     # a place and its pair are one number; the longest of shards that leaves no bits for that is kept as it is
     while len(at) and 2 * (bits := size.bit_length()) + places <= 64:
-        left, right = symbols[at], symbols[at + 1]
+        left, right = symbols[at], symbols[1:][at]
         ok = (left != stop) & (right != stop)
         twins = np.flatnonzero(left == right)
         where = at[twins]
         heads = np.concatenate((np.ones(min(1, len(twins)), bool), (where[1:] - where[:-1] > 1) | (left[twins[1:]] != left[twins[:-1]])))
-        odd = (where - where[np.maximum.accumulate(np.where(heads, np.arange(len(twins)), 0))]) % 2 == 1
+        odd = (where - where[np.maximum.accumulate(np.where(heads, np.arange(len(twins), dtype=np.int32), 0))]) % 2 == 1
         ok[twins[odd]] = False
         own = np.flatnonzero(ok)
         keyed = np.sort(left[own].astype(np.uint64) << np.uint64(bits + places) | right[own].astype(np.uint64) << shift | at[own].astype(np.uint64))
@@ -197,12 +218,12 @@ def compress(ids: np.ndarray, end: int, least: int = 8, share: float = 0.05) ->
         made = pairs[heads[chosen]]
         rules.append(np.stack((made >> np.uint64(bits), made & np.uint64((1 << bits) - 1)), 1).astype(np.uint32))
         lengths = np.concatenate((lengths, lengths[rules[-1][:, 0]] + lengths[rules[-1][:, 1]]))
-        used = (keyed[textkit.ragged(heads[chosen], counts[chosen])] & low).astype(np.int64)
-        rest = np.concatenate(((keyed[textkit.ragged(heads[often], counts[often])] & low).astype(np.int64), where[odd]))
+        used = (keyed[textkit.ragged(heads[chosen], counts[chosen])] & low).astype(np.int32)
+        rest = np.concatenate(((keyed[textkit.ragged(heads[often], counts[often])] & low).astype(np.int32), where[odd]))
         symbols[used] = np.repeat(np.arange(size, size + len(chosen), dtype=np.uint32), counts[chosen])
         keep = np.ones(len(symbols), bool)
         keep[used + 1] = False
-        moved = np.cumsum(keep, dtype=np.int64) - 1
+        moved = np.cumsum(keep, dtype=np.int32) - 1
         symbols = symbols[keep]
         size += len(chosen)
         live = np.zeros(len(symbols), bool)
@@ -210,7 +231,7 @@ def compress(ids: np.ndarray, end: int, least: int = 8, share: float = 0.05) ->
         fresh = moved[used]
         live[fresh] = True
         live[fresh[fresh > 0] - 1] = True
-        at = np.flatnonzero(live[:-1])
+        at = np.flatnonzero(live[:-1]).astype(np.int32)
     width = _width(size)
     return alphabet.astype(np.uint32), np.concatenate(rules).astype(width), lengths, symbols.astype(width)
 
