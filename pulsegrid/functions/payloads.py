@@ -48,15 +48,23 @@ def decode(payload: Column) -> Column:
     return F.when(F.try_parse_json(payload).isNotNull(), payload).otherwise(F.to_json(F.struct(payload.alias("raw"))))
 
 
+def _once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """rows with these columns, each evaluated once a row: a generator of one row keeps filters and projections above it from taking in their expressions."""
+    made = F.explode(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))).alias("_made")
+    return rows.select(*[c for c in rows.columns if c not in columns], made).select("*", "_made.*").drop("_made")
+
+
 def parse_telemetry(messages: DataFrame, regex: str = TOPIC_REGEX) -> DataFrame:
     """messages (topic, payload, received_at, ...) with charger_id, type, timestamp, value, parse_error.
 
     The ingestion profile: an absent timestamp is the time of receipt, but a present one has to be valid; booleans and non-finite numbers are no values.
     """
-    rows = messages.withColumn("_topic", parse_topic(F.col("topic"), regex)).withColumn("_fields", fields(F.col("payload")))
+    texts = F.from_json("payload", "map<string,string>")
+    rows = _once(messages, _topic=parse_topic(F.col("topic"), regex), _fields=texts)
+    # numbers and texts are read alike; booleans, arrays and objects come as texts that are no numbers
     stamp, value = F.try_element_at("_fields", F.lit("timestamp")), F.try_element_at("_fields", F.lit("value"))
     absent = ~F.coalesce(F.map_contains_key("_fields", F.lit("timestamp")), F.lit(False))
-    rows = rows.withColumn("timestamp", F.when(absent, F.col("received_at")).otherwise(instant(_text(stamp)))).withColumn("value", number(_text(value)))
+    rows = _once(rows, timestamp=F.when(absent, F.col("received_at")).otherwise(instant(stamp)), value=number(value))
     error = F.when(F.col("_topic").isNull(), "Unsupported topic").when(F.col("timestamp").isNull(), "Invalid timestamp format").when(F.col("value").isNull(), "Invalid telemetry value")
     return rows.withColumn("charger_id", F.col("_topic.charger_id")).withColumn("type", F.col("_topic.telemetry_type")).withColumn("parse_error", error).drop("_topic", "_fields")
 

@@ -63,5 +63,10 @@ def anomaly_id(charger_id: Column, timestamp: Column, telemetry_type: Column) ->
 
 
 def compact_number(value: Column) -> Column:
-    """Three significant digits, with an exponent below 0.001 and from a million on."""
-    return F.when(value == 0, "0").when((F.abs(value) < 0.001) | (F.abs(value) >= 1000000.0), F.format_string("%.2e", value)).otherwise(F.format_string("%.3f", value))
+    """Four significant digits without trailing zeros, all digits before the point; with two digits and an exponent below 0.001 and from a million on."""
+    size = F.abs(value)
+    places = F.greatest(F.lit(0), 3 - F.floor(F.log10(size))).cast("int")
+    plain = F.element_at(F.array(*[F.format_string(f"%.{k}f", value) for k in range(7)]), F.least(places, F.lit(6)) + 1)
+    plain = F.when(places > 0, F.regexp_replace(plain, r"\.?0+$", "")).otherwise(plain)
+    power = F.regexp_replace(F.format_string("%.2e", value), r"e([+-])0+(?=\d)", "e$1")
+    return F.when(F.isnan(value) | (size == float("inf")), value.cast("string")).when(value == 0, "0").when((size < 0.001) | (size >= 1000000.0), power).otherwise(plain)

@@ -48,3 +48,32 @@ def for_sensor(evidence: DataFrame, sensor: str, start: Column | None = None, en
     rows = evidence.where(F.array_contains("sensor_set", sensor)).withColumn("sensor_time", F.try_element_at("input_timestamps", F.lit(sensor)))
     rows = rows.where(F.col("sensor_time").isNotNull() & within(F.col("sensor_time"), start, end))
     return rows if service_id is None else rows.where(F.col("service_id") == service_id)
+
+
+def chart_model(telemetry: DataFrame, evidence: DataFrame, anomalies: DataFrame, marker_seconds: float = 5.0, zone_seconds: float = 300.0) -> DataFrame:
+    """All parts of the charts of chargers in one table: charger_id, part, series, time, until, value, threshold, label.
+
+    telemetry: charger_id, timestamp, value, arrival; evidence; anomalies: charger_id, timestamp, anomaly_type, arrival. Parts are the readings, those pending since the latest evidence, the zones of anomalies (value: their number), the
+    markers of readings with an anomaly near (label: colour and shape), the statistics of trackers and the adaptive scores at the times of readings, and the extent of what is shown.
+    """
+    from pulsegrid.operators import matching, series
+
+    keys = ["charger_id"]
+
+    def part(name: str, rows: DataFrame, **columns: Column) -> DataFrame:
+        empty = {"series": F.lit(None).cast("string"), "until": F.lit(None).cast(telemetry.schema["timestamp"].dataType), "value": F.lit(None).cast("double"), "threshold": F.lit(None).cast("double"), "label": F.lit(None).cast("string")}
+        made = {"time": F.col("timestamp")} | empty | columns
+        return rows.select("charger_id", F.lit(name).alias("part"), *[made[c].alias(c) for c in ("series", "time", "until", "value", "threshold", "label")])
+
+    value = F.col("value").cast("double")
+    readings = part("telemetry", telemetry, value=value)
+    pending = part("pending", series.pending_points(telemetry, evidence, keys, "timestamp"), value=value)
+    zones = part("zone", series.zones(anomalies, keys, "timestamp", zone_seconds), time=F.col("zone_start"), until=F.col("zone_end"), value=F.col("members").cast("double"))
+    found = anomalies.select("charger_id", F.col("timestamp").alias("anomaly_time"), "anomaly_type", F.col("arrival").alias("position"))
+    markers = part("marker", matching.first_match(telemetry, found, keys, "timestamp", "anomaly_time", "position", marker_seconds), value=value, label=marker_style(F.col("anomaly_type")))
+    times = telemetry.select("charger_id", "timestamp").distinct()
+    trackers = part("tracker", tracker_series(evidence, keys).join(times, ["charger_id", "timestamp"], "left_semi"), series=F.concat_ws("/", "service_id", "tracker_id"), value=value, threshold=F.col("threshold"))
+    adaptive = part("adaptive", adaptive_series(evidence, keys).join(times, ["charger_id", "timestamp"], "left_semi"), series=F.col("service_id"), value=value, threshold=F.col("threshold"))
+    shown = readings.unionByName(trackers).unionByName(adaptive)
+    extent = shown.groupBy("charger_id").agg(F.min("time").alias("timestamp"), F.max("time").alias("last"))
+    return shown.unionByName(pending).unionByName(zones).unionByName(markers).unionByName(part("extent", extent, until=F.col("last")))

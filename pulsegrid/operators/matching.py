@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,13 +27,18 @@ def band_pairs(left: DataFrame, right: DataFrame, keys: list[str], left_time: st
     return pairs.where(F.abs(micros(F.col(left_time)) - micros(F.col(right_time))) <= width)
 
 
+def _best(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, tolerance_seconds: float, rank: Column) -> DataFrame:
+    """left rows, each for itself though others may equal it, with the row of right within the tolerance that has the smallest rank."""
+    rest = [c for c in right.columns if c not in keys]
+    numbered = left.withColumn("_row", F.monotonically_increasing_id())
+    found = band_pairs(numbered, right, keys, left_time, right_time, tolerance_seconds)
+    best = found.groupBy("_row").agg(F.first(F.struct(*left.columns)).alias("_l"), F.min_by(F.struct(*rest), rank).alias("_r"))
+    return best.select(*[F.col(f"_l.{c}").alias(c) for c in left.columns], *[F.col(f"_r.{c}").alias(c) for c in rest])
+
+
 def first_match(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, position: str, tolerance_seconds: float = 5.0) -> DataFrame:
     """left rows that have a row of right within the tolerance, with that of the smallest position: markers of anomalies on a series."""
-    own = [c for c in left.columns]
-    rest = [c for c in right.columns if c not in keys]
-    found = band_pairs(left, right, keys, left_time, right_time, tolerance_seconds)
-    best = found.groupBy(*own).agg(F.min_by(F.struct(*rest), F.col(position)).alias("_r"))
-    return best.select(*own, *[F.col(f"_r.{c}").alias(c) for c in rest])
+    return _best(left, right, keys, left_time, right_time, tolerance_seconds, F.col(position))
 
 
 def has_match(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, tolerance_seconds: float = 5.0) -> DataFrame:
@@ -47,11 +54,8 @@ def has_match(left: DataFrame, right: DataFrame, keys: list[str], left_time: str
 
 def nearest(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, position: str, most_seconds: float = 60.0) -> DataFrame:
     """left rows with the nearest row of right within the bound; of equally near ones that of the smallest position."""
-    rest = [c for c in right.columns if c not in keys]
-    found = band_pairs(left, right, keys, left_time, right_time, most_seconds)
     gap = F.abs(micros(F.col(left_time)) - micros(F.col(right_time)))
-    best = found.groupBy(*left.columns).agg(F.min_by(F.struct(*rest), F.struct(gap, F.col(position))).alias("_r"))
-    return best.select(*left.columns, *[F.col(f"_r.{c}").alias(c) for c in rest])
+    return _best(left, right, keys, left_time, right_time, most_seconds, F.struct(gap, F.col(position)))
 
 
 def applicable(anomalies: DataFrame, series: DataFrame) -> DataFrame:
@@ -80,14 +84,22 @@ def with_gaps(telemetry: DataFrame, scores: DataFrame, keys: list[str]) -> DataF
     return telemetry.select(*keys).distinct().join(scores, keys, "left")
 
 
+def _keyed_levels(frame: DataFrame, column: str, own: str, other: str) -> DataFrame:
+    """A row for each set of the first three levels that a filter to be met may have fixed: the two sets, as bits, and the tokens of the levels in both."""
+    levels = F.split(column, "/")
+    first = [F.coalesce(F.get(levels, F.lit(k)), F.lit("#")) for k in range(3)]
+    fixed = [reduce(Column.__and__, [x != "#" for x in first[: k + 1]]) & (first[k] != "+") for k in range(3)]
+    bits = sum((F.when(x, 1 << k).otherwise(0) for k, x in enumerate(fixed)), F.lit(0))
+    rows = frame.withColumn(own, bits).withColumn(other, F.explode(F.array(*map(F.lit, range(8)))))
+    shared = F.col(own).bitwiseAND(F.col(other))
+    return rows.withColumn("_tokens", F.array(*[F.when(shared.bitwiseAND(1 << k) > 0, x) for k, x in enumerate(first)])).withColumn("_tokens", F.to_json("_tokens"))
+
+
 def overlapping(left: DataFrame, right: DataFrame, left_filter: str, right_filter: str) -> DataFrame:
-    """Pairs of rows whose topic filters can match one topic. Filters of devices fix their third level, so pairs first meet on
-    (namespace, charger); a filter with a wildcard that early meets every other on the shared part. Catalogues of filters are small."""
-    head = lambda c: F.when(F.split(c, "/")[2].isNull() | F.split(c, "/")[0].rlike("[+#]") | F.split(c, "/")[1].rlike("[+#]") | F.split(c, "/")[2].rlike("[+#]"), F.lit(None)).otherwise(F.substring_index(c, "/", 3))
-    a, b = left.withColumn("_lh", head(F.col(left_filter))), right.withColumn("_rh", head(F.col(right_filter)))
-    fixed = a.where("_lh is not null").join(b.where("_rh is not null"), F.col("_lh") == F.col("_rh"))
-    loose = a.where("_lh is null").join(b, F.lit(True)).unionByName(a.where("_lh is not null").join(b.where("_rh is null"), F.lit(True)))
-    return fixed.unionByName(loose).where(filters_overlap(F.col(left_filter), F.col(right_filter))).drop("_lh", "_rh")
+    """Pairs of rows whose topic filters can match one topic. Two filters meet on the tokens of those of the first three levels that both of them fix: each goes to eight keys, one for each
+    set of levels that the other may fix, and a pair has exactly one in common."""
+    a, b = _keyed_levels(left, left_filter, "_l", "_r"), _keyed_levels(right, right_filter, "_r", "_l")
+    return a.join(b, ["_l", "_r", "_tokens"]).where(filters_overlap(F.col(left_filter), F.col(right_filter))).drop("_l", "_r", "_tokens")
 
 
 def sensor_claims(sensors: DataFrame, services: DataFrame) -> DataFrame:

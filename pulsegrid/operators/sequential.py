@@ -99,14 +99,14 @@ def power(rows: DataFrame, keys: list[str], order: str, p: str, epsilon: float)
 
 def mixture(rows: DataFrame, keys: list[str], order: str, p: str, grid: list[float]) -> DataFrame:
     """rows with the logarithm of the mean over the grid of the power martingales, and log_e, its growth at each row."""
-    spread = rows.withColumn("_eps", F.explode(F.array(*[F.lit(float(e)) for e in grid])))
+    spread = rows.withColumn("_row", F.monotonically_increasing_id()).withColumn("_eps", F.explode(F.array(*[F.lit(float(e)) for e in grid])))
     bet = F.when(F.col(p) == 0.0, F.when(F.col("_eps") < 1.0, INFINITY).otherwise(0.0)).otherwise(F.ln("_eps") + (F.col("_eps") - 1.0) * F.ln(p))
-    each = spread.withColumn("_s", F.sum(bet).over(Window.partitionBy(*keys, "_eps").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
-    top = each.groupBy(*rows.columns).agg(F.max("_s").alias("_top"), F.collect_list("_s").alias("_all"))
+    each = spread.withColumn("_s", F.sum(bet).over(Window.partitionBy(*keys, "_eps").orderBy(order, "_row").rowsBetween(Window.unboundedPreceding, 0)))
+    top = each.groupBy("_row").agg(F.first(F.struct(*rows.columns)).alias("_own"), F.max("_s").alias("_top"), F.collect_list("_s").alias("_all")).select("_own.*", "_row", "_top", "_all")
     mean = F.aggregate("_all", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("_top"))) / float(len(grid))
     out = top.withColumn("log_martingale", F.when(F.col("_top") == INFINITY, INFINITY).otherwise(F.col("_top") + F.ln(mean))).drop("_top", "_all")
-    last = F.coalesce(F.lag("log_martingale").over(Window.partitionBy(*keys).orderBy(order)), F.lit(0.0))
-    return out.withColumn("log_e", F.col("log_martingale") - last)
+    last = F.coalesce(F.lag("log_martingale").over(Window.partitionBy(*keys).orderBy(order, "_row")), F.lit(0.0))
+    return out.withColumn("log_e", F.col("log_martingale") - last).drop("_row")
 
 
 def _logadd(a: Column, b: Column) -> Column:

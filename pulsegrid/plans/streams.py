@@ -19,9 +19,10 @@ def _readings(spark, sf):
     return rows.select("charger_id", F.col("type").alias("sensor"), "value", at.alias("received_at"), at.alias("event_ts"), F.col("arrival").alias("seq"))
 
 
-@query(sql("""SELECT charger_id, arrival AS seq, 'direct_pass_through' AS status FROM dense WHERE type = 'click'""", "dense"))
+@query(sql("""SELECT charger_id, arrival AS seq, CASE WHEN type = 'click' THEN 'direct_pass_through' ELSE 'ignored_sensor' END AS status, CASE WHEN type = 'click' THEN value END AS value, CASE WHEN type = 'click' THEN epoch_us("timestamp") / 1000000.0::DOUBLE END AS sample_timestamp FROM dense WHERE type IN ('click', 'error', 'view')""", "dense"))
 def direct_pass_through(spark, sf):
-    return alignment.align(_readings(spark, sf).where("sensor = 'click'"), ["click"]).select("charger_id", "seq", "status")
+    rows = alignment.align(_readings(spark, sf), ["click"])
+    return rows.select("charger_id", "seq", "status", F.try_element_at("features", F.lit("click")).alias("value"), "sample_timestamp")
 
 
 @query()
@@ -44,10 +45,17 @@ def adaptive_lane(spark, sf):
     return lanes.adaptive_lane(_vectors(spark, sf), "half_space_trees", warm_up=300, calibrate=200, q=0.99, params={"window_size": 100})
 
 
-@query("""SELECT CAST(user_id % 4 AS VARCHAR) AS key, event_id AS seq, true AS accepted FROM events""")
+#: `held` are the times of the last accepted messages, in their order; those at its front that are an hour old go first.
+_LIMIT = sql(""", m AS MATERIALIZED (SELECT charger_id AS key, arrival AS seq, epoch_us("timestamp") / 1000000.0::DOUBLE AS stamp, row_number() OVER (PARTITION BY charger_id ORDER BY arrival) AS n FROM dense),
+r AS (SELECT key, seq, n, true AS accepted, [stamp] AS held FROM m WHERE n = 1
+UNION ALL SELECT key, seq, n, len(kept) < 4, CASE WHEN len(kept) < 4 THEN list_append(kept, stamp) ELSE kept END FROM (SELECT m.key, m.seq, m.n, m.stamp, list_slice(r.held, coalesce(nullif(list_position(list_transform(r.held, lambda t: m.stamp - t < 3600.0::DOUBLE), true), 0), len(r.held) + 1), len(r.held)) AS kept FROM r JOIN m ON m.key = r.key AND m.n = r.n + 1))
+SELECT key, seq, accepted FROM r""", "dense")
+
+
+@query(_LIMIT.replace("WITH", "WITH RECURSIVE", 1))
 def rate_limit(spark, sf):
     at = F.unix_micros(F.col("timestamp").cast("timestamp")) / 1_000_000.0
-    return controls.rate_limit(t.telemetry(spark, sf, dense=True).select(F.col("charger_id").alias("key"), F.col("arrival").alias("seq"), at.alias("at")), 1000, 60.0)
+    return controls.rate_limit(t.telemetry(spark, sf, dense=True).select(F.col("charger_id").alias("key"), F.col("arrival").alias("seq"), at.alias("at")), 4, 3600.0)
 
 
 @query()

@@ -6,6 +6,7 @@ earlier try left, so a repeated batch changes nothing.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,7 @@ from pyspark.sql.streaming import DataStreamWriter
 from pulsegrid.functions.payloads import accepted, parse_telemetry, rejected
 from pulsegrid.operators.evidence import anomaly_rows, identities, valid_evidence
 from pulsegrid.operators.relational import first_wins
-from pulsegrid.schemas import KEYS, TELEMETRY
+from pulsegrid.schemas import KEYS
 
 Sink = Callable[[DataFrame, int], None]
 
@@ -32,17 +33,26 @@ def read_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(f"{schema}, batch long").parquet(path)
 
 
-def telemetry_sink(path: str, rejects: str | None = None, source: str = "mqtt") -> Sink:
-    """Parses raw messages, keeps the first of each key inside the batch and against what is there, and sets rejects aside."""
+def unknown(rows: DataFrame, path: str, keys: list[str], batch_id: int) -> DataFrame:
+    """rows whose key no other batch has stored. Only what is stored within the rows' own times is read: files and row groups of other times are skipped."""
+    ends = rows.agg(F.min("timestamp").alias("first"), F.max("timestamp").alias("last")).first()
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name in keys)
+    known = read_table(rows.sparkSession, path, schema).where(F.col("batch") != batch_id)
+    known = known.where(F.col("timestamp").between(F.lit(ends["first"]), F.lit(ends["last"]))) if ends["first"] is not None else known.limit(0)
+    return rows.join(known.select(*keys), keys, "left_anti")
+
+
+def telemetry_sink(path: str, rejects: str | None = None, source: str = "mqtt", chargers: str | None = None) -> Sink:
+    """Parses raw messages, keeps the first of each key inside the batch and against what is there, and sets rejects aside. `chargers` gets a row of
+    (charger_id, mqtt_last_message) for each charger of the batch, also of readings that are there already; `last_touched` reads them."""
 
     def run(messages: DataFrame, batch_id: int) -> None:
-        spark = messages.sparkSession
         parsed = parse_telemetry(messages).persist()
         try:
             rows = accepted(parsed).select("charger_id", "timestamp", "type", "value", F.lit(source).alias("data_source"), F.col("received_at").alias("created"), "seq")
-            known = read_table(spark, path, TELEMETRY).where(F.col("batch") != batch_id).select(*KEYS["telemetry"])
-            new = first_wins(rows, KEYS["telemetry"], "seq").join(known, KEYS["telemetry"], "left_anti")
-            write_batch(new.drop("seq"), path, batch_id)
+            write_batch(unknown(first_wins(rows, KEYS["telemetry"], "seq"), path, KEYS["telemetry"], batch_id).drop("seq"), path, batch_id)
+            if chargers:
+                write_batch(rows.groupBy("charger_id").agg(F.max("created").alias("mqtt_last_message")), chargers, batch_id)
             if rejects:
                 write_batch(rejected(parsed).select("topic", "payload", "received_at", "parse_error", "is_error"), rejects, batch_id)
         finally:
@@ -51,11 +61,22 @@ def telemetry_sink(path: str, rejects: str | None = None, source: str = "mqtt")
     return run
 
 
+def last_touched(spark: SparkSession, chargers: str) -> DataFrame:
+    """(charger_id, mqtt_last_message) of each charger that a telemetry sink has seen, as updates for `relational.merge_rows`."""
+    return read_table(spark, chargers, "charger_id string, mqtt_last_message timestamp").groupBy("charger_id").agg(F.max("mqtt_last_message").alias("mqtt_last_message"))
+
+
+def latest_status(metrics: DataFrame, by: str = "destination", at: str = "at") -> DataFrame:
+    """The latest row of appended metrics of each destination or service."""
+    return metrics.groupBy(by).agg(F.max_by(F.struct(*[c for c in metrics.columns if c != by]), at).alias("_last")).select(by, "_last.*")
+
+
 def evidence_sink(evidence_path: str, anomalies_path: str, identity_path: str) -> Sink:
-    """Valid evidence, the anomalies of its alarms and their identities, from one batch."""
+    """Valid evidence that isn't stored yet, the anomalies of its alarms and their identities, from one batch; a stream that is read again adds nothing."""
 
     def run(rows: DataFrame, batch_id: int) -> None:
-        valid = first_wins(valid_evidence(rows), KEYS["monitoring_evidence"], "created").persist()
+        keys = KEYS["monitoring_evidence"]
+        valid = unknown(first_wins(valid_evidence(rows), keys, "created"), evidence_path, keys, batch_id).persist()
         try:
             found = anomaly_rows(valid)
             write_batch(valid, evidence_path, batch_id)
@@ -67,22 +88,27 @@ def evidence_sink(evidence_path: str, anomalies_path: str, identity_path: str) -
     return run
 
 
-def fan_out(sinks: dict[str, Sink], metrics_path: str | None = None) -> Sink:
-    """All sinks for each batch. One that fails doesn't keep the others from theirs; the batch then fails as a whole, so that Spark runs it again."""
+def fan_out(sinks: dict[str, Sink], metrics_path: str | None = None, dead_letters: str | None = None) -> Sink:
+    """All sinks for each batch, timed. One that fails doesn't keep the others from theirs. The batch then fails as a whole, so that Spark runs it again; with a
+    folder for `dead_letters` it doesn't: its rows are kept there as JSON, with the destination and the error, and can be sent again."""
 
     def run(rows: DataFrame, batch_id: int) -> None:
         spark, failed, outcomes = rows.sparkSession, [], []
         for name, sink in sinks.items():
+            began, error = time.monotonic(), None
             try:
                 sink(rows, batch_id)
-                outcomes.append((name, True, None))
-            except Exception as error:  # noqa: BLE001
-                failed.append(error)
-                outcomes.append((name, False, str(error)[:500]))
+            except Exception as found:  # noqa: BLE001
+                error = found
+                failed.append((name, found))
+            outcomes.append((name, error is None, str(error)[:500] if error else None, time.monotonic() - began))
         if metrics_path:
-            write_batch(spark.createDataFrame(outcomes, "destination string, ok boolean, error string").withColumn("at", F.current_timestamp()), metrics_path, batch_id)
-        if failed:
-            raise failed[0]
+            write_batch(spark.createDataFrame(outcomes, "destination string, ok boolean, error string, seconds double").withColumn("at", F.current_timestamp()), metrics_path, batch_id)
+        if failed and not dead_letters:
+            raise failed[0][1]
+        for name, error in failed:
+            letters = rows.select(F.lit(name).alias("destination"), F.lit(str(error)[:500]).alias("error"), F.to_json(F.struct("*")).alias("row"))
+            write_batch(letters, f"{dead_letters}/{name}", batch_id)
 
     return run
 
@@ -93,6 +119,6 @@ def start(stream: DataFrame, sink: Sink, checkpoint: str, trigger: str | None =
     return writer.trigger(processingTime=trigger) if trigger else writer.trigger(availableNow=True)
 
 
-def without_repeats(stream: DataFrame, keys: list[str], time: str, delay: str = "1 hour") -> DataFrame:
+def without_repeats(stream: DataFrame, keys: list[str], at: str, delay: str = "1 hour") -> DataFrame:
     """First of each key, within the delay, over a stream."""
-    return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
+    return stream.withWatermark(at, delay).dropDuplicatesWithinWatermark(keys)
