@@ -30,6 +30,11 @@ def iso_utc(timestamp: Column) -> Column:
     return F.date_format(timestamp, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
 
 
+def created_or(created: Column, timestamp: Column) -> Column:
+    """When a row was stored, as text; older rows without it were stored at their event time."""
+    return iso_utc(F.coalesce(created, timestamp))
+
+
 def p_value_class(p: Column) -> Column:
     """Colour of a p-value on charts."""
     return F.when(p <= 0.001, "red").when(p <= 0.005, "orange").otherwise("yellow")

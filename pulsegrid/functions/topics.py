@@ -101,6 +101,15 @@ def validate_filter(pattern: str, *, root_wildcard: bool = False) -> str:
     return pattern
 
 
+def sound_filter(pattern: Column) -> Column:
+    """The rules of `validate_filter` for a column of filters: whether each is well formed; null counts as not."""
+    text = F.trim(pattern)
+    levels = F.split(text, "/")
+    last = F.size(levels) - 1
+    level = F.forall(F.transform(levels, lambda x, k: (x != "") & (~x.contains("+") | (x == "+")) & (~x.contains("#") | ((x == "#") & (k == last)))), lambda sound: sound)
+    return F.coalesce((text != "") & (F.octet_length(text) <= 65535) & ~text.contains("\0") & level & (text != "#"), F.lit(False))
+
+
 def validate_device_filter(pattern: str, *, concrete: bool = False) -> str:
     """A filter of the device namespace for one charger; concrete: without wildcards."""
     pattern = validate_filter(pattern)
@@ -114,4 +123,4 @@ def validate_device_filter(pattern: str, *, concrete: bool = False) -> str:
 
 def distinct_trimmed(values: Column) -> Column:
     """Trimmed non-empty strings of an array, each once, in order."""
-    return F.array_distinct(F.filter(F.transform(values, F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(values, lambda x: F.trim(x)), lambda x: x != ""))

@@ -12,6 +12,11 @@ MARKERS = {"ml_conformal_static_univariate": "red/circle", "ml_conformal_static_
 COMPACT = ["service_id", "timestamp", "sequence_number", "charger_id", "sensor_set", "input_timestamps", "strategy", "model_type", "anomaly_score", "tracker_results", "threshold", "alarm", "created"]
 
 
+def compact(evidence: DataFrame) -> DataFrame:
+    """The columns that charts need, so that the scan reads no others; those that the table lacks are left out."""
+    return evidence.select(*[c for c in COMPACT if c in evidence.columns])
+
+
 def tracker_series(evidence: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, service_id, tracker_id, timestamp, value, threshold): positive finite statistics of static evidence with the tracker's latest threshold.
     Rows without tracker_results stand for a tracker named primary, by their restarted martingale."""

@@ -21,6 +21,12 @@ def search(chargers: DataFrame, text: str, online: bool | None = None) -> DataFr
     return found if online is None else found.where(F.col("online") == F.lit(online))
 
 
+def service_counts(services: DataFrame) -> DataFrame:
+    """services: workload (the state of its container, in any case), strategy."""
+    state = F.lower("workload")
+    return services.agg(F.count_if(state == "running").alias("running"), F.count_if(state == "not_found").alias("missing"), F.count_if(F.col("strategy") == "static_baseline").alias("static"))
+
+
 def last_arrivals(messages: DataFrame, arrival: str = "arrival") -> DataFrame:
     """(charger_id, last_message, message_count): the event time of what arrived last, which need not be the latest."""
     return messages.groupBy("charger_id").agg(F.max_by("timestamp", arrival).alias("last_message"), F.count("*").alias("message_count"))

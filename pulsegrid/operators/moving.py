@@ -59,15 +59,31 @@ def moving_pair_scores(rows: DataFrame, keys: list[str], order: str, x: str, y:
     return made.withColumn("score", F.abs(F.col("_with") - F.col("statistic"))).drop("_with")
 
 
-def mahalanobis_scores(rows: DataFrame, keys: list[str], order: str, x: str, y: str, window: int = 100) -> DataFrame:
-    """Distance of a row's two features from the mean of the window before it, in units of its covariance; null where that is singular."""
+def mahalanobis_scores(rows: DataFrame, keys: list[str], order: str, features: list[str], window: int = 100) -> DataFrame:
+    """Distance of a row's features from the mean of the window before it, in units of its covariance; null where that is singular.
+
+    The covariance is factored (Cholesky) column by column as expressions over its entries, so any number of features stays in windows and arithmetic.
+    """
     past = Window.partitionBy(*keys).orderBy(order).rowsBetween(-window, -1)
-    full = F.count(x).over(past) == window
-    dx, dy = F.col(x) - F.avg(x).over(past), F.col(y) - F.avg(y).over(past)
-    made = rows.withColumn("_dx", dx).withColumn("_dy", dy).withColumn("_a", F.var_pop(x).over(past)).withColumn("_c", F.var_pop(y).over(past)).withColumn("_b", F.covar_pop(x, y).over(past))
-    det = F.col("_a") * F.col("_c") - F.col("_b") * F.col("_b")
-    square = (F.col("_dx") * F.col("_dx") * F.col("_c") - 2.0 * F.col("_dx") * F.col("_dy") * F.col("_b") + F.col("_dy") * F.col("_dy") * F.col("_a")) / F.when(det > 1e-12, det)
-    return made.withColumn("score", F.when(full, F.sqrt(F.greatest(square, F.lit(0.0))))).drop("_dx", "_dy", "_a", "_b", "_c")
+    size, own = len(features), rows.columns
+    entries = {f"_c{i}_{j}": F.covar_pop(features[i], features[j]).over(past) for i in range(size) for j in range(i + 1)}
+    made = rows.withColumns(entries | {f"_z{i}": F.col(x) - F.avg(x).over(past) for i, x in enumerate(features)} | {"_full": F.count(features[0]).over(past) == window})
+
+    def less(column: str, pairs: list[tuple[str, str]]) -> Column:
+        value = F.col(column)
+        for a, b in pairs:
+            value = value - F.col(a) * F.col(b)
+        return value
+
+    for j in range(size):
+        pivot = less(f"_c{j}_{j}", [(f"_l{j}_{k}",) * 2 for k in range(j)])
+        made = made.withColumn(f"_l{j}_{j}", F.sqrt(F.when(pivot > 1e-12 * F.col(f"_c{j}_{j}"), pivot)))
+        below = {f"_l{i}_{j}": less(f"_c{i}_{j}", [(f"_l{i}_{k}", f"_l{j}_{k}") for k in range(j)]) / F.col(f"_l{j}_{j}") for i in range(j + 1, size)}
+        made = made.withColumns(below | {f"_y{j}": less(f"_z{j}", [(f"_l{j}_{k}", f"_y{k}") for k in range(j)]) / F.col(f"_l{j}_{j}")})
+    square = F.lit(0.0)
+    for j in range(size):
+        square = square + F.col(f"_y{j}") * F.col(f"_y{j}")
+    return made.select(*own, F.when(F.col("_full"), F.sqrt(square)).alias("score"))
 
 
 def standard_scaled(rows: DataFrame, keys: list[str], order: str, value: str, with_std: bool = True) -> DataFrame:

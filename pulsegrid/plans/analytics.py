@@ -279,7 +279,7 @@ def moving_covariance(spark, sf):
 
 @query(sql(f"""SELECT arrival, round(sqrt(greatest((dx * dx * c - 2.0::DOUBLE * dx * dy * b + dy * dy * a) / (a * c - b * b), 0.0::DOUBLE)), 5) AS score FROM (SELECT arrival, count(*) OVER {_WIN} AS n_, value - avg(value) OVER {_WIN} AS dx, other - avg(other) OVER {_WIN} AS dy, var_pop(value) OVER {_WIN} AS a, var_pop(other) OVER {_WIN} AS c, covar_pop(value, other) OVER {_WIN} AS b FROM (SELECT *, value * 0.5::DOUBLE + (arrival % 17) AS other FROM dense)) WHERE n_ = 50""", "dense"))
 def moving_mahalanobis(spark, sf):
-    return moving.mahalanobis_scores(_pairs(spark, sf), STREAM, "arrival", "value", "other", 50).where("score is not null").select("arrival", F.round("score", 5).alias("score"))
+    return moving.mahalanobis_scores(_pairs(spark, sf), STREAM, "arrival", ["value", "other"], 50).where("score is not null").select("arrival", F.round("score", 5).alias("score"))
 
 
 _PAST = "(PARTITION BY charger_id ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
