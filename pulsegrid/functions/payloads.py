@@ -84,13 +84,16 @@ def features(payload: Column) -> Column:
     Booleans count as 0 and 1, texts of at most 1000 characters are read as numbers; metadata, long names and values of 1e10 or more are left out.
     """
     own = fields(payload)
-    named = F.map_filter(own, lambda k, v: (F.length(k) <= MAX_NAME) & ~F.lower(k).isin(*METADATA))
+    named = F.filter(F.map_entries(own), lambda e: (F.length(e["key"]) <= MAX_NAME) & ~F.lower(e["key"]).isin(*METADATA))
+    # kind and text of an entry are taken once, before the rules look at them several times
+    plain = F.transform(named, lambda e: F.struct(e["key"].alias("key"), _kind(e["value"]).alias("kind"), F.try_variant_get(e["value"], "$", "string").alias("text")))
 
-    def read(_: Column, v: Column) -> Column:
-        return F.when(_kind(v) == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("int").cast("double")).when(F.length(_text(v)) <= MAX_TEXT, number(_text(v)))
+    def read(e: Column) -> Column:
+        usable = ~e["kind"].rlike("^(VOID|ARRAY|OBJECT)") & (F.length(e["text"]) <= MAX_TEXT)
+        return F.when(e["kind"] == "BOOLEAN", (e["text"] == "true").cast("double")).when(usable, number(e["text"]))
 
-    kept = F.map_filter(F.transform_values(named, read), lambda k, v: v.isNotNull() & (F.abs(v) < MAX_VALUE))
-    return F.when(own.isNotNull() & (F.size(own) <= MAX_FEATURES), kept)
+    kept = F.filter(F.transform(plain, lambda e: F.struct(e["key"].alias("key"), read(e).alias("value"))), lambda e: F.abs(e["value"]) < MAX_VALUE)
+    return F.when(own.isNotNull() & (F.size(own) <= MAX_FEATURES), F.map_from_entries(kept))
 
 
 def reading(values: Column, key: Column) -> Column:
