@@ -1,4 +1,4 @@
-"""The queries op1 to op10 over the test tables, and the SQL of those that SQL can express."""
+"""The queries op1 to op13 over the test tables, and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import decontamination, html_text, licences, line_templates, mixing, near_dedup, quality, quotations, token_counts, token_files
+from pulsegrid.llm import centroids, decontamination, html_text, language_id, licences, line_templates, mixing, near_dedup, quality, quotations, token_alignment, token_counts, token_files
 from pulsegrid.llm.support import cut, drop_path, scratch_path, table
 
 #: Contracts of op1 and op4.
@@ -71,6 +71,22 @@ def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_lines", "n_dropped", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    found = language_id.identify(docs, language_id.fit(docs.where(~held_out)))
+    return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
@@ -85,9 +101,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_files": op8_token_files,
         "op9_token_counts": op9_token_counts,
         "op10_line_templates": op10_line_templates,
+        "op11_centroids": op11_centroids,
+        "op12_token_alignment": op12_token_alignment,
+        "op13_language_id": op13_language_id,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_line_templates": line_templates.ORACLE_SQL}
+    return {"op10_line_templates": line_templates.ORACLE_SQL, "op11_centroids": centroids.ORACLE_SQL}
