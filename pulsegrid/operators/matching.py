@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.topics import filters_overlap
+from pulsegrid.operators import scan
 from pulsegrid.schemas import MULTIVARIATE
 
 
@@ -15,30 +17,40 @@ def micros(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 
 
-def band_pairs(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, tolerance_seconds: float) -> DataFrame:
-    """Rows of left and right with equal keys whose times differ by at most the tolerance, as an equi-join on time buckets.
-
-    right goes to the three buckets around its own, so each pair meets once. Columns of right must not clash with those of left but for the keys.
-    """
-    width = max(1, int(tolerance_seconds * 1_000_000))
-    bucket = lambda c: F.floor(micros(F.col(c)) / width)
-    spread = right.withColumn("_bucket", F.explode(F.array(*[bucket(right_time) + k for k in (-1, 0, 1)])))
-    pairs = left.withColumn("_bucket", bucket(left_time)).join(spread, [*keys, "_bucket"]).drop("_bucket")
-    return pairs.where(F.abs(micros(F.col(left_time)) - micros(F.col(right_time))) <= width)
+def _marks(right: DataFrame, keys: list[str], time: str, position: str) -> DataFrame:
+    """Rows of right with a time and all keys as marks: keys, _at, _position, and _row, the other columns."""
+    rest = [c for c in right.columns if c not in keys]
+    return right.dropna(subset=[*keys, time]).select(*keys, micros(F.col(time)).alias("_at"), F.col(position).cast("long").alias("_position"), F.struct(*rest).alias("_row"), F.lit(True).alias("_mark"))
 
 
-def _best(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, tolerance_seconds: float, rank: Column) -> DataFrame:
-    """left rows, each for itself though others may equal it, with the row of right within the tolerance that has the smallest rank."""
-    rest = [c for c in right.columns if c not in keys]
-    numbered = left.withColumn("_row", F.monotonically_increasing_id())
-    found = band_pairs(numbered, right, keys, left_time, right_time, tolerance_seconds)
-    best = found.groupBy("_row").agg(F.first(F.struct(*left.columns)).alias("_l"), F.min_by(F.struct(*rest), rank).alias("_r"))
-    return best.select(*[F.col(f"_l.{c}").alias(c) for c in left.columns], *[F.col(f"_r.{c}").alias(c) for c in rest])
+def _swept(rows: DataFrame, marks: DataFrame, keys: list[str], order: list[Column], fold: Callable[[DataFrame], scan.Fold]) -> DataFrame:
+    """rows, which have _at, with what the fold makes of the marks before them. Both sides are united and sorted: no row meets another one."""
+    both = rows.withColumn("_mark", F.lit(False)).unionByName(marks, allowMissingColumns=True)
+    made = scan.scanned(both, keys, order, fold(both)).where("not _mark")
+    return made.drop(*[c for c in marks.columns if c not in rows.columns])
 
 
 def first_match(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, position: str, tolerance_seconds: float = 5.0) -> DataFrame:
-    """left rows that have a row of right within the tolerance, with that of the smallest position: markers of anomalies on a series."""
-    return _best(left, right, keys, left_time, right_time, tolerance_seconds, F.col(position))
+    """left rows that have a row of right within the tolerance, with that of the smallest position, a whole number: markers of anomalies on a series.
+
+    Buckets of time are as wide as the tolerance. What lies within it is all of a row's own bucket, the end of the one before and the beginning of the next; the least position in
+    these comes from a group by, and from scans over both sides in order of time, one from either end. Rows without a time or a key match nothing; equal rows are matched each.
+    """
+    width = max(1, int(tolerance_seconds * 1_000_000))
+    own, bucket = left.columns, lambda at: F.floor(at / width).cast("long")
+    marks = _marks(right, keys, right_time, position).withColumn("_bucket", bucket(F.col("_at")))
+    whole = marks.groupBy(*keys, F.col("_bucket").alias("_here")).agg(F.min_by(F.struct("_position", "_row"), "_position").alias("_whole"))
+    rows = left.withColumn("_t", micros(F.col(left_time))).withColumn("_here", bucket(F.col("_t"))).join(whole, [*keys, "_here"], "left").drop("_here")
+    pair = marks.withColumn("_value", F.struct("_position", "_row")).drop("_row")
+    for name, at, order in (("_ahead", F.col("_t") + width, F.col("_at").asc()), ("_behind", F.col("_t") - width, F.col("_at").desc())):
+        rows = rows.withColumn("_at", at).withColumn("_bucket", bucket(F.col("_at")))
+        rows = _swept(rows, pair, keys, [order, F.col("_mark").desc()], lambda both, name=name: scan.BucketLeast("_mark", "_bucket", "_position", "_value", name, both.schema))
+    found = [F.col(c) for c in ("_whole", "_ahead", "_behind")]
+    least = F.least(*[c["_position"] for c in found])
+    best = F.coalesce(*[F.when(c["_position"] == least, c["_row"]) for c in found])
+    rest = [c for c in right.columns if c not in keys]
+    made = rows.where(F.col("_t").isNotNull()).withColumn("_best", best).where("_best is not null")
+    return made.select(*[F.col(c) for c in own], *[F.col(f"_best.{c}").alias(c) for c in rest])
 
 
 def has_match(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, tolerance_seconds: float = 5.0) -> DataFrame:
@@ -53,9 +65,20 @@ def has_match(left: DataFrame, right: DataFrame, keys: list[str], left_time: str
 
 
 def nearest(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, position: str, most_seconds: float = 60.0) -> DataFrame:
-    """left rows with the nearest row of right within the bound; of equally near ones that of the smallest position."""
-    gap = F.abs(micros(F.col(left_time)) - micros(F.col(right_time)))
-    return _best(left, right, keys, left_time, right_time, most_seconds, F.struct(gap, F.col(position)))
+    """left rows with the nearest row of right within the bound; of equally near ones that of the smallest position, a whole number.
+
+    Both sides are united and sorted by time; two scans, one from either end, carry the last row of right on. Rows without a time or a key match nothing; equal rows are matched each.
+    """
+    width, own = max(1, int(most_seconds * 1_000_000)), left.columns
+    marks = _marks(right, keys, right_time, position).withColumn("_value", F.struct("_at", "_position", "_row"))
+    rows = left.withColumn("_at", micros(F.col(left_time))).where("_at is not null")
+    for name, order in (("_before", F.col("_at").asc()), ("_after", F.col("_at").desc())):
+        rows = _swept(rows, marks, keys, [order, F.col("_mark").desc(), F.col("_position").desc()], lambda both, name=name: scan.Carried("_mark", {"_value": name}, both.schema))
+    gaps = [F.abs(F.col(c)["_at"] - F.col("_at")) for c in ("_before", "_after")]
+    earlier = gaps[1].isNull() | (gaps[0] < gaps[1]) | ((gaps[0] == gaps[1]) & (F.col("_before._position") <= F.col("_after._position")))
+    rest = [c for c in right.columns if c not in keys]
+    made = rows.withColumn("_best", F.when(gaps[0].isNotNull() & earlier, F.col("_before")).otherwise(F.col("_after"))).where(F.abs(F.col("_best._at") - F.col("_at")) <= width)
+    return made.select(*[F.col(c) for c in own], *[F.col(f"_best._row.{c}").alias(c) for c in rest])
 
 
 def applicable(anomalies: DataFrame, series: DataFrame) -> DataFrame:

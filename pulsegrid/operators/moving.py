@@ -2,37 +2,123 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from math import ceil, floor, fsum, isfinite, nan
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pulsegrid.operators import scan
+
 ONE_FEATURE = ("average", "average_absolute_deviation", "geometric_average", "harmonic_average", "interquartile_range", "kurtosis", "median", "quantile", "skewness", "variance")
 TWO_FEATURES = ("correlation_coefficient", "covariance")
 
 
-def _median(values: Column, q: float = 0.5) -> Column:
-    """Linear interpolation between the order statistics of an array."""
-    ranked = F.array_sort(values)
-    at = (F.size(values) - 1) * F.lit(q)
-    low = F.get(ranked, F.floor(at).cast("int"))
-    return low + (F.get(ranked, F.ceil(at).cast("int")) - low) * (at - F.floor(at))
+#: Statistics of the order of a window's values.
+ORDER_STATISTICS = ("average_absolute_deviation", "interquartile_range", "median", "quantile")
+
 
+class Sliding(scan.Tail):
+    """`statistic` of the last `size` values before each row from a sorted window: each row puts one value in and takes one out, by binary search. Null unless the window is full and without nulls.
 
-def statistic(kind: str, x: Column, frame: Window, q: float = 0.5) -> Column:
-    """The statistic of a window frame. Order statistics gather the frame's values, `window` of them at most."""
+    NaN counts as larger than all numbers. For the deviation the window is parted at its mean, and the sums of both parts move with the values that change sides.
+    """
+
+    outputs = "statistic double"
+
+    def __init__(self, column: str, size: int, kind: str, q: float):
+        super().__init__(column, size)
+        self.kind, self.places = kind, {"median": [0.5], "quantile": [q], "interquartile_range": [0.75, 0.25]}.get(kind, [])
+
+    def run(self, state, n, columns):
+        values, there = self.joined(state, columns)
+        begun, size = len(state[0]), self.size
+        odd_ones = there & np.isnan(values)
+        plain = np.where(odd_ones, np.inf, values).tolist()
+        lacking = np.concatenate(([0], np.cumsum(~there)))
+        strange = np.concatenate(([0], np.cumsum(odd_ones)))
+        known, out = there.tolist(), np.full(len(n), np.nan)
+        none = np.ones(len(n), bool)
+        window = sorted(x for x, ok in zip(plain[:begun], known[:begun], strict=True) if ok)
+        deviation = Deviation(window) if self.kind == "average_absolute_deviation" else None
+        for k in range(begun, len(plain)):
+            if k >= size and lacking[k] == lacking[k - size]:
+                odd = int(strange[k] - strange[k - size])
+                out[k - begun] = (deviation.value() if not odd else np.nan) if deviation else self._ranked(window, odd)
+                none[k - begun] = False
+            if k >= size and known[k - size]:
+                gone = bisect_left(window, plain[k - size])
+                if deviation:
+                    deviation.take(gone, plain[k - size])
+                del window[gone]
+            if known[k]:
+                new = bisect_left(window, plain[k])
+                window.insert(new, plain[k])
+                if deviation:
+                    deviation.put(new, plain[k])
+        return [pa.array(out, mask=none)], self.last(values, there)
+
+    def _ranked(self, window: list[float], odd: int) -> float:
+        """Linear interpolation between the order statistics; of two places, their difference."""
+        found = []
+        for q in self.places:
+            at = (len(window) - 1) * q
+            low, high = floor(at), ceil(at)
+            if high >= len(window) - odd:
+                return nan
+            found.append(window[low] + (window[high] - window[low]) * (at - low))
+        return found[0] if len(found) == 1 else found[0] - found[1]
+
+
+class Deviation:
+    """The mean absolute deviation of a sorted window: below its mean lie `split` values with a sum of their own. Sums are taken anew once in so many changes as the window has values."""
+
+    def __init__(self, window: list[float]):
+        self.window, self.changes = window, 0
+        self._anew()
+
+    def _anew(self) -> None:
+        self.total = fsum(self.window)
+        self.split = bisect_left(self.window, self.total / max(1, len(self.window)))
+        self.low, self.changes = fsum(self.window[: self.split]), 0
+
+    def put(self, at: int, value: float) -> None:
+        self.total += value
+        if at < self.split:
+            self.split, self.low = self.split + 1, self.low + value
+        self.changes += 1
+
+    def take(self, at: int, value: float) -> None:
+        """Called before the value goes."""
+        self.total -= value
+        if at < self.split:
+            self.split, self.low = self.split - 1, self.low - value
+        self.changes += 1
+
+    def value(self) -> float:
+        size = len(self.window)
+        if self.changes >= size or not isfinite(self.total):
+            self._anew()
+        mean = self.total / size
+        while self.split < size and self.window[self.split] < mean:
+            self.low += self.window[self.split]
+            self.split += 1
+        while self.split > 0 and self.window[self.split - 1] >= mean:
+            self.split -= 1
+            self.low -= self.window[self.split]
+        return (2.0 * (mean * self.split - self.low) + self.total - mean * size) / size
+
+
+def statistic(kind: str, x: Column, frame: Window) -> Column:
+    """The statistic of a window frame."""
     if kind == "average":
         return F.avg(x).over(frame)
-    if kind == "average_absolute_deviation":
-        values, mean = F.collect_list(x).over(frame), F.avg(x).over(frame)
-        return F.aggregate(F.transform(values, lambda v: F.abs(v - mean)), F.lit(0.0), lambda a, v: a + v) / F.size(values)
     if kind == "geometric_average":
         return F.exp(F.avg(F.ln(F.when(x > 0, x))).over(frame))
     if kind == "harmonic_average":
         return 1.0 / F.avg(1.0 / F.when(x != 0, x)).over(frame)
-    if kind == "interquartile_range":
-        values = F.collect_list(x).over(frame)
-        return _median(values, 0.75) - _median(values, 0.25)
-    if kind in ("median", "quantile"):
-        return _median(F.collect_list(x).over(frame), 0.5 if kind == "median" else q)
     if kind == "variance":
         return F.var_pop(x).over(frame)
     if kind == "skewness":
@@ -43,10 +129,14 @@ def statistic(kind: str, x: Column, frame: Window, q: float = 0.5) -> Column:
 
 
 def moving_scores(rows: DataFrame, keys: list[str], order: str, value: str, kind: str, window: int = 100, q: float = 0.5) -> DataFrame:
-    """rows with `statistic` of the last `window` values before each row and `score`, the distance of the row's value from it; both null until the window is full."""
-    past = Window.partitionBy(*keys).orderBy(order).rowsBetween(-window, -1)
-    full = F.count(value).over(past) == window
-    made = rows.withColumn("statistic", F.when(full, statistic(kind, F.col(value), past, q)))
+    """rows with `statistic` of the last `window` values before each row and `score`, the distance of the row's value from it; both null until the window is full.
+
+    Order statistics slide over a sorted window in a scan, which hands the last `window` values on from part to part of a key."""
+    if kind in ORDER_STATISTICS:
+        made = scan.scanned(rows, keys, [order], Sliding(value, window, kind, q))
+    else:
+        past = Window.partitionBy(*keys).orderBy(order).rowsBetween(-window, -1)
+        made = rows.withColumn("statistic", F.when(F.count(value).over(past) == window, statistic(kind, F.col(value), past)))
     return made.withColumn("score", F.abs(F.col(value) - F.col("statistic")))
 
 

@@ -6,14 +6,16 @@ Products over a stream are sums of logarithms in the order of position. `keys` a
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from math import log
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+
+from pulsegrid.operators import scan
+from pulsegrid.shared import cut
 
 INFINITY = float("inf")
 #: Logarithm of the largest double.
@@ -23,16 +25,22 @@ STATISTICS = ("martingale", "restarted_martingale", "cusum", "shiryaev_roberts")
 _LOGS = ("log_martingale", "log_cusum", "log_shiryaev_roberts", "log_restarted_martingale")
 
 
+#: Keys whose numbers of calibration scores are sent to every task; of more they are joined by a shuffle.
+BROADCAST_KEYS = 200_000
+
+
 def p_values(scores: DataFrame, calibration: DataFrame, keys: list[str], score: str) -> DataFrame:
     """scores with p_value = (calibration scores at or above + 1) / (all + 1).
 
-    Counts come from one ordered pass over both sides, not from pairs: a score's place among the calibration scores of its key.
+    Counts come from one ordered pass over both sides, not from pairs: a score's place among the calibration scores of its key, by a scan, so that one key's scores are read by many tasks.
     """
     both = scores.withColumn("_cal", F.lit(0)).unionByName(calibration.select(*keys, F.col(score), F.lit(1).alias("_cal")), allowMissingColumns=True)
-    from_top = Window.partitionBy(*keys).orderBy(F.col(score).desc()).rangeBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy(*keys)
-    counted = both.withColumn("_above", F.sum("_cal").over(from_top)).withColumn("_n", F.sum("_cal").over(every)).where("_cal = 0")
-    return counted.withColumn("p_value", (F.col("_above") + 1.0) / (F.col("_n") + 1.0)).drop("_cal", "_above", "_n")
+    ranked = scan.scanned(both, keys, [F.col(score).desc(), F.col("_cal").desc()], scan.Running("_cal", "_above")).where("_cal = 0")
+    totals = cut(calibration.groupBy(*[F.col(k).alias(f"_of_{k}") for k in keys]).agg(F.count("*").alias("_n")))
+    totals = F.broadcast(totals) if totals.count() <= BROADCAST_KEYS else totals
+    on = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]) if keys else F.lit(True)
+    counted = ranked.join(totals, on, "left")
+    return counted.withColumn("p_value", (F.col("_above") + 1.0) / (F.coalesce("_n", F.lit(0)) + 1.0)).drop("_cal", "_above", "_n", *[f"_of_{k}" for k in keys])
 
 
 def checked_p(p: Column) -> Column:
@@ -49,36 +57,32 @@ def epsilon_grid(epsilons: list[float] | None = None, n_grid: int = 10, min_epsi
     return list(epsilons) if epsilons else [float(x) for x in np.linspace(min_epsilon, 1.0, n_grid)]
 
 
-def _accumulated(keys: list[str]):
-    """Adds n and the logarithms of the statistics to batches sorted by keys and order; a key's sums are carried from batch to batch."""
-    fresh = (0, 0.0, 0.0, -np.inf, -np.inf)
+class Statistics(scan.Fold):
+    """n and the logarithms of the statistics after each bet. A state is (S, min(0, earlier S), log of the sum of exp(-S before a bet), the same weighed by 1 / (k (k + 1)))."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, fresh
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key = list(zip(*[batch.column(k).to_pylist() for k in keys]))
-            log_e = batch.column("_log_e").to_numpy(zero_copy_only=False)
-            starts = [0, *[k for k in range(1, len(key)) if key[k] != key[k - 1]], len(key)]
-            parts = []
-            for i, j in zip(starts, starts[1:]):
-                n0, s0, low0, sr0, rm0 = held if key[i] == last else fresh
-                last, none = key[i], np.isnan(log_e[i:j])
-                x = np.where(none, 0.0, log_e[i:j])
-                n = n0 + np.arange(1.0, j - i + 1)
-                s = np.cumsum(np.append(s0, x))
-                lows = np.minimum.accumulate(np.append(low0, s[1:]))
-                begun = np.where(none, -np.inf, -s[:-1])
-                sr = np.logaddexp.accumulate(np.append(sr0, begun))[1:]
-                rm = np.logaddexp.accumulate(np.append(rm0, begun - np.log(n * (n + 1.0))))[1:]
-                parts.append((n, s[1:], s[1:] - lows[:-1], s[1:] + sr, np.logaddexp(s[1:] + rm, -np.log(n + 1.0))))
-                held = (int(n[-1]), s[-1], lows[-1], sr[-1], rm[-1])
-            n, *logs = map(np.concatenate, zip(*parts))
-            kept = [k for k, name in enumerate(batch.schema.names) if name not in ("_log_e", "n", *_LOGS)]
-            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in kept], pa.array(n.astype(np.int64)), *map(pa.array, logs)], names=[*[batch.schema.names[k] for k in kept], "n", *_LOGS])
+    inputs, outputs, placed = ["_log_e"], "n long, " + ", ".join(f"{c} double" for c in _LOGS), True
+    fresh, neutral = (0.0, 0.0, -INFINITY, -INFINITY), (0.0, INFINITY, -INFINITY, -INFINITY)
 
-    return run
+    def run(self, state, n, columns):
+        s0, low0, sr0, rm0 = state
+        log_e = scan.numbers(columns["_log_e"])
+        none = np.isnan(log_e)
+        s = np.cumsum(np.append(s0, np.where(none, 0.0, log_e)))
+        lows = np.minimum.accumulate(np.append(low0, s[1:]))
+        begun, places = np.where(none, -np.inf, -s[:-1]), n.astype(np.float64)
+        sr = np.logaddexp.accumulate(np.append(sr0, begun))[1:]
+        rm = np.logaddexp.accumulate(np.append(rm0, begun - np.log(places * (places + 1.0))))[1:]
+        out = [n, s[1:], s[1:] - lows[:-1], s[1:] + sr, np.logaddexp(s[1:] + rm, -np.log(places + 1.0))]
+        return out, (float(s[-1]), float(lows[-1]), float(sr[-1]), float(rm[-1]))
+
+    def join(self, state, summary):
+        s, low, sr, rm = state
+        after, own_low, own_sr, own_rm = summary
+        return (s + after, min(low, s + own_low), float(np.logaddexp(sr, own_sr - s)), float(np.logaddexp(rm, own_rm - s)))
+
+
+def _with_statistics(parts: DataFrame, keys: list[str]) -> DataFrame:
+    return scan.scan(parts, keys, Statistics()).drop("_log_e").withColumns({c.removeprefix("log_"): F.exp(c) for c in _LOGS})
 
 
 def statistics(rows: DataFrame, keys: list[str], order: str, log_e: str = "log_e") -> DataFrame:
@@ -86,87 +90,100 @@ def statistics(rows: DataFrame, keys: list[str], order: str, log_e: str = "log_e
 
     With S the running sum of log e: the martingale is exp(S); the CUSUM exp(S - min(0, earlier S)); Shiryaev-Roberts the sum of exp(S_n - S_(k-1)); the restarted
     martingale weighs the restart at k by 1 / (k (k + 1)) and leaves 1 / (n + 1) at one. Sums of exponentials are kept as logarithms, since exp(-S) overflows on long
-    streams: keys are dealt by hash and read in order, and a task holds one batch and five numbers.
+    streams. The four are one scan: four numbers are handed on from part to part of a key.
     """
-    schema = StructType([*[f for f in rows.schema.fields if f.name not in ("n", *_LOGS)], StructField("n", LongType()), *[StructField(c, DoubleType()) for c in _LOGS]])
-    dealt = rows.withColumn("_log_e", F.col(log_e).cast("double")).repartition(*keys).sortWithinPartitions(*keys, order)
-    return dealt.mapInArrow(_accumulated(keys), schema).withColumns({c.removeprefix("log_"): F.exp(c) for c in _LOGS})
+    return _with_statistics(scan.ordered(rows.withColumn("_log_e", F.col(log_e).cast("double")), keys, [order]), keys).drop(scan.PART)
 
 
 def power(rows: DataFrame, keys: list[str], order: str, p: str, epsilon: float) -> DataFrame:
     return statistics(rows.withColumn("log_e", power_log_e(F.col(p), epsilon)), keys, order)
 
 
-def mixture(rows: DataFrame, keys: list[str], order: str, p: str, grid: list[float]) -> DataFrame:
-    """rows with the logarithm of the mean over the grid of the power martingales, and log_e, its growth at each row."""
-    spread = rows.withColumn("_row", F.monotonically_increasing_id()).withColumn("_eps", F.explode(F.array(*[F.lit(float(e)) for e in grid])))
-    bet = F.when(F.col(p) == 0.0, F.when(F.col("_eps") < 1.0, INFINITY).otherwise(0.0)).otherwise(F.ln("_eps") + (F.col("_eps") - 1.0) * F.ln(p))
-    each = spread.withColumn("_s", F.sum(bet).over(Window.partitionBy(*keys, "_eps").orderBy(order, "_row").rowsBetween(Window.unboundedPreceding, 0)))
-    top = each.groupBy("_row").agg(F.first(F.struct(*rows.columns)).alias("_own"), F.max("_s").alias("_top"), F.collect_list("_s").alias("_all")).select("_own.*", "_row", "_top", "_all")
-    mean = F.aggregate("_all", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("_top"))) / float(len(grid))
-    out = top.withColumn("log_martingale", F.when(F.col("_top") == INFINITY, INFINITY).otherwise(F.col("_top") + F.ln(mean))).drop("_top", "_all")
-    last = F.coalesce(F.lag("log_martingale").over(Window.partitionBy(*keys).orderBy(order, "_row")), F.lit(0.0))
-    return out.withColumn("log_e", F.col("log_martingale") - last).drop("_row")
+class Mixture(scan.Fold):
+    """log_martingale, the logarithm of the mean of power martingales, and log_e, its growth. A state holds the logarithm of each."""
+
+    outputs = "log_martingale double, log_e double"
 
+    def __init__(self, p: str, grid: list[float]):
+        self.inputs, self.grid = [p], np.array(grid, float)
+        self.fresh = self.neutral = np.zeros(len(grid))
 
-def _logadd(a: Column, b: Column) -> Column:
-    high, low = F.greatest(a, b), F.least(a, b)
-    return F.when(low == -INFINITY, high).otherwise(high + F.log1p(F.exp(low - high)))
+    def run(self, state, n, columns):
+        p = scan.numbers(columns[self.inputs[0]])[:, None]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            bets = np.where(p == 0.0, np.where(self.grid < 1.0, np.inf, 0.0), np.log(self.grid) + (self.grid - 1.0) * np.log(p))
+            sums = np.cumsum(np.vstack([state, np.where(np.isnan(p), 0.0, bets)]), axis=0)
+            top = sums.max(axis=1)
+            logs = np.where(np.isinf(top), top, top + np.log(np.exp(sums - top[:, None]).mean(axis=1)))
+            return [logs[1:], np.diff(logs)], sums[-1]
 
+    def join(self, state, summary):
+        return state + summary
 
-def jumper(rows: DataFrame, keys: list[str], order: str, p: str, jump: float = 0.01, block: int = 512) -> DataFrame:
-    """rows with log_martingale of the simple jumper: three accounts bet 1 + e (p - 1/2) for e in -1, 0, 1 and mix by `jump` before each bet.
 
-    A step is a linear map of the three accounts. Rows are folded in blocks: each block's map is a 3 x 3 matrix (with a logarithmic scale), blocks are then
-    folded one after another, and each row starts from its block's accounts. No more than a block's rows, or a key's rows divided by the block, meet in one array.
+def mixture(rows: DataFrame, keys: list[str], order: str, p: str, grid: list[float]) -> DataFrame:
+    """rows with the logarithm of the mean over the grid of the power martingales, and log_e, its growth at each row. A null p is no bet."""
+    return scan.scanned(rows, keys, [order], Mixture(p, grid))
+
+
+class Jumper(scan.Fold):
+    """log_martingale of three accounts that bet 1 + e (p - 1/2) for e in -1, 0, 1 and mix by `jump` before each bet.
+
+    A step is a linear map of the accounts, so a run of rows is a 3 x 3 matrix, kept with a logarithmic scale. A state holds the accounts, divided by their sum, and its logarithm.
     """
-    n = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
-    numbered = rows.withColumn("_n", n).withColumn("_b", F.floor((F.col("_n") - 1) / block))
-    held = numbered.groupBy(*keys, "_b").agg(F.array_sort(F.collect_list(F.struct("_n", F.col(p).alias("p")))).alias("_ps"))
-    keep, mix = 1.0 - jump, jump / 3.0
-
-    def step(c: list[Column], x: Column) -> list[Column]:
-        total = c[0] + c[1] + c[2]
-        return [(keep * v + mix * total) * (1.0 + e * (x - 0.5)) for v, e in zip(c, (-1.0, 0.0, 1.0))]
-
-    def fold(array: Column, start: list[Column], log0: Column) -> Column:
-        """struct(a, b, c, log): the accounts, divided by their sum, and the logarithm taken out."""
-        first = F.struct(*[v.cast("double").alias(k) for v, k in zip(start, "abc")], log0.cast("double").alias("log"))
-
-        def one(s: Column, x: Column) -> Column:
-            c = step([s["a"], s["b"], s["c"]], x["p"])
-            total = c[0] + c[1] + c[2]
-            return F.struct(*[F.when(total > 0, v / total).otherwise(0.0).alias(k) for v, k in zip(c, "abc")], F.when(total > 0, s["log"] + F.ln(total)).otherwise(-INFINITY).alias("log"))
-
-        return F.aggregate(array, first, one)
-
-    unit = [[F.lit(1.0 if i == j else 0.0) for i in range(3)] for j in range(3)]
-    maps = held.select(*keys, "_b", *[fold(F.col("_ps"), unit[j], F.lit(0.0)).alias(f"_m{j}") for j in range(3)])
-    chain = maps.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_b", "_m0", "_m1", "_m2"))).alias("_maps"))
-    third = F.lit(1.0 / 3.0)
-    begin = F.struct(third.alias("a"), third.alias("b"), third.alias("c"), F.lit(0.0).alias("log"), F.array().cast("array<struct<_b:bigint,a:double,b:double,c:double,log:double>>").alias("seen"))
-
-    def onward(s: Column, m: Column) -> Column:
-        top = F.greatest(m["_m0"]["log"], m["_m1"]["log"], m["_m2"]["log"])
-        weigh = [s[k] * F.exp(m[f"_m{j}"]["log"] - top) for j, k in enumerate("abc")]
-        raw = [sum((weigh[j] * m[f"_m{j}"][k] for j in range(1, 3)), weigh[0] * m["_m0"][k]) for k in "abc"]
-        total = raw[0] + raw[1] + raw[2]
-        entry = F.struct(m["_b"].alias("_b"), s["a"].alias("a"), s["b"].alias("b"), s["c"].alias("c"), s["log"].alias("log"))
-        return F.struct(*[(v / total).alias(k) for v, k in zip(raw, "abc")], (s["log"] + top + F.ln(total)).alias("log"), F.concat(s["seen"], F.array(entry)).alias("seen"))
-
-    starts = chain.select(*keys, F.explode(F.aggregate("_maps", begin, onward)["seen"]).alias("_s")).select(*keys, F.col("_s._b").alias("_b"), "_s.a", "_s.b", "_s.c", "_s.log")
-    inner = held.join(starts, [*keys, "_b"])
-    nulls = F.array().cast("array<struct<_n:int,value:double>>")
-    run0 = F.struct(F.col("a"), F.col("b"), F.col("c"), F.col("log"), nulls.alias("out"))
-
-    def each(s: Column, x: Column) -> Column:
-        c = step([s["a"], s["b"], s["c"]], x["p"])
-        total = c[0] + c[1] + c[2]
-        value = F.when(total > 0, s["log"] + F.ln(total)).otherwise(-INFINITY)
-        return F.struct(*[F.when(total > 0, v / total).otherwise(0.0).alias(k) for v, k in zip(c, "abc")], value.alias("log"), F.concat(s["out"], F.array(F.struct(x["_n"].alias("_n"), value.alias("value")))).alias("out"))
-
-    values = inner.select(*keys, F.explode(F.aggregate("_ps", run0, each)["out"]).alias("_v")).select(*keys, F.col("_v._n").alias("_n"), F.col("_v.value").alias("log_martingale"))
-    return numbered.join(values, [*keys, "_n"]).drop("_n", "_b")
+
+    outputs = "log_martingale double"
+    fresh, neutral = (np.full(3, 1.0 / 3.0), 0.0), (np.eye(3), 0.0)
+
+    def __init__(self, p: str, jump: float):
+        self.inputs, self.mix = [p], (1.0 - jump) * np.eye(3) + jump / 3.0
+
+    def _blocks(self, columns) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Bets as (block, step, account), the steps of each block, and the blocks' maps with their logarithms; as many blocks as steps in one, about."""
+        p = scan.numbers(columns[self.inputs[0]])
+        bets = np.where(np.isnan(p), 1.0, 1.0 + np.array([[-1.0], [0.0], [1.0]]) * (p - 0.5)).T
+        length = int(np.ceil(np.sqrt(len(p))))
+        counts = np.full(-(-len(p) // length), length)
+        counts[-1] = len(p) - length * (len(counts) - 1)
+        padded = np.ones((len(counts) * length, 3))
+        padded[: len(p)] = bets
+        padded = padded.reshape(len(counts), length, 3)
+        maps, logs = np.repeat(np.eye(3)[None], len(counts), axis=0), np.zeros(len(counts))
+        for t in range(length):
+            live = counts > t
+            after = (maps[live] @ self.mix) * padded[live, t][:, None, :]
+            total = after.sum(axis=(1, 2))
+            maps[live], logs[live] = after / total[:, None, None], logs[live] + np.log(total)
+        return padded, counts, maps, logs
+
+    def run(self, state, n, columns):
+        padded, counts, maps, logs = self._blocks(columns)
+        accounts, log0 = np.empty((len(counts), 3)), np.empty(len(counts))
+        for k in range(len(counts)):
+            accounts[k], log0[k] = state
+            state = self.join(state, (maps[k], logs[k]))
+        out = np.empty(padded.shape[:2])
+        for t in range(padded.shape[1]):
+            accounts = (accounts @ self.mix) * padded[:, t]
+            total = accounts.sum(axis=1)
+            accounts, log0 = accounts / total[:, None], log0 + np.log(total)
+            out[:, t] = log0
+        return [out.ravel()[: len(n)]], state
+
+    def summarise(self, summary, n, columns):
+        _, _, maps, logs = self._blocks(columns)
+        for own, log_own in zip(maps, logs, strict=True):
+            summary = self.join(summary, (own, log_own))
+        return summary
+
+    def join(self, state, summary):
+        after = state[0] @ summary[0]
+        return after / after.sum(), float(state[1] + summary[1] + np.log(after.sum()))
+
+
+def jumper(rows: DataFrame, keys: list[str], order: str, p: str, jump: float = 0.01) -> DataFrame:
+    """rows with log_martingale of the simple jumper (see Jumper). A null p is no bet."""
+    return scan.scanned(rows, keys, [order], Jumper(p, jump))
 
 
 def payload(log_value: Column) -> Column:
@@ -179,10 +196,9 @@ def payload(log_value: Column) -> Column:
 
 def horizon_windows(rows: DataFrame, keys: list[str], order: str, horizon: int) -> DataFrame:
     """rows with window (from 0), window_position (from 1) and window_reset (a new window began here after an earlier one)."""
-    n = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
-    marked = rows.withColumn("_n", n).withColumn("window", F.floor((F.col("_n") - 1) / horizon))
-    marked = marked.withColumn("window_position", ((F.col("_n") - 1) % horizon + 1).cast("long"))
-    return marked.withColumn("window_reset", (F.col("window_position") == 1) & (F.col("window") > 0)).drop("_n")
+    marked = scan.scanned(rows.withColumn("_own", F.struct(*rows.columns)), keys, [order], scan.Place()).withColumn("window", F.floor((F.col("n") - 1) / horizon))
+    marked = marked.select("_own.*", "window", ((F.col("n") - 1) % horizon + 1).cast("long").alias("window_position"))
+    return marked.withColumn("window_reset", (F.col("window_position") == 1) & (F.col("window") > 0))
 
 
 def ensemble(rows: DataFrame, keys: list[str], order: str, p: str, trackers: list[tuple[str, float, str, float]]) -> DataFrame:
@@ -196,13 +212,10 @@ def ensemble(rows: DataFrame, keys: list[str], order: str, p: str, trackers: lis
     each = rows.select(*keys, order, p, F.explode(made).alias("_t")).select(*keys, order, p, "_t.*")
     bet = F.when(F.col(p) == 0.0, F.when(F.col("epsilon") < 1.0, INFINITY).otherwise(0.0)).otherwise(F.ln("epsilon") + (F.col("epsilon") - 1.0) * F.ln(p))
     own = [*keys, "tracker_id"]
-    stats = statistics(each.withColumn("log_e", bet), own, order)
+    stats = _with_statistics(scan.ordered(each.withColumn("_log_e", bet), own, [order]), own)
     value = F.when(F.col("statistic") == "martingale", F.col("martingale")).when(F.col("statistic") == "cusum", F.col("cusum")).when(F.col("statistic") == "shiryaev_roberts", F.col("shiryaev_roberts")).otherwise(F.col("restarted_martingale"))
-    crossed = stats.withColumn("crossed", value >= F.col("threshold"))
-    window = Window.partitionBy(*own).orderBy(order)
-    fired = crossed.withColumn("fired", F.col("crossed") & ~F.coalesce(F.lag("crossed").over(window), F.lit(False)))
-    fired = fired.withColumn("so_far", F.sum(F.col("fired").cast("long")).over(window.rowsBetween(Window.unboundedPreceding, 0)))
-    return fired.groupBy(*keys, order).agg(F.bool_or("fired").alias("alarm"), F.sum("so_far").alias("alarm_count"), F.max("n").alias("tested_count"))
+    fired = scan.scan(stats.withColumn("crossed", value >= F.col("threshold")), own, scan.Edges())
+    return fired.groupBy(*keys, order).agg(F.bool_or("fired").alias("alarm"), F.sum("alarm_count").alias("alarm_count"), F.max("n").alias("tested_count"))
 
 
 def _paths(calibration: int, horizon: int, statistic: str, epsilon: float, seed: int):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pulsegrid.operators import scan
 from pulsegrid.operators.matching import micros
 
 
@@ -64,16 +65,13 @@ def normalized(points: DataFrame, keys: list[str], time: str, value: str, positi
 
 def phases(rows: DataFrame, keys: list[str], order: str, train: int, calibrate: int) -> DataFrame:
     """rows with `n` (from 1) and the phase of the sample counts: collecting, calibrating, operational."""
-    n = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
-    return rows.withColumn("n", n).withColumn("phase", F.when(F.col("n") <= train, "collecting").when(F.col("n") <= train + calibrate, "calibrating").otherwise("operational"))
+    marked = scan.scanned(rows, keys, [order], scan.Place())
+    return marked.withColumn("phase", F.when(F.col("n") <= train, "collecting").when(F.col("n") <= train + calibrate, "calibrating").otherwise("operational"))
 
 
 def alarm_edges(rows: DataFrame, keys: list[str], order: str, crossed: Column) -> DataFrame:
     """rows with crossed, fired (crossed now but not at the row before) and alarm_count (fired so far)."""
-    window = Window.partitionBy(*keys).orderBy(order)
-    marked = rows.withColumn("crossed", crossed)
-    marked = marked.withColumn("fired", F.col("crossed") & ~F.coalesce(F.lag("crossed").over(window), F.lit(False)))
-    return marked.withColumn("alarm_count", F.sum(F.col("fired").cast("long")).over(window.rowsBetween(Window.unboundedPreceding, 0)))
+    return scan.scanned(rows.withColumn("crossed", crossed), keys, [order], scan.Edges())
 
 
 def pending_points(telemetry: DataFrame, evidence: DataFrame, keys: list[str], time: str) -> DataFrame:
@@ -83,7 +81,8 @@ def pending_points(telemetry: DataFrame, evidence: DataFrame, keys: list[str], t
 
 
 def moving_average(rows: DataFrame, keys: list[str], order: str, value: str, size: int = 1000) -> DataFrame:
-    return rows.withColumn("moving_average", F.avg(value).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(-(size - 1), 0)))
+    """rows with the mean of the values of the last `size` rows, this one among them."""
+    return scan.scanned(rows, keys, [order], scan.MovingAverage(value, size))
 
 
 def quantile_higher(rows: DataFrame, keys: list[str], value: str, q: float) -> DataFrame:

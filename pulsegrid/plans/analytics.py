@@ -181,7 +181,7 @@ FROM j JOIN o ON o.charger_id = j.charger_id AND o.n = j.n + 1))"""
 
 @query(_STREAMS + _JUMP + " SELECT charger_id, arrival, round(log_martingale, 6) AS log_martingale FROM j")
 def jumper_martingale(spark, sf):
-    rows = sequential.jumper(_p_values(spark, sf), STREAM, "arrival", "p", 0.01, block=64)
+    rows = sequential.jumper(_p_values(spark, sf), STREAM, "arrival", "p", 0.01)
     return rows.select("charger_id", "arrival", F.round("log_martingale", 6).alias("log_martingale"))
 
 

@@ -177,15 +177,14 @@ def test_zero_p_and_payload(spark):
     assert row.value is None and not row.is_infinite
 
 
-@pytest.mark.parametrize("block", [1, 3, 512])
-def test_jumper_is_the_recursion(spark, block):
+def test_jumper_is_the_recursion(spark):
     values = np.random.default_rng(3).random(20)
     accounts, want = np.full(3, 1 / 3), []
     for p in values:
         accounts = 0.9 * accounts + 0.1 / 3 * accounts.sum()
         accounts = accounts * (1 + np.array([-1, 0, 1]) * (p - 0.5))
         want.append(np.log(accounts.sum()))
-    got = sequential.jumper(p_stream(spark, values.tolist()), ["k"], "n", "p", 0.1, block=block).orderBy("n").collect()
+    got = sequential.jumper(p_stream(spark, values.tolist()), ["k"], "n", "p", 0.1).orderBy("n").collect()
     assert np.allclose([r.log_martingale for r in got], want)
 
 
