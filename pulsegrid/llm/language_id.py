@@ -269,12 +269,15 @@ def _runs(pieces: int, words: int):
 
 
 def fit(docs: DataFrame, *, sample: int = 400, pieces: int = 8, words: int = 40, seed: int = 0) -> LanguageField:
-    """The field of docs (doc_id, text, lang) with a lang: of each language `sample` documents, those with the smallest hash of doc_id, and of each of these `pieces` runs of `words` words spread over
+    """The field of docs (doc_id, text, lang) with a lang: of each language `sample` documents drawn by a hash of doc_id, and of each of these `pieces` runs of `words` words spread over
     the whole text. These bounds keep what the driver gathers under about a megabyte a language. Documents without an id or a lang are not taken; of rows with the same id and lang one is."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("doc_id is not null and lang is not null")
-    ranked = rows.select("doc_id", "lang").withColumn("draw", F.xxhash64("doc_id")).distinct()
-    picked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id"))).where(F.col("rank") <= sample).select("doc_id", "lang")
+    # a language's documents are thinned by their hash to a few times the sample before they are ranked, so that no task ranks all of a language
+    sizes = rows.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("size"))
+    drawn = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("draw")).join(F.broadcast(sizes), "lang")
+    thin = drawn.where((F.pmod(F.shiftrightunsigned("draw", 11), F.lit(1 << 40)) / float(1 << 40)) * F.col("size") < 4 * sample + 50).select("doc_id", "lang", "draw").distinct()
+    picked = thin.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id"))).where(F.col("rank") <= sample).select("doc_id", "lang")
     texts = rows.join(F.broadcast(picked), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
     found = texts.orderBy("doc_id", "lang").select("lang", "text").mapInArrow(_runs(pieces, words), "lang string, words binary").collect()
     languages = sorted({row.lang for row in found})
