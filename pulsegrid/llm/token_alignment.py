@@ -100,34 +100,128 @@ def _width(size: int) -> str:
     return "<u2" if size <= 1 << 16 else "<u4"
 
 
+_SPACE, _WHITE = 0x20, textkit.byte_class((0x09, 0x0D), (0x1C, 0x20))
+#: Words whose ids a worker keeps, a few each.
+KNOWN_WORDS = 500_000
+
+
+def spans(block: textkit.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words of a block's texts, without the space before each, and the number of words of each text. A seam is a space, not the last byte, after a byte or a letter of two bytes that is no white space."""
+    data, n = block.data, len(block.data)
+    seam = np.zeros(n, bool)
+    if n > 2:
+        plain = (data[:-2] < 0x80) & ~_WHITE[data[:-2]]
+        two = np.zeros(n - 2, bool)
+        two[1:] = (data[: n - 3] >= 0xC3) & (data[: n - 3] <= 0xDF) & (data[1 : n - 2] >= 0x80) & (data[1 : n - 2] <= 0xBF)
+        seam[1:-1] = (data[1:-1] == _SPACE) & (plain | two)
+    filled = np.diff(block.offsets) > 0
+    firsts, lasts = block.offsets[:-1][filled], block.offsets[1:][filled] - 1
+    seam[firsts] = seam[lasts] = False
+    cuts = np.flatnonzero(seam)
+    starts = np.sort(np.concatenate((firsts, cuts + 1)))
+    ends = np.sort(np.concatenate((lasts + 1, cuts)))
+    return starts, ends, np.diff(np.searchsorted(starts, block.offsets))
+
+
+class Words:
+    """The ids of both tokenizers of words seen lately, by hash, in a large sorted table and a small one that is merged into it now and then. A fact is (first and number of A ids, of B ids, spelled or not)."""
+
+    def __init__(self, both: Vocabularies):
+        self.both = both
+        self.kinds = [_width(len(both.a_bytes)), _width(len(both.b_bytes))]
+        self.forget()
+
+    def forget(self) -> None:
+        self.old, self.new = ((np.zeros(0, np.uint64), np.zeros((0, 5), np.int64)) for _ in range(2))
+        self.ids, self.used = [np.zeros(1 << 16, k) for k in self.kinds], [0, 0]
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        facts = np.full((len(hashes), 5), -1)
+        for keys, own in (self.old, self.new):
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+                there = keys[at] == hashes
+                facts[there] = own[at[there]]
+        return facts
+
+    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
+        a, b, same = self.both.encode([" " + w for w in words])
+        facts = np.empty((len(words), 5), np.int64)
+        for side, own in enumerate((a, b)):
+            counts, ids = np.array([len(x) for x in own], np.int64), np.concatenate(own)
+            if self.used[side] + len(ids) > len(self.ids[side]):
+                self.ids[side] = np.concatenate((self.ids[side], np.zeros(max(len(ids), len(self.ids[side])), self.kinds[side])))
+            self.ids[side][self.used[side] : self.used[side] + len(ids)] = ids
+            facts[:, 2 * side], facts[:, 2 * side + 1] = self.used[side] + np.cumsum(counts) - counts, counts
+            self.used[side] += len(ids)
+        facts[:, 4] = same
+        whole = 4 * (len(hashes) + len(self.new[0])) > len(self.old[0])
+        keys, facts = (np.concatenate(x) for x in zip((hashes, facts), self.new, *([self.old] if whole else []), strict=True))
+        order = np.argsort(keys, kind="stable")
+        self.new = keys[order], facts[order]
+        if whole:
+            self.old, self.new = self.new, (keys[:0], facts[:0])
+
+    def facts(self, block: textkit.Block, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The facts of each word of a block."""
+        hashes, first, back = np.unique(block.hashes(starts, ends), return_index=True, return_inverse=True)
+        found = self._find(hashes)
+        if (found[:, 0] < 0).any():
+            if len(self.old[0]) + len(self.new[0]) + int((found[:, 0] < 0).sum()) > KNOWN_WORDS or sum(self.used) > 16 * KNOWN_WORDS:
+                self.forget()
+                found[:] = -1
+            lacking = np.flatnonzero(found[:, 0] < 0)
+            raw = block.data.tobytes()
+            self._learn(hashes[lacking], [raw[i:j].decode() for i, j in zip(starts[first[lacking]].tolist(), ends[first[lacking]].tolist(), strict=True)])
+            found = self._find(hashes)
+        return found[back]
+
+    def packed(self, side: int, facts: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The words' ids of a side as bytes, and where each word's begin, and the end."""
+        size = np.dtype(self.kinds[side]).itemsize
+        return self.ids[side][textkit.ragged(facts[:, 2 * side], facts[:, 2 * side + 1])].tobytes(), size * np.concatenate(([0], np.cumsum(facts[:, 2 * side + 1])))
+
+
 def _events(a_path: str, b_path: str):
     """The event rows of each document: packed ids of A (side 0) and B (side 1) by piece; a document without tokens has one of side 0 without ids."""
 
+    def block_rows(words: Words, block: textkit.Block) -> Iterator[tuple[int, int, int, bytes]]:
+        starts, ends, counts = spans(block)
+        facts = words.facts(block, starts, ends) if len(starts) and words.both.seams else np.zeros((len(starts), 5), np.int64)
+        sides = [words.packed(side, facts) for side in (0, 1)]
+        sums = np.concatenate(([0], np.cumsum(ends - starts + 1)))  # with the space before each word
+        unlike = np.concatenate(([0], np.cumsum(facts[:, 4] != 1)))
+        firsts = np.concatenate(([0], np.cumsum(counts))).tolist()
+        for row, (first, stop) in enumerate(zip(firsts[:-1], firsts[1:], strict=True)):
+            if first == stop:
+                yield row, 0, 0, b""
+            elif unlike[stop] > unlike[first]:
+                yield from whole_rows(words, row, block.text(block.offsets[row], block.offsets[row + 1]))
+            else:
+                edges = np.flatnonzero(np.diff((sums[first:stop] - sums[first]) // PIECE)) + first + 1
+                for i, j in zip([first, *edges.tolist()], [*edges.tolist(), stop], strict=True):
+                    for side, (data, at) in enumerate(sides):
+                        yield row, int(sums[i] - sums[first]), side, data[at[i] : at[j]]
+
+    def whole_rows(words: Words, row: int, text: str) -> Iterator[tuple[int, int, int, bytes]]:
+        """A text with a word that isn't spelled, by all of its pieces."""
+        pieces = words.both.pieces(text)
+        a, b, same = words.both.encode(pieces)
+        if not same.all():
+            yield row, 0, 0, b""
+            return
+        start = 0
+        for piece, *ids in zip(pieces, a, b, strict=True):
+            for side in (0, 1):
+                yield row, start, side, ids[side].astype(words.kinds[side]).tobytes()
+            start += len(piece.encode())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = Vocabularies.of(a_path, b_path)
-        kinds = [_width(len(both.a_bytes)), _width(len(both.b_bytes))]
+        words = Words(Vocabularies.of(a_path, b_path))
         for batch in batches:
             for block in textkit.blocks(batch.column(4)):
                 keys = [batch.column(k).slice(block.first, len(block)) for k in range(4)]
-                texts = batch.column(4).slice(block.first, len(block)).to_pylist()
-                pieces = [both.pieces(t) if t else [] for t in texts]
-                flat = [p for own in pieces for p in own]
-                a, b, same = both.encode(flat) if flat else ([], [], np.zeros(0, bool))
-                rows, starts, sides, ids = [], [], [], []
-                first = 0
-                for row, own in enumerate(pieces):
-                    stop, start = first + len(own), 0
-                    if not own or not same[first:stop].all():
-                        for column, value in ((rows, row), (starts, 0), (sides, 0), (ids, b"")):
-                            column.append(value)
-                    else:
-                        for k in range(first, stop):
-                            rows += [row, row]
-                            starts += [start, start]
-                            sides += [0, 1]
-                            ids += [a[k].astype(kinds[0]).tobytes(), b[k].astype(kinds[1]).tobytes()]
-                            start += len(flat[k].encode())
-                    first = stop
+                rows, starts, sides, ids = zip(*block_rows(words, block), strict=True)
                 at = pa.array(rows, pa.int64())
                 yield pa.RecordBatch.from_arrays([*(k.take(at) for k in keys), pa.array(starts, pa.int64()), pa.array(sides, pa.int32()), pa.array(ids, pa.binary())], names=[*KEY, "start", "side", "ids"])
 

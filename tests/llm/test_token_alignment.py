@@ -112,6 +112,28 @@ def test_pieces_keep_tokens(monkeypatch):
         assert np.concatenate(side).tolist() == whole[0].tolist()
 
 
+@pytest.mark.parametrize("known", [3, 40, t.KNOWN_WORDS])
+def test_words_are_encoded_as_in_their_text(documents, monkeypatch, known):
+    """Ids of distinct words, put together, are those of whole texts; white space of every kind beside words; a small store that is emptied often."""
+    import pyarrow as pa
+
+    from pulsegrid.llm import textkit
+
+    monkeypatch.setattr(t, "KNOWN_WORDS", known)
+    texts = [r.text for r in documents.collect() if r.text and len(r.text) < 20000 and "▁" not in r.text]
+    texts += ["é è\u00a0 a\u3000 b\u2028 c\x85 d", "ñ ñ\n n\t t\x1f x\r y", "x ", " x", "a  b   c", "ü", "\u00a0", "漢 字 🤖 x", "à à"]
+    both = t.Vocabularies.of(A, B)
+    words = t.Words(both)
+    for block in textkit.blocks(pa.array(texts), 5000):
+        starts, ends, counts = t.spans(block)
+        facts = words.facts(block, starts, ends)
+        assert facts[:, 4].all() and len(counts) == len(block)
+        want = both.encode([" " + x for x in texts[block.first : block.stop]])
+        for side in (0, 1):
+            data, _ = words.packed(side, facts)
+            assert np.frombuffer(data, words.kinds[side]).tolist() == np.concatenate(want[side]).tolist()
+
+
 def test_empty(spark, documents):
     assert t.align(documents.limit(0), A, B).count() == 0
     assert {tuple(r)[1:] for r in t.align(documents.where("text is null or text = ''"), A, B).collect()} == {(0, 0, 0, 0, 0, 0, "")}
