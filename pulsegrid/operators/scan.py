@@ -85,7 +85,7 @@ def _changes(batch: pa.RecordBatch, names: list[str]) -> list[int]:
     return (np.flatnonzero(changed) + 1).tolist()
 
 
-def _runs(batch: pa.RecordBatch, keys: list[str]) -> Iterator[tuple[int, int, int, tuple]]:
+def runs(batch: pa.RecordBatch, keys: list[str]) -> Iterator[tuple[int, int, int, tuple]]:
     """(start, stop, part, key) of the batch's runs of rows of one part and key."""
     if batch.num_rows:
         edges = [0, *_changes(batch, [PART, *keys]), batch.num_rows]
@@ -93,21 +93,41 @@ def _runs(batch: pa.RecordBatch, keys: list[str]) -> Iterator[tuple[int, int, in
             yield i, j, batch.column(PART)[i].as_py(), tuple(batch.column(k)[i].as_py() for k in keys)
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """The groups of sorted rows with equal values of some columns, each as one batch."""
+    held: list[pa.RecordBatch] = []
+    joined = lambda: pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held and any(held[-1].column(c)[-1].as_py() != batch.column(c)[0].as_py() for c in names):
+            yield joined()
+            held = []
+        edges = [0, *_changes(batch, names), batch.num_rows]
+        for k, (i, j) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+            held.append(batch.slice(i, j - i))
+            if k + 2 < len(edges):
+                yield joined()
+                held = []
+    if held:
+        yield joined()
+
+
 def _summaries(fold: Fold, keys: list[str], places: dict[int, tuple]):
     """Of each part: its last key, whether it has no other, and the summary of that key's rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done, at = [], None
         for batch in batches:
-            runs = list(_runs(batch, keys))
-            for k, (i, j, part, key) in enumerate(runs):
+            own = list(runs(batch, keys))
+            for k, (i, j, part, key) in enumerate(own):
                 if at is None or at[0] != part:
                     done += [at] if at else []
                     held, before = places.get(part, (None, 0))
                     at = [part, key, True, fold.neutral, before if held == key else 0]
                 elif at[1] != key:
                     at = [part, key, False, fold.neutral, 0]
-                if k + 1 == len(runs) or runs[k + 1][2] != part:  # a key that ends inside its part hands nothing on
+                if k + 1 == len(own) or own[k + 1][2] != part:  # a key that ends inside its part hands nothing on
                     at[3] = fold.summarise(at[3], at[4] + np.arange(1, j - i + 1), {c: batch.column(c).slice(i, j - i) for c in fold.inputs})
                 at[4] += j - i
         for part, key, alone, summary, _ in [*done, at] if at else []:
@@ -131,7 +151,7 @@ def _applied(fold: Fold, keys: list[str], kept: list[str], names: list[str], pla
         at = None
         for batch in batches:
             parts = []
-            for i, j, part, key in _runs(batch, keys):
+            for i, j, part, key in runs(batch, keys):
                 if at is None or at[:2] != [part, key]:
                     first = at is None or at[0] != part
                     (n_key, n), (s_key, state) = (places.get(part, (None, 0)), states.get(part, (None, None))) if first else ((None, 0), (None, None))
@@ -317,3 +337,39 @@ class BucketLeast(Fold):
         if state[0] != summary[0] or state[2] is None:
             return summary
         return state if summary[2] is None or state[1] <= summary[1] else summary
+
+
+class Together(Fold):
+    """Several folds in one pass."""
+
+    def __init__(self, *folds: Fold):
+        self.folds = folds
+        self.inputs = list(dict.fromkeys(c for f in folds for c in f.inputs))
+        self.outputs = ", ".join(f.outputs for f in folds)
+        self.fresh, self.neutral = [f.fresh for f in folds], [f.neutral for f in folds]
+        self.placed = any(f.placed for f in folds)
+
+    def run(self, state, n, columns):
+        made = [f.run(s, n, columns) for f, s in zip(self.folds, state, strict=True)]
+        return [x for out, _ in made for x in out], [after for _, after in made]
+
+    def summarise(self, summary, n, columns):
+        return [f.summarise(s, n, columns) for f, s in zip(self.folds, summary, strict=True)]
+
+    def join(self, state, summary):
+        return [f.join(a, b) for f, a, b in zip(self.folds, state, summary, strict=True)]
+
+
+class Highest(Fold):
+    """The largest number of a column up to each row; nulls are passed over."""
+
+    def __init__(self, column: str, output: str):
+        self.inputs, self.outputs, self.fresh, self.neutral = [column], f"{output} double", -np.inf, -np.inf
+
+    def run(self, state, n, columns):
+        values = numbers(columns[self.inputs[0]])
+        most = np.maximum.accumulate(np.concatenate(([state], np.where(np.isnan(values), -np.inf, values))))[1:]
+        return [pa.array(most, mask=np.isneginf(most))], float(most[-1])
+
+    def join(self, state, summary):
+        return max(state, summary)

@@ -25,9 +25,25 @@ def direct_pass_through(spark, sf):
     return rows.select("charger_id", "seq", "status", F.try_element_at("features", F.lit("click")).alias("value"), "sample_timestamp")
 
 
-@query()
+#: A charger's readings one after another; `emitted` is the place of its last vector. What is held of a sensor is its reading of the largest place so far.
+_SENSORS = {"c": "click", "e": "error", "v": "view"}
+_BARRIER = sql(", m AS MATERIALIZED (SELECT charger_id, arrival AS seq, type, value, epoch_us(\"timestamp\") / 1000000.0::DOUBLE AS stamp, row_number() OVER (PARTITION BY charger_id ORDER BY arrival) AS n, "
++ ", ".join(f"max(CASE WHEN type = '{t}' THEN arrival END) OVER (PARTITION BY charger_id ORDER BY arrival ROWS UNBOUNDED PRECEDING) AS {k}" for k, t in _SENSORS.items()) + " FROM dense WHERE type IN ('click', 'error', 'view')),\n"
++ "w AS MATERIALIZED (SELECT m.charger_id, m.seq, m.n, m.c, m.e, m.v, " + ", ".join(f"{k}_.value AS {k}_value, {k}_.stamp AS {k}_stamp, coalesce(m.stamp - {k}_.stamp > 1800.0::DOUBLE, false) AS {k}_stale" for k in _SENSORS)
++ " FROM m " + " ".join(f"LEFT JOIN m {k}_ ON {k}_.seq = m.{k}" for k in _SENSORS) + """),
+r AS (SELECT charger_id, n, seq, -1::BIGINT AS before, CASE WHEN c IS NOT NULL AND e IS NOT NULL AND v IS NOT NULL THEN seq ELSE -1 END AS emitted FROM w WHERE n = 1
+UNION ALL SELECT w.charger_id, w.n, w.seq, r.emitted, CASE WHEN least(w.c, w.e, w.v) > r.emitted AND w.c IS NOT NULL AND w.e IS NOT NULL AND w.v IS NOT NULL AND NOT (c_stale OR e_stale OR v_stale) THEN w.seq ELSE r.emitted END FROM r JOIN w ON w.charger_id = r.charger_id AND w.n = r.n + 1)
+SELECT charger_id, seq, status, CASE status WHEN 'waiting_for_all' THEN concat_ws(',', CASE WHEN c IS NULL THEN 'click' END, CASE WHEN e IS NULL THEN 'error' END, CASE WHEN v IS NULL THEN 'view' END) WHEN 'stale_sensor_block' THEN concat_ws(',', CASE WHEN c_stale THEN 'click' END, CASE WHEN e_stale THEN 'error' END, CASE WHEN v_stale THEN 'view' END)
+WHEN 'waiting_for_barrier' THEN concat_ws(',', CASE WHEN c <= before THEN 'click' END, CASE WHEN e <= before THEN 'error' END, CASE WHEN v <= before THEN 'view' END) ELSE '' END AS blocking,
+CASE WHEN status = 'aligned_emit' THEN c_value END AS click, CASE WHEN status = 'aligned_emit' THEN e_value END AS error, CASE WHEN status = 'aligned_emit' THEN v_value END AS "view", CASE WHEN status = 'aligned_emit' THEN greatest(c_stamp, e_stamp, v_stamp) END AS sample_timestamp
+FROM (SELECT w.*, r.before, CASE WHEN c IS NULL OR e IS NULL OR v IS NULL THEN 'waiting_for_all' WHEN c_stale OR e_stale OR v_stale THEN 'stale_sensor_block' WHEN r.emitted <> w.seq THEN 'waiting_for_barrier' ELSE 'aligned_emit' END AS status FROM w JOIN r ON r.charger_id = w.charger_id AND r.n = w.n) t""", "dense").replace("WITH", "WITH RECURSIVE", 1)
+
+
+@query(_BARRIER)
 def barrier_align(spark, sf):
-    return alignment.align(_readings(spark, sf), ["click", "error", "view"], 1800.0)
+    rows = alignment.align(_readings(spark, sf), ["click", "error", "view"], 1800.0)
+    values = [F.try_element_at("features", F.lit(s)).alias(s) for s in ("click", "error", "view")]
+    return rows.select("charger_id", "seq", "status", F.array_join("blocking", ",").alias("blocking"), *values, "sample_timestamp")
 
 
 def _vectors(spark, sf):
@@ -58,10 +74,19 @@ def rate_limit(spark, sf):
     return controls.rate_limit(t.telemetry(spark, sf, dense=True).select(F.col("charger_id").alias("key"), F.col("arrival").alias("seq"), at.alias("at")), 4, 3600.0)
 
 
-@query()
+#: A message after another: the time of the opening that holds, if one does, and the errors kept.
+_BREAK = sql(""", m AS MATERIALIZED (SELECT charger_id AS key, arrival AS seq, type = 'error' AS error, max(epoch_us("timestamp") / 1000000.0::DOUBLE) OVER (PARTITION BY charger_id ORDER BY arrival ROWS UNBOUNDED PRECEDING) AS clock, row_number() OVER (PARTITION BY charger_id ORDER BY arrival) AS n FROM dense),
+r AS (SELECT key, seq, n, false AS open, CASE WHEN error THEN 1 ELSE 0 END AS errors, NULL::DOUBLE AS opened FROM m WHERE n = 1
+UNION ALL SELECT key, seq, n, still, CASE WHEN error AND NOT still THEN least(errors + 1, 100) ELSE errors END, CASE WHEN still THEN opened WHEN error AND least(errors + 1, 100) / 100.0::DOUBLE > 0.1::DOUBLE THEN clock END
+FROM (SELECT m.key, m.seq, m.n, m.error, m.clock, r.errors, r.opened, coalesce(m.clock < r.opened + 21600.0::DOUBLE, false) AS still FROM r JOIN m ON m.key = r.key AND m.n = r.n + 1) t)
+SELECT key, seq, open, errors::BIGINT AS errors FROM r""", "dense").replace("WITH", "WITH RECURSIVE", 1)
+
+
+@query(_BREAK)
 def circuit_breaker(spark, sf):
     at = F.unix_micros(F.col("timestamp").cast("timestamp")) / 1_000_000.0
-    return controls.circuit_breaker(t.telemetry(spark, sf, dense=True).select(F.col("charger_id").alias("key"), F.col("arrival").alias("seq"), at.alias("at"), (F.col("type") == "error").alias("error")))
+    rows = t.telemetry(spark, sf, dense=True).select(F.col("charger_id").alias("key"), F.col("arrival").alias("seq"), at.alias("at"), (F.col("type") == "error").alias("error"))
+    return controls.circuit_breaker(rows, 0.1, 21600.0)
 
 
 @query()
