@@ -1,27 +1,24 @@
-"""Sequential testing on conformal p-values: bets, martingales, alarm statistics, ensembles, thresholds.
+"""Sequential testing on conformal p-values: bets, martingales, alarm statistics, ensembles.
 
 Products over a stream are sums of logarithms in the order of position. `keys` are the columns that tell streams apart.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 from math import log
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.operators import scan
+from pulsegrid.operators.thresholds import STATISTICS, Tracker
 from pulsegrid.shared import cut
 
 INFINITY = float("inf")
 #: Logarithm of the largest double.
 LOG_MAX = log(1.7976931348623157e308)
-SIMULATION_BUDGET = 25_000_000
-STATISTICS = ("martingale", "restarted_martingale", "cusum", "shiryaev_roberts")
 _LOGS = ("log_martingale", "log_cusum", "log_shiryaev_roberts", "log_restarted_martingale")
 
 
@@ -127,12 +124,12 @@ def mixture(rows: DataFrame, keys: list[str], order: str, p: str, grid: list[flo
 
 
 class Jumper(scan.Fold):
-    """log_martingale of three accounts that bet 1 + e (p - 1/2) for e in -1, 0, 1 and mix by `jump` before each bet.
+    """log_martingale, and log_e, its growth, of three accounts that bet 1 + e (p - 1/2) for e in -1, 0, 1 and mix by `jump` before each bet.
 
     A step is a linear map of the accounts, so a run of rows is a 3 x 3 matrix, kept with a logarithmic scale. A state holds the accounts, divided by their sum, and its logarithm.
     """
 
-    outputs = "log_martingale double"
+    outputs = "log_martingale double, log_e double"
     fresh, neutral = (np.full(3, 1.0 / 3.0), 0.0), (np.eye(3), 0.0)
 
     def __init__(self, p: str, jump: float):
@@ -158,6 +155,7 @@ class Jumper(scan.Fold):
 
     def run(self, state, n, columns):
         padded, counts, maps, logs = self._blocks(columns)
+        before = state[1]
         accounts, log0 = np.empty((len(counts), 3)), np.empty(len(counts))
         for k in range(len(counts)):
             accounts[k], log0[k] = state
@@ -168,7 +166,8 @@ class Jumper(scan.Fold):
             total = accounts.sum(axis=1)
             accounts, log0 = accounts / total[:, None], log0 + np.log(total)
             out[:, t] = log0
-        return [out.ravel()[: len(n)]], state
+        out = out.ravel()[: len(n)]
+        return [out, np.diff(out, prepend=before)], state
 
     def summarise(self, summary, n, columns):
         _, _, maps, logs = self._blocks(columns)
@@ -182,7 +181,7 @@ class Jumper(scan.Fold):
 
 
 def jumper(rows: DataFrame, keys: list[str], order: str, p: str, jump: float = 0.01) -> DataFrame:
-    """rows with log_martingale of the simple jumper (see Jumper). A null p is no bet."""
+    """rows with log_martingale and log_e of the simple jumper (see Jumper). A null p is no bet."""
     return scan.scanned(rows, keys, [order], Jumper(p, jump))
 
 
@@ -201,68 +200,39 @@ def horizon_windows(rows: DataFrame, keys: list[str], order: str, horizon: int)
     return marked.withColumn("window_reset", (F.col("window_position") == 1) & (F.col("window") > 0))
 
 
-def ensemble(rows: DataFrame, keys: list[str], order: str, p: str, trackers: list[tuple[str, float, str, float]]) -> DataFrame:
-    """(keys, order, alarm, alarm_count, tested_count) of up to 16 power trackers (id, epsilon, statistic, threshold) on one stream of p-values.
+def _bets(rows: DataFrame, keys: list[str], order: str, p: str, trackers: list[Tracker]) -> DataFrame:
+    """(keys, order, tracker_id, statistic, threshold, log_e): the growth of each tracker's capital at each row. Power bets are exploded; mixtures and jumpers take a scan each."""
+    powers, parts = [t for t in trackers if t.bet == "power"], []
+    if powers:
+        made = F.array(*[F.struct(F.lit(t.id).alias("tracker_id"), F.lit(t.statistic).alias("statistic"), F.lit(float(t.threshold)).alias("threshold"), F.lit(float(t.epsilon)).alias("_epsilon")) for t in powers])
+        each = rows.select(*keys, order, p, F.explode(made).alias("_t")).select(*keys, order, p, "_t.*")
+        bet = F.when(F.col(p) == 0.0, F.when(F.col("_epsilon") < 1.0, INFINITY).otherwise(0.0)).otherwise(F.ln("_epsilon") + (F.col("_epsilon") - 1.0) * F.ln(p))
+        parts.append(each.withColumn("log_e", bet).drop(p, "_epsilon"))
+    if len(powers) < len(trackers):
+        dealt = scan.ordered(rows.select(*keys, order, F.col(p).cast("double").alias(p)), keys, [order])
+        for t in trackers:
+            if t.bet != "power":
+                own = scan.scan(dealt, keys, Mixture(p, list(t.grid)) if t.bet == "mixture" else Jumper(p, t.jump))
+                parts.append(own.select(*keys, order, F.lit(t.id).alias("tracker_id"), F.lit(t.statistic).alias("statistic"), F.lit(float(t.threshold)).alias("threshold"), "log_e"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def ensemble(rows: DataFrame, keys: list[str], order: str, p: str, trackers: list[Tracker | tuple[str, float, str, float]]) -> DataFrame:
+    """(keys, order, alarm, alarm_count, tested_count) of up to 16 trackers with thresholds on one stream of p-values; a tuple (id, epsilon, statistic, threshold) is a power tracker.
 
-    A tracker fires where its statistic reaches its threshold after a row below it; any firing is the ensemble's alarm.
+    A tracker fires where the statistic of its growth reaches its threshold after a row below it; any firing is the ensemble's alarm.
     """
-    if not 1 <= len(trackers) <= 16 or any(s not in STATISTICS for _, _, s, _ in trackers):
-        raise ValueError("1 to 16 trackers with known statistics")
-    made = F.array(*[F.struct(F.lit(t).alias("tracker_id"), F.lit(float(e)).alias("epsilon"), F.lit(s).alias("statistic"), F.lit(float(h)).alias("threshold")) for t, e, s, h in trackers])
-    each = rows.select(*keys, order, p, F.explode(made).alias("_t")).select(*keys, order, p, "_t.*")
-    bet = F.when(F.col(p) == 0.0, F.when(F.col("epsilon") < 1.0, INFINITY).otherwise(0.0)).otherwise(F.ln("epsilon") + (F.col("epsilon") - 1.0) * F.ln(p))
+    trackers = [t if isinstance(t, Tracker) else Tracker(t[0], t[2], epsilon=t[1], threshold=t[3]) for t in trackers]
+    if not 1 <= len(trackers) <= 16 or any(t.threshold is None for t in trackers):
+        raise ValueError("1 to 16 trackers with thresholds")
     own = [*keys, "tracker_id"]
-    stats = _with_statistics(scan.ordered(each.withColumn("_log_e", bet), own, [order]), own)
+    each = _bets(rows, keys, order, p, trackers).withColumn("_log_e", F.col("log_e").cast("double")).drop("log_e")
+    stats = _with_statistics(scan.ordered(each, own, [order]), own)
     value = F.when(F.col("statistic") == "martingale", F.col("martingale")).when(F.col("statistic") == "cusum", F.col("cusum")).when(F.col("statistic") == "shiryaev_roberts", F.col("shiryaev_roberts")).otherwise(F.col("restarted_martingale"))
     fired = scan.scan(stats.withColumn("crossed", value >= F.col("threshold")), own, scan.Edges())
     return fired.groupBy(*keys, order).agg(F.bool_or("fired").alias("alarm"), F.sum("alarm_count").alias("alarm_count"), F.max("n").alias("tested_count"))
 
 
-def _paths(calibration: int, horizon: int, statistic: str, epsilon: float, seed: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            best = []
-            for path in batch["id"]:
-                rng = np.random.default_rng([seed, int(path)])
-                ranks = np.sort(rng.random(calibration))
-                p = (calibration - np.searchsorted(ranks, rng.random(horizon), "left") + 1.0) / (calibration + 1.0)
-                log_e = log(epsilon) + (epsilon - 1) * np.log(p)
-                top, value = -np.inf, 0.0 if statistic in ("martingale", "cusum") else -np.inf
-                weights = -np.inf
-                s = 0.0
-                for n, x in enumerate(log_e, 1):
-                    if statistic == "martingale":
-                        value = value + x
-                    elif statistic == "cusum":
-                        value = x + max(value, 0.0)
-                    elif statistic == "shiryaev_roberts":
-                        value = x + np.logaddexp(0.0, value)
-                    else:
-                        weights = np.logaddexp(weights, -s - log(n * (n + 1.0)))
-                        s += x
-                        value = np.logaddexp(s + weights, -log(n + 1.0))
-                    top = max(top, value)
-                best.append(float(top))
-            yield pd.DataFrame({"id": batch["id"], "log_max": best})
-
-    return run
-
-
-def simulated_threshold(spark: SparkSession, *, statistic: str, epsilon: float, calibration: int, horizon: int, paths: int, alpha: float, trackers: int = 1, seed: int = 0) -> float:
-    """The threshold that a statistic of null p-values reaches within the horizon with a chance of at most alpha / trackers, by simulation.
-
-    Each path has a generator of its own, so the result doesn't depend on how Spark deals out the paths.
-    """
-    if horizon * paths > SIMULATION_BUDGET:
-        raise ValueError("horizon times paths exceeds the simulation budget")
-    place = int(np.ceil((paths + 1) * (1 - alpha / trackers))) - 1
-    if place >= paths:
-        raise ValueError("too few paths for this false alarm probability")
-    maxima = spark.range(paths).mapInPandas(_paths(calibration, horizon, statistic, epsilon, seed), "id long, log_max double")
-    cut_at = maxima.orderBy("log_max", "id").offset(place).limit(1).first().log_max
-    return float(np.nextafter(np.exp(cut_at), np.inf))
-
-
 def fallback_scores(rows: DataFrame, keys: list[str], order: str, mean: str, size: int = 2000) -> DataFrame:
     """rows with the diagnostic score min(|x - running mean| / (1 + 1e-8), 1). The running mean has the row itself in it: the plain mean up to the
     100th row, then it moves by a hundredth of each difference. The first score is 0; the score raises no alarm.

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.payloads import parse_for_detection
-from pulsegrid.operators import sequential
+from pulsegrid.operators import sequential, thresholds
 from pulsegrid.plans import tables as t
 from pulsegrid.plans.registry import query
 from pulsegrid.plans.tables import sql
@@ -91,8 +95,16 @@ def circuit_breaker(spark, sf):
 
 @query()
 def calibrated_threshold(spark, sf):
-    found = sequential.simulated_threshold(spark, statistic="restarted_martingale", epsilon=0.5, calibration=100, horizon=50, paths=500, alpha=0.05, seed=7)
-    return spark.range(1).select(F.lit(found).alias("threshold"))
+    """Thresholds of three trackers for each charger, from as many calibration scores as it has, and the alarms that its p-values raise with them."""
+    trackers = [thresholds.Tracker("power"), thresholds.Tracker("mixture", "shiryaev_roberts", "mixture", grid=(0.1, 0.4, 0.7, 1.0)), thresholds.Tracker("jumper", "restarted_martingale", "jumper", jump=0.05)]
+    rows = t.telemetry(spark, sf, dense=True).select("charger_id", "arrival", "value")
+    tested, parts = sequential.p_values(rows.where("arrival % 5 <> 0"), rows.where("arrival % 5 = 0"), ["charger_id"], "value"), []
+    for size, chargers in sorted(rows.where("arrival % 5 = 0").groupBy("charger_id").count().groupBy("count").agg(F.collect_set("charger_id")).collect()):
+        found = thresholds.resolved(spark, trackers, calibration=size, horizon=50, paths=400, alpha=0.1, seed=7)
+        held = sequential.ensemble(tested.where(F.col("charger_id").isin(chargers)), ["charger_id"], "arrival", "p_value", [replace(x, threshold=found[x.id]) for x in trackers])
+        known = F.create_map(*[y for x in trackers for y in (F.lit(x.id), F.lit(found[x.id]))])
+        parts.append(held.groupBy("charger_id").agg(F.count_if("alarm").alias("alarms"), F.max("tested_count").alias("tested")).withColumn("calibration", F.lit(size)).withColumn("thresholds", known))
+    return reduce(DataFrame.unionByName, parts).select("charger_id", "calibration", "tested", "alarms", F.explode("thresholds").alias("tracker_id", "threshold"))
 
 
 @query()

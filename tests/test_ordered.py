@@ -211,15 +211,6 @@ def test_fallback_query_takes_every_row(spark):
     assert got.keys() == want.keys() and np.allclose([got[k] for k in want], list(want.values()), atol=2e-9)
 
 
-def test_thresholds(spark):
-    make = lambda alpha: sequential.simulated_threshold(spark, statistic="cusum", epsilon=0.5, calibration=50, horizon=30, paths=300, alpha=alpha, seed=5)
-    assert make(0.1) == make(0.1) <= make(0.02)
-    with pytest.raises(ValueError, match="budget"):
-        sequential.simulated_threshold(spark, statistic="cusum", epsilon=0.5, calibration=50, horizon=10**6, paths=100, alpha=0.1)
-    with pytest.raises(ValueError, match="too few"):
-        make(0.001)
-
-
 def test_guards(spark):
     rows = spark.createDataFrame([("k", n, float(n), True) for n in range(20)] + [("k", 20, 400.0, False)], "key string, seq long, at double, error boolean")
     got = controls.circuit_breaker(rows).orderBy("seq").collect()
