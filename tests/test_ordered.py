@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 from pulsegrid.operators import relational, sequential, series
 from pulsegrid.plans import analytics, registry  # noqa: F401
 from pulsegrid.plans import tables as t
-from pulsegrid.schemas import TELEMETRY
-from pulsegrid.streaming import alignment, controls, lanes, models, sinks
+from pulsegrid.streaming import alignment, controls, lanes, models
 
 READINGS = "charger_id string, sensor string, value double, received_at double, event_ts double, seq long"
 
@@ -219,42 +218,6 @@ def test_guards(spark):
     assert [r.accepted for r in got[:9]] == [True, True, True, False, False, True, True, True, False]
 
 
-def test_sinks_are_idempotent(spark, tmp_path):
-    raw = spark.createDataFrame([(1, "device/evCharger/a/x", '{"value": 1, "timestamp": 1704110400}'), (2, "device/evCharger/a/x", '{"value": 2, "timestamp": 1704110400}'), (3, "device/evCharger/a/x", '{"value": "no"}')], "seq long, topic string, payload string").withColumn("received_at", F.current_timestamp())
-    path, bad, metrics = (str(tmp_path / n) for n in ("t", "r", "m"))
-    sink = sinks.fan_out({"table": sinks.telemetry_sink(path, bad)}, metrics)
-    for batch in (0, 0, 1):
-        sink(raw, batch)
-    rows = sinks.read_table(spark, path, TELEMETRY).collect()
-    assert [(r.charger_id, r.value) for r in rows] == [("a", 1.0)]
-    assert spark.read.parquet(metrics).count() == 2 and spark.read.parquet(f"{bad}/batch=0").count() == 1
-
-    def failing(rows, batch_id):
-        raise RuntimeError("down")
-
-    done = []
-    with pytest.raises(RuntimeError, match="down"):
-        sinks.fan_out({"a": failing, "b": lambda rows, batch_id: done.append(batch_id)})(raw, 5)
-    assert done == [5]
-    letters, touched = str(tmp_path / "dead"), str(tmp_path / "touched")
-    sinks.fan_out({"a": failing, "b": sinks.telemetry_sink(path, None, chargers=touched)}, metrics, letters)(raw, 6)
-    assert spark.read.parquet(f"{letters}/a").where("error = 'down' and row like '%evCharger%'").count() == 3
-    assert sinks.read_table(spark, path, TELEMETRY).count() == 1 and [r.charger_id for r in sinks.last_touched(spark, touched).collect()] == ["a"]
-    status = {r.destination: r.ok for r in sinks.latest_status(spark.read.parquet(metrics)).collect()}
-    assert status == {"table": True, "a": False, "b": True}
-
-
-def test_evidence_that_is_stored_is_not_added_again(spark, tmp_path):
-    rows = t.evidence(spark, "/root/testdata/sf0.001").where("sequence_number >= 1").limit(40).cache()
-    paths = [str(tmp_path / n) for n in ("e", "a", "i")]
-    sink = sinks.evidence_sink(*paths)
-    sink(rows, 0)
-    first = [spark.read.parquet(p).count() for p in paths]
-    sink(rows, 1)
-    sink(rows, 1)
-    assert first[0] == 40 and [spark.read.parquet(p).count() for p in paths] == first
-
-
 def test_equal_rows_are_matched_each(spark):
     """Joins and mixtures answer for each row, also for rows that are equal."""
     from pulsegrid.operators import matching
