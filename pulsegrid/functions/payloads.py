@@ -30,9 +30,27 @@ def instant(text: Column) -> Column:
     return F.when(text.rlike(_NUMBER), epoch).otherwise(F.when(text.rlike(_ISO), F.try_to_timestamp(F.regexp_replace(F.regexp_replace(text, ",", "."), r"([+-]\d{2})(\d{2})$", "$1:$2"))))
 
 
+#: JSON as its standard has it: no single quotes, comments or bare names.
+_STRICT = {"allowSingleQuotes": "false"}
+
+
+def _whole(payload: Column, kind: str) -> Column:
+    """struct(p, q): the payload read as a kind of value, and q, which is the payload's hash if the payload is one JSON value and nothing else. The payload is read inside of an object that
+    ends with its hash, since a parser of JSON columns passes over what follows a value."""
+    wrapped = F.concat(F.lit('{"p":'), payload, F.lit(',"q":'), F.xxhash64(payload).cast("string"), F.lit("}"))
+    return F.from_json(wrapped, f"p {kind}, q long" if kind else "q long", _STRICT)
+
+
 def fields(payload: Column) -> Column:
-    """The payload's JSON object as map<string, variant>; null if it is none."""
-    return F.try_variant_get(F.try_parse_json(payload), "$", "map<string,variant>")
+    """The payload's JSON object as map<string, variant>, of repeated names the last; null if it is none."""
+
+    def named(whole: Column) -> Column:
+        keys = F.map_keys(whole["p"])
+        last = F.filter(F.map_entries(whole["p"]), lambda e, k: F.size(keys) - F.array_position(F.reverse(keys), e["key"]) == k)
+        plain = F.when(F.size(F.array_distinct(keys)) == F.size(keys), whole["p"]).otherwise(F.map_from_entries(last))
+        return F.when(whole["q"] == F.xxhash64(payload), plain)
+
+    return F.get(F.transform(F.array(_whole(payload, "map<string,variant>")), named), F.lit(0))
 
 
 def _kind(field: Column) -> Column:
@@ -45,7 +63,7 @@ def _text(field: Column) -> Column:
 
 def decode(payload: Column) -> Column:
     """The payload if it is JSON, else {"raw": text}."""
-    return F.when(F.try_parse_json(payload).isNotNull(), payload).otherwise(F.to_json(F.struct(payload.alias("raw"))))
+    return F.when(F.coalesce(_whole(payload, "")["q"] == F.xxhash64(payload), F.lit(False)), payload).otherwise(F.to_json(F.struct(payload.alias("raw"))))
 
 
 def _once(rows: DataFrame, **columns: Column) -> DataFrame:
@@ -57,13 +75,15 @@ def _once(rows: DataFrame, **columns: Column) -> DataFrame:
 def parse_telemetry(messages: DataFrame, regex: str = TOPIC_REGEX) -> DataFrame:
     """messages (topic, payload, received_at, ...) with charger_id, type, timestamp, value, parse_error.
 
-    The ingestion profile: an absent timestamp is the time of receipt, but a present one has to be valid; booleans and non-finite numbers are no values.
+    The ingestion profile: a payload that isn't JSON, whole and strict, has no fields; an absent timestamp is the time of receipt, but a present one has to be valid; booleans and non-finite numbers are no values.
     """
-    texts = F.from_json("payload", "map<string,string>")
-    rows = _once(messages, _topic=parse_topic(F.col("topic"), regex), _fields=texts)
-    # numbers and texts are read alike; booleans, arrays and objects come as texts that are no numbers
-    stamp, value = F.try_element_at("_fields", F.lit("timestamp")), F.try_element_at("_fields", F.lit("value"))
-    absent = ~F.coalesce(F.map_contains_key("_fields", F.lit("timestamp")), F.lit(False))
+    rows = _once(messages, _topic=parse_topic(F.col("topic"), regex), _whole=_whole(F.col("payload"), "map<string,string>"))
+    sound = F.when(F.col("_whole.q") == F.xxhash64("payload"), F.map_entries("_whole.p"))
+    rows = _once(rows, _fields=F.filter(sound, lambda e: e["key"].isin("timestamp", "value"))).drop("_whole")
+    own = lambda name: F.filter("_fields", lambda e: e["key"] == name)
+    # numbers and texts are read alike; booleans, arrays and objects come as texts that are no numbers; of repeated names the last counts
+    stamp, value = (F.try_element_at(own(name), F.lit(-1))["value"] for name in ("timestamp", "value"))
+    absent = F.coalesce(F.size(own("timestamp")), F.lit(0)) <= 0
     rows = _once(rows, timestamp=F.when(absent, F.col("received_at")).otherwise(instant(stamp)), value=number(value))
     error = F.when(F.col("_topic").isNull(), "Unsupported topic").when(F.col("timestamp").isNull(), "Invalid timestamp format").when(F.col("value").isNull(), "Invalid telemetry value")
     return rows.withColumn("charger_id", F.col("_topic.charger_id")).withColumn("type", F.col("_topic.telemetry_type")).withColumn("parse_error", error).drop("_topic", "_fields")

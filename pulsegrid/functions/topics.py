@@ -110,13 +110,29 @@ def sound_filter(pattern: Column) -> Column:
     return F.coalesce((text != "") & (F.octet_length(text) <= 65535) & ~text.contains("\0") & level & (text != "#"), F.lit(False))
 
 
-def validate_device_filter(pattern: str, *, concrete: bool = False) -> str:
-    """A filter of the device namespace for one charger; concrete: without wildcards."""
+def validate_device_filter(pattern: str) -> str:
+    """A filter of the device namespace: device/#, or device/evCharger with two levels or more after it, wildcards or not."""
     pattern = validate_filter(pattern)
     levels = pattern.split("/")
-    if len(levels) < 4 or levels[:2] != ["device", "evCharger"] or levels[2] in "+#":
-        raise ValueError("a filter starts with device/evCharger/ and the id of one charger")
-    if concrete and any(x in "+#" for x in levels):
+    if pattern != "device/#" and (len(levels) < 4 or levels[:2] != ["device", "evCharger"]):
+        raise ValueError("a filter starts with device/evCharger/ and goes on by a charger and a type, or is device/#")
+    return pattern
+
+
+def device_filter(pattern: Column) -> Column:
+    """The rules of `validate_device_filter` for a column of filters; null counts as not."""
+    text = F.trim(pattern)
+    levels = F.split(text, "/")
+    return sound_filter(pattern) & ((text == "device/#") | ((F.size(levels) >= 4) & (F.get(levels, F.lit(0)) == "device") & (F.get(levels, F.lit(1)) == "evCharger")))
+
+
+def validate_charger_filter(pattern: str, *, concrete: bool = False) -> str:
+    """A filter of the device namespace for one charger; concrete: without wildcards."""
+    pattern = validate_device_filter(pattern)
+    levels = pattern.split("/")
+    if len(levels) < 4 or levels[2] in ("+", "#"):
+        raise ValueError("a filter names one charger")
+    if concrete and any(x in ("+", "#") for x in levels):
         raise ValueError("wildcards are not allowed here")
     return pattern
 

@@ -72,6 +72,16 @@ def filter_rules(spark, sf):
     return t.table(spark, sf, "customer").select(F.col("c_custkey").alias("key"), topics.sound_filter(pattern).alias("sound"))
 
 
+@query("""SELECT c_custkey AS key, c_custkey % 6 IN (0, 1, 3) AS sound FROM customer""")
+def device_filter_rules(spark, sf):
+    """Filters by turns: all devices, a wildcard for the charger, one charger without a type, one with a type, another namespace, an empty level."""
+    charger = F.col("c_custkey").cast("string")
+    forms = [F.lit("device/#"), F.concat(F.lit(" device/evCharger/+/t"), charger), F.concat(F.lit("device/evCharger/"), charger), F.concat(F.lit("device/evCharger/"), charger, F.lit("/#")), F.concat(F.lit("device/other/"), charger, F.lit("/x")), F.concat(F.lit("device/evCharger//"), charger)]
+    pattern = F.element_at(F.array(*forms), (F.col("c_custkey") % 6 + 1).cast("int"))
+    return t.table(spark, sf, "customer").select(F.col("c_custkey").alias("key"), topics.device_filter(pattern).alias("sound"))
+
+
+
 @query("""SELECT event_id AS seq, event_type || ',x' AS names FROM events""")
 def trimmed_names(spark, sf):
     values = F.array(F.concat(F.lit(" "), "event_type"), F.lit(" "), F.lit("x"), F.col("event_type"), F.lit(" x "))

@@ -37,19 +37,22 @@ SQL = {
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw messages; every 11th has an empty level in its topic, every 13th a time that is none, every 17th a boolean for a value, every 19th no time, every 23rd Unix seconds."""
+    """Raw messages; every 11th has an empty level in its topic, every 13th a time that is none, every 17th a boolean for a value, every 19th no time, every 23rd Unix seconds;
+    every 29th has a text after its payload, every 31st single quotes, every 37th an earlier value of the same name."""
     e = table(spark, sf_dir, "events")
     every = lambda n: F.col("event_id") % n == 0
     topic = F.concat(F.lit("device/evCharger/"), F.col("user_id").cast("string"), F.when(every(11), "//").otherwise("/"), "event_type")
     stamp = F.when(every(13), F.lit('"not-a-date"')).when(every(23), F.unix_timestamp(F.col("ts").cast("timestamp")).cast("string")).otherwise(F.concat(F.lit('"'), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit('Z"')))
     value = F.when(every(17), F.lit("true")).otherwise(F.col("value").cast("string"))
     payload = F.when(every(19), F.concat(F.lit('{"value": '), value, F.lit("}"))).otherwise(F.concat(F.lit('{"value": '), value, F.lit(', "timestamp": '), stamp, F.lit("}")))
+    payload = F.when(every(37), F.concat(F.lit('{"value": -7, '), F.substring(payload, 2, 1 << 20))).otherwise(payload)
+    payload = F.when(every(29), F.concat(payload, F.lit(" and so on"))).when(every(31), F.replace(payload, F.lit('"'), F.lit("'"))).otherwise(payload)
     return e.select(topic.alias("topic"), payload.alias("payload"), F.lit(1).alias("qos"), F.lit(False).alias("retain"), F.col("ts").cast("timestamp").alias("received_at"), F.col("event_id").alias("seq"))
 
 
 SQL["parsed"] = """SELECT event_id AS seq, CAST(user_id AS VARCHAR) AS charger_id, event_type AS type, value, ts AS received_at,
-CASE WHEN event_id % 19 = 0 THEN ts WHEN event_id % 13 = 0 THEN NULL ELSE date_trunc('second', ts) END AS "timestamp",
-CASE WHEN event_id % 11 = 0 THEN 'Unsupported topic' WHEN event_id % 19 <> 0 AND event_id % 13 = 0 THEN 'Invalid timestamp format' WHEN event_id % 17 = 0 THEN 'Invalid telemetry value' END AS parse_error FROM events"""
+CASE WHEN event_id % 19 = 0 OR event_id % 29 = 0 OR event_id % 31 = 0 THEN ts WHEN event_id % 13 = 0 THEN NULL ELSE date_trunc('second', ts) END AS "timestamp",
+CASE WHEN event_id % 11 = 0 THEN 'Unsupported topic' WHEN event_id % 29 = 0 OR event_id % 31 = 0 THEN 'Invalid telemetry value' WHEN event_id % 19 <> 0 AND event_id % 13 = 0 THEN 'Invalid timestamp format' WHEN event_id % 17 = 0 THEN 'Invalid telemetry value' END AS parse_error FROM events"""
 
 
 def chargers(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -116,13 +116,46 @@ def test_bad_filters(pattern):
         topics.validate_filter(pattern)
 
 
-def test_device_filters():
-    assert topics.validate_device_filter(" device/evCharger/A/# ") == "device/evCharger/A/#"
-    for bad in ("device/evCharger/+/x", "device/other/A/x", "device/evCharger/A"):
-        with pytest.raises(ValueError, match="starts with"):
-            topics.validate_device_filter(bad)
+DEVICE = {
+    " device/evCharger/A/# ": True, "device/#": True, "device/evCharger/+/x": True, "device/evCharger/+/#": True, "device/evCharger/A/x/y": True, "device/other/A/x": False, "device/evCharger/A": False, "device/evCharger/#": False,
+    "device/+": False, "#": False, "device/evCharger//x": False, "device/evCharger/A/#/x": False, "": False,
+}
+
+
+def test_device_filters(spark):
+    for pattern, sound in DEVICE.items():
+        if sound:
+            assert topics.validate_device_filter(pattern) == pattern.strip()
+        else:
+            with pytest.raises(ValueError, match="filter|level|alone"):
+                topics.validate_device_filter(pattern)
+    rows = spark.createDataFrame([(p,) for p in [*DEVICE, None]], "p string")
+    assert [r[0] for r in rows.select(topics.device_filter(F.col("p"))).collect()] == [*DEVICE.values(), False]
+    assert topics.validate_charger_filter("device/evCharger/A/#") == "device/evCharger/A/#"
+    for bad in ("device/evCharger/+/x", "device/#"):
+        with pytest.raises(ValueError, match="one charger"):
+            topics.validate_charger_filter(bad)
     with pytest.raises(ValueError, match="wildcards"):
-        topics.validate_device_filter("device/evCharger/A/+", concrete=True)
+        topics.validate_charger_filter("device/evCharger/A/+", concrete=True)
+
+
+#: Payloads and their fields, as a strict reader that keeps the last of repeated names takes them; None where it refuses the text.
+STRICT = {
+    '{"value":1} trailing': None, "{'value':1}": None, '{"value":1,"value":2}': {"value": 2.0}, '{"value":1}}': None, '{"value":1}{"value":2}': None, '{"value":1,}': None, "{value:1}": None, '{"value":01}': None, '{"value":1}, "q":0}': None,
+    ' {"value": 3} ': {"value": 3.0}, '{"value":1 /*c*/}': None, '{"a":1,"value":4,"a":2,"value":5}': {"a": 2.0, "value": 5.0}, '{"value": "6"}': {"value": 6.0}, "{broken": None, "": None,
+}
+
+
+def test_strict_payloads(spark):
+    topic = "device/evCharger/unit7/temp"
+    got = parsed(spark, [(topic, p) for p in STRICT])
+    assert [r.value for r in got] == [f and f.get("value") for f in STRICT.values()]
+    assert {r.parse_error for r in got if r.value is None} == {"Invalid telemetry value"}
+    rows = spark.createDataFrame([(p,) for p in STRICT], "p string").select(payloads.features(F.col("p")).alias("f"), payloads.decode(F.col("p")).alias("d")).collect()
+    assert [r.f for r in rows] == list(STRICT.values())
+    assert [r.d.startswith('{"raw":') for r in rows] == [f is None for f in STRICT.values()]
+    others = spark.createDataFrame([("[1, 2]",), ("5",), ("null",), ('"x"',), ("tru",)], "p string").select(payloads.decode(F.col("p"))).collect()
+    assert [r[0][:7] for r in others] == ["[1, 2]", "5", "null", '"x"', '{"raw":']
 
 
 def test_matching(spark):
