@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 import re
 
@@ -168,3 +169,61 @@ def test_templates_under_one_lead(spark):
     got = line_templates.drop_templates(docs).collect()
     assert [r.n_dropped for r in got] == [1] * 40 and all(r.text.startswith("own line") for r in got)
     assert {r.template for r in line_templates.template_lines(docs).collect()} == {form.format("<*>") for form in forms}
+
+
+@pytest.mark.parametrize("seed,length,anywhere", [(0, 8, False), (1, 8, True), (2, 8, True), (3, 11, True), (4, 9, True)])
+def test_fields_at_any_place(spark, seed, length, anywhere):
+    """40 templates of one leaf in six documents each, with a variable word at one place or at another place in each line: all of their lines go, and lines that are like no other stay."""
+    import random
+
+    rng = random.Random(seed)
+    word = lambda size=6: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(size))
+    vocabulary, lines, doc = [word() for _ in range(70)], [], 0
+    for _ in range(40):
+        form, fixed = ["could", "not", "open", *(rng.choice(vocabulary) for _ in range(length - 3))], rng.randrange(3, length)
+        for _ in range(6):
+            own = list(form)
+            own[rng.randrange(3, length) if anywhere else fixed] = word(9)
+            lines.append((doc, " ".join(own), 1))
+            doc += 1
+    lines += [(doc + k, " ".join(["could", "not", "open", *(word(8) for _ in range(length - 4)), rng.choice(vocabulary)]), 0) for k in range(60)]
+    rng.shuffle(lines)
+    docs = spark.createDataFrame([(k, line) for k, line, _ in lines], "doc_id long, text string")
+    got = {r.doc_id: r.n_dropped for r in line_templates.drop_templates(docs).collect()}
+    assert got == {k: dropped for k, _, dropped in lines}
+    rows = line_templates.drop_templates(docs).select("doc_id", "n_lines", "n_dropped", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
+    connection = duckdb.connect()
+    connection.register("documents", docs.toArrow())
+    assert sorted(tuple(r) for r in rows.collect()) == sorted(connection.sql(line_templates.ORACLE_SQL).fetchall())
+
+
+def _grouped(lines: dict[str, int], leading: int, agreement: float, least: int) -> dict[str, str]:
+    """The roots of the lines (with their documents) of one leaf, round by round, every pair of lines at hand."""
+    split = {x: x.split(" ")[leading:] for x in lines}
+    postings = lambda x: {(k, w) for k, w in enumerate(split[x]) if w != line_templates.ANY}
+    like = lambda x, y: len(postings(x) & postings(y)) >= math.ceil(len(split[x]) * agreement)
+    shared = {p: [x for x in lines if p in postings(x)] for p in set().union(*map(postings, lines))}
+    score = {x: sum(sum(lines[y] for y in shared[p]) for p in postings(x) if len(shared[p]) > 1) for x in lines}
+    rest, out = {x: False for x in lines if any(len(shared[p]) > 1 for p in postings(x))}, {}
+    while sum(lines[x] for x in rest) >= least and len(rest) > 1 and not all(rest.values()):
+        tops = {p: max((score[x], x) for x in rest if p in postings(x) and not rest[x]) for p in shared if sum(p in postings(x) for x in rest) > 1 and any(p in postings(x) and not rest[x] for x in rest)}
+        seen = {x: {tops[p] for p in postings(x) if p in tops} for x in rest}
+        ahead = {x: [t for t in seen[x] if t[1] != x and (rest[x] or t > (score[x], x)) and like(x, t[1])] for x in rest}
+        roots = {x for x in rest if (score[x], x) in seen[x] and not ahead[x]}
+        joined = {x: max((len(postings(x) & postings(t[1])), *t) for t in found)[2] for x, own in ahead.items() if (found := [t for t in own if t[1] in roots])}
+        out |= joined | {r: r for r in joined.values()}
+        rest = {x: rest[x] or x in roots for x in rest if x not in out and seen[x]}
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_groups_against_all_pairs(spark, seed):
+    """Random lines over few words, so that likeness is everywhere and ties abound."""
+    import random
+
+    rng = random.Random(seed)
+    lines = {" ".join(["a", "b", "c", *(rng.choice(["p", "q", "r", "s", line_templates.ANY]) for _ in range(4 + seed))]): rng.randint(1, 3) for _ in range(70)}
+    frame = spark.createDataFrame([(5, n, x) for x, n in lines.items()], "leaf long, docs long, masked string")
+    for agreement, least in ((0.6, 5), (0.9, 8)):
+        got = {r.masked: r.root for r in line_templates._groups(frame, 3, agreement, least).collect()}
+        assert got == _grouped(lines, 3, agreement, least) and (got or agreement > 0.6)
