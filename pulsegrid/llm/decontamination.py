@@ -10,7 +10,7 @@ rarest, and so on; what is left after the last term is an exact match.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +23,7 @@ from pulsegrid.llm.support import cut, drop_path, scratch_path, small_batches
 INDEX = "block long, terms binary, counts binary, gaps binary, doc_ids array<long>, first_words array<long>, n_words array<long>"
 #: Bytes of text that a block of the index has at most, if it has more than one document.
 INDEX_BYTES = 2 << 20
-#: Hashed words of test phrases that one search takes at a time; what is shipped to the tasks is under 8 bytes times this, and a window's share.
+#: Hashed words of test phrases that one search takes at a time, or up to twice as many; what is shipped to the tasks is about 200 bytes times this.
 CHUNK_WORDS = 200_000
 
 
@@ -64,24 +64,28 @@ def build_index(docs: DataFrame, path: str) -> DataFrame:
 
 
 class Phrases:
-    """Test phrases of whole items: distinct runs of hashed words, of up to `width` words, with the items that have them."""
+    """Test phrases of items or of pieces of them: distinct runs of hashed words, of up to `width` words, with the items that have them."""
 
     def __init__(self, items: list[tuple[int, np.ndarray]], width: int):
-        rows: dict[tuple[int, ...], set[int]] = {}
+        runs, lengths, owners = [np.zeros((0, width), np.uint64)], [], []
         for item, words in items:
-            run = min(width, len(words))
-            for k in range(len(words) - run + 1 if run else 0):
-                rows.setdefault(tuple(words[k : k + run].tolist()), set()).add(item)
-        self.lengths = np.array([len(r) for r in rows], np.int64)
+            if len(words):
+                run = min(width, len(words))
+                own = np.zeros((len(words) - run + 1, width), np.uint64)
+                own[:, :run] = np.lib.stride_tricks.sliding_window_view(words, run)
+                runs.append(own)
+                lengths.append(np.full(len(own), run, np.uint64))
+                owners.append(np.full(len(own), item, np.int64))
+        terms = np.concatenate(runs)
+        keyed = np.ascontiguousarray(np.column_stack([terms, np.concatenate([np.zeros(0, np.uint64), *lengths])]))
+        _, first, back = np.unique(keyed.view(np.dtype((np.void, keyed.itemsize * (width + 1)))).ravel(), return_index=True, return_inverse=True)
         self.width = width
-        self.terms = np.zeros((len(rows), width), np.uint64)
-        for k, r in enumerate(rows):
-            self.terms[k, : len(r)] = r
-        self.item_counts = np.array([len(i) for i in rows.values()], np.int64)
-        self.items = np.array([i for group in rows.values() for i in sorted(group)], np.int64)
+        self.terms, self.lengths = terms[first], keyed[first, width].astype(np.int64)
+        pairs = np.unique(np.column_stack([back, np.concatenate([np.zeros(0, np.int64), *owners])]), axis=0)
+        self.items, self.item_counts = pairs[:, 1], np.bincount(pairs[:, 0], minlength=len(first))
         self.item_firsts = np.cumsum(self.item_counts) - self.item_counts
-        self.vocabulary = np.unique(self.terms[np.arange(width) < self.lengths[:, None]]) if len(rows) else np.zeros(0, np.uint64)
-        self.order = np.tile(np.arange(width), (len(rows), 1))
+        self.vocabulary = np.unique(self.terms[np.arange(width) < self.lengths[:, None]])
+        self.order = np.tile(np.arange(width), (len(first), 1))
 
     def rarest_first(self, counts: np.ndarray) -> Phrases:
         """counts: of the vocabulary in the whole index."""
@@ -189,18 +193,26 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hits, pa.int64()), pa.array(items, pa.list_(pa.int64()))], names=["doc_id", "n_words", "n_hit", "items"])
 
 
-def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for block in textkit.blocks(batch.column(1)):
-            hashes, firsts = _terms(block)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, len(block)), textkit.binary_column([hashes[a:b].tobytes() for a, b in zip(firsts[:-1], firsts[1:], strict=True)])], names=["item_id", "words"])
+def _item_words(width: int, size: int):
+    """The hashed words of items, in pieces of `size` words that overlap, so that each run of `width` words is whole in one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_pylist()
+            for block in textkit.blocks(batch.column(1)):
+                hashes, firsts = _terms(block)
+                for item, a, b in zip(ids[block.first : block.stop], firsts[:-1].tolist(), firsts[1:].tolist(), strict=True):
+                    for k in range(a, max(a + 1, b - width + 1), size):
+                        yield pa.RecordBatch.from_arrays([pa.array([item], pa.int64()), textkit.binary_column([hashes[k : min(b, k + size + width - 1)].tobytes()])], names=["item_id", "words"])
+
+    return run
 
 
 def _chunks(items: DataFrame, width: int) -> Iterator[Phrases]:
-    """Phrases of whole items, as many items at a time as have up to CHUNK_WORDS words."""
+    """Phrases of pieces of items, as many at a time as have up to about CHUNK_WORDS words."""
     held: list[tuple[int, np.ndarray]] = []
     n_words = 0
-    rows = items.where("item_id is not null").select(F.col("item_id").cast("long"), F.col("text").cast("string")).mapInArrow(_item_words, "item_id long, words binary")
+    rows = items.where("item_id is not null").select(F.col("item_id").cast("long"), F.col("text").cast("string")).mapInArrow(_item_words(width, CHUNK_WORDS), "item_id long, words binary")
     for row in rows.toLocalIterator():
         held.append((row.item_id, np.frombuffer(bytes(row.words), np.uint64)))
         n_words += len(held[-1][1])
@@ -225,13 +237,22 @@ def search(index: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
     A phrase is `width` consecutive words of an item, or all words of an item that has fewer; n_hit counts the document's words inside any
     occurrence of a phrase. Items without words or without an id hit nothing; equal phrases of several items count for each of them.
     """
-    found = "block long, row long, doc_id long, n_words long, n_hit long, bits binary, items array<long>"
-    parts = [index.mapInArrow(_searched(_rarest_first(index, p)), found) for p in _chunks(items, width)] or [index.mapInArrow(_searched(Phrases([], width)), found)]
-    if len(parts) == 1:
-        return parts[0].select("doc_id", "n_words", "n_hit", "items")
-    every = reduce(DataFrame.unionByName, parts).groupBy("block", "row")
-    held = every.agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.collect_list("bits").alias("sets"), F.collect_list("items").alias("lists")).drop("block", "row")
-    return held.mapInArrow(_counted, "doc_id long, n_words long, n_hit long, items array<long>")
+    found, chunks = "block long, row long, doc_id long, n_words long, n_hit long, bits binary, items array<long>", _chunks(items, width)
+    first, second = next(chunks, None) or Phrases([], width), next(chunks, None)
+    whole = index.mapInArrow(_searched(_rarest_first(index, first)), found)
+    if second is None:
+        return whole.select("doc_id", "n_words", "n_hit", "items")
+    # each chunk's hits are written before the next one is searched for
+    path = scratch_path(index.sparkSession, "hits")
+    try:
+        whole.write.option("compression", "zstd").parquet(path)
+        for phrases in chain([second], chunks):
+            index.mapInArrow(_searched(_rarest_first(index, phrases)), found).where("n_hit > 0").write.mode("append").option("compression", "zstd").parquet(path)
+        every = index.sparkSession.read.schema(found).parquet(path).groupBy("block", "row")
+        held = every.agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.collect_list("bits").alias("sets"), F.collect_list("items").alias("lists")).drop("block", "row")
+        return cut(held.mapInArrow(_counted, "doc_id long, n_words long, n_hit long, items array<long>"))
+    finally:
+        drop_path(index.sparkSession, path)
 
 
 def _near(phrase_terms: np.ndarray, reach: int, rank: np.ndarray):
@@ -257,8 +278,12 @@ def _near(phrase_terms: np.ndarray, reach: int, rank: np.ndarray):
 
 
 def proximity(index: DataFrame, text: str, reach: int) -> DataFrame:
-    """doc_id, position of each occurrence of the rarest word of `text` that has all of its other words within `reach` words on either side in the same document."""
-    words = next(_item_words(iter([pa.RecordBatch.from_arrays([pa.array([0]), pa.array([text])], names=["i", "t"])]))).column(1)[0].as_py()
+    """doc_id, position of each occurrence of the rarest word of `text` that has all of its other words within `reach` words on either side in the same document.
+
+    A text without words is found nowhere; a word that is in the text twice counts once. Documents without a text or words have nothing, documents without a doc_id and repeated ones are found each under the id that
+    they have; a document of any length is searched whole. An empty index gives no rows.
+    """
+    words = next(_item_words(1, 1 << 20)(iter([pa.RecordBatch.from_arrays([pa.array([0]), pa.array([text])], names=["i", "t"])]))).column(1)[0].as_py()
     terms = np.unique(np.frombuffer(words, np.uint64))
     if not len(terms):
         return index.sparkSession.createDataFrame([], "doc_id long, position long")
@@ -283,6 +308,11 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFra
 
 
 def clean(docs: DataFrame, items: DataFrame, width: int = 10) -> DataFrame:
-    """docs, all columns, without the documents that have a phrase of the items. Rows without a doc_id stay, as they cannot be named."""
-    hit = contamination(docs, items, width).where("n_hit > 0 and doc_id is not null").select(F.col("doc_id").alias("hit_id")).distinct()
-    return docs.join(hit, docs["doc_id"] == hit["hit_id"], "left_anti")
+    """docs, all columns, without the rows whose text has a phrase of the items.
+
+    Rows are told apart by doc_id and text together, as one 64-bit hash: of rows that repeat a doc_id those with a clean text stay, and rows without a doc_id go by their text as others do. Null, empty and wordless texts
+    have no phrase and stay; repeats of a row share its fate; texts of any length are searched whole. An empty benchmark takes nothing away, an empty table stays empty.
+    """
+    name = lambda: F.xxhash64(docs["doc_id"].cast("long"), docs["text"].cast("string"))
+    hit = contamination(docs.select(name().alias("doc_id"), docs["text"]), items, width).where("n_hit > 0").select(F.col("doc_id").alias("_hit")).distinct()
+    return docs.join(hit, name() == hit["_hit"], "left_anti")

@@ -54,6 +54,31 @@ def test_empty_tables(spark, small_docs, no_docs):
     assert decontamination.clean(small_docs, none).count() == small_docs.count()
 
 
+def test_clean_tells_rows_by_text(spark, small_docs):
+    """Of rows that repeat a doc_id the clean one stays; a contaminated row without a doc_id goes; columns and repeats are kept."""
+    passage = "one two three four five six seven eight nine ten eleven"
+    rows = [(1, f"start {passage} end", "a"), (1, "a clean text under the same id", "b"), (None, passage, "c"), (None, "clean", "d"), (2, None, "e"), (2, "", "f"), (3, "clean", "g"), (3, "clean", "g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _hit string")
+    kept = decontamination.clean(docs, spark.createDataFrame([(9, passage)], "item_id long, text string"))
+    assert kept.columns == docs.columns and sorted(r._hit for r in kept.collect()) == ["b", "d", "e", "f", "g", "g"]
+
+
+def test_a_long_item_is_searched_in_pieces(spark, monkeypatch):
+    """Every window of an item is found, also those across pieces; no chunk is much longer than its bound."""
+    import random
+
+    rng, sizes = random.Random(2), []
+    long = " ".join(f"w{rng.randrange(10**6)}" for _ in range(500))
+    parts = long.split(" ")
+    docs = [(k, " ".join(["x", *parts[k : k + 10], "y"])) for k in range(491)] + [(491, long), (492, " ".join(parts[:9]))]
+    monkeypatch.setattr(decontamination, "CHUNK_WORDS", 40)
+    made = decontamination.Phrases.__init__
+    monkeypatch.setattr(decontamination.Phrases, "__init__", lambda self, items, width: (sizes.append(sum(len(w) for _, w in items)), made(self, items, width))[1])
+    found = decontamination.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(5, long), (6, " ".join(parts[:3]))], "item_id long, text string").coalesce(1), 10).collect()
+    assert {r.doc_id: r.n_hit for r in found} == {k: 10 for k in range(491)} | {491: 500, 492: 3}
+    assert max(sizes) <= 2 * (40 + 9) and len(sizes) > 8
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "the rare cat sat on a red mat"), (2, "rare x x x x x x x mat"), (3, "mat then rare"), (4, None)], "doc_id long, text string")
     index = decontamination.build_index(docs, scratch_path(spark, "near"))
