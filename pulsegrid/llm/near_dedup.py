@@ -403,10 +403,13 @@ class _Join:
         shares = level.groupBy("node", "component").agg(F.count("*").alias("share"))
         largest = shares.groupBy("node").agg(F.max_by("component", F.struct("share", "component")).alias("largest"))
         rows = level.join(largest, "node").withColumn("n_blocks", F.ceil(2 * F.greatest(F.col("n") / self.cell, F.col("weight") / CELL_SHINGLES)).cast("int"))
-        rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), "n_blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-        probes = rows.where("component <> largest").select(F.xxhash64("node", "own", "other").alias("cell"), "id", "component")
-        targets = rows.select(F.xxhash64("node", "other", "own").alias("cell"), "id", "component")
-        return probes.unionByName(targets.join(probes.select("cell").distinct(), "cell", "left_semi"))
+        rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), "n_blocks").cast("int"))
+        outside = rows.where("component <> largest")
+        probes = outside.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).select(F.xxhash64("node", "own", "other").alias("cell"), "id", "component")
+        # a member goes to as many cells as there are blocks with a member that has to meet it
+        asking = outside.select("node", F.col("own").alias("block")).distinct()
+        targets = rows.join(asking, "node").select(F.xxhash64("node", "block", "own").alias("cell"), "id", "component")
+        return probes.unionByName(targets)
 
 
 def _rated(docs: DataFrame, percent: int, width: int, trees: int, leaf: int, cell: int, rounds: int) -> DataFrame:

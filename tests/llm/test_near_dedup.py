@@ -6,6 +6,9 @@ from collections import defaultdict
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from pulsegrid.llm import near_dedup
 from pulsegrid.llm.components import components
 from pulsegrid.llm.near_dedup import keep_one, near_duplicates
 
@@ -127,3 +130,15 @@ def test_components(spark):
     links = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (9, 8), (8, 7), (5, 5), (None, 1), (20, 10)] + [(100, k) for k in range(101, 130)], "a long, b long")
     got = {r.id: r.component for r in components(links).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 4: 1, 7: 7, 8: 7, 9: 7, 10: 10, 20: 10, **{k: 100 for k in range(100, 130)}}
+
+
+def test_blocks_grow_with_their_probes(spark):
+    """A node of one large component and five others: rows grow in proportion to its members, and each of the five meets all of the node once."""
+    join, rows = near_dedup._Join(80, 5, 4, 64, 256, 2), {}
+    for n in (2000, 8000):
+        level = spark.range(n).select(F.lit(7).cast("long").alias("node"), "id", F.when(F.col("id") < 5, F.col("id")).otherwise(9).alias("component"), F.lit(n).cast("long").alias("n"), F.lit(1).cast("long").alias("weight"))
+        cells = join.blocks(level).cache()
+        rows[n] = cells.count()
+        met = cells.alias("a").join(cells.alias("b"), "cell").where("a.id < 5 and a.id <> b.id").groupBy("a.id").agg(F.countDistinct("b.id").alias("met")).collect()
+        assert {r.id: r.met for r in met} == {k: n - 1 for k in range(5)}
+    assert rows[8000] <= 4.5 * rows[2000] and rows[8000] <= 6 * 8000
