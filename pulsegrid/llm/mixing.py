@@ -95,7 +95,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, percent: float =
 
     `importance` names a column of numbers, or makes one from the number of words: the expected copies of a document are in proportion to it (rounded to quarter powers of two), within `most`; without one all of a source are
     alike. Documents of no importance are not taken. Sources with the same text of name are one, null is a source of its own. Texts without words have size 0 and are taken as often as others of their
-    source and importance. Repeated rows are ranked each: rows equal in doc_id draw the same number and are told apart by their place in their partition. The same table gives the same result on each run but for such ties.
+    source and importance. Repeated rows are ranked each: rows equal in doc_id and text draw the same number and are told apart by their place in their partition. The same table gives the same result on each run but for such ties.
     A text of any length is counted whole; one longer than its source's target is taken or not as a whole. An empty table gives no rows.
     """
     size = n_words(F.col("text").cast("string"))
@@ -107,7 +107,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, percent: float =
     rows = _per_source(sizes, per_source)
     wanted = F.when(F.col("importance") > 0, F.least(F.lit(float(most)), F.col("rate") * F.col("importance"))).otherwise(0.0)
     rows = rows.withColumn("sure", F.floor(wanted)).withColumn("chance", wanted - F.col("sure"))
-    draw = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
+    draw = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "text_key"), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
     ratio = (draw / (1 - draw)) / (F.col("chance") / (1 - F.col("chance")))
     open_ = (F.col("chance") > 0) & (F.col("size") > 0)
     at = F.when(open_, ratio / (1 + ratio) * F.lit(float(_BINS)))
@@ -141,7 +141,10 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, percent: float =
 
 
 def mixed_rows(docs: DataFrame, **settings) -> DataFrame:
-    """docs, all columns, each row as often as the mix takes it. Rows that are equal in doc_id, text and source are taken together, and share their copies evenly."""
+    """docs, all columns, each row as often as the mix takes it. Rows that are equal in doc_id, text and source are taken together, and share their copies evenly.
+
+    Rows without a doc_id are told apart by their texts, rows without a source are a source of their own. Null, empty and wordless texts fill nothing and are taken as often as others of their source and importance. Texts of any
+    length are taken or left whole. An empty table stays empty."""
     names = ["doc_id", "text_key", "source"]
     taken = mix(docs, **settings).groupBy(*names).agg(F.sum("copies").alias("copies"), F.count("*").alias("n")).where("copies > 0")
     keys = [F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.col("text").cast("string")).alias("key"), F.col("source").cast("string").alias("of")]
