@@ -185,7 +185,7 @@ def _lines_of(piece: int, pieces: int):
     return run
 
 
-def fit_field(docs: DataFrame, labels: DataFrame, sample: int = 1000, piece: int = 64, pieces: int = 32) -> LineField:
+def fit_field(docs: DataFrame, labels: DataFrame, sample: int = 1000, piece: int = 64, pieces: int = 16) -> LineField:
     """The field of the lines of `sample` documents of each quality (0 and 1) at most, those with the smallest hash of doc_id.
 
     The bounds keep what the driver gathers small: texts are cut into pieces of `piece` lines, and of a longer text `pieces` of them, spread evenly over all of it, are fitted. With no
@@ -252,6 +252,8 @@ def _passing(model: LineField, least: float, at: int):
 
 
 def keep_good(docs: DataFrame, model: LineField, least_content: float = 0.5) -> DataFrame:
-    """docs, all columns, without the rows that `rate` does not keep; one narrow pass."""
+    """docs, all columns, without the rows that `rate` does not keep; one narrow pass.
+
+    Null, empty and wordless texts fail the base rules and go. Rows without a doc_id and repeated rows are rated each by their texts; a text of any length is rated whole. An empty table stays empty."""
     small_batches(docs.sparkSession)
     return docs.mapInArrow(_passing(model, least_content, docs.columns.index("text")), docs.schema)
