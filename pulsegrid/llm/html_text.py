@@ -2,8 +2,8 @@
 
 A page is read once into blocks of text, each with the path of tags from the root to it. Text length, blocks, punctuation and linked text are
 summed per path; a path's text ratio (characters a block) and its punctuation ratio are given to its blocks, smoothed over
-the page order, and fused. Articles raise the scores of their blocks, names of other parts lower them; blocks over the threshold are content. The page's main
-part is the smallest element, or the article, around nine tenths of them, and the text is all of its blocks but those of menus, forms and other parts
+the page order, and fused. Blocks over the threshold speak for the elements around them, others against; the element with the most in its favour is the main one, whatever its name. Names decide where it can't be, as in
+a menu or among comments, and widen it to the article around it. The text is all of its blocks but those of menus, forms and other parts
 that are never content, and those of parts named otherwise whose own score is too low.
 """
 
@@ -42,6 +42,8 @@ OWN = frozenset("article body content entry main page post story text".split())
 _LAYOUT = frozenset("has is no not with without".split())
 #: Weights of scores inside an article or main element, and inside a part that is named otherwise.
 MAIN_WEIGHT, HINT_WEIGHT = 2.0, 0.05
+#: What a block speaks for the elements around it at most.
+MOST = 3.0
 _CONTAINERS = frozenset(["", "html", "body", "article", "main", "section", "div", "center"])
 _CLOSES_P = BLOCKS - {"caption", "li", "optgroup", "option", "td", "th", "tr", "tbody", "thead", "tfoot"}
 #: A start tag closes an open element of these names, unless one of the others is nearer.
@@ -239,26 +241,75 @@ def scores(blocks: list[TextBlock], weights: np.ndarray | None = None) -> np.nda
     return smooth(texts) * smooth(points) * open_ * weights
 
 
-def main_text(page: str | None) -> str:
-    """Blocks of the main part, each with single spaces, joined by two \\n; empty if there is none."""
-    nodes, blocks = read_page(page) if page else ([], [])
-    free = [b for b in blocks if not b.node.outside]
-    if not free:
-        return ""
-    weights = np.array([HINT_WEIGHT if b.node.other >= 0 else MAIN_WEIGHT if b.node.in_main else 1.0 for b in free])
-    fused = scores(free, weights)
+def content_node(nodes: list[Node], blocks: list[TextBlock], fused: np.ndarray) -> Node:
+    """The element with the most gain: blocks over the threshold, the mean score, add what they exceed it by, up to MOST times it, and blocks under it take away what they lack. Of equal ones the innermost."""
+    bar = fused.mean()
+    gain = np.minimum(fused / bar - 1.0, MOST) if bar > 0 else np.ones(len(fused))
+    held = np.zeros(len(nodes))
+    np.add.at(held, [b.node.number for b in blocks], gain)
+    held = held.tolist()
+    for x in reversed(nodes[1:]):
+        held[x.parent.number] += held[x.number]
+    return max((x for x in nodes if x.tag in _CONTAINERS), key=lambda x: (held[x.number], x.depth))
+
+
+def heaviest_node(nodes: list[Node], blocks: list[TextBlock]) -> Node:
+    """The smallest element around nine tenths of the text over the threshold, text in parts named otherwise counting little: of a page whose best part is named so."""
+    weights = np.array([HINT_WEIGHT if b.node.other >= 0 else MAIN_WEIGHT if b.node.in_main else 1.0 for b in blocks])
+    fused = scores(blocks, weights)
     bar = min(fused.std(), fused.max())
     held = np.zeros(len(nodes))
-    for b, w in zip(free, np.where(fused >= bar, weights, 0.0).tolist(), strict=True):
-        held[b.node.number] += len(b.text) * w
+    np.add.at(held, [b.node.number for b in blocks], np.where(fused >= bar, weights, 0.0) * [len(b.text) for b in blocks])
     held = held.tolist()
     for x in reversed(nodes[1:]):
         held[x.parent.number] += held[x.number]
     whole = max(held)
     inner = max((x for x in nodes if held[x.number] * 10 >= whole * 9), key=lambda x: x.depth)
-    inner = next(x for x in _up(inner) if x.tag in _CONTAINERS)
-    inner = next((x for x in _up(inner) if x.tag in ("article", "main") and not x.hinted), inner)
-    kept = [b for b, s in zip(free, fused.tolist(), strict=True) if inner.holds(b.node) and (s >= bar if b.node.other > inner.depth else b.node.in_main or 2 * b.linked <= len(b.text))]
+    return next(x for x in _up(inner) if x.tag in _CONTAINERS)
+
+
+def chosen(nodes: list[Node], blocks: list[TextBlock]) -> tuple[Node, bool]:
+    """The page's main element, and whether the scores alone tell it.
+
+    The scores of all visible blocks choose it, whatever the names of their tags. A choice inside of a part that is never content or is named otherwise is made again without the former and with little weight of the latter.
+    An article or main element around the choice, or the only one in it that has all of the blocks over the threshold, stands for it.
+    """
+    seen = [b for b in blocks if not any(x.hidden and not x.holds_main for x in _up(b.node))] if any(x.hidden for x in nodes) else blocks
+    inner = content_node(nodes, seen, scores(seen)) if seen else nodes[0]
+    alone = not inner.outside and inner.other < 0
+    if not alone:
+        seen = [b for b in blocks if not b.node.outside]
+        inner = heaviest_node(nodes, seen)
+    around = next((x for x in _up(inner) if x.tag in ("article", "main") and not x.hinted), None)
+    if around is None:
+        fused = scores(seen)
+        own = [x for x in nodes[inner.number : inner.last + 1] if x.tag in ("article", "main") and not x.hinted and not x.outside and x.other < 0]
+        high = [b.node for b, s in zip(seen, fused.tolist(), strict=True) if s >= fused.mean() and inner.holds(b.node)]
+        around = own[0] if own and all(own[0].holds(x) for x in high) else inner
+    return around, alone
+
+
+def weighted(blocks: list[TextBlock]) -> np.ndarray:
+    return np.array([HINT_WEIGHT if b.node.other >= 0 else MAIN_WEIGHT if b.node.in_main else 1.0 for b in blocks])
+
+
+def main_text(page: str | None) -> str:
+    """Blocks of the main part, each with single spaces, joined by two \n; empty if there is none. In it, parts that are never content go; so do parts named otherwise whose scores are low,
+    and, where there is no article, paths of several blocks that are links for the most part."""
+    nodes, blocks = read_page(page) if page else ([], [])
+    free = [b for b in blocks if not b.node.outside]
+    if not free:
+        return ""
+    inner, _ = chosen(nodes, blocks)
+    fused = scores(free, weighted(free))
+    bar = min(fused.std(), fused.max())
+    paths = [b.node.path for b in free]
+    times, sizes, links = Counter(paths), Counter(), Counter()
+    for b in free:
+        sizes[b.node.path] += len(b.text)
+        links[b.node.path] += b.linked
+    listed = {p for p, n in times.items() if n > 1 and 2 * links[p] > sizes[p]}
+    kept = [b for b, s in zip(free, fused.tolist(), strict=True) if inner.holds(b.node) and (s >= bar if b.node.other > inner.depth else b.node.in_main or b.node.path not in listed)]
     return "\n\n".join(b.text for b in kept)
 
 

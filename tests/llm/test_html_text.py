@@ -6,7 +6,7 @@ import time
 
 import pytest
 
-from pulsegrid.llm.html_text import extract, main_text, read_page, scores
+from pulsegrid.llm.html_text import chosen, extract, main_text, read_page, scores
 from pulsegrid.llm.support import table
 
 PAGES = {
@@ -61,6 +61,43 @@ def test_all_test_pages(spark, sf):
         assert r.text == "\n\n".join(p for p in parts if p) and r.n_chars == len(r.text)
 
 
+def nameless(page):
+    """The page with plain div elements for parts, and without names."""
+    page = re.sub(r"<(/?)(article|main|nav|header|footer|aside|form|section|menu|dialog)\b", r"<\1div", page)
+    return re.sub(r"""\s(class|id|role)=("[^"]*"|'[^']*'|\S+?)(?=[\s>])""", "", page)
+
+
+@pytest.mark.parametrize("sf,pages,least", [("sf0.01", 250, 248)])
+def test_scores_decide(spark, sf, pages, least):
+    """On pages with names the scores alone choose the main element, and the same one gives the text; without tags and names to go by they find the same text."""
+    rows = [r.html for r in table(spark, f"/root/testdata/{sf}", "pages").collect()]
+    alone = sum(chosen(*read_page(page))[1] for page in rows)
+    without = sum(main_text(nameless(page)) == main_text(page) for page in rows)
+    assert len(rows) >= pages and alone >= least * len(rows) / pages and without >= least * len(rows) / pages
+
+
+def test_scores_and_not_names_choose(monkeypatch):
+    """With scores turned round in their place the main element is lost, on a page with names too."""
+    from pulsegrid.llm import html_text
+
+    page = LAYOUTS["layout class"].replace("<div>Short words.</div>", "<div>Short words.</div>" * 9)
+    assert main_text(page).split("\n\n") == ["Title", *BODY]
+    monkeypatch.setattr(html_text, "scores", lambda blocks, weights=None: 1 / (1 + scores(blocks, weights)))
+    assert main_text(page).split("\n\n") != ["Title", *BODY]
+
+
+def test_links_in_the_article_stay():
+    """A paragraph that is all link is content; a list of links beside the paragraphs of an unnamed body is not."""
+    page = f'<body><div><h1>Title</h1>{_BODY}<p><a href="x">{"All of this paragraph is linked, from end to end. " * 2}</a></p><ul>{"<li><a href=y>Other page</a></li>" * 5}</ul></div></body>'
+    assert main_text(page).split("\n\n") == ["Title", *BODY, ("All of this paragraph is linked, from end to end. " * 2).strip()]
+
+
+def test_comments_longer_than_the_article():
+    comment = "<p>I, for one, disagree; so there, and this goes on, and on, for long.</p>" * 12
+    for around in ('<section class="comments">{}</section>', '<div id="discussion">{}</div>', "<aside>{}</aside>"):
+        assert main_text(f"<body><div><h1>Title</h1>{_BODY}</div>{around.format(comment)}</body>").split("\n\n") == ["Title", *BODY]
+
+
 def test_ratios_prefer_long_punctuated_paths():
     _, blocks = read_page("<div><ul><li><a>aa</a><li><a>bb</a><li><a>cc</a></ul><p>Long text, of many words, and signs.</p><p>And more, of the same.</p></div>")
     found = scores(blocks)
