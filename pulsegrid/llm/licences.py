@@ -1,12 +1,14 @@
 """Licence scan: a trained paragraph classifier, applied in DataFrame operations only.
 
 A logistic regression over word one- and two-grams tells licence families and "unknown" apart. It is trained here, on notices
-made from the templates below, on paragraphs of licence bodies whole and in pieces, and on sentences that use the same words otherwise. An L1 penalty makes it sparse: n-grams without
-weight are dropped, and so is every n-gram that the unknown sentences have. Temperature and the least probability of a family are set on held-out
-notices and sentences. A family is reported only if the paragraph also holds most words of one of its names, or if it shares most of its word pairs with a paragraph of its body (of the shorter one).
+made from the templates below, on paragraphs of licence bodies whole and in pieces, and on lines of a bounded sample of the corpus, which are unknown unless they hold a part of a template. An L1 penalty makes it sparse: n-grams
+without weight are dropped, and so is every n-gram that the unknown lines have. Temperature and the least probability of a family are set on held-out notices and held-out lines of the sample. A family is
+reported only if one of its names stands in the text word by word, so a licence with another word in its name is unknown, or if the text shares most of its word pairs with a paragraph of its body (of the shorter one).
 
-A paragraph without any weighted n-gram is unknown by the model's intercepts (checked at training), so paragraphs are first searched for the anchor words that every
-weighted n-gram has one of; the search changes no result.
+A paragraph is what lies between blank lines. Its lines are rated each and with the next one, so that a notice that is wrapped is found, and what is found of one family in a paragraph is one notice.
+
+Texts are first searched for anchors, words of which every text that can be confirmed has one: of each name the word that is the rarest in the sample, and of each paragraph of a body so many that
+no text shares enough of it without one. The search changes no result.
 """
 
 from __future__ import annotations
@@ -14,7 +16,6 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 from functools import lru_cache
-from itertools import product
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -23,22 +24,35 @@ from pyspark.sql import functions as F
 from pulsegrid.llm.support import cut
 
 UNKNOWN = "unknown"
-#: Names by family, as notices write them.
+#: Names by family, as notices write them; those of Creative Commons follow from their parts.
 NAMES = {
-    "Apache": ["Apache License, Version 2.0", "Apache License 2.0", "Apache-2.0 license", "Apache Software License, version 2"],
-    "BSD": ["BSD 3-Clause License", "BSD 2-Clause License", "BSD License", "New BSD license"],
-    "CC-BY": ["CC BY 4.0", "CC BY 3.0", "Creative Commons Attribution 4.0 International License", "Creative Commons Attribution license"],
-    "CC-BY-NC": ["CC BY-NC 4.0", "CC BY-NC 3.0", "Creative Commons Attribution-NonCommercial 4.0 International License", "Creative Commons Attribution-NonCommercial license"],
-    "CC-BY-SA": ["CC BY-SA 4.0", "CC BY-SA 3.0", "Creative Commons Attribution-ShareAlike 4.0 International License", "Creative Commons Attribution-ShareAlike license"],
-    "CC0": ["CC0 1.0", "CC0 1.0 Universal", "Creative Commons Zero license"],
-    "EPL": ["Eclipse Public License 2.0", "Eclipse Public License, version 1.0", "EPL-2.0 license"],
-    "GPL": ["GNU General Public License, version 3", "GNU General Public License, version 2", "GNU GPL v3", "GPL-3.0 license", "GNU General Public License"],
+    "AGPL": ["GNU Affero General Public License", "GNU Affero General Public License, version 3", "Affero General Public License", "GNU AGPL v3", "AGPL-3.0 license", "AGPLv3"],
+    "Apache": ["Apache License, Version 2.0", "Apache License 2.0", "Apache-2.0 license", "Apache 2.0 license", "Apache Software License, version 2"],
+    "Artistic": ["Artistic License 2.0", "Artistic License 1.0", "Artistic License"],
+    "BSD": ["BSD 3-Clause License", "BSD 2-Clause License", "BSD License", "New BSD license", "3-clause BSD license", "2-clause BSD license"],
+    "Boost": ["Boost Software License", "Boost Software License, Version 1.0", "BSL-1.0 license"],
+    "CC0": ["CC0 1.0", "CC0 1.0 Universal", "Creative Commons Zero license", "CC0 license"],
+    "EPL": ["Eclipse Public License", "Eclipse Public License 2.0", "Eclipse Public License, version 1.0", "EPL-2.0 license"],
+    "EUPL": ["EUPL-1.2", "EUPL v1.2", "EUPL 1.1", "European Union Public Licence", "European Union Public Licence, version 1.2"],
+    "GPL": ["GNU General Public License, version 3", "GNU General Public License, version 2", "GNU GPL v3", "GNU GPL v2", "GNU GPL", "GPL-3.0 license", "GPL-2.0 license", "GPLv3", "GPLv2", "GNU General Public License"],
     "ISC": ["ISC License", "ISC licence"],
-    "LGPL": ["GNU Lesser General Public License, version 3", "GNU Lesser General Public License", "LGPL-2.1 license", "GNU LGPL v3"],
-    "MIT": ["MIT License", "MIT license (Expat)", "MIT licence"],
-    "MPL": ["Mozilla Public License, Version 2.0", "Mozilla Public License 2.0", "MPL-2.0 license"],
-    "Unlicense": ["Unlicense", "The Unlicense"],
+    "LGPL": ["GNU Lesser General Public License, version 3", "GNU Lesser General Public License", "GNU Library General Public License", "LGPL-2.1 license", "LGPL-3.0 license", "GNU LGPL v3", "LGPLv3"],
+    "MIT": ["MIT License", "MIT license (Expat)", "MIT licence", "Expat License"],
+    "MPL": ["Mozilla Public License, Version 2.0", "Mozilla Public License 2.0", "Mozilla Public License", "MPL-2.0 license"],
+    "OFL": ["SIL Open Font License", "SIL Open Font License, Version 1.1", "OFL-1.1 license"],
+    "Unlicense": ["The Unlicense", "Unlicense license"],
+    "Zlib": ["zlib License", "zlib/libpng License"],
 }
+_CC = {"BY": "Attribution", "BY-NC": "Attribution-NonCommercial", "BY-SA": "Attribution-ShareAlike", "BY-ND": "Attribution-NoDerivatives", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
+for _short, _long in _CC.items():
+    NAMES[f"CC-{_short}"] = [f"Creative Commons {_long} license"] + [x for v in ("4.0", "3.0", "2.5", "2.0", "1.0") for x in (f"CC {_short} {v}", f"Creative Commons {_long} {v}")]
+#: Identifiers that stand behind the words of SPDX headers.
+SPDX = {
+    "AGPL": ["AGPL-3.0"], "Apache": ["Apache-2.0"], "Artistic": ["Artistic-2.0", "Artistic-1.0"], "BSD": ["BSD-3-Clause", "BSD-2-Clause"], "Boost": ["BSL-1.0"], "CC0": ["CC0-1.0"], "EPL": ["EPL-2.0", "EPL-1.0"], "EUPL": ["EUPL-1.2", "EUPL-1.1"],
+    "GPL": ["GPL-3.0", "GPL-2.0"], "ISC": ["ISC"], "LGPL": ["LGPL-3.0", "LGPL-2.1"], "MIT": ["MIT"], "MPL": ["MPL-2.0"], "OFL": ["OFL-1.1"], "Unlicense": ["Unlicense"], "Zlib": ["Zlib"],
+}
+for _family, _ids in SPDX.items():
+    NAMES[_family] += [f"SPDX-License-Identifier: {x}" for x in _ids]
 #: Paragraphs of licence bodies and headers, without what differs between works. The disclaimer that MIT and Unlicense share is MIT's.
 BODIES = {
     "Apache": [
@@ -90,7 +104,7 @@ BODIES = {
         "In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.",
     ],
 }
-#: Words of a piece of a body in training, and the pairs a paragraph shares with a body at least.
+#: Words of a piece of a body in training, and the telling pairs that a text shares with a body at least, or all of a short one.
 PIECE, LEAST_PAIRS = 12, 5
 FRAMES = ["Licensed under the {}.", "Licensed under {}.", "Released under the {}.", "This work is licensed under the {}.", "This work is licensed under {}.", "Distributed under the terms of the {}.", "This software is made available under the {}.", "Published under a {}, see the file for details.", "You may use this file under the {}.", "License: {}"]
 RESERVED = ["All rights reserved.", "All rights are reserved.", "Copyright 2020 Example Inc. All rights reserved.", "Copyright (c) the authors, all rights reserved worldwide.", "No part may be reproduced. All rights reserved."]
@@ -101,15 +115,53 @@ OTHER = [
     "the of and to in is this that for it with as was on are be by an or not no new you he a", "la le de des et que en un une el los las y para der die das und mit von ist",
 ]
 #: Too frequent to search for: an n-gram needs another word.
-STOP = frozenset("a all an and are as authors available be by c copyright details example file for free he in inc international is it made may name names new no not of on or part people public published released reproduced see software terms that the this to under use version was with work worldwide you your".split())
+STOP = frozenset(
+    "a about above all along also an and any anyone are as at authors available be been before being but by c can conditions copyright could details did do does each either else even example file following for free from had has have he her here his how if in inc into international is it its law least made made may means "
+    "might more most must name names neither new no nor not of on one only or other our out own part people public published purpose released reproduced same see shall she should so software some such terms than that the their them then there these they this those through to under until up use version was we were "
+    "what when where which who whom will with without work worldwide would you your".split()
+)
 _TOKEN = r"[a-z0-9]+"
+#: Words that names have or lack as they like.
+_LOOSE = ("v", "version", "the")
+#: Between paragraphs.
+BLANK = r"\n(?:[\x20\x09\x0B-\x0D]*\n)+"
+#: Bounds of the sample of the corpus: documents, lines of each, characters of each line.
+SAMPLE = (500, 20, 300)
+
+
+def _words_of(text: str) -> list[str]:
+    words = ["license" if w == "licence" else re.sub(r"^v([0-9]+)$", r"\1", w) for w in re.findall(_TOKEN, text.lower())]
+    return [w for w in words if w not in _LOOSE]
 
 
 def _grams(text: str) -> list[str]:
-    words = re.findall(_TOKEN, text.lower())
+    words = _words_of(text)
     return sorted(set(words) | {f"{a} {b}" for a, b in zip(words, words[1:])})
 
 
+def _pairs(words: list[str]) -> set[str]:
+    """Pairs of neighbours of which one at least isn't a word of STOP."""
+    return {f"{a} {b}" for a, b in zip(words, words[1:]) if not {a, b} <= STOP}
+
+
+@lru_cache(1)
+def templates() -> dict[str, tuple[list[str], list[list[str]]]]:
+    """By family its names as words with single spaces, and the distinct telling word pairs of each paragraph of its bodies."""
+    names = {family: sorted({" ".join(_words_of(n)) for n in own}) for family, own in NAMES.items()} | {"Reserved": ["all rights reserved", "all rights are reserved"]}
+    return {family: (own, [sorted(_pairs(_words_of(t))) for t in BODIES.get(family, [])]) for family, own in names.items()}
+
+
+def overlap_of(text: str, family: str) -> float:
+    """1 if a name of the family stands in the text; else the largest share of telling word pairs in common with a paragraph of its body, of the shorter one."""
+    names, bodies = templates()[family]
+    words = _words_of(text)
+    if any(f" {n} " in f" {' '.join(words)} " for n in names):
+        return 1.0
+    own = _pairs(words)
+    common = [(len(own & set(b)), len(b)) for b in bodies]
+    return max((c / min(len(own), n) for c, n in common if c >= min(LEAST_PAIRS, n)), default=0.0)
+
+
 @dataclass
 class LicenceModel:
     classes: list[str]
@@ -128,9 +180,9 @@ class LicenceModel:
 
 
 def examples() -> tuple[list[str], list[str]]:
-    """Texts and their families: all frames with all names, paragraphs of bodies whole and in pieces, and the sentences of other meaning, alone and in pairs."""
-    made = [(frame.format(name), family) for family, names in NAMES.items() for name, frame in product(names, FRAMES)]
-    made += [(name, family) for family, names in NAMES.items() for name in names]
+    """Texts and their families: names alone and in frames by turns, paragraphs of bodies whole and in pieces, and the sentences of other meaning, alone and in pairs."""
+    made = [(FRAMES[(k + j) % len(FRAMES)].format(name), family) for family, names in NAMES.items() for k, name in enumerate(names) for j in range(0, len(FRAMES), 2)]
+    made += [(name, family) for family, names in NAMES.items() for name in names for _ in range(2)]
     for family, bodies in BODIES.items():
         for body in bodies:
             words = body.split()
@@ -140,95 +192,140 @@ def examples() -> tuple[list[str], list[str]]:
     return [t for t, _ in made], [c for _, c in made]
 
 
-@lru_cache(1)
-def train(rounds: int = 400, rate: float = 2.0, penalty: float = 2e-4, hold: int = 5) -> LicenceModel:
-    """Multinomial logistic regression with L1 (proximal gradient), on the driver: about 1000 short texts, whatever the corpus. Every
-    `hold`-th example is held out for calibration."""
+def sample_lines(docs: DataFrame, bounds: tuple[int, int, int] = SAMPLE) -> tuple[str, ...]:
+    """Lines of the documents (doc_id, text) with the smallest hashes of id and text, spread over each text, within the bounds: what the driver gathers is some megabytes, whatever the corpus."""
+    documents, lines, size = bounds
+    keyed = docs.where("text is not null").select(F.xxhash64("doc_id", "text").alias("key"), "text")
+    last = [r.key for r in keyed.select("key").distinct().orderBy("key").limit(documents).collect()]
+    if not last:
+        return ()
+    split = F.split("text", "\n")
+    step = F.greatest(F.ceil(F.size(split) / lines), F.lit(1))
+    own = keyed.where(F.col("key") <= last[-1]).select("key", F.transform(F.filter(split, lambda x, k: k % step == 0), lambda x: F.substring(x, 1, size)).alias("lines"))
+    found = own.groupBy("key").agg(F.first("lines").alias("lines")).orderBy("key").collect()
+    return tuple(dict.fromkeys(x for r in found for x in r.lines if x.strip()))
+
+
+@lru_cache(4)
+def train(sample: tuple[str, ...] = (), rounds: int = 160, rate: float = 2.0, penalty: float = 2e-4, hold: int = 5) -> LicenceModel:
+    """Multinomial logistic regression with L1 (proximal gradient), on the driver: about 2000 short texts and the lines of a bounded sample of the corpus. Every
+    `hold`-th example and line is held out for calibration. Lines of the sample that hold a part of a name or half of a paragraph of a body are left out."""
     texts, families = examples()
     classes = sorted(set(families) - {UNKNOWN}) + [UNKNOWN]
+    parts = {g for own, _ in templates().values() for n in own for g in _grams(n) if " " in g and any(w not in STOP and not w.isdigit() for w in g.split())}
+    lines = [x for x in sample if not parts.intersection(_grams(x)) and max(overlap_of(x, c) for c in classes[:-1]) < 0.5]
+    strange = [set(_grams(x)) for k, x in enumerate(lines) if k % hold]
     found = [set(_grams(t)) for t in texts]
-    other = set().union(*(g for g, c in zip(found, families, strict=True) if c == UNKNOWN))
+    other = set().union(*(g for g, c in zip(found, families, strict=True) if c == UNKNOWN), *strange)
     telling = lambda g: [w for w in g.split() if w not in STOP and not w.isdigit()]
     grams = sorted(g for g in set().union(*found) - other if telling(g))
     place = {g: k for k, g in enumerate(grams)}
-    x = np.zeros((len(texts), len(grams)))
-    for k, own in enumerate(found):
-        x[k, [place[g] for g in own if g in place]] = 1
-    y = np.array([classes.index(c) for c in families])
+
+    def rows(sets: list[set[str]]) -> np.ndarray:
+        out = np.zeros((len(sets), len(grams)), np.float32)
+        for k, own in enumerate(sets):
+            out[k, [place[g] for g in own if g in place]] = 1
+        return out
+
+    x, y = rows(found), np.array([classes.index(c) for c in families])
     fit, held = np.arange(len(y)) % hold != 0, np.arange(len(y)) % hold == 0
-    w, b = np.zeros((len(grams), len(classes))), np.zeros(len(classes))
-    gold = np.eye(len(classes))[y]
+    w, b = np.zeros((len(grams), len(classes)), np.float32), np.zeros(len(classes), np.float32)
+    # the sample's lines have no n-gram that is left: they are one row that counts for many
+    x_fit, gold = np.vstack([x[fit], np.zeros((1, len(grams)), np.float32)]), np.eye(len(classes), dtype=np.float32)[np.append(y[fit], len(classes) - 1)]
+    count = np.append(np.ones(fit.sum(), np.float32), min(len(strange), fit.sum() // 2))[:, None]
 
-    def soft(rows: np.ndarray, t: float = 1.0) -> np.ndarray:
-        z = (rows @ w + b) / t
-        z = np.exp(z - z.max(1, keepdims=True))
+    def soft(z: np.ndarray, t: float = 1.0) -> np.ndarray:
+        z = np.exp(z / t - (z / t).max(1, keepdims=True))
         return z / z.sum(1, keepdims=True)
 
     for _ in range(rounds):
-        miss = (soft(x[fit]) - gold[fit]) / fit.sum()
-        w -= rate * (x[fit].T @ miss)
+        miss = (soft(x_fit @ w + b) - gold) * count / count.sum()
+        w -= rate * (x_fit.T @ miss)
         w = np.sign(w) * np.maximum(np.abs(w) - rate * penalty, 0)
         b -= rate * miss.sum(0)
+    w, b = w.astype(np.float64), b.astype(np.float64)
+    calm = rows([set(_grams(t)) for k, t in enumerate(lines) if k % hold == 0])
+    z, goals = np.vstack([x[held], calm]) @ w + b, np.append(y[held], np.full(len(calm), len(classes) - 1))
     scales = np.linspace(0.3, 3, 28)
-    temperature = float(scales[np.argmin([-np.log(soft(x[held], t)[np.arange(held.sum()), y[held]] + 1e-12).mean() for t in scales])])
-    odds = soft(x[held], temperature)
-    stranger = odds[y[held] == len(classes) - 1, :-1].max(initial=0.0)
+    temperature = float(scales[np.argmin([-np.log(soft(z, t)[np.arange(len(z)), goals] + 1e-12).mean() for t in scales])])
+    stranger = soft(z, temperature)[goals == len(classes) - 1, :-1].max(initial=0.0)
     used = np.flatnonzero(np.abs(w).sum(1))
     grams, w = [grams[k] for k in used], w[used]
-    rising = [g for g, row in zip(grams, w, strict=True) if (row[:-1] - row[-1]).max() > 0]
-    anchors = {telling(g)[0] for g in rising}
-    assert b.argmax() == len(classes) - 1, "a paragraph without weighted n-grams has to be unknown"
-    return LicenceModel(classes, grams, w, b, temperature, float(min(0.9, max(0.5, stranger))), sorted(anchors))
+    often: dict[str, int] = {}
+    for x in sample:
+        for word in set(_words_of(x)):
+            often[word] = often.get(word, 0) + 1
+    return LicenceModel(classes, grams, w, b, temperature, float(min(0.9, max(0.5, stranger))), _anchors(often))
+
+
+def _anchors(often: dict[str, int]) -> list[str]:
+    """Words of which a text that is confirmed has one: the rarest of each name, and of each paragraph of a body so many of the rarest that fewer of its word pairs are without one than a text has to share with it."""
+    rarest = lambda words: min((w for w in words if not w.isdigit()), key=lambda w: (w in STOP, often.get(w, 0), -len(w), w))
+    found = {rarest(name.split()) for names, _ in templates().values() for name in names}
+    for _, bodies in templates().values():
+        for pairs in bodies:
+            while len(left := [p for p in pairs if not found.intersection(p.split())]) >= min(LEAST_PAIRS, len(pairs)):
+                found.add(rarest({w for p in left for w in p.split()}))
+    return sorted(found)
 
 
 def _words(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(f"({_TOKEN})"), F.lit(1))
+    plain = F.transform(F.regexp_extract_all(F.lower(text), F.lit(f"({_TOKEN})"), F.lit(1)), lambda w: F.when(w == "licence", "license").otherwise(F.regexp_replace(w, "^v([0-9]+)$", "$1")))
+    return F.filter(plain, lambda w: ~w.isin(*_LOOSE))
+
+
+def anchor_pattern(model: LicenceModel) -> str:
+    """Anchors as words, whatever their case; licence is read as license."""
+    words = "|".join("licen[sc]e" if w == "license" else w for w in model.anchors)
+    return f"(?i)(?<![a-z0-9])(?:{words})(?![a-z0-9])"
 
 
 def licence_paragraphs(docs: DataFrame, model: LicenceModel | None = None, overlap: float = 0.75) -> DataFrame:
-    """doc_id, text_key, paragraph (its place from 0), family, probability, overlap of each paragraph of docs (doc_id, text) that is found to be a licence notice.
+    """doc_id, text_key, paragraph (its place from 0), family, probability, overlap of each notice that is found in docs (doc_id, text); probability and overlap are the largest of its lines.
 
-    Paragraphs are the \\n-split lines. The model's n-grams and weights, a few hundred rows, are broadcast.
+    Paragraphs lie between blank lines; each line, and each with the next one of its paragraph, is rated. The model's n-grams and weights, some hundred rows, are broadcast.
     """
-    model = model or train()
-    spark = docs.sparkSession
-    anchored = "(?i)(?<![a-z0-9])(?:" + "|".join(model.anchors) + ")(?![a-z0-9])"
-    some = docs.where(F.col("text").rlike(anchored)).select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n")).alias("paragraph", "body"))
-    some = some.where(F.col("body").rlike(anchored)).withColumn("words", _words(F.col("body"))).select("doc_id", "text_key", "paragraph", "words")
+    model = model or train(sample_lines(docs))
+    spark, anchored = docs.sparkSession, anchor_pattern(model)
+    some = docs.where(F.col("text").rlike(anchored)).select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", BLANK)).alias("paragraph", "block")).where(F.col("block").rlike(anchored))
+    lines = F.split("block", "\n")
+    both = F.transform(lines, lambda x, k: F.array(F.struct((2 * k).alias("at"), x.alias("body")), F.struct((2 * k + 1).alias("at"), F.concat(x, F.lit(" "), F.get(lines, k + 1)).alias("body"))))
+    some = some.select("doc_id", "text_key", "paragraph", F.explode(F.flatten(both)).alias("unit")).select("doc_id", "text_key", "paragraph", "unit.at", "unit.body")
+    some = some.where(F.col("body").rlike(anchored)).withColumn("words", _words(F.col("body"))).drop("body")
     pairs = F.when(F.size("words") > 1, F.zip_with(F.slice("words", F.lit(1), F.size("words") - 1), F.slice("words", F.lit(2), F.size("words") - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
-    grams = some.select("doc_id", "text_key", "paragraph", "words", F.explode(F.array_distinct(F.concat("words", pairs))).alias("gram"))
+    key = ["doc_id", "text_key", "paragraph", "at"]
+    grams = some.select(*key, "words", F.explode(F.array_distinct(F.concat("words", pairs))).alias("gram"))
     weights = spark.createDataFrame([(g, [float(v) for v in row]) for g, row in zip(model.grams, model.weights, strict=True)], "gram string, weights array<double>")
     scored = grams.join(F.broadcast(weights), "gram")
-    key = ["doc_id", "text_key", "paragraph"]
     sums = scored.groupBy(*key).agg(*[F.sum(F.col("weights")[k]).alias(f"z{k}") for k in range(len(model.classes))], F.first("words").alias("words"))
     z = F.array(*[(F.col(f"z{k}") + F.lit(float(b))) / F.lit(model.temperature) for k, b in enumerate(model.intercepts)])
     rated = sums.select(*key, "words", z.alias("z")).withColumn("top", F.array_max("z"))
     total = F.aggregate("z", F.lit(0.0), lambda s, v: s + F.exp(v - F.col("top")))
     rated = rated.select(*key, "words", F.array_position("z", F.col("top")).cast("int").alias("place"), (1 / total).alias("probability")).where(F.col("probability") >= model.least)
-    forms = {family: [sorted(set(re.findall(_TOKEN, n.lower()))) for n in names] for family, names in NAMES.items()} | {"Reserved": [["all", "reserved", "rights"]]}
-    bodies = {family: [[f"{a} {b}" for a, b in zip(w, w[1:])] for w in (re.findall(_TOKEN, t.lower()) for t in texts)] for family, texts in BODIES.items()}
-    bodies = {family: [sorted(set(b)) for b in found] for family, found in bodies.items()}
-    templates = spark.createDataFrame([(k + 1, c, forms[c], bodies.get(c, [])) for k, c in enumerate(model.classes) if c != UNKNOWN], "place int, family string, forms array<array<string>>, bodies array<array<string>>")
-    by_name = F.array_max(F.transform("forms", lambda f: F.size(F.array_intersect("words", f)) / F.size(f)))
-    own = F.array_distinct(pairs)
+    known = spark.createDataFrame([(k + 1, c, *templates()[c]) for k, c in enumerate(model.classes) if c != UNKNOWN], "place int, family string, names array<string>, bodies array<array<string>>")
+    phrase = F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))
+    stop = lambda w: w.isin(*sorted(STOP))
+    own = F.array_distinct(F.array_compact(F.zip_with("words", F.slice("words", 2, 1 << 30), lambda a, b: F.when(b.isNotNull() & ~(stop(a) & stop(b)), F.concat_ws(" ", a, b)))))
 
     def body_share(b: Column) -> Column:
         common = F.size(F.array_intersect(own, b))
-        return F.when(common >= LEAST_PAIRS, common / F.least(F.size(own), F.size(b))).otherwise(0.0)
+        return F.when(common >= F.least(F.lit(LEAST_PAIRS), F.size(b)), common / F.least(F.size(own), F.size(b))).otherwise(0.0)
 
-    share = F.greatest(by_name, F.array_max(F.transform("bodies", body_share)))
-    named = rated.join(F.broadcast(templates), "place")
-    return named.select(*key, "family", "probability", share.alias("overlap")).where(F.col("overlap") >= overlap)
+    share = F.when(F.exists("names", lambda n: F.contains(phrase, F.concat(F.lit(" "), n, F.lit(" ")))), 1.0).otherwise(F.coalesce(F.array_max(F.transform("bodies", body_share)), F.lit(0.0)))
+    named = rated.join(F.broadcast(known), "place").select(*key[:3], "family", "probability", share.alias("overlap")).where(F.col("overlap") >= overlap)
+    return named.groupBy(*key[:3], "family").agg(F.max("probability").alias("probability"), F.max("overlap").alias("overlap"))
 
 
 def scan(docs: DataFrame, model: LicenceModel | None = None, overlap: float = 0.75) -> DataFrame:
     """doc_id, n_paragraphs, n_notices, families (sorted, comma-joined; empty if none) for each row of docs (doc_id, text; other columns are ignored).
 
-    Null texts have no paragraphs, empty ones have one. Rows that repeat a doc_id get each the findings of their own text. An empty table gives no rows.
+    Paragraphs are separated by blank lines; those without a word don't count, so null, empty and blank texts have none. A notice is a family in a paragraph. Rows that repeat a doc_id get each the findings of their own text;
+    null ids are kept. A text of any length is searched whole. An empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = licence_paragraphs(docs, model, overlap).dropDuplicates(["doc_id", "text_key", "paragraph"])
+    found = licence_paragraphs(docs, model, overlap)
     found = cut(found.groupBy("doc_id", "text_key").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("family")), ",").alias("f")).select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), "n", "f"))
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.when(F.col("text").isNull(), 0).otherwise(F.regexp_count("text", F.lit("\n")) + 1).cast("long").alias("n_paragraphs"))
+    n_paragraphs = F.coalesce(F.size(F.filter(F.split("text", BLANK), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))), F.lit(0))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.greatest(n_paragraphs, F.lit(0)).cast("long").alias("n_paragraphs"))
     rows = rows.join(found, rows["doc_id"].eqNullSafe(found["d"]) & (rows["text_key"] == found["k"]), "left")
     return rows.select("doc_id", "n_paragraphs", F.coalesce("n", F.lit(0)).cast("long").alias("n_notices"), F.coalesce("f", F.lit("")).alias("families"))

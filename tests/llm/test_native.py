@@ -120,22 +120,75 @@ def test_licence_bodies(spark):
     assert {text: got[k] for k, (_, text) in enumerate(cases)} == {text: family for family, text in cases}
 
 
+#: Notices and what they are; "" where no licence is named that is known.
+NAMED = {
+    "This work is licensed under CC BY-ND 4.0.": "CC-BY-ND", "Licensed under CC BY-NC-SA 3.0, see the file.": "CC-BY-NC-SA", "GNU Affero General Public License v3": "AGPL", "Under the terms of the GNU Lesser General Public License, version 3.": "LGPL",
+    "Licensed under the Creative Commons\nAttribution 4.0 International License.": "CC-BY", "# SPDX-License-Identifier: MIT": "MIT", "// SPDX-License-Identifier: GPL-3.0-or-later": "GPL", "SPDX-License-Identifier: Apache-2.0": "Apache",
+    "Distributed under the Boost Software License, Version 1.0.": "Boost", "Released under the zlib License.": "Zlib", "Artistic License 2.0": "Artistic", "Licensed under the EUPL-1.2": "EUPL", "Licensed under CC BY-XX 4.0.": "",
+    "Licensed under the GNU Foo General Public License.": "", "Licensed under the Creative Commons Attribution-Whatever 4.0 International License.": "", "The bar lost its license; the MIT study says so.": "", "Der Text ist mit der Lizenz der Stadt.": "",
+    "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.": "GPL",
+}
+
+
+def test_names_of_other_licences(spark):
+    docs = spark.createDataFrame([(k, f"Some text before it.\n\n{x}\n\nAnd after.") for k, x in enumerate(NAMED)], "doc_id long, text string")
+    got = {r.doc_id: (r.families, r.n_notices, r.n_paragraphs) for r in licences.scan(docs).collect()}
+    assert {x: got[k] for k, x in enumerate(NAMED)} == {x: (family, int(family != ""), 3) for x, family in NAMED.items()}
+
+
 def test_licence_scan(spark, small_docs, no_docs):
-    texts = ["Some text.\nReleased under the MIT License.\nMore.", "This work is licensed under the GNU General Public License, version 3.", None, "", "mitten and licence plates\nand nothing", "All rights reserved.\nLicensed under CC BY-NC 4.0.", "MIT license " + "x " * 9000]
+    texts = ["Some text.\n\nReleased under the MIT License.\n \t\nMore.", "This work is licensed under the GNU General Public License, version 3.", None, "", "mitten and licence plates\nand nothing", "All rights reserved.\n\n\nLicensed under CC BY-NC 4.0.", "MIT license " + "x " * 9000, "\n \n"]
     docs = spark.createDataFrame([(k % 6, t, k) for k, t in enumerate(texts)], "doc_id long, text string, paragraph long")
     got = sorted(((r.doc_id, r.n_paragraphs, r.n_notices, r.families) for r in licences.scan(docs).collect()))
-    assert got == sorted([(0, 3, 1, "MIT"), (1, 1, 1, "GPL"), (2, 0, 0, ""), (3, 1, 0, ""), (4, 2, 0, ""), (5, 2, 2, "CC-BY-NC,Reserved"), (0, 1, 1, "MIT")])
+    assert got == sorted([(0, 3, 1, "MIT"), (1, 1, 1, "GPL"), (2, 0, 0, ""), (3, 0, 0, ""), (4, 1, 0, ""), (5, 2, 2, "CC-BY-NC,Reserved"), (0, 1, 1, "MIT"), (1, 0, 0, "")])
     assert licences.scan(no_docs).count() == 0 and licences.scan(small_docs).where("n_notices > 0").count() == 0
 
 
-def test_licence_search_changes_nothing(spark):
-    """Paragraphs that the anchor search leaves out are unknown to the model."""
-    model = licences.train()
-    anchored = re.compile("(?i)(?<![a-z0-9])(?:" + "|".join(model.anchors) + ")(?![a-z0-9])")
-    for r in table(spark, "/root/testdata/sf0.001", "documents").collect():
-        for body in r.text.split("\n")[:20]:
-            if not anchored.search(body):
-                assert model.probabilities(body).argmax() == len(model.classes) - 1
+def brute_notices(text: str, model: licences.LicenceModel, overlap: float = 0.75) -> dict[tuple[int, str], float]:
+    """Every line of every paragraph, and with the next one, through the model and the templates; no search before."""
+    out: dict[tuple[int, str], float] = {}
+    for k, block in enumerate(re.split(licences.BLANK, text)):
+        lines = block.split("\n")
+        for body in [*lines, *(f"{x} {y}" for x, y in zip(lines, lines[1:]))]:
+            p = model.probabilities(body)
+            family = model.classes[p.argmax()]
+            if family != licences.UNKNOWN and p.max() >= model.least and licences.overlap_of(body, family) >= overlap:
+                out[k, family] = max(out.get((k, family), 0.0), float(p.max()))
+    return out
+
+
+def test_notices_against_brute_force(spark):
+    """All lines of a table and of bodies, with a model that has seen a sample of them: the search by anchors and the joins change nothing."""
+    some = table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text")
+    cases = [(10**6 + k, text) for k, text in enumerate([*NAMED, *(t for own in BODY_NOTICES.values() for t in own), *(" ".join(b) for b in licences.BODIES.values()), "\n".join(NAMED), "\n\n".join(NAMED)])]
+    docs = some.unionByName(spark.createDataFrame(cases, "doc_id long, text string"))
+    model = licences.train(licences.sample_lines(docs))
+    want = {(r.doc_id, *key): p for r in docs.collect() for key, p in brute_notices(r.text, model).items()}
+    got = {(r.doc_id, r.paragraph, r.family): r.probability for r in licences.licence_paragraphs(docs, model).collect()}
+    assert got.keys() == want.keys() and len(want) > 60
+    assert all(abs(got[k] - want[k]) < 1e-6 for k in want)
+
+
+def test_the_sample_is_bounded(spark):
+    docs = table(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text")
+    lines = licences.sample_lines(docs, (20, 5, 40))
+    assert 20 < len(lines) <= 100 and max(map(len, lines)) <= 40 and lines == licences.sample_lines(docs.repartition(7), (20, 5, 40))
+    model = licences.train(licences.sample_lines(docs))
+    assert not {"any", "can", "do", "even", "from", "has", "have", "if", "its", "one", "other", "our", "out"} & set(model.anchors)
+    passing = docs.where(F.col("text").rlike(licences.anchor_pattern(model))).count()
+    assert passing <= 2 * max(1, licences.scan(docs, model).where("n_notices > 0").count())
+
+
+def test_a_confirmed_text_has_an_anchor():
+    """Names, and pieces of bodies that are long enough to be confirmed, put together from places at random."""
+    rng = random.Random(1)
+    anchored = re.compile(licences.anchor_pattern(licences.train()))
+    for family, (names, bodies) in licences.templates().items():
+        assert all(anchored.search(n) for n in names)
+        for pairs in bodies:
+            for _ in range(50):
+                text = ". ".join(rng.sample(pairs, min(licences.LEAST_PAIRS, len(pairs))))
+                assert anchored.search(text) or licences.overlap_of(text, family) < 0.75
 
 
 @pytest.mark.parametrize("source", ["small", "table"])
