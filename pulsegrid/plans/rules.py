@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import payloads, scalars, topics
-from pulsegrid.operators import charts, fleet, moving, relational, sequential, series
+from pulsegrid.operators import charts, claims, fleet, moving, relational, sequential, series
 from pulsegrid.operators import evidence as ev
 from pulsegrid.plans import tables as t
 from pulsegrid.plans.registry import query
@@ -81,7 +81,6 @@ def device_filter_rules(spark, sf):
     return t.table(spark, sf, "customer").select(F.col("c_custkey").alias("key"), topics.device_filter(pattern).alias("sound"))
 
 
-
 @query("""SELECT event_id AS seq, event_type || ',x' AS names FROM events""")
 def trimmed_names(spark, sf):
     values = F.array(F.concat(F.lit(" "), "event_type"), F.lit(" "), F.lit("x"), F.col("event_type"), F.lit(" x "))
@@ -197,3 +196,20 @@ SELECT arrival, round(sqrt((dx * dx * (yy * zz - yz * yz) + dy * dy * (xx * zz -
 def moving_mahalanobis_three(spark, sf):
     rows = t.telemetry(spark, sf, dense=True).select("charger_id", "arrival", F.col("value").alias("x"), (F.col("arrival") % 17).cast("double").alias("y"), (F.col("value") * 0.1 + F.col("arrival") % 5).alias("z"))
     return moving.mahalanobis_scores(rows, ["charger_id"], "arrival", list(_NAMES), 50).where("score is not null").select("arrival", F.round("score", 4).alias("score"))
+
+
+#: Requests of a charger one after another: what is granted so far, as (request, kind, model, service), in order.
+_CLAIMS = """WITH RECURSIVE q AS (SELECT c_custkey AS id, c_custkey * 7 % 60 AS charger, ['click', 'view', 'error', '+', 'a/b'][c_custkey % 5 + 1] AS kind, c_nationkey AS service, c_custkey % 2 AS model, row_number() OVER (PARTITION BY c_custkey * 7 % 60 ORDER BY c_custkey) AS n FROM customer),
+r AS (SELECT charger, n, id, 'create' AS verdict, id AS granted_id, [{'id': id, 'kind': kind, 'model': model, 'service': service}] AS held FROM q WHERE n = 1
+UNION ALL SELECT charger, n, id, CASE WHEN way IS NULL THEN 'create' WHEN way.kind = kind AND way.model = model THEN 'reuse' WHEN way.service = service THEN 'replace' ELSE 'conflict' END, coalesce(way.id, id), CASE WHEN way IS NULL THEN list_append(held, {'id': id, 'kind': kind, 'model': model, 'service': service}) ELSE held END
+FROM (SELECT q.*, r.held, list_filter(r.held, lambda h: h.kind = q.kind OR (h.kind <> 'a/b' AND q.kind <> 'a/b' AND (h.kind = '+' OR q.kind = '+')))[1] AS way FROM r JOIN q ON q.charger = r.charger AND q.n = r.n + 1) t)
+SELECT id AS request_id, verdict, granted_id FROM r"""
+
+
+@query(_CLAIMS)
+def claim_arbitration(spark, sf):
+    """Each customer asks for one kind of topics of a charger; equal kinds overlap, and one level's wildcard overlaps every kind of one level."""
+    rows, key = t.table(spark, sf, "customer"), F.col("c_custkey")
+    kind = F.element_at(F.array(*map(F.lit, ("click", "view", "error", "+", "a/b"))), (key % 5 + 1).cast("int"))
+    topic = F.concat(F.lit("device/evCharger/"), (key * 7 % 60).cast("string"), F.lit("/"), kind)
+    return claims.arbitrate(rows.select(key.alias("request_id"), key.alias("at"), F.col("c_nationkey").cast("string").alias("service"), F.array(topic).alias("topics"), F.create_map(F.lit("model"), (key % 2).cast("string")).alias("settings")))
