@@ -213,7 +213,8 @@ def train(sample: tuple[str, ...] = (), rounds: int = 160, rate: float = 2.0, pe
     texts, families = examples()
     classes = sorted(set(families) - {UNKNOWN}) + [UNKNOWN]
     parts = {g for own, _ in templates().values() for n in own for g in _grams(n) if " " in g and any(w not in STOP and not w.isdigit() for w in g.split())}
-    lines = [x for x in sample if not parts.intersection(_grams(x)) and max(overlap_of(x, c) for c in classes[:-1]) < 0.5]
+    bodies = {p for _, own in templates().values() for b in own for p in b}
+    lines = [x for x in sample if not parts.intersection(own := _grams(x)) and (bodies.isdisjoint(own) or max(overlap_of(x, c) for c in classes[:-1]) < 0.5)]
     strange = [set(_grams(x)) for k, x in enumerate(lines) if k % hold]
     found = [set(_grams(t)) for t in texts]
     other = set().union(*(g for g, c in zip(found, families, strict=True) if c == UNKNOWN), *strange)
@@ -274,10 +275,17 @@ def _words(text: Column) -> Column:
     return F.filter(plain, lambda w: ~w.isin(*_LOOSE))
 
 
+def _branches(words: set[str]) -> str:
+    """A pattern for whole words, branching letter by letter, so that a word is left at the first letter that none goes on with."""
+    heads = sorted({w[0] for w in words if w})
+    pattern = "|".join(c + _branches({w[1:] for w in words if w[:1] == c}) for c in heads)
+    pattern = f"(?:{pattern})" if len(heads) > 1 or "" in words and heads else pattern
+    return f"{pattern}?" if "" in words and heads else pattern
+
+
 def anchor_pattern(model: LicenceModel) -> str:
     """Anchors as words, whatever their case; licence is read as license."""
-    words = "|".join("licen[sc]e" if w == "license" else w for w in model.anchors)
-    return f"(?i)(?<![a-z0-9])(?:{words})(?![a-z0-9])"
+    return f"(?i)(?<![a-z0-9])(?:{_branches({*model.anchors, *(['licence'] if 'license' in model.anchors else [])})})(?![a-z0-9])"
 
 
 def licence_paragraphs(docs: DataFrame, model: LicenceModel | None = None, overlap: float = 0.75) -> DataFrame:
@@ -325,7 +333,8 @@ def scan(docs: DataFrame, model: LicenceModel | None = None, overlap: float = 0.
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = licence_paragraphs(docs, model, overlap)
     found = cut(found.groupBy("doc_id", "text_key").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("family")), ",").alias("f")).select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), "n", "f"))
-    n_paragraphs = F.coalesce(F.size(F.filter(F.split("text", BLANK), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))), F.lit(0))
-    rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.greatest(n_paragraphs, F.lit(0)).cast("long").alias("n_paragraphs"))
+    trimmed = F.btrim("text", F.lit(" \t\n\x0b\x0c\r"))
+    n_paragraphs = F.when(F.length(trimmed) > 0, F.regexp_count(trimmed, F.lit(BLANK)) + 1).otherwise(0)
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), n_paragraphs.cast("long").alias("n_paragraphs"))
     rows = rows.join(found, rows["doc_id"].eqNullSafe(found["d"]) & (rows["text_key"] == found["k"]), "left")
     return rows.select("doc_id", "n_paragraphs", F.coalesce("n", F.lit(0)).cast("long").alias("n_notices"), F.coalesce("f", F.lit("")).alias("families"))
