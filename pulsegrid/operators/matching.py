@@ -17,6 +17,14 @@ def micros(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 
 
+def nearest_millis(ts: Column) -> Column:
+    """The nearest whole millisecond since 1970; halves go away from 1970. It is what SQL's epoch_ms gives; unix_millis would cut the rest off."""
+    n = micros(ts)
+    up = F.abs(n) + 500
+    away = ((up - up % 1000) / 1000).cast("long")
+    return F.when(n < 0, -away).otherwise(away)
+
+
 def _marks(right: DataFrame, keys: list[str], time: str, position: str) -> DataFrame:
     """Rows of right with a time and all keys as marks: keys, _at, _position, and _row, the other columns."""
     rest = [c for c in right.columns if c not in keys]
@@ -95,10 +103,10 @@ def applicable(anomalies: DataFrame, series: DataFrame) -> DataFrame:
 
 
 def evidence_points(evidence: DataFrame, telemetry: DataFrame) -> DataFrame:
-    """Evidence rows exploded by sensor, where the sensor's event time is exactly, in milliseconds, that of a reading."""
+    """Evidence rows exploded by sensor, where the sensor's event time is, to the nearest millisecond, that of a reading."""
     rows = evidence.select(*[c for c in evidence.columns if c != "input_timestamps"], F.explode("input_timestamps").alias("type", "event_ts"))
-    times = telemetry.select(F.col("charger_id").alias("_c"), F.col("type").alias("_t"), F.unix_millis(F.col("timestamp").cast("timestamp")).alias("_ms")).distinct()
-    on = (F.col("charger_id") == F.col("_c")) & (F.col("type") == F.col("_t")) & (F.unix_millis(F.col("event_ts").cast("timestamp")) == F.col("_ms"))
+    times = telemetry.select(F.col("charger_id").alias("_c"), F.col("type").alias("_t"), nearest_millis(F.col("timestamp")).alias("_ms")).distinct()
+    on = (F.col("charger_id") == F.col("_c")) & (F.col("type") == F.col("_t")) & (nearest_millis(F.col("event_ts")) == F.col("_ms"))
     return rows.join(times, on, "left_semi")
 
 
