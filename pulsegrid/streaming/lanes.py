@@ -1,4 +1,8 @@
-"""Detection lanes over aligned vectors: a static conformal lane and an adaptive score-then-learn lane."""
+"""Detection lanes over aligned vectors: a static conformal lane and an adaptive score-then-learn lane.
+
+In batch, lanes whose state after a row follows from the first rows of a key and from a bounded number of rows before it are scans, so that many tasks read a key's rows: half-space trees,
+whose masses are those of the window before. Other models step through the rows of a key in one task, as streams do.
+"""
 
 from __future__ import annotations
 
@@ -7,8 +11,13 @@ from functools import partial
 from typing import Any
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from pulsegrid.operators import scan
+from pulsegrid.shared import cut
 from pulsegrid.streaming import models
 from pulsegrid.streaming.ordered import fold, fold_stream
 
@@ -115,6 +124,128 @@ def adaptive_step(model_type: str, warm_up: int, calibrate: int, q: float, state
     return [done("operational", anomaly_score=score, threshold=state.threshold, is_anomaly=bool(alarm), alarm_count=state.alarms, tested_count=state.seen - warm_up - calibrate)]
 
 
+class Schema(scan.Fold):
+    """_same: whether a row's features have the names of those of its key's first row; _broken: whether a row up to this one has others. A state holds the first names and the latter."""
+
+    inputs, outputs, fresh, neutral = ["_names"], "_same boolean, _broken boolean", None, None
+
+    def run(self, state, n, columns):
+        names = columns["_names"]
+        if names.null_count:
+            raise ValueError("a vector without features")
+        first, broken = state or (names[0].as_py(), False)
+        same = pc.equal(names, first).to_numpy(zero_copy_only=False)
+        lost = np.logical_or.accumulate(np.append(broken, ~same))[1:]
+        return [pa.array(same), pa.array(lost)], (first, bool(lost[-1]))
+
+    def join(self, state, summary):
+        if state is None or summary is None:
+            return summary if state is None else state
+        return state[0], state[1] or summary[1] or state[0] != summary[0]
+
+
+class Beginning(scan.Fold):
+    """A fold that knows the first `need` vectors of a key and its last `back` ones. A state is (vectors so far, the first ones, the last ones, what was made of the first ones); only rows with _same count."""
+
+    inputs = ["_x", "_same"]
+    fresh = neutral = (0, None, None, None)
+
+    def __init__(self, need: int, back: int):
+        self.need, self.back = need, back
+
+    def vectors(self, columns: scan.Arrays) -> np.ndarray:
+        own = columns["_x"].filter(columns["_same"])
+        return scan.numbers(own.flatten()).reshape(len(own), -1) if len(own) else np.zeros((0, 0))
+
+    def after(self, state: tuple, count: int, first: np.ndarray | None, last: np.ndarray | None) -> tuple:
+        """The state with `count` more vectors, which begin and end with these."""
+        if not count:
+            return state
+        seen, head, tail, made = state
+        if seen < self.need:
+            head = (first if head is None else np.concatenate((head, first)))[: self.need].copy()
+        tail = (last if tail is None else np.concatenate((tail, last)))[-self.back :].copy() if self.back else None
+        return seen + count, head, tail, made
+
+    def summarise(self, summary, n, columns):
+        x = self.vectors(columns)
+        return self.after(summary, len(x), x, x)
+
+    def join(self, state, summary):
+        return self.after(state, *summary[:3])
+
+
+class HalfSpaces(Beginning):
+    """The adaptive lane of half-space trees up to its alarms: `_count` vectors so far, the score behind the warm-up, and the threshold behind the calibration.
+
+    Trees are planted on the first window, and the masses that score a window's vectors are counts of the window before, so the first vectors of a key and its last two windows are all that is handed on.
+    """
+
+    outputs = "_count long, anomaly_score double, threshold double"
+
+    def __init__(self, warm_up: int, calibrate: int, q: float, params: dict):
+        self.params, self.window = params, models.online("half_space_trees", params).window
+        super().__init__(warm_up + calibrate, 2 * self.window)
+        self.warm_up, self.place = warm_up, int(np.ceil(q * (calibrate - 1)))
+
+    def _planted(self, head: np.ndarray) -> models.HalfSpaceTrees:
+        model = models.online("half_space_trees", self.params)
+        model.plant(head[: self.window])
+        return model
+
+    def _scores(self, model: models.HalfSpaceTrees, tail: np.ndarray | None, x: np.ndarray, before: int) -> np.ndarray:
+        """Scores of x, the vectors behind the first `before` ones, of which tail are the last."""
+        out, size = [], max(self.window, min(8192, (1 << 21) // model.mass.size * self.window))
+        for k in range(0, len(x), size):
+            own = x[k : k + size]
+            rows = own if tail is None else np.concatenate((tail, own))
+            out.append(model.window_scores(rows, before + k + len(own) - len(rows))[len(rows) - len(own) :])
+            tail = rows[-self.back :]
+        return np.concatenate(out)
+
+    def run(self, state, n, columns):
+        x = self.vectors(columns)
+        before, _, tail, made = state
+        state = self.after(state, len(x), x, x)
+        counts = before + np.arange(1, len(x) + 1)
+        score, model, limit = np.full(len(x), np.nan), *(made or (None, None))
+        if state[0] > self.warm_up:
+            model = model or self._planted(state[1])
+            score = self._scores(model, tail, x, before)
+            if limit is None and state[0] >= self.need:
+                limit = float(np.sort(self._scores(model, None, state[1], 0)[self.warm_up :])[self.place])
+        limits = np.full(len(x), np.nan if limit is None else limit)
+        return [pa.array(counts), pa.array(score, mask=counts <= self.warm_up), pa.array(limits, mask=counts <= self.need)], (*state[:3], (model, limit))
+
+
+_KEY = ["service_id"]
+
+
+def _dealt(vectors: DataFrame) -> DataFrame:
+    """Parts of vectors, in order, with their numbers by name of feature (_x) and what Schema tells."""
+    names = F.sort_array(F.map_keys("features"))
+    rows = vectors.select("service_id", "seq", F.to_json(names).alias("_names"), F.transform(names, lambda k: F.element_at("features", k).cast("double")).alias("_x"))
+    return scan.scan(scan.ordered(rows, _KEY, ["seq"]), _KEY, Schema()).drop("_names")
+
+
+def _results(rows: DataFrame, strategy: str, model_type: str) -> DataFrame:
+    """rows in the form of RESULT; columns that they lack are as of a vector that isn't tested."""
+    plain = {"strategy": F.lit(strategy), "model_type": F.lit(model_type), "is_anomaly": F.lit(False), "alarm_count": F.lit(0), "tested_count": F.lit(0)}
+    fields = [f.strip().split(" ") for f in RESULT.split(",")]
+    return rows.select(*[(F.col(c) if c in rows.columns else plain.get(c, F.lit(None))).cast(kind).alias(c) for c, kind in fields])
+
+
+def _half_space_scan(vectors: DataFrame, warm_up: int, calibrate: int, q: float, params: dict) -> DataFrame:
+    parts, need, model = _dealt(vectors), warm_up + calibrate, "half_space_trees"
+    scored = scan.scan(parts.where("not _broken"), _KEY, HalfSpaces(warm_up, calibrate, q, params)).drop("_x", "_same", "_broken")
+    alarm = F.coalesce(F.col("anomaly_score") > F.col("threshold"), F.lit(False))
+    phase = F.when(F.col("_count") <= warm_up, "warmup").when(F.col("_count") <= need, "calibrating").otherwise("operational")
+    scored = cut(scored.withColumns({"is_anomaly": alarm, "_fired": alarm.cast("long"), "phase": phase, "tested_count": F.greatest(F.col("_count") - need, F.lit(0))}))
+    found = scan.scan(scored, _KEY, scan.Running("_fired", "alarm_count"))
+    failed = parts.where("_broken").withColumn("phase", F.lit("failed"))
+    return _results(found, "adaptive_stream", model).unionByName(_results(failed, "adaptive_stream", model))
+
+
 def static_lane(vectors: DataFrame, model_type: str = "hbos", train: int = 1200, calibrate: int = 360, epsilon: float = 0.5, threshold: float = 100.0, seed: int = 0, stream: bool = False) -> DataFrame:
     """vectors: service_id, seq, features (map of numbers)."""
     step = partial(static_step, model_type, train, calibrate, epsilon, threshold, seed)
@@ -125,5 +256,7 @@ def adaptive_lane(vectors: DataFrame, model_type: str = "online_isolation_forest
     least = models.least_warm_up(model_type, params or {})
     if warm_up < least:
         raise ValueError(f"{model_type} needs a warm-up of {least} or more")
+    if not stream and model_type == "half_space_trees" and calibrate > 0 and not (params or {}).get("steps"):
+        return _half_space_scan(vectors, warm_up, calibrate, q, params or {})
     step = partial(adaptive_step, model_type, warm_up, calibrate, q)
     return (fold_stream if stream else fold)(vectors.select("service_id", "seq", "features"), ["service_id"], ["seq"], lambda _: Adaptive(models.online(model_type, params or {})), step, RESULT)

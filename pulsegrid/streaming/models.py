@@ -168,7 +168,7 @@ class HalfSpaceTrees:
         self.n, self.height, self.window, self.rng, self.seen, self.first = n_trees, height, window_size, np.random.default_rng(seed), 0, []
         self.axes = None
 
-    def _plant(self, rows: np.ndarray) -> None:
+    def plant(self, rows: np.ndarray) -> None:
         d, size = rows.shape[1], 2 ** (self.height + 1)
         low, span = rows.min(0), np.where(rows.max(0) > rows.min(0), rows.max(0) - rows.min(0), 1.0)
         self.axes, self.cuts = self.rng.integers(0, d, (self.n, size)), np.zeros((self.n, size))
@@ -206,7 +206,7 @@ class HalfSpaceTrees:
             if len(self.first) < self.window:
                 return
             rows, self.first = np.array(self.first), []
-            self._plant(rows)
+            self.plant(rows)
             for row in rows:
                 self._count(row)
             self.mass, self.next = self.next, np.zeros_like(self.next)
@@ -220,6 +220,25 @@ class HalfSpaceTrees:
         for nodes in self._walk(x):
             self.next[np.arange(self.n), nodes] += 1
 
+    def window_scores(self, rows: np.ndarray, before: int) -> np.ndarray:
+        """What score_one gives for each of rows, which follow `before` others, all at once; NaN for the first window, and where rows lack the window before."""
+        trees, size, places = np.arange(self.n), self.mass.shape[1], (before + np.arange(len(rows))) // self.window
+        node, at = np.ones((len(rows), self.n), int), np.empty((self.height + 1, len(rows), self.n), int)
+        first = (places - places[0])[:, None] * self.mass.size + trees * size
+        at[0] = first + node
+        for level in range(self.height):
+            node = 2 * node + (np.take_along_axis(rows, self.axes[trees, node], 1) >= self.cuts[trees, node])
+            at[level + 1] = first + node
+        counts = np.bincount(at.ravel(), minlength=(places[-1] - places[0] + 1) * self.mass.size)
+        known = places > places[0]
+        masses = counts[at[:, known] - self.mass.size]
+        few = masses < 0.1 * self.window
+        stop = np.where(few.any(0), few.argmax(0), self.height)
+        total = (np.take_along_axis(masses, stop[None], 0)[0] * 2.0**stop).sum(1)
+        out = np.full(len(rows), np.nan)
+        out[known] = 1.0 - total / (self.n * self.window * 2.0**self.height)
+        return out
+
 
 class OnlineKnn:
     def __init__(self, k: int = 5, window_size: int = 1000):
