@@ -1,7 +1,7 @@
 """Detection lanes over aligned vectors: a static conformal lane and an adaptive score-then-learn lane.
 
-In batch, lanes whose state after a row follows from the first rows of a key and from a bounded number of rows before it are scans, so that many tasks read a key's rows: half-space trees,
-whose masses are those of the window before. Other models step through the rows of a key in one task, as streams do.
+In batch, lanes whose state after a row follows from the first rows of a key and from a bounded number of rows before it are scans, so that many tasks read a key's rows: the static lane, whose model is
+fitted once, and half-space trees, whose masses are those of the window before. Other models step through the rows of a key in one task, as streams do.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.operators import scan
+from pulsegrid.operators import scan, sequential
 from pulsegrid.shared import cut
 from pulsegrid.streaming import models
 from pulsegrid.streaming.ordered import fold, fold_stream
@@ -175,6 +175,46 @@ class Beginning(scan.Fold):
         return self.after(state, *summary[:3])
 
 
+class Fixed(Beginning):
+    """The static lane up to its p-values: `_count` vectors so far, the model's score, the p-value and the bet's growth behind the calibration, and whether the model couldn't be fitted (_lost)."""
+
+    outputs = "_count long, anomaly_score double, p_value double, _log_e double, _lost boolean"
+
+    def __init__(self, model_type: str, train: int, calibrate: int, epsilon: float, seed: int):
+        super().__init__(train + calibrate, 0)
+        self.model_type, self.train, self.epsilon, self.seed = model_type, train, epsilon, seed
+
+    def _scores(self, model: Any, x: np.ndarray) -> np.ndarray:
+        size = max(1, (1 << 20) // (self.train * x.shape[1]))
+        return np.concatenate([model.score(x[k : k + size]) for k in range(0, len(x), size)])
+
+    def _fitted(self, head: np.ndarray) -> tuple:
+        """The model and its sorted calibration scores; none if it can't be fitted."""
+        try:
+            model = models.fitted(self.model_type, head[: self.train], self.seed)
+            return model, np.sort(model.score(head[self.train :]))
+        except (ValueError, np.linalg.LinAlgError):
+            return None, None
+
+    def run(self, state, n, columns):
+        same, x = columns["_same"].to_numpy(zero_copy_only=False), self.vectors(columns)
+        before = state[0]
+        state = self.after(state, len(x), x, x)
+        counts = before + np.cumsum(same)
+        score, p = np.full(len(n), np.nan), np.full(len(n), np.nan)
+        made, ready = state[3], same & (counts > self.need)
+        if made is None and state[0] >= self.need:
+            made = self._fitted(state[1])
+        if made and made[0] is not None and ready.any():
+            model, ranked = made
+            score[ready] = self._scores(model, x[max(0, self.need - before) :])
+            p[ready] = (len(ranked) - np.searchsorted(ranked, score[ready], "left") + 1) / (len(ranked) + 1)
+        lost = (counts >= self.need) & (made is not None and made[0] is None)
+        none = ~ready | lost
+        log_e = np.log(self.epsilon) + (self.epsilon - 1) * np.log(p)
+        return [pa.array(counts), *(pa.array(c, mask=none) for c in (score, p, log_e)), pa.array(lost)], (*state[:3], made)
+
+
 class HalfSpaces(Beginning):
     """The adaptive lane of half-space trees up to its alarms: `_count` vectors so far, the score behind the warm-up, and the threshold behind the calibration.
 
@@ -235,6 +275,17 @@ def _results(rows: DataFrame, strategy: str, model_type: str) -> DataFrame:
     return rows.select(*[(F.col(c) if c in rows.columns else plain.get(c, F.lit(None))).cast(kind).alias(c) for c, kind in fields])
 
 
+def _static_scan(vectors: DataFrame, model_type: str, train: int, calibrate: int, epsilon: float, threshold: float, seed: int) -> DataFrame:
+    scored = scan.scan(_dealt(vectors), _KEY, Fixed(model_type, train, calibrate, epsilon, seed)).drop("_x", "_broken")
+    count = F.col("_count")
+    phase = F.when(F.col("_lost"), "failed").when(~F.col("_same"), "schema_mismatch").when(count < train, "collecting").when(count < train + calibrate, "calibrating").when(count == train + calibrate, "training_started").otherwise("ready")
+    scored = cut(scored.withColumn("phase", phase))
+    tested = scan.scan(scored.where("phase = 'ready'"), _KEY, sequential.Statistics()).withColumn("statistic_value", F.exp("log_restarted_martingale"))
+    tested = scan.scan(tested.withColumn("crossed", F.col("statistic_value") >= threshold), _KEY, scan.Edges())
+    tested = tested.withColumn("threshold", F.lit(float(threshold))).withColumn("tested_count", F.col("n")).withColumn("is_anomaly", F.col("fired"))
+    return _results(tested, "static_baseline", model_type).unionByName(_results(scored.where("phase <> 'ready'"), "static_baseline", model_type))
+
+
 def _half_space_scan(vectors: DataFrame, warm_up: int, calibrate: int, q: float, params: dict) -> DataFrame:
     parts, need, model = _dealt(vectors), warm_up + calibrate, "half_space_trees"
     scored = scan.scan(parts.where("not _broken"), _KEY, HalfSpaces(warm_up, calibrate, q, params)).drop("_x", "_same", "_broken")
@@ -248,6 +299,8 @@ def _half_space_scan(vectors: DataFrame, warm_up: int, calibrate: int, q: float,
 
 def static_lane(vectors: DataFrame, model_type: str = "hbos", train: int = 1200, calibrate: int = 360, epsilon: float = 0.5, threshold: float = 100.0, seed: int = 0, stream: bool = False) -> DataFrame:
     """vectors: service_id, seq, features (map of numbers)."""
+    if not stream and train > 0 and calibrate > 0:
+        return _static_scan(vectors, model_type, train, calibrate, epsilon, threshold, seed)
     step = partial(static_step, model_type, train, calibrate, epsilon, threshold, seed)
     return (fold_stream if stream else fold)(vectors.select("service_id", "seq", "features"), ["service_id"], ["seq"], lambda _: Static(), step, RESULT)
 

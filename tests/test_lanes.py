@@ -64,9 +64,19 @@ def test_half_space_lane_is_its_step(spark, many_parts, broken):
     assert not broken or any(r["phase"] == "failed" for r in want.values())
 
 
-def test_one_key_is_read_by_many_tasks(spark, many_parts, monkeypatch):
+@pytest.mark.parametrize("kind,broken", [("hbos", {}), ("hbos", {"odd": (0,), "hot": (5, 690)}), ("pca", {"short": (1,)}), ("no such model", {"hot": (3, 650)})])
+def test_static_lane_is_its_step(spark, many_parts, kind, broken):
+    rows = [(k, s, {n: 0.5 if x is None else x for n, x in f.items()}) for k, s, f in rows_of(broken)]
+    want = stepped(rows, lanes.Static, partial(lanes.static_step, kind, 60, 25, 0.5, 1.1, 0))
+    frame = spark.createDataFrame(rows, "service_id string, seq long, features map<string,double>")
+    same(lanes.static_lane(frame, kind, 60, 25, 0.5, 1.1), want)
+    assert {r["phase"] for r in want.values()} >= ({"failed"} if kind == "no such model" else {"ready"})
+
+
+@pytest.mark.parametrize("lane", ["static", "adaptive"])
+def test_one_key_is_read_by_many_tasks(spark, many_parts, monkeypatch, lane):
     dealt, ordered = [], scan.ordered
     monkeypatch.setattr(scan, "ordered", lambda *a: dealt.append(ordered(*a)) or dealt[-1])
     frame = spark.range(1000).select(F.lit("s").alias("service_id"), F.col("id").alias("seq"), F.create_map(F.lit("x"), (F.col("id") * 37 % 101).cast("double")).alias("features"))
-    made = lanes.adaptive_lane(frame, "half_space_trees", 60, 25, params={"window_size": 50})
+    made = lanes.static_lane(frame, "hbos", 60, 25) if lane == "static" else lanes.adaptive_lane(frame, "half_space_trees", 60, 25, params={"window_size": 50})
     assert made.count() == 1000 and dealt[0].groupBy(scan.PART).count().count() >= 5
