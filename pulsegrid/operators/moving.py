@@ -1,8 +1,9 @@
-"""Moving-statistic detectors and feature scalers as windows. A score never sees its own point: frames end at the row before."""
+"""Moving-statistic detectors as scans, and feature scalers as windows. A score never sees its own point: frames end at the row before."""
 
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections.abc import Callable
 from math import ceil, floor, fsum, isfinite, nan
 
 import numpy as np
@@ -111,41 +112,125 @@ class Deviation:
         return (2.0 * (mean * self.split - self.low) + self.total - mean * size) / size
 
 
-def statistic(kind: str, x: Column, frame: Window) -> Column:
-    """The statistic of a window frame."""
-    if kind == "average":
-        return F.avg(x).over(frame)
-    if kind == "geometric_average":
-        return F.exp(F.avg(F.ln(F.when(x > 0, x))).over(frame))
-    if kind == "harmonic_average":
-        return 1.0 / F.avg(1.0 / F.when(x != 0, x)).over(frame)
-    if kind == "variance":
-        return F.var_pop(x).over(frame)
-    if kind == "skewness":
-        return F.skewness(x).over(frame)
-    if kind == "kurtosis":
-        return F.kurtosis(x).over(frame)
-    raise ValueError(f"no moving statistic {kind}")
+#: Numbers in the frames that are looked at together.
+CELLS = 1 << 18
+
+
+class Frames(scan.Fold):
+    """What `of` makes of some columns in the last `size` rows before each row and in the row itself; the last `size` rows are handed on. Null where fewer rows precede, or where one of them has no first column.
+
+    of(w, there) has the values as (column, row, place in the frame), the row's own last, and whether they are known; it returns for each output its numbers and whether they are known.
+    """
+
+    def __init__(self, columns: list[str], size: int, outputs: list[str], of: Callable[[np.ndarray, np.ndarray], list[tuple[np.ndarray, np.ndarray]]]):
+        self.inputs, self.size, self.names, self.of = list(dict.fromkeys(columns)), size, outputs, of
+        self.columns, self.outputs = columns, ", ".join(f"`{c}` double" for c in outputs)
+        self.fresh = self.neutral = (np.zeros((len(columns), 0)), np.zeros((len(columns), 0), bool))
+
+    def _joined(self, state, columns):
+        own = [columns[c] for c in self.columns]
+        return np.hstack((state[0], [scan.numbers(c) for c in own])), np.hstack((state[1], [c.is_valid().to_numpy(zero_copy_only=False) for c in own]))
+
+    def _last(self, values, there):
+        first = max(0, values.shape[1] - self.size)
+        return values[:, first:].copy(), there[:, first:].copy()
+
+    def run(self, state, n, columns):
+        values, there = self._joined(state, columns)
+        begun, end, step = state[0].shape[1], values.shape[1], max(1, CELLS // (self.size * len(values)))
+        out, known = np.full((len(self.names), len(n)), np.nan), np.zeros((len(self.names), len(n)), bool)
+        first = max(begun, self.size)
+        if first < end:
+            w, ok = (np.lib.stride_tricks.sliding_window_view(x, self.size + 1, axis=1) for x in (values, there))
+            lacking = np.concatenate(([0], np.cumsum(~there[0])))
+            for k in range(first, end, step):
+                rows = np.arange(k, min(k + step, end))
+                full = lacking[rows] == lacking[rows - self.size]
+                with np.errstate(all="ignore"):
+                    made = self.of(w[:, rows[0] - self.size : rows[-1] + 1 - self.size], ok[:, rows[0] - self.size : rows[-1] + 1 - self.size])
+                for j, (x, valid) in enumerate(made):
+                    out[j, rows - begun], known[j, rows - begun] = x, valid & full
+        return [pa.array(x, mask=~valid) for x, valid in zip(out, known, strict=True)], self._last(values, there)
+
+    def summarise(self, summary, n, columns):
+        return self._last(*self._joined(summary, columns))
+
+    def join(self, state, summary):
+        return self._last(*(np.hstack(x) for x in zip(state, summary, strict=True)))
+
+
+def _statistic(kind: str) -> Callable[[np.ndarray, np.ndarray], list[tuple[np.ndarray, np.ndarray]]]:
+    """The statistic of full frames; that of no usable value is null, as are ratios of moments without spread."""
+
+    def of(w, there):
+        x = w[0, :, :-1]
+        always = np.ones(len(x), bool)
+        if kind == "average":
+            return [(x.mean(1), always)]
+        if kind in ("geometric_average", "harmonic_average"):
+            used = (x > 0) | np.isnan(x) if kind == "geometric_average" else x != 0
+            count = used.sum(1)
+            y = np.where(used, x, 1.0)
+            mean = np.where(used, np.log(y) if kind == "geometric_average" else 1.0 / y, 0.0).sum(1) / count
+            return [(np.exp(mean) if kind == "geometric_average" else 1.0 / mean, count > 0)]
+        c = x - x[:, :1]  # equal values leave zeros
+        c -= c.mean(1, keepdims=True)
+        square = c * c
+        m2 = square.mean(1)
+        if kind == "variance":
+            return [(m2, always)]
+        top = (square * c).mean(1) / m2**1.5 if kind == "skewness" else (square * square).mean(1) / (m2 * m2) - 3.0
+        return [(top, m2 != 0)]
+
+    if kind not in ("average", "geometric_average", "harmonic_average", "variance", "skewness", "kurtosis"):
+        raise ValueError(f"no moving statistic {kind}")
+    return of
+
+
+def _moments(a: np.ndarray, b: np.ndarray, both: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the pairs in each row of a and b that are known: how many, and the sums of their products about the means: a with b, a with a, b with b."""
+    n, first = both.sum(1), both.argmax(1)[:, None]
+    whole, out = bool(both.all()), []
+    for x in (a, b):
+        c = x - np.take_along_axis(x, first, 1)  # equal values leave zeros
+        c = c if whole else np.where(both, c, 0.0)
+        c = c - c.sum(1, keepdims=True) / n[:, None]
+        out.append(c if whole else np.where(both, c, 0.0))
+    x, y = out
+    return n, (x * y).sum(1), (x * x).sum(1), (y * y).sum(1)
+
+
+def _pair_change(kind: str, bias: bool) -> Callable[[np.ndarray, np.ndarray], list[tuple[np.ndarray, np.ndarray]]]:
+    """The correlation or covariance of full frames without and with the row itself."""
+
+    def of(w, there):
+        made = []
+        for stop in (-1, None):
+            n, xy, xx, yy = _moments(w[0, :, :stop], w[1, :, :stop], there[0, :, :stop] & there[1, :, :stop])
+            if kind == "correlation_coefficient":
+                spread = xx * yy
+                made.append((xy / np.sqrt(spread), (n > 1) & (spread != 0)))
+            else:
+                less = 0 if bias else 1
+                made.append((xy / (n - less), n > less))
+        return made
+
+    if kind not in TWO_FEATURES:
+        raise ValueError(f"no moving statistic {kind} of two features")
+    return of
 
 
 def moving_scores(rows: DataFrame, keys: list[str], order: str, value: str, kind: str, window: int = 100, q: float = 0.5) -> DataFrame:
     """rows with `statistic` of the last `window` values before each row and `score`, the distance of the row's value from it; both null until the window is full.
 
-    Order statistics slide over a sorted window in a scan, which hands the last `window` values on from part to part of a key."""
-    if kind in ORDER_STATISTICS:
-        made = scan.scanned(rows, keys, [order], Sliding(value, window, kind, q))
-    else:
-        past = Window.partitionBy(*keys).orderBy(order).rowsBetween(-window, -1)
-        made = rows.withColumn("statistic", F.when(F.count(value).over(past) == window, statistic(kind, F.col(value), past)))
-    return made.withColumn("score", F.abs(F.col(value) - F.col("statistic")))
+    A scan hands the last `window` values on from part to part of a key; order statistics slide over a sorted window, the others are taken of each frame."""
+    fold = Sliding(value, window, kind, q) if kind in ORDER_STATISTICS else Frames([value], window, ["statistic"], _statistic(kind))
+    return scan.scanned(rows, keys, [order], fold).withColumn("score", F.abs(F.col(value) - F.col("statistic")))
 
 
 def moving_pair_scores(rows: DataFrame, keys: list[str], order: str, x: str, y: str, kind: str, window: int = 100, bias: bool = True) -> DataFrame:
     """The same for two features: the change that the row makes to the correlation or covariance of the window."""
-    frame = lambda last: Window.partitionBy(*keys).orderBy(order).rowsBetween(-window, last)
-    of = {"correlation_coefficient": F.corr, "covariance": F.covar_pop if bias else F.covar_samp}[kind]
-    full = F.count(x).over(frame(-1)) == window
-    made = rows.withColumn("statistic", F.when(full, of(x, y).over(frame(-1)))).withColumn("_with", F.when(full, of(x, y).over(frame(0))))
+    made = scan.scanned(rows, keys, [order], Frames([x, y], window, ["statistic", "_with"], _pair_change(kind, bias)))
     return made.withColumn("score", F.abs(F.col("_with") - F.col("statistic"))).drop("_with")
 
 
