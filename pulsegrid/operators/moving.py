@@ -220,6 +220,44 @@ def _pair_change(kind: str, bias: bool) -> Callable[[np.ndarray, np.ndarray], li
     return of
 
 
+def _distance(size: int) -> Callable[[np.ndarray, np.ndarray], list[tuple[np.ndarray, np.ndarray]]]:
+    """The distance of a row from the mean of its full frame, in units of the covariance, which is factored (Cholesky) column by column."""
+
+    def of(w, there):
+        past, known = w[:, :, :-1], there[:, :, :-1]
+        gaps, valid, entries = [], there[:, :, -1].all(0), {}
+        if known.all():
+            c = past - past[:, :, :1]  # equal values leave zeros
+            c -= c.mean(2, keepdims=True)
+            entries = {(i, j): (c[i] * c[j]).mean(1) for i in range(size) for j in range(i + 1)}
+            gaps = list(w[:, :, -1] - past.mean(2))
+        else:
+            for i in range(size):
+                n = known[i].sum(1)
+                gaps.append(w[i, :, -1] - np.where(known[i], past[i], 0.0).sum(1) / n)
+                for j in range(i + 1):
+                    both, xy, _, _ = _moments(past[i], past[j], known[i] & known[j])
+                    entries[i, j], valid = xy / both, valid & (both > 0)
+        lower, solved, square = {}, [], np.zeros(len(valid))
+
+        def less(value: np.ndarray, pairs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+            for a, b in pairs:
+                value = value - a * b
+            return value
+
+        for j in range(size):
+            pivot = less(entries[j, j], [(lower[j, k],) * 2 for k in range(j)])
+            valid = valid & ~(pivot <= 1e-12 * entries[j, j])
+            lower[j, j] = np.sqrt(pivot)
+            for i in range(j + 1, size):
+                lower[i, j] = less(entries[i, j], [(lower[i, k], lower[j, k]) for k in range(j)]) / lower[j, j]
+            solved.append(less(gaps[j], [(lower[j, k], solved[k]) for k in range(j)]) / lower[j, j])
+            square = square + solved[j] * solved[j]
+        return [(np.sqrt(square), valid)]
+
+    return of
+
+
 def moving_scores(rows: DataFrame, keys: list[str], order: str, value: str, kind: str, window: int = 100, q: float = 0.5) -> DataFrame:
     """rows with `statistic` of the last `window` values before each row and `score`, the distance of the row's value from it; both null until the window is full.
 
@@ -235,30 +273,8 @@ def moving_pair_scores(rows: DataFrame, keys: list[str], order: str, x: str, y:
 
 
 def mahalanobis_scores(rows: DataFrame, keys: list[str], order: str, features: list[str], window: int = 100) -> DataFrame:
-    """Distance of a row's features from the mean of the window before it, in units of its covariance; null where that is singular.
-
-    The covariance is factored (Cholesky) column by column as expressions over its entries, so any number of features stays in windows and arithmetic.
-    """
-    past = Window.partitionBy(*keys).orderBy(order).rowsBetween(-window, -1)
-    size, own = len(features), rows.columns
-    entries = {f"_c{i}_{j}": F.covar_pop(features[i], features[j]).over(past) for i in range(size) for j in range(i + 1)}
-    made = rows.withColumns(entries | {f"_z{i}": F.col(x) - F.avg(x).over(past) for i, x in enumerate(features)} | {"_full": F.count(features[0]).over(past) == window})
-
-    def less(column: str, pairs: list[tuple[str, str]]) -> Column:
-        value = F.col(column)
-        for a, b in pairs:
-            value = value - F.col(a) * F.col(b)
-        return value
-
-    for j in range(size):
-        pivot = less(f"_c{j}_{j}", [(f"_l{j}_{k}",) * 2 for k in range(j)])
-        made = made.withColumn(f"_l{j}_{j}", F.sqrt(F.when(pivot > 1e-12 * F.col(f"_c{j}_{j}"), pivot)))
-        below = {f"_l{i}_{j}": less(f"_c{i}_{j}", [(f"_l{i}_{k}", f"_l{j}_{k}") for k in range(j)]) / F.col(f"_l{j}_{j}") for i in range(j + 1, size)}
-        made = made.withColumns(below | {f"_y{j}": less(f"_z{j}", [(f"_l{j}_{k}", f"_y{k}") for k in range(j)]) / F.col(f"_l{j}_{j}")})
-    square = F.lit(0.0)
-    for j in range(size):
-        square = square + F.col(f"_y{j}") * F.col(f"_y{j}")
-    return made.select(*own, F.when(F.col("_full"), F.sqrt(square)).alias("score"))
+    """rows with `score`, the distance of a row's features from the mean of the window before it, in units of its covariance; null where that is singular."""
+    return scan.scanned(rows, keys, [order], Frames(features, window, ["score"], _distance(len(features))))
 
 
 def standard_scaled(rows: DataFrame, keys: list[str], order: str, value: str, with_std: bool = True) -> DataFrame:

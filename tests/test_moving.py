@@ -71,9 +71,28 @@ def test_pairs_of_features(spark, many_parts, kind, bias):
     alike(moving.moving_pair_scores(rows, ["k"], "n", "x", "y", kind, 8, bias), want, ["statistic", "score"])
 
 
+def test_distances_of_three_features(spark, many_parts):
+    rows = frame(spark).where("not (n between 195 and 250)")
+    got = moving.mahalanobis_scores(rows, ["k"], "n", ["x", "y", "z"], 8).toPandas().sort_values(["k", "n"])
+    for _, own in got.groupby("k"):
+        values = own[["x", "y", "z"]].to_numpy(float)
+        for i, score in enumerate(own.score):
+            past = values[max(0, i - 8) : i]
+            if len(past) < 8 or np.isnan(past).any() or np.isnan(values[i]).any():
+                continue
+            cov = np.cov(past.T, bias=True)
+            if np.linalg.matrix_rank(cov) < 3:
+                assert pd.isna(score)
+            else:
+                gap = values[i] - past.mean(0)
+                assert np.isclose(score, np.sqrt(gap @ np.linalg.inv(cov) @ gap), rtol=1e-5)
+    assert got.score.notna().sum() > 300 and got[(got.n > 328) & (got.n < 360)].score.isna().all()
+
+
 def test_one_key_is_read_by_many_tasks(spark, many_parts, monkeypatch):
     dealt, ordered = [], scan.ordered
     monkeypatch.setattr(scan, "ordered", lambda *a: dealt.append(ordered(*a)) or dealt[-1])
     rows = spark.range(900).select(F.lit("s").alias("k"), F.col("id").alias("n"), *[(F.col("id") * m % 101).cast("double").alias(c) for c, m in (("x", 37), ("y", 11), ("z", 29))])
     moving.moving_scores(rows, ["k"], "n", "x", "kurtosis", 8).count()
-    assert [d.groupBy(scan.PART).count().count() >= 6 for d in dealt] == [True]
+    moving.mahalanobis_scores(rows, ["k"], "n", ["x", "y", "z"], 8).count()
+    assert [d.groupBy(scan.PART).count().count() >= 6 for d in dealt] == [True, True]
