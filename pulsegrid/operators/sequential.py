@@ -200,11 +200,15 @@ def horizon_windows(rows: DataFrame, keys: list[str], order: str, horizon: int)
     return marked.withColumn("window_reset", (F.col("window_position") == 1) & (F.col("window") > 0))
 
 
+def _limit(tracker: Tracker) -> Column:
+    return tracker.threshold.cast("double") if isinstance(tracker.threshold, Column) else F.lit(float(tracker.threshold))
+
+
 def _bets(rows: DataFrame, keys: list[str], order: str, p: str, trackers: list[Tracker]) -> DataFrame:
     """(keys, order, tracker_id, statistic, threshold, log_e): the growth of each tracker's capital at each row. Power bets are exploded; mixtures and jumpers take a scan each."""
     powers, parts = [t for t in trackers if t.bet == "power"], []
     if powers:
-        made = F.array(*[F.struct(F.lit(t.id).alias("tracker_id"), F.lit(t.statistic).alias("statistic"), F.lit(float(t.threshold)).alias("threshold"), F.lit(float(t.epsilon)).alias("_epsilon")) for t in powers])
+        made = F.array(*[F.struct(F.lit(t.id).alias("tracker_id"), F.lit(t.statistic).alias("statistic"), _limit(t).alias("threshold"), F.lit(float(t.epsilon)).alias("_epsilon")) for t in powers])
         each = rows.select(*keys, order, p, F.explode(made).alias("_t")).select(*keys, order, p, "_t.*")
         bet = F.when(F.col(p) == 0.0, F.when(F.col("_epsilon") < 1.0, INFINITY).otherwise(0.0)).otherwise(F.ln("_epsilon") + (F.col("_epsilon") - 1.0) * F.ln(p))
         parts.append(each.withColumn("log_e", bet).drop(p, "_epsilon"))
@@ -213,14 +217,14 @@ def _bets(rows: DataFrame, keys: list[str], order: str, p: str, trackers: list[T
         for t in trackers:
             if t.bet != "power":
                 own = scan.scan(dealt, keys, Mixture(p, list(t.grid)) if t.bet == "mixture" else Jumper(p, t.jump))
-                parts.append(own.select(*keys, order, F.lit(t.id).alias("tracker_id"), F.lit(t.statistic).alias("statistic"), F.lit(float(t.threshold)).alias("threshold"), "log_e"))
+                parts.append(own.select(*keys, order, F.lit(t.id).alias("tracker_id"), F.lit(t.statistic).alias("statistic"), _limit(t).alias("threshold"), "log_e"))
     return reduce(DataFrame.unionByName, parts)
 
 
 def ensemble(rows: DataFrame, keys: list[str], order: str, p: str, trackers: list[Tracker | tuple[str, float, str, float]]) -> DataFrame:
     """(keys, order, alarm, alarm_count, tested_count) of up to 16 trackers with thresholds on one stream of p-values; a tuple (id, epsilon, statistic, threshold) is a power tracker.
 
-    A tracker fires where the statistic of its growth reaches its threshold after a row below it; any firing is the ensemble's alarm.
+    A threshold may also be a column made of the keys. A tracker fires where the statistic of its growth reaches its threshold after a row below it; any firing is the ensemble's alarm.
     """
     trackers = [t if isinstance(t, Tracker) else Tracker(t[0], t[2], epsilon=t[1], threshold=t[3]) for t in trackers]
     if not 1 <= len(trackers) <= 16 or any(t.threshold is None for t in trackers):

@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import replace
-from functools import reduce
 
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.payloads import parse_for_detection
@@ -13,6 +11,7 @@ from pulsegrid.operators import sequential, thresholds
 from pulsegrid.plans import tables as t
 from pulsegrid.plans.registry import query
 from pulsegrid.plans.tables import sql
+from pulsegrid.shared import cut
 from pulsegrid.sources import synthetic
 from pulsegrid.streaming import alignment, controls, lanes
 
@@ -98,13 +97,17 @@ def calibrated_threshold(spark, sf):
     """Thresholds of three trackers for each charger, from as many calibration scores as it has, and the alarms that its p-values raise with them."""
     trackers = [thresholds.Tracker("power"), thresholds.Tracker("mixture", "shiryaev_roberts", "mixture", grid=(0.1, 0.4, 0.7, 1.0)), thresholds.Tracker("jumper", "restarted_martingale", "jumper", jump=0.05)]
     rows = t.telemetry(spark, sf, dense=True).select("charger_id", "arrival", "value")
-    tested, parts = sequential.p_values(rows.where("arrival % 5 <> 0"), rows.where("arrival % 5 = 0"), ["charger_id"], "value"), []
-    for size, chargers in sorted(rows.where("arrival % 5 = 0").groupBy("charger_id").count().groupBy("count").agg(F.collect_set("charger_id")).collect()):
-        found = thresholds.resolved(spark, trackers, calibration=size, horizon=50, paths=400, alpha=0.1, seed=7)
-        held = sequential.ensemble(tested.where(F.col("charger_id").isin(chargers)), ["charger_id"], "arrival", "p_value", [replace(x, threshold=found[x.id]) for x in trackers])
-        known = F.create_map(*[y for x in trackers for y in (F.lit(x.id), F.lit(found[x.id]))])
-        parts.append(held.groupBy("charger_id").agg(F.count_if("alarm").alias("alarms"), F.max("tested_count").alias("tested")).withColumn("calibration", F.lit(size)).withColumn("thresholds", known))
-    return reduce(DataFrame.unionByName, parts).select("charger_id", "calibration", "tested", "alarms", F.explode("thresholds").alias("tracker_id", "threshold"))
+    scores = rows.where("arrival % 5 = 0")
+    sizes = cut(scores.where("charger_id is not null").groupBy(F.col("charger_id").alias("_charger")).agg(F.count("*").alias("calibration")))
+    found = {n: thresholds.resolved(spark, trackers, calibration=n, horizon=50, paths=400, alpha=0.1, seed=7) for (n,) in sorted(sizes.select("calibration").distinct().collect())}
+    held = lambda x: F.create_map(*[y for n, limits in found.items() for y in (F.lit(n).cast("long"), F.lit(limits[x.id]))])[F.col("calibration")]
+    # one ensemble over all chargers: the number of its calibration scores is part of a charger's key
+    tested = sequential.p_values(rows.where("arrival % 5 <> 0"), scores, ["charger_id"], "value").join(sizes, F.col("charger_id") == F.col("_charger"))
+    keys, dealt = ["charger_id", "calibration"], cut(tested.select("charger_id", F.col("calibration").cast("long"), "arrival", "p_value"))
+    fired = sequential.ensemble(dealt, keys, "arrival", "p_value", [replace(x, threshold=held(x)) for x in trackers])
+    made = fired.groupBy(*keys).agg(F.count_if("alarm").alias("alarms"), F.max("tested_count").alias("tested"))
+    known = F.create_map(*[y for x in trackers for y in (F.lit(x.id), held(x))])
+    return made.select("charger_id", "calibration", "tested", "alarms", F.explode(known).alias("tracker_id", "threshold")).withColumn("calibration", F.col("calibration").cast("int"))
 
 
 @query()

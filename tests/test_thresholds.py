@@ -8,6 +8,7 @@ from dataclasses import replace
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pulsegrid.operators import sequential
 from pulsegrid.operators import thresholds as th
@@ -96,3 +97,15 @@ def test_trackers_of_all_bets_on_a_stream(spark):
         fired = crossed & ~np.concatenate((np.zeros((len(trackers), 1), bool), crossed[:, :-1]), axis=1)
         for n in range(150):
             assert got[key, n].alarm == fired[:, n].any() and got[key, n].alarm_count == fired[:, : n + 1].sum() and got[key, n].tested_count == n + 1
+
+
+def test_thresholds_by_key_are_those_of_an_ensemble_for_each(spark):
+    """One ensemble over keys with thresholds of their own, as columns of the keys, is the ensembles of the keys one after another."""
+    rng = np.random.default_rng(6)
+    rows = spark.createDataFrame([(c, n, float(p)) for c in "ab" for n, p in enumerate(rng.random(120) ** 1.5 + 1e-9)], "c string, n long, p double")
+    limits = {"a": {"power": 3.0, "mix": 2.0, "jump": 1.1}, "b": {"power": 6.0, "mix": 1.5, "jump": 1.4}}
+    tracker = lambda limit: [th.Tracker("power", threshold=limit("power")), th.Tracker("mix", "shiryaev_roberts", "mixture", grid=(0.2, 0.8), threshold=limit("mix")), th.Tracker("jump", "martingale", "jumper", jump=0.05, threshold=limit("jump"))]
+    column = lambda x: F.when(F.col("c") == "a", limits["a"][x]).otherwise(limits["b"][x])
+    got = sequential.ensemble(rows, ["c"], "n", "p", tracker(column)).orderBy("c", "n").collect()
+    want = [r for c in "ab" for r in sequential.ensemble(rows.where(F.col("c") == c), ["c"], "n", "p", tracker(limits[c].get)).orderBy("n").collect()]
+    assert got == want and sum(r.alarm for r in got) > 2
