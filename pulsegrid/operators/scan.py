@@ -68,10 +68,10 @@ def _hashed(rows: DataFrame) -> list[str]:
     return [f.name for f in rows.schema.fields if "map<" not in f.dataType.simpleString()]
 
 
-def ordered(rows: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
-    """rows with _part, dealt by range of keys and order, sorted within parts, and written to the shared folder. Rows with the same place are ordered by a hash of their columns."""
+def ordered(rows: DataFrame, keys: list[str], order: list[Column | str], parts: int | None = None) -> DataFrame:
+    """rows with _part, dealt by range of keys and order into so many parts, sorted within parts, and written to the shared folder. Rows with the same place are ordered by a hash of their columns."""
     by = [*map(F.col, keys), *[F.col(o) if isinstance(o, str) else o for o in order], F.xxhash64(*_hashed(rows))]
-    return cut(rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn(PART, F.spark_partition_id()))
+    return cut(rows.repartitionByRange(*([parts] if parts else []), *by).sortWithinPartitions(*by).withColumn(PART, F.spark_partition_id()))
 
 
 def _changes(batch: pa.RecordBatch, names: list[str]) -> list[int]:
@@ -194,6 +194,40 @@ class Running(Fold):
         return state + summary
 
 
+class Zone(Fold):
+    """zone: how many zones began up to a row, where one begins behind a gap of more than `most` in a column of whole numbers. A state is (the last number, count); a summary (first, last, count behind the first row)."""
+
+    outputs, fresh, neutral = "zone long", (None, 0), (None, None, 0)
+
+    def __init__(self, column: str, most: int):
+        self.inputs, self.most = [column], most
+
+    def _numbers(self, columns: Arrays) -> np.ndarray:
+        return columns[self.inputs[0]].to_numpy(zero_copy_only=False)
+
+    def _begun(self, last: int | None, at: np.ndarray) -> np.ndarray:
+        return np.concatenate(([last is None or at[0] - last > self.most], np.diff(at) > self.most))
+
+    def run(self, state, n, columns):
+        at = self._numbers(columns)
+        count = state[1] + np.cumsum(self._begun(state[0], at))
+        return [pa.array(count)], (int(at[-1]), int(count[-1]))
+
+    def summarise(self, summary, n, columns):
+        first, last, count = summary
+        at = self._numbers(columns)
+        begun = self._begun(last, at)
+        if first is None:
+            begun[0] = False
+        return int(at[0]) if first is None else first, int(at[-1]), count + int(begun.sum())
+
+    def join(self, state, summary):
+        first, last, count = summary
+        if first is None:
+            return state
+        return last, state[1] + count + int(state[0] is None or first - state[0] > self.most)
+
+
 class Edges(Fold):
     """fired: crossed now, but not at the row before; alarm_count: fired so far. A state is (last, count); a summary (first, last, count without the first row)."""
 

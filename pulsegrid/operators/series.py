@@ -2,19 +2,70 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from pulsegrid.operators import scan
 from pulsegrid.operators.matching import micros
+from pulsegrid.shared import cut
+
+
+#: Rows of a part of zones: what a task sorts is bounded, however large the table is.
+PART_ROWS = 1_000_000
+
+
+def _closed(names: list[str], time: str):
+    """A row for each run of equal names in a part of sorted rows, whether batches end in it or not; _edge marks the first and the last one, which other parts may continue."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, first = None, True  # of the last run: its row before it is given away
+
+        def given(rows: pa.Table, edges: list[bool]) -> list[pa.RecordBatch]:
+            return rows.append_column("_edge", pa.array(edges)).to_batches()
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            starts = np.array([0, *scan._changes(batch, names)])
+            ends = np.append(starts[1:], batch.num_rows)
+            own = pa.Table.from_batches([batch.select(names)]).take(pa.array(starts))
+            for name, places in (("zone_start", starts), ("zone_end", ends - 1)):
+                own = own.append_column(name, batch.column(time).take(pa.array(places)))
+            own = own.append_column("members", pa.array(ends - starts))
+            if held is not None:
+                same = held.select(names).to_pylist() == own.select(names).slice(0, 1).to_pylist()
+                if same:
+                    more = held["members"][0].as_py() + own["members"][0].as_py()
+                    one = own.slice(0, 1).set_column(len(names), "zone_start", held["zone_start"]).set_column(len(names) + 2, "members", pa.array([more]))
+                    own = pa.concat_tables([one, own.slice(1)])
+                else:
+                    own = pa.concat_tables([held, own])
+            held = own.slice(own.num_rows - 1)
+            if own.num_rows > 1:
+                yield from given(own.slice(0, own.num_rows - 1), [first, *[False] * (own.num_rows - 2)])
+                first = False
+        if held is not None:
+            yield from given(held, [True])
+
+    return run
 
 
 def zones(rows: DataFrame, keys: list[str], time: str, gap_seconds: float = 300.0) -> DataFrame:
-    """(keys, zone, zone_start, zone_end, members): runs of rows in which none is later than its predecessor by more than the gap. Rows without a time are left out."""
-    order = Window.partitionBy(*keys).orderBy(time)
-    start = F.coalesce(micros(F.col(time)) - micros(F.lag(time).over(order)) > int(gap_seconds * 1_000_000), F.lit(True))
-    marked = rows.where(F.col(time).isNotNull()).withColumn("_new", start.cast("int")).withColumn("zone", F.sum("_new").over(order.rangeBetween(Window.unboundedPreceding, 0)))
-    return marked.groupBy(*keys, "zone").agg(F.min(time).alias("zone_start"), F.max(time).alias("zone_end"), F.count("*").alias("members"))
+    """(keys, zone, zone_start, zone_end, members): runs of rows in which none is later than its predecessor by more than the gap. Rows without a time are left out.
+
+    Zones are numbered by a scan over parts of at most so many rows, about, and closed where they end in a part; only the first and the last one of each part are grouped."""
+    known = rows.where(F.col(time).isNotNull()).select(*keys, time)
+    parts = max(known.sparkSession.sparkContext.defaultParallelism, -(-known.count() // PART_ROWS))
+    numbered = scan.scan(scan.ordered(known.withColumn("_at", micros(F.col(time))), keys, ["_at"], parts), keys, scan.Zone("_at", int(gap_seconds * 1_000_000)))
+    kind, names = known.schema[time].dataType, [*keys, "zone"]
+    schema = StructType([*(known.schema[k] for k in keys), StructField("zone", LongType()), StructField("zone_start", kind), StructField("zone_end", kind), StructField("members", LongType()), StructField("_edge", BooleanType())])
+    made = cut(numbered.select(*names, time).mapInArrow(_closed(names, time), schema))
+    split = made.where("_edge").groupBy(*names).agg(F.min("zone_start").alias("zone_start"), F.max("zone_end").alias("zone_end"), F.sum("members").alias("members"))
+    return made.where("not _edge").drop("_edge").unionByName(split)
 
 
 def session_zones(stream: DataFrame, keys: list[str], time: str, gap: str = "5 minutes", watermark: str = "10 minutes") -> DataFrame:
